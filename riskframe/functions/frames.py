@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,28 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
     return F.broadcast(df) if has_at_most(df, max_rows) else df
 
 
+def right_sized(
+    df: DataFrame, rows_per_partition: int = 500_000, min_partitions: int = 2
+) -> DataFrame:
+    """The frame persisted (MEMORY_AND_DISK) at ``ceil(rows / rows_per_partition)``
+    partitions, at least ``min_partitions``.
+
+    Iterative learners make one or more passes per iteration, each costing
+    a task per partition: a small training set split over hundreds of
+    partitions is dominated by task overhead, a large one needs many. The
+    lineage is computed once (persist, count, repartition, persist); the
+    round-robin repartition is made deterministic by Spark's sort before
+    repartition, so a recomputed partition holds the same rows.
+    """
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    n = src.count()
+    parts = max(min_partitions, math.ceil(n / max(1, rows_per_partition)))
+    out = src.repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
+    out.count()
+    src.unpersist()
+    return out
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 

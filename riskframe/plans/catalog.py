@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.functions.columns import numeric_columns, round_doubles
-from riskframe.functions.frames import scratch_path
+from riskframe.functions.frames import right_sized, scratch_path
 from riskframe.operators import act, evaluate, features, models, profile, project, split
 from riskframe.sources import activity as act_src
 from riskframe.sources import io
@@ -289,37 +289,40 @@ def q_stratified_folds(spark, d):
 # --------------------------------------------------------------------------
 
 
-def _fit_and_score(spark, d, mode: str, learner) -> DataFrame:
+def _fit_and_score(spark, d, mode: str, make_learner) -> DataFrame:
+    """Fit preprocessing + learner on the persisted, right-sized training
+    split; score the test split."""
     train, test = split_frames(spark, d)
+    train = right_sized(train)
+    learner = make_learner(train)
     pipe = models.with_model(features.preprocess_pipeline(CATEGORICAL, NUMERIC, mode=mode), learner)
     model, _ = models.fit_timed(pipe, train)
     return models.score(model, test, keep=[KEY, "label"], with_prediction=True)
 
 
 def q_fit_logistic(spark, d):
-    return _fit_and_score(spark, d, "ordinal", models.logistic_spark())
+    return _fit_and_score(spark, d, "ordinal", lambda train: models.logistic_spark())
 
 
 def q_fit_logistic_notebook(spark, d):
-    train, _ = split_frames(spark, d)
-    n = train.count()
-    return _fit_and_score(spark, d, "onehot", models.logistic_notebook(n))
+    return _fit_and_score(spark, d, "onehot", lambda train: models.logistic_notebook(train.count()))
 
 
 def q_fit_forest(spark, d):
-    return _fit_and_score(spark, d, "ordinal", models.forest_spark())
+    return _fit_and_score(spark, d, "ordinal", lambda train: models.forest_spark())
 
 
 def q_fit_forest_notebook(spark, d):
-    return _fit_and_score(spark, d, "onehot", models.forest_notebook())
+    return _fit_and_score(spark, d, "onehot", lambda train: models.forest_notebook())
 
 
 def q_fit_boosting(spark, d):
-    return _fit_and_score(spark, d, "onehot", models.boosting())
+    return _fit_and_score(spark, d, "onehot", lambda train: models.boosting())
 
 
 def q_predict(spark, d):
     train, test = split_frames(spark, d)
+    train = right_sized(train)
     pipe = models.with_model(features.preprocess_pipeline(CATEGORICAL, NUMERIC), models.logistic_spark())
     model = pipe.fit(train)
     return models.predict(model, test, keep=[KEY])
@@ -337,6 +340,7 @@ def q_feature_importance(spark, d):
     from riskframe.plans.workflow import feature_importance
 
     train, _ = split_frames(spark, d)
+    train = right_sized(train)
     pipe = models.with_model(features.preprocess_pipeline(CATEGORICAL, NUMERIC, mode="onehot"), models.forest_notebook())
     model = pipe.fit(train)
     return feature_importance(model, train, CATEGORICAL, NUMERIC, k=10)
@@ -397,7 +401,7 @@ def q_compare_runs(spark, d):
 
 
 def q_cross_validate(spark, d):
-    folded = split.stratified_folds(labelled(spark, d), "label", KEY, k=5, seed=42)
+    folded = right_sized(split.stratified_folds(labelled(spark, d), "label", KEY, k=5, seed=42))
     pipe = models.with_model(features.preprocess_pipeline(CATEGORICAL, NUMERIC), models.forest_spark())
     return evaluate.cross_validate(folded, pipe, "label", "fold", k=5)
 
@@ -405,7 +409,7 @@ def q_cross_validate(spark, d):
 def q_grid_search(spark, d):
     train, _ = split_frames(spark, d)
     folded = split.stratified_folds(models.class_weights(train, "label", "w_balanced"), "label", KEY, k=3, seed=42)
-    folded = folded.withColumn("w_unit", F.lit(1.0))
+    folded = right_sized(folded.withColumn("w_unit", F.lit(1.0)))
     rf = models.forest_notebook(max_depth=8)
     pipe = models.with_model(features.preprocess_pipeline(CATEGORICAL, NUMERIC, mode="onehot"), rf)
     grid = ParamGridBuilder().addGrid(rf.weightCol, ["w_unit", "w_balanced"]).build()

@@ -24,6 +24,7 @@ from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskframe.functions.frames import right_sized
 from riskframe.operators import act, evaluate, features, models, project, split
 
 
@@ -77,6 +78,7 @@ def mllib_flow(
     0.05; forest of 100 trees), evaluated on a stratified hash split."""
     labelled = project.binary_label(df, target, positive, "label")
     train, test = split.train_test(labelled, "label", key, test_size, seed)
+    train = right_sized(train)
     prep = features.preprocess_pipeline(categorical, numeric, mode="ordinal")
     prep_model, prep_secs = models.fit_timed(prep, train)
     train_v = prep_model.transform(train).select(key, "label", "features").persist(StorageLevel.MEMORY_AND_DISK)
@@ -97,8 +99,10 @@ def mllib_flow(
         res.report = evaluate.metrics_report(preds, fit_seconds=_timings(df.sparkSession, res.fit_seconds))
         res.extras["preprocess"] = prep_model
         res.extras["train_vectors"] = train_v
+        res.extras["train"] = train
     except Exception:
         train_v.unpersist()
+        train.unpersist()
         raise
     return res
 
@@ -126,7 +130,7 @@ def notebook_flow(
     labelled = project.binary_label(df, target, positive, "label")
     tagged = split.stratified_split(labelled, "label", key, test_size, seed, out="_split")
     tagged = tagged.persist(StorageLevel.MEMORY_AND_DISK)
-    train = tagged.where(F.col("_split") == "train").drop("_split")
+    train = right_sized(tagged.where(F.col("_split") == "train").drop("_split"))
     test = tagged.where(F.col("_split") == "test").drop("_split")
     n_train = train.count()
     res = FlowResult()
