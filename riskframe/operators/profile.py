@@ -10,13 +10,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskframe.functions.columns import is_missing, numeric_columns, text_columns
 
 QUANTILES = (0.25, 0.5, 0.75)
+# Exact quantiles with the built-in ``percentile`` aggregate keep one buffer
+# entry per distinct value and merge all of them in one final task. Above
+# this many (estimated) distinct values a column takes the distributed
+# exact path instead.
+PERCENTILE_DISTINCT_LIMIT = 1_000_000
 
 
 def _tidy(one_row: DataFrame, structs: list[Column]) -> DataFrame:
@@ -58,64 +64,247 @@ def preview(df: DataFrame, n: int = 5, order_by: Sequence[str] | None = None) ->
     return df.limit(n)
 
 
-def _quantile_expr(c: Column, exact: bool, accuracy: int) -> Column:
-    qs = F.array(*[F.lit(q) for q in QUANTILES])
-    if exact:
-        # Exact, linear interpolation (same as pandas / DuckDB quantile_cont).
-        # Its buffer holds one entry per distinct value: fine for bounded
-        # domains; use exact=False for high-cardinality columns at scale.
-        return F.percentile(c, qs)
-    return F.percentile_approx(c, qs, accuracy)
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = QUANTILES) -> DataFrame:
+    """Exact quantiles (linear interpolation between order statistics, as
+    pandas and DuckDB ``quantile_cont``) without putting a column in one
+    task: ``(column_name, q_index, p, value)``.
+
+    1. Columns are unpivoted to (column, value) and counted per distinct
+       value — a partial aggregate, so a value holding a third of the rows
+       is one row after the map side.
+    2. The distinct values are range-partitioned on (column, value) and
+       persisted; the partition id tags contiguous value ranges (recomputed
+       blocks reuse the same shuffle and partitioner, so ids are stable).
+    3. Per-partition totals (columns × partitions rows) give each
+       partition's rank offset; a running sum inside each partition gives
+       every distinct value its rank interval.
+    4. The two order statistics around ``(n - 1) · p`` are found with a
+       broadcast join against the (columns × probs) target ranks.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    long = df.select(
+        F.inline(
+            F.array(
+                *[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in cols]
+            )
+        )
+    ).where(F.col("value").isNotNull())
+    counted = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("w"))
+    ranged = (
+        counted.repartitionByRange(parts, "column_name", "value")
+        .withColumn("pid", F.spark_partition_id())
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    )
+    totals = ranged.groupBy("column_name", "pid").agg(F.sum("w").alias("pw"))
+    before = Window.partitionBy("column_name").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        "column_name",
+        "pid",
+        F.coalesce(F.sum("pw").over(before), F.lit(0)).alias("off"),
+        F.sum("pw").over(Window.partitionBy("column_name")).alias("n"),
+    )
+    running = Window.partitionBy("column_name", "pid").orderBy("value").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    ranks = (
+        ranged.join(F.broadcast(offsets), ["column_name", "pid"])
+        .withColumn("r_end", F.col("off") + F.sum("w").over(running))
+        .withColumn("r_start", F.col("r_end") - F.col("w"))
+        .select("column_name", "value", "r_start", "r_end")
+    )
+    qs = F.array(*[F.lit(float(p)) for p in probs])
+    targets = (
+        offsets.groupBy("column_name")
+        .agg(F.max("n").alias("n"))
+        .select(F.col("column_name").alias("t_col"), "n", F.posexplode(qs).alias("q_index", "p"))
+        .withColumn("h", (F.col("n") - 1).cast("double") * F.col("p"))
+        .withColumn("lo", F.floor("h"))
+        .withColumn("hi", F.ceil("h"))
+    )
+
+    def covers(r: str) -> Column:
+        return (F.col("r_start") <= F.col(r)) & (F.col(r) < F.col("r_end"))
+
+    hits = ranks.join(
+        F.broadcast(targets), (F.col("column_name") == F.col("t_col")) & (covers("lo") | covers("hi"))
+    )
+    picked = hits.groupBy("column_name", "q_index", "p", "h", "lo").agg(
+        F.max(F.when(covers("lo"), F.col("value"))).alias("v_lo"),
+        F.max(F.when(covers("hi"), F.col("value"))).alias("v_hi"),
+    )
+    return picked.select(
+        "column_name",
+        "q_index",
+        "p",
+        (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * (F.col("h") - F.col("lo"))).alias("value"),
+    )
 
 
-def _numeric_stats(df: DataFrame, cols: Sequence[str], exact: bool, accuracy: int) -> DataFrame:
+def _numeric_stats(
+    df: DataFrame, cols: Sequence[str], method: str = "auto", accuracy: int = 10_000
+) -> DataFrame:
+    """One row per column: count, mean, std, min, p25, p50, p75, max.
+
+    Pass 1 is a single aggregate over all columns (moments, extremes and a
+    HyperLogLog distinct estimate). Quartiles: ``approx`` uses
+    ``percentile_approx``; ``percentile`` the exact built-in aggregate;
+    ``distributed`` ``exact_quantiles``; ``auto`` picks per column —
+    the built-in exact aggregate where the estimated distinct count is
+    below ``PERCENTILE_DISTINCT_LIMIT`` (its buffer is then provably
+    small), the distributed path otherwise.
+    """
+    cols = list(cols)
+    spark = df.sparkSession
+    qs = F.array(*[F.lit(q) for q in QUANTILES])
     aggs = []
     for i, name in enumerate(cols):
         c = F.col(name).cast("double")
         aggs += [
+            F.lit(name).alias(f"name{i}"),
             F.count(c).alias(f"n{i}"),
             F.avg(c).alias(f"mean{i}"),
             F.stddev_samp(c).alias(f"std{i}"),
             F.min(c).alias(f"min{i}"),
-            _quantile_expr(c, exact, accuracy).alias(f"q{i}"),
             F.max(c).alias(f"max{i}"),
         ]
+        if method == "approx":
+            aggs.append(F.percentile_approx(c, qs, accuracy).alias(f"q{i}"))
+        elif method == "auto":
+            aggs.append(F.approx_count_distinct(c).alias(f"ndv{i}"))
     wide = df.agg(*aggs)
-    return _tidy(
-        wide,
-        [
-            F.struct(
-                F.lit(name).alias("column_name"),
-                F.col(f"n{i}").alias("count"),
-                F.col(f"mean{i}").alias("mean"),
-                F.col(f"std{i}").alias("std"),
-                F.col(f"min{i}").alias("min"),
-                F.col(f"q{i}")[0].cast("double").alias("p25"),
-                F.col(f"q{i}")[1].cast("double").alias("p50"),
-                F.col(f"q{i}")[2].cast("double").alias("p75"),
-                F.col(f"max{i}").alias("max"),
+    if method == "approx":
+        moments = wide
+        small, large = [], []
+    else:
+        moments = wide.persist(StorageLevel.MEMORY_AND_DISK) if method == "auto" else wide
+        if method == "auto":
+            row = moments.first()
+            small = [c for i, c in enumerate(cols) if row[f"ndv{i}"] <= PERCENTILE_DISTINCT_LIMIT]
+        else:
+            small = cols if method == "percentile" else []
+        large = [c for c in cols if c not in small]
+
+    stats = moments.select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(
+                        F.col(f"name{i}").alias("column_name"),
+                        F.col(f"n{i}").alias("count"),
+                        F.col(f"mean{i}").alias("mean"),
+                        F.col(f"std{i}").alias("std"),
+                        F.col(f"min{i}").alias("min"),
+                        (F.col(f"q{i}") if method == "approx" else F.lit(None).cast("array<double>")).alias("q"),
+                        F.col(f"max{i}").alias("max"),
+                    )
+                    for i in range(len(cols))
+                ]
             )
-            for i, name in enumerate(cols)
-        ],
+        )
+    )
+    if method == "approx":
+        return stats.select(
+            "column_name", "count", "mean", "std", "min",
+            F.col("q")[0].cast("double").alias("p25"),
+            F.col("q")[1].cast("double").alias("p50"),
+            F.col("q")[2].cast("double").alias("p75"),
+            "max",
+        )
+
+    quartiles = []
+    if small:
+        pct = df.agg(
+            *[F.percentile(F.col(c).cast("double"), qs).alias(f"q{i}") for i, c in enumerate(small)]
+        )
+        quartiles.append(
+            pct.select(
+                F.inline(
+                    F.array(
+                        *[
+                            F.struct(
+                                F.lit(c).alias("qc"),
+                                F.col(f"q{i}")[0].alias("p25"),
+                                F.col(f"q{i}")[1].alias("p50"),
+                                F.col(f"q{i}")[2].alias("p75"),
+                            )
+                            for i, c in enumerate(small)
+                        ]
+                    )
+                )
+            )
+        )
+    if large:
+        ex = exact_quantiles(df, large, QUANTILES)
+        quartiles.append(
+            ex.groupBy(F.col("column_name").alias("qc")).agg(
+                *[F.max(F.when(F.col("q_index") == k, F.col("value"))).alias(n) for k, n in enumerate(("p25", "p50", "p75"))]
+            )
+        )
+    q = quartiles[0]
+    for extra in quartiles[1:]:
+        q = q.unionByName(extra)
+    # both sides have one row per column (bounded by the column count)
+    return stats.drop("q").join(F.broadcast(q), F.col("column_name") == F.col("qc"), "left").select(
+        "column_name", "count", "mean", "std", "min",
+        F.col("p25").cast("double").alias("p25"),
+        F.col("p50").cast("double").alias("p50"),
+        F.col("p75").cast("double").alias("p75"),
+        "max",
     )
 
 
 def describe_numeric(
     df: DataFrame,
     cols: Sequence[str] | None = None,
-    exact: bool = True,
+    method: str = "auto",
     accuracy: int = 10_000,
 ) -> DataFrame:
     """pandas ``describe()``: count, mean, sample std, min, quartiles, max,
-    one row per numeric column, all from a single aggregate."""
+    one row per numeric column. Quartiles are exact unless
+    ``method="approx"`` (see ``_numeric_stats``)."""
     cols = list(cols) if cols is not None else numeric_columns(df)
-    return _numeric_stats(df, cols, exact, accuracy)
+    return _numeric_stats(df, cols, method, accuracy)
+
+
+DESCRIBE_STATS = ("count", "mean", "stddev", "min", "max")
+# Text that a cast to double can read: decimal / scientific notation, NaN,
+# infinities. Testing this first avoids a failing cast per row.
+NUMERIC_TEXT = r"^\s*([+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:nan)|[+-]?(?i:inf|infinity))\s*$"
 
 
 def describe_text(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Spark ``describe()`` over every column: count, mean, stddev, min, max
-    as strings; text columns get null mean/stddev and lexical min/max."""
-    return df.describe(*(cols or []))
+    """Spark ``describe()`` layout — a ``summary`` column (count, mean,
+    stddev, min, max) and one string column per input column; text columns
+    get lexical min/max and a mean only where the text parses as a number —
+    computed as one aggregate over all columns (Spark's own ``describe``
+    runs several times slower on the same input)."""
+    if cols:
+        names = list(cols)
+    else:
+        names = [
+            f.name for f in df.schema.fields if isinstance(f.dataType, (T.NumericType, T.StringType))
+        ]
+    aggs = []
+    for i, name in enumerate(names):
+        c = F.col(name)
+        if isinstance(df.schema[name].dataType, T.StringType):
+            x = F.when(c.rlike(NUMERIC_TEXT), c.try_cast("double"))
+        else:
+            x = c
+        aggs += [
+            F.count(c).cast("string").alias(f"count{i}"),
+            F.avg(x).cast("string").alias(f"mean{i}"),
+            F.stddev_samp(x).cast("string").alias(f"stddev{i}"),
+            F.min(c).cast("string").alias(f"min{i}"),
+            F.max(c).cast("string").alias(f"max{i}"),
+        ]
+    wide = df.agg(*aggs)
+    rows = [
+        F.struct(F.lit(stat).alias("summary"), *[F.col(f"{stat}{i}").alias(n) for i, n in enumerate(names)])
+        for stat in DESCRIBE_STATS
+    ]
+    return wide.select(F.inline(F.array(*rows)))
 
 
 def _text_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -148,7 +337,7 @@ def _text_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     )
 
 
-def describe_mixed(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+def describe_mixed(df: DataFrame, cols: Sequence[str] | None = None, method: str = "auto") -> DataFrame:
     """pandas ``describe(include="all")``: one row per column with
     count, unique, top, freq (text) and mean, std, min, quartiles, max
     (numeric); the other group's fields are null."""
@@ -160,7 +349,7 @@ def describe_mixed(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
     parts = []
     if num:
         parts.append(
-            _numeric_stats(df, num, True, 10_000).select(
+            _numeric_stats(df, num, method).select(
                 "column_name",
                 "count",
                 null_long.alias("unique"),

@@ -85,3 +85,34 @@ def test_projection_helpers(spark):
     assert [r.customerID for r in top] == ["customer_10", "customer_7"]
     assert project.filter_at_least(df, "tenure", 51).count() == 4
     assert df.where(F.col("Churn") == "Yes").count() == 1
+
+
+def test_distributed_quantiles_equal_builtin_exact(spark):
+    # a hot value holding a third of the rows, duplicates, nulls, negatives
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(7.0)).otherwise((F.col("id") * 37 % 1001) / 10.0 - 20.0).alias("x"),
+        F.when(F.col("id") % 5 == 0, None).otherwise(F.col("id") % 17).alias("y"),
+    )
+    a = {r.column_name: r for r in profile.describe_numeric(df, method="distributed").collect()}
+    b = {r.column_name: r for r in profile.describe_numeric(df, method="percentile").collect()}
+    for c in ("x", "y"):
+        for k in ("p25", "p50", "p75", "min", "max", "count"):
+            assert math.isclose(a[c][k], b[c][k], rel_tol=1e-12, abs_tol=1e-12), (c, k, a[c][k], b[c][k])
+    approx = {r.column_name: r for r in profile.describe_numeric(df, method="approx").collect()}
+    assert approx["y"]["count"] == b["y"]["count"]
+
+
+def test_describe_text_matches_spark_describe(spark):
+    df = preview_frame(spark)
+    ours = {r.summary: r.asDict() for r in profile.describe_text(df).collect()}
+    theirs = {r.summary: r.asDict() for r in df.describe().collect()}
+    for stat in ("count", "min", "max"):
+        assert ours[stat] == theirs[stat]
+    for stat in ("mean", "stddev"):
+        for c, v in theirs[stat].items():
+            if c == "summary":
+                continue
+            if v is None:
+                assert ours[stat][c] is None
+            else:
+                assert math.isclose(float(ours[stat][c]), float(v), rel_tol=1e-12)
