@@ -1,7 +1,8 @@
 """Streaming.
 
 The reference has no stream, watermark or stateful operator, so none is
-built. Every operator here is a lazy DataFrame transformation and a fitted
-pipeline is a Transformer, so ``score`` and ``at_risk`` apply unchanged to a
-frame from ``spark.readStream``; see ``riskframe.streaming.scoring``.
+built here. Every operator in this library is a lazy DataFrame
+transformation and a fitted pipeline is an MLlib Transformer, so scoring
+(``operators.models.score``) and the threshold filter (``operators.act.at_risk``)
+apply unchanged to a frame read with ``spark.readStream``.
 """
