@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols, HasOutputCols
@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 IDX = "_idx"
 OHE = "_ohe"
 STD = "_std"
+IMP = "_imp"
 
 
 # --------------------------------------------------------------------------
@@ -213,6 +214,7 @@ def preprocess_pipeline(
     out: str = "features",
     scale: bool = True,
     handle_invalid: str = "error",
+    impute_strategy: str = "mean",
 ) -> Pipeline:
     """Per-type preprocessing as one unfitted ``Pipeline``.
 
@@ -224,28 +226,44 @@ def preprocess_pipeline(
     ``mode="onehot"`` is the notebook path: numerics standardized with the
     population std, categories one-hot encoded, then assembled.
 
+    Missing numerics (the null policy is explicit): ``handle_invalid`` is
+    ``"error"`` (default), ``"skip"`` (drop the row), ``"keep"`` (NaN slot)
+    or ``"impute"`` (an MLlib ``Imputer`` with ``impute_strategy`` — mean,
+    median or mode — fitted on the training data, before scaling). Missing
+    categories always go to the indexer's extra "unknown" level.
+
     The assembled column before any vector scaling carries the slot names
-    (``feature_names`` reads it).
+    (``slot_names`` reads it).
     """
     categorical, numeric = list(categorical), list(numeric)
+    stages = []
+    nums = numeric
+    assemble_invalid = handle_invalid
+    if handle_invalid == "impute":
+        if numeric:
+            stages.append(
+                Imputer(inputCols=numeric, outputCols=[c + IMP for c in numeric], strategy=impute_strategy)
+            )
+            nums = [c + IMP for c in numeric]
+        assemble_invalid = "error"
     if mode == "ordinal":
-        stages = [category_indexer(categorical)] if categorical else []
-        inputs = [c + IDX for c in categorical] + numeric
+        if categorical:
+            stages.append(category_indexer(categorical))
+        inputs = [c + IDX for c in categorical] + nums
         if scale:
-            stages += [assembler(inputs, "features_raw", handle_invalid), vector_scaler("features_raw", out)]
+            stages += [assembler(inputs, "features_raw", assemble_invalid), vector_scaler("features_raw", out)]
         else:
-            stages += [assembler(inputs, out, handle_invalid)]
+            stages += [assembler(inputs, out, assemble_invalid)]
         return Pipeline(stages=stages)
     if mode == "onehot":
-        stages = one_hot_encoder(categorical) if categorical else []
+        if categorical:
+            stages += one_hot_encoder(categorical)
         inputs = []
-        if numeric:
-            stages.append(
-                ColumnStandardizer(inputCols=numeric, outputCols=[c + STD for c in numeric], ddof=0)
-            )
-            inputs += [c + STD for c in numeric]
+        if nums:
+            stages.append(ColumnStandardizer(inputCols=nums, outputCols=[c + STD for c in nums], ddof=0))
+            inputs += [c + STD for c in nums]
         inputs += [c + OHE for c in categorical]
-        stages.append(assembler(inputs, out, handle_invalid))
+        stages.append(assembler(inputs, out, assemble_invalid))
         return Pipeline(stages=stages)
     raise ValueError(f"unknown mode {mode!r}: use 'ordinal' or 'onehot'")
 
@@ -266,7 +284,7 @@ def readable_name(slot: str, numeric: Sequence[str], categorical: Sequence[str])
         if slot == c + IDX:
             return f"cat__{c}"
     for c in numeric:
-        if slot in (c, c + STD):
+        if slot in (c, c + STD, c + IMP, c + IMP + STD):
             return f"num__{c}"
     return slot
 

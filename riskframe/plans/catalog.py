@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
@@ -93,8 +94,14 @@ def model_runs(spark, d) -> DataFrame:
 
 
 def split_frames(spark, d):
-    """Stratified 70/30 train/test of the labelled activity frame."""
-    return split.train_test(labelled(spark, d), "label", KEY, test_size=0.3, seed=42)
+    """Stratified 70/30 train/test of the labelled activity frame. The
+    tagged frame is persisted so train and test come from one computation;
+    train is right-sized for the learners."""
+    tagged = split.stratified_split(labelled(spark, d), "label", KEY, 0.3, seed=42, out="_split")
+    tagged = tagged.persist(StorageLevel.MEMORY_AND_DISK)
+    train = right_sized(tagged.where(F.col("_split") == "train").drop("_split"))
+    test = tagged.where(F.col("_split") == "test").drop("_split")
+    return train, test
 
 
 # --------------------------------------------------------------------------
@@ -293,7 +300,6 @@ def _fit_and_score(spark, d, mode: str, make_learner) -> DataFrame:
     """Fit preprocessing + learner on the persisted, right-sized training
     split; score the test split."""
     train, test = split_frames(spark, d)
-    train = right_sized(train)
     learner = make_learner(train)
     pipe = models.with_model(features.preprocess_pipeline(CATEGORICAL, NUMERIC, mode=mode), learner)
     model, _ = models.fit_timed(pipe, train)
@@ -322,7 +328,6 @@ def q_fit_boosting(spark, d):
 
 def q_predict(spark, d):
     train, test = split_frames(spark, d)
-    train = right_sized(train)
     pipe = models.with_model(features.preprocess_pipeline(CATEGORICAL, NUMERIC), models.logistic_spark())
     model = pipe.fit(train)
     return models.predict(model, test, keep=[KEY])
@@ -340,7 +345,6 @@ def q_feature_importance(spark, d):
     from riskframe.plans.workflow import feature_importance
 
     train, _ = split_frames(spark, d)
-    train = right_sized(train)
     pipe = models.with_model(features.preprocess_pipeline(CATEGORICAL, NUMERIC, mode="onehot"), models.forest_notebook())
     model = pipe.fit(train)
     return feature_importance(model, train, CATEGORICAL, NUMERIC, k=10)

@@ -125,3 +125,44 @@ def test_cross_validate_rows(spark, planted):
     assert ("test", "macro_f1") in sides and ("train", "accuracy") in sides and ("fit", "fit_seconds") in sides
     assert all(r.std >= 0 for r in out)
     assert F is not None
+
+
+def test_null_policy_is_explicit(spark):
+    df = spark.createDataFrame(
+        [("a", 1.0, 0.0), ("b", None, 1.0), ("a", 3.0, 0.0), (None, 5.0, 1.0)], "c string, x double, label double"
+    )
+    with pytest.raises(Exception):
+        features.preprocess_pipeline(["c"], ["x"]).fit(df).transform(df).collect()
+    skipped = features.preprocess_pipeline(["c"], ["x"], handle_invalid="skip").fit(df).transform(df)
+    assert skipped.count() == 3
+    imputed = features.preprocess_pipeline(["c"], ["x"], mode="onehot", handle_invalid="impute").fit(df).transform(df)
+    vals = [r.v for r in imputed.select(vector_to_array("features").alias("v")).collect()]
+    assert len(vals) == 4 and all(v[0] == v[0] for v in vals)  # no NaN
+    names = features.slot_names(imputed, "features")
+    assert [features.readable_name(n, ["x"], ["c"]) for n in names] == ["num__x", "cat__c_a", "cat__c_b"]
+
+
+def test_notebook_flow_end_to_end(spark):
+    from riskframe.plans.workflow import notebook_flow
+
+    df = subscribers(spark, 800, seed=3, signal=3.0)
+    res = notebook_flow(
+        df, CATEGORICAL, NUMERIC, "Churn", "customerID", folds=2, grid="small",
+        profile_cols=["Contract", "InternetService", "tenure", "MonthlyCharges"],
+    )
+    report = {r.model for r in res.report.collect()}
+    assert report == {"Logistic Regression", "Random Forest", "Gradient Boosting"}
+    assert res.extras["best_model"] in report
+    assert len(res.extras["importances"].collect()) == 10
+    assert {r.side for r in res.extras["cross_validation"].collect()} == {"test", "train", "fit"}
+    grid = res.extras["grid"].collect()
+    assert len(grid) == 2 and sum(r.is_best for r in grid) == 1
+    scored = res.extras["scored"]
+    assert scored.count() == 800
+    top = res.extras["high_risk"].collect()
+    assert len(top) <= 20 and all(r.churn_proba >= 0.8 for r in top)
+    roi = res.extras["roi"].first()
+    assert roi.n_targeted >= len(top)
+    cm = res.extras["confusion_matrix"].collect()
+    n_test = res.extras["split_frame"].where("_split = 'test'").count()
+    assert sum(r["count"] for r in cm) == n_test
