@@ -189,3 +189,73 @@ def notebook_flow(
     res.extras["roi"] = act.retention_roi(act.at_risk(scored, "churn_proba", threshold))
     res.extras["split_frame"] = tagged
     return res
+
+
+def reference_script(
+    spark,
+    csv_path: str,
+    metrics_out: str,
+    other_metrics: str | None = None,
+    target: str = "Churn",
+    key: str = "customerID",
+    positive="Yes",
+    categorical: Sequence[str] | None = None,
+    numeric: Sequence[str] | None = None,
+    seed: int = 42,
+) -> dict:
+    """The MLlib script end to end on a subscriber CSV: read with inferred
+    schema, profile (shape, schema, preview, describe), label, preprocess,
+    split, fit both learners, evaluate, write the metrics document and, if
+    another engine's document is given, compare the two.
+
+    Column roles default to the schema rule (text → categorical, numbers
+    → numeric, key and target excluded). Returns the frames by name.
+    """
+    from riskframe.operators import profile
+    from riskframe.sources import io
+
+    raw = io.read_table(spark, csv_path, infer_schema=True)
+    if categorical is None or numeric is None:
+        cat, num = features.column_roles(raw, exclude=[key, target])
+        categorical = cat if categorical is None else categorical
+        numeric = num if numeric is None else numeric
+    out = {
+        "table": raw,
+        "shape": profile.table_shape(raw),
+        "schema": profile.schema_report(raw),
+        "preview": profile.preview(raw, 5, order_by=[key]),
+        "describe": profile.describe_text(raw),
+    }
+    flow = mllib_flow(raw, categorical, numeric, target, key, positive, seed)
+    out["report"] = flow.report
+    tidy = evaluate.tidy_metrics(flow.report)
+    io.write_metrics(tidy, metrics_out)
+    out["metrics"] = io.read_metrics(spark, metrics_out, engine="spark")
+    if other_metrics is not None:
+        other = io.read_metrics(spark, other_metrics, engine="other", f1_means="f1")
+        out["comparison"] = evaluate.compare_runs(
+            out["metrics"].drop("engine"), other.drop("engine")
+        )
+    out["flow"] = flow
+    return out
+
+
+def write_outputs(res: FlowResult, out_dir: str, key_cols: Sequence[str] | None = None) -> dict:
+    """The notebook's result files, as CSV folders under ``out_dir``:
+    every scored row, the risk list, the importances, plus the metrics
+    document. Returns the paths."""
+    from riskframe.sources import io
+
+    base = out_dir.rstrip("/")
+    paths = {
+        "scored": f"{base}/predictions",
+        "high_risk": f"{base}/top_risk",
+        "importances": f"{base}/feature_importance",
+        "metrics": f"{base}/metrics",
+    }
+    scored = res.extras["scored"]
+    io.write_table(scored.select(*(key_cols or scored.columns)), paths["scored"])
+    io.write_table(res.extras["high_risk"], paths["high_risk"])
+    io.write_table(res.extras["importances"], paths["importances"])
+    io.write_metrics(evaluate.tidy_metrics(res.report), paths["metrics"])
+    return paths

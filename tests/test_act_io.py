@@ -79,3 +79,22 @@ def test_csv_roundtrip_with_schema(spark):
     assert sorted(back.collect()) == sorted(df.collect())
     inferred = io.read_table(spark, path)
     assert dict(inferred.dtypes)["tenure"] == "int"
+
+
+def test_reference_script_from_csv(spark):
+    from fixtures import subscribers
+    from riskframe.plans.workflow import reference_script
+
+    csv = scratch_path(spark, "subscribers")
+    io.write_table(subscribers(spark, 1200, seed=9), csv)
+    doc = _write_doc(spark, SKLEARN_METRICS_JSON)
+    out = reference_script(spark, csv, scratch_path(spark, "spark_metrics"), other_metrics=doc)
+    assert out["shape"].first().n_cols == 20
+    assert out["schema"].where("column_name = 'tenure'").first().data_type == "int"
+    models = {r.model for r in out["metrics"].collect()}
+    assert models == {"Logistic Regression", "Random Forest"}
+    cmp = {(r.model, r.metric): r for r in out["comparison"].collect()}
+    assert cmp[("Random Forest", "accuracy")].better in ("a", "b", "tie")
+    assert cmp[("Random Forest", "weighted_f1")].value_b is None  # never matched with the other f1
+    out["flow"].extras["train_vectors"].unpersist()
+    out["flow"].extras["train"].unpersist()

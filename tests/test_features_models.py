@@ -166,3 +166,11 @@ def test_notebook_flow_end_to_end(spark):
     cm = res.extras["confusion_matrix"].collect()
     n_test = res.extras["split_frame"].where("_split = 'test'").count()
     assert sum(r["count"] for r in cm) == n_test
+
+
+def test_fixed_seed_repeats_on_fixed_partitioning(spark, planted):
+    train, test = planted
+    pipe = models.with_model(features.preprocess_pipeline(CATEGORICAL, NUMERIC), models.forest_spark())
+    a = models.score(pipe.fit(train), test, keep=["customerID"]).orderBy("customerID").collect()
+    b = models.score(pipe.fit(train), test, keep=["customerID"]).orderBy("customerID").collect()
+    assert a == b
