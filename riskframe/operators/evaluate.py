@@ -430,7 +430,13 @@ def class_weight_lookup(df: DataFrame, label: str) -> DataFrame:
 
 def with_class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """Adds the balanced weight per row (``weightCol`` of the learners)."""
-    lookup = class_weight_lookup(df, label).withColumnRenamed(label, "_label_w").withColumnRenamed("weight", out)
+    # one row per class; persisted so the size probe and the join share one pass
+    lookup = (
+        class_weight_lookup(df, label)
+        .withColumnRenamed(label, "_label_w")
+        .withColumnRenamed("weight", out)
+        .persist()
+    )
     return df.join(
         bounded_broadcast(lookup, max_rows=100_000), F.col(label).eqNullSafe(F.col("_label_w")), "left"
     ).drop("_label_w")

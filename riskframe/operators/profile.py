@@ -133,12 +133,26 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] =
         F.max(F.when(covers("lo"), F.col("value"))).alias("v_lo"),
         F.max(F.when(covers("hi"), F.col("value"))).alias("v_hi"),
     )
-    return picked.select(
+    result = picked.select(
         "column_name",
         "q_index",
         "p",
         (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * (F.col("h") - F.col("lo"))).alias("value"),
     )
+    # The answer has columns × probs rows: materialize it, then release the
+    # cached distinct values instead of leaving them on the executors.
+    return _materialize_small(result, [ranged])
+
+
+def _materialize_small(result: DataFrame, cached: list[DataFrame]) -> DataFrame:
+    """Collect a result whose size is bounded by parameters (columns ×
+    statistics), rebuild it as a local frame and unpersist the cached
+    intermediates it was computed from."""
+    rows = result.collect()
+    out = result.sparkSession.createDataFrame(rows, result.schema)
+    for c in cached:
+        c.unpersist()
+    return out
 
 
 def _numeric_stats(
@@ -245,13 +259,16 @@ def _numeric_stats(
     for extra in quartiles[1:]:
         q = q.unionByName(extra)
     # both sides have one row per column (bounded by the column count)
-    return stats.drop("q").join(F.broadcast(q), F.col("column_name") == F.col("qc"), "left").select(
+    result = stats.drop("q").join(F.broadcast(q), F.col("column_name") == F.col("qc"), "left").select(
         "column_name", "count", "mean", "std", "min",
         F.col("p25").cast("double").alias("p25"),
         F.col("p50").cast("double").alias("p50"),
         F.col("p75").cast("double").alias("p75"),
         "max",
     )
+    if method == "auto":
+        return _materialize_small(result, [moments])
+    return result
 
 
 def describe_numeric(
