@@ -421,22 +421,17 @@ def grid_search(
 
 def class_weight_lookup(df: DataFrame, label: str) -> DataFrame:
     """(label, weight) with "balanced" weights n / (k · n_class)."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    totals = counts.agg(F.sum("_nc").alias("_n"), F.count(F.lit(1)).alias("_k"))
-    return counts.crossJoin(F.broadcast(totals)).select(
-        label, (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias("weight")
-    )
+    # one row per class, cached: the two scalar subqueries (n, k) and the
+    # lookup itself read it back instead of re-reading the input
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc")).persist()
+    n = counts.select(F.sum("_nc")).scalar()
+    k = counts.select(F.count(F.lit(1))).scalar()
+    return counts.select(label, (n / (k * F.col("_nc"))).alias("weight"))
 
 
 def with_class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """Adds the balanced weight per row (``weightCol`` of the learners)."""
-    # one row per class; persisted so the size probe and the join share one pass
-    lookup = (
-        class_weight_lookup(df, label)
-        .withColumnRenamed(label, "_label_w")
-        .withColumnRenamed("weight", out)
-        .persist()
-    )
+    lookup = class_weight_lookup(df, label).withColumnRenamed(label, "_label_w").withColumnRenamed("weight", out)
     return df.join(
         bounded_broadcast(lookup, max_rows=100_000), F.col(label).eqNullSafe(F.col("_label_w")), "left"
     ).drop("_label_w")

@@ -409,15 +409,13 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
 
 
 def value_shares(df: DataFrame, col: str) -> DataFrame:
-    """Percentage of non-null rows per value. The total is a one-row
-    aggregate broadcast to the counts (a cross join with exactly one row),
-    not a global window that would pull every row into one task."""
+    """Percentage of non-null rows per value. The total is a scalar
+    subquery (one partial aggregate, evaluated once, its value inlined), not
+    a global window that would pull every row into one task."""
     counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("count"))
-    total = counts.agg(F.sum("count").alias("total"))
-    return (
-        counts.crossJoin(F.broadcast(total))
-        .select(col, (F.col("count") * 100.0 / F.col("total")).alias("share_pct"))
-        .orderBy(F.desc("share_pct"), F.asc(col))
+    total = counts.select(F.sum("count")).scalar()
+    return counts.select(col, (F.col("count") * 100.0 / total).alias("share_pct")).orderBy(
+        F.desc("share_pct"), F.asc(col)
     )
 
 
