@@ -160,17 +160,25 @@ def _numeric_stats(
 ) -> DataFrame:
     """One row per column: count, mean, std, min, p25, p50, p75, max.
 
-    Pass 1 is a single aggregate over all columns (moments, extremes and a
-    HyperLogLog distinct estimate). Quartiles: ``approx`` uses
-    ``percentile_approx``; ``percentile`` the exact built-in aggregate;
-    ``distributed`` ``exact_quantiles``; ``auto`` picks per column —
-    the built-in exact aggregate where the estimated distinct count is
-    below ``PERCENTILE_DISTINCT_LIMIT`` (its buffer is then provably
-    small), the distributed path otherwise.
+    Quartiles: ``approx`` uses ``percentile_approx``; ``percentile`` the
+    exact built-in aggregate (one buffer entry per distinct value, merged in
+    one task); ``distributed`` ``exact_quantiles``; ``auto`` picks per
+    column with a checked bound:
+
+    * if the table has at most ``PERCENTILE_DISTINCT_LIMIT`` rows (a row
+      count, read from file footers for parquet), no column can have more
+      distinct values than that, so one aggregate computes moments and
+      exact quartiles together;
+    * otherwise one aggregate computes the moments and a HyperLogLog
+      distinct estimate; columns under the limit get the built-in exact
+      aggregate, the rest the distributed path.
     """
     cols = list(cols)
-    spark = df.sparkSession
     qs = F.array(*[F.lit(q) for q in QUANTILES])
+    if method == "auto" and df.count() <= PERCENTILE_DISTINCT_LIMIT:
+        method = "percentile"
+    single_pass = method in ("approx", "percentile")
+
     aggs = []
     for i, name in enumerate(cols):
         c = F.col(name).cast("double")
@@ -184,41 +192,34 @@ def _numeric_stats(
         ]
         if method == "approx":
             aggs.append(F.percentile_approx(c, qs, accuracy).alias(f"q{i}"))
+        elif method == "percentile":
+            aggs.append(F.percentile(c, qs).alias(f"q{i}"))
         elif method == "auto":
             aggs.append(F.approx_count_distinct(c).alias(f"ndv{i}"))
     wide = df.agg(*aggs)
-    if method == "approx":
-        moments = wide
-        small, large = [], []
-    else:
-        moments = wide.persist(StorageLevel.MEMORY_AND_DISK) if method == "auto" else wide
-        if method == "auto":
-            row = moments.first()
-            small = [c for i, c in enumerate(cols) if row[f"ndv{i}"] <= PERCENTILE_DISTINCT_LIMIT]
-        else:
-            small = cols if method == "percentile" else []
-        large = [c for c in cols if c not in small]
 
-    stats = moments.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.col(f"name{i}").alias("column_name"),
-                        F.col(f"n{i}").alias("count"),
-                        F.col(f"mean{i}").alias("mean"),
-                        F.col(f"std{i}").alias("std"),
-                        F.col(f"min{i}").alias("min"),
-                        (F.col(f"q{i}") if method == "approx" else F.lit(None).cast("array<double>")).alias("q"),
-                        F.col(f"max{i}").alias("max"),
-                    )
-                    for i in range(len(cols))
-                ]
+    def tidy(one_row: DataFrame) -> DataFrame:
+        return one_row.select(
+            F.inline(
+                F.array(
+                    *[
+                        F.struct(
+                            F.col(f"name{i}").alias("column_name"),
+                            F.col(f"n{i}").alias("count"),
+                            F.col(f"mean{i}").alias("mean"),
+                            F.col(f"std{i}").alias("std"),
+                            F.col(f"min{i}").alias("min"),
+                            (F.col(f"q{i}") if single_pass else F.lit(None).cast("array<double>")).alias("q"),
+                            F.col(f"max{i}").alias("max"),
+                        )
+                        for i in range(len(cols))
+                    ]
+                )
             )
         )
-    )
-    if method == "approx":
-        return stats.select(
+
+    if single_pass:
+        return tidy(wide).select(
             "column_name", "count", "mean", "std", "min",
             F.col("q")[0].cast("double").alias("p25"),
             F.col("q")[1].cast("double").alias("p50"),
@@ -226,11 +227,17 @@ def _numeric_stats(
             "max",
         )
 
+    moments = wide.persist(StorageLevel.MEMORY_AND_DISK)
+    if method == "auto":
+        row = moments.first()
+        small = [c for i, c in enumerate(cols) if row[f"ndv{i}"] <= PERCENTILE_DISTINCT_LIMIT]
+    else:  # distributed
+        small = []
+    large = [c for c in cols if c not in small]
+
     quartiles = []
     if small:
-        pct = df.agg(
-            *[F.percentile(F.col(c).cast("double"), qs).alias(f"q{i}") for i, c in enumerate(small)]
-        )
+        pct = df.agg(*[F.percentile(F.col(c).cast("double"), qs).alias(f"q{i}") for i, c in enumerate(small)])
         quartiles.append(
             pct.select(
                 F.inline(
@@ -259,16 +266,14 @@ def _numeric_stats(
     for extra in quartiles[1:]:
         q = q.unionByName(extra)
     # both sides have one row per column (bounded by the column count)
-    result = stats.drop("q").join(F.broadcast(q), F.col("column_name") == F.col("qc"), "left").select(
+    result = tidy(moments).drop("q").join(F.broadcast(q), F.col("column_name") == F.col("qc"), "left").select(
         "column_name", "count", "mean", "std", "min",
         F.col("p25").cast("double").alias("p25"),
         F.col("p50").cast("double").alias("p50"),
         F.col("p75").cast("double").alias("p75"),
         "max",
     )
-    if method == "auto":
-        return _materialize_small(result, [moments])
-    return result
+    return _materialize_small(result, [moments])
 
 
 def describe_numeric(
