@@ -35,7 +35,8 @@ def right_sized(
 
     Iterative learners make one or more passes per iteration, each costing
     a task per partition: a small training set split over hundreds of
-    partitions is dominated by task overhead, a large one needs many. The
+    partitions is dominated by task overhead, a large one needs many. A
+    frame already within a factor 2 of the target is only persisted. The
     lineage is computed once (persist, count, repartition, persist); the
     round-robin repartition is made deterministic by Spark's sort before
     repartition, so a recomputed partition holds the same rows.
@@ -43,6 +44,9 @@ def right_sized(
     src = df.persist(StorageLevel.MEMORY_AND_DISK)
     n = src.count()
     parts = max(min_partitions, math.ceil(n / max(1, rows_per_partition)))
+    current = src.rdd.getNumPartitions()
+    if parts // 2 <= current <= parts * 2:
+        return src  # already close to the target: no shuffle
     out = src.repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
     out.count()
     src.unpersist()

@@ -122,10 +122,17 @@ def notebook_flow(
     top: int = act.TOP_K,
     profile_cols: Sequence[str] = (),
     parallelism: int = 2,
+    forest_trees: int = models.N_TREES,
+    boost_stages: int = models.GB_STAGES,
 ) -> FlowResult:
     """The notebook, end to end. ``grid="reference"`` runs the reference's
     grid re-mapped to MLlib (72 combinations × ``folds``); ``"small"``
-    varies only the class weighting; ``None`` skips the search."""
+    varies only the class weighting; ``None`` skips the search.
+    ``forest_trees`` / ``boost_stages`` default to the reference's 100."""
+
+    def forest():
+        return models.forest_notebook(seed=seed).setNumTrees(forest_trees)
+
     spark = df.sparkSession
     labelled = project.binary_label(df, target, positive, "label")
     tagged = split.stratified_split(labelled, "label", key, test_size, seed, out="_split")
@@ -137,8 +144,8 @@ def notebook_flow(
 
     learners = {
         "Logistic Regression": models.logistic_notebook(n_train),
-        "Random Forest": models.forest_notebook(seed=seed),
-        "Gradient Boosting": models.boosting(seed=seed),
+        "Random Forest": forest(),
+        "Gradient Boosting": models.boosting(seed=seed).setMaxIter(boost_stages),
     }
     preds = None
     for name, learner in learners.items():
@@ -154,9 +161,7 @@ def notebook_flow(
     res.extras["confusion_matrix"] = evaluate.confusion_matrix(best.transform(test), "label", "prediction")
     res.extras["importances"] = feature_importance(res.models["Random Forest"], train, categorical, numeric)
 
-    rf_pipe = models.with_model(
-        features.preprocess_pipeline(categorical, numeric, mode="onehot"), models.forest_notebook(seed=seed)
-    )
+    rf_pipe = models.with_model(features.preprocess_pipeline(categorical, numeric, mode="onehot"), forest())
     if folds:
         all_folds = split.stratified_folds(labelled, "label", key, folds, seed)
         res.extras["cross_validation"] = evaluate.cross_validate(all_folds, rf_pipe, "label", "fold", folds, parallelism)
@@ -165,7 +170,7 @@ def notebook_flow(
     if grid:
         weighted = models.class_weights(train, "label", "w_balanced").withColumn("w_unit", F.lit(1.0))
         train_folds = split.stratified_folds(weighted, "label", key, folds or 3, seed)
-        rf = models.forest_notebook(seed=seed)
+        rf = forest()
         pipe = models.with_model(features.preprocess_pipeline(categorical, numeric, mode="onehot"), rf)
         builder = ParamGridBuilder().addGrid(rf.weightCol, ["w_unit", "w_balanced"])
         if grid == "reference":

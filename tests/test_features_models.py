@@ -149,6 +149,7 @@ def test_notebook_flow_end_to_end(spark):
     res = notebook_flow(
         df, CATEGORICAL, NUMERIC, "Churn", "customerID", folds=2, grid="small",
         profile_cols=["Contract", "InternetService", "tenure", "MonthlyCharges"],
+        forest_trees=20, boost_stages=10,
     )
     report = {r.model for r in res.report.collect()}
     assert report == {"Logistic Regression", "Random Forest", "Gradient Boosting"}
