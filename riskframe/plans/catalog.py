@@ -263,15 +263,21 @@ def q_scale_vector(spark, d):
 
 
 def q_assemble(spark, d):
+    """The assembled vector, one column per slot (``<input>_slot``)."""
     out = features.assemble(activity(spark, d), NUMERIC, "features")
-    return out.select(KEY, vector_to_array(F.col("features")).alias("features"))
+    arr = vector_to_array(F.col("features"))
+    return out.select(KEY, *[arr[i].alias(c + "_slot") for i, c in enumerate(NUMERIC)])
 
 
 def q_preprocess_pipeline(spark, d):
+    """The MLlib-path pipeline (index, assemble, scale) fitted on the
+    activity table; the scaled vector one column per slot."""
     a = activity(spark, d)
     pipe = features.preprocess_pipeline(CATEGORICAL, NUMERIC, mode="ordinal")
     out = pipe.fit(a).transform(a)
-    return out.select(KEY, vector_to_array(F.col("features")).alias("features"))
+    slots = [c + features.IDX for c in CATEGORICAL] + NUMERIC
+    arr = vector_to_array(F.col("features"))
+    return out.select(KEY, *[arr[i].alias(c + "_scaled") for i, c in enumerate(slots)])
 
 
 # --------------------------------------------------------------------------

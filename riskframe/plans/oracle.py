@@ -216,6 +216,43 @@ def _scaled(std_fn: str, suffix: str, zero_to_one: bool) -> str:
     return f"WITH {ACTIVITY}\nSELECT c_custkey, {', '.join(cols)} FROM activity"
 
 
+def _assembled() -> str:
+    cols = ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}_slot" for c in NUMERIC)
+    return f"WITH {ACTIVITY}\nSELECT c_custkey, {cols} FROM activity"
+
+
+def _pipeline_scaled() -> str:
+    cats = ("c_mktsegment", "n_name", "r_name")
+    levels = ",\n".join(
+        f"lv_{c} AS (SELECT {c} AS v, CAST(row_number() OVER (ORDER BY count(*) DESC, {c}) - 1 AS DOUBLE) AS idx "
+        f"FROM activity WHERE {c} IS NOT NULL GROUP BY {c})"
+        for c in cats
+    )
+    idx_cols = ", ".join(
+        f"coalesce(lv_{c}.idx, CAST((SELECT count(*) FROM lv_{c}) AS DOUBLE)) AS {c}_idx" for c in cats
+    )
+    joins = " ".join(f"LEFT JOIN lv_{c} ON a.{c} = lv_{c}.v" for c in cats)
+    slots = [f"{c}_idx" for c in cats] + list(NUMERIC)
+    scaled = ", ".join(
+        f"round((CAST({c} AS DOUBLE) - avg(CAST({c} AS DOUBLE)) OVER ()) / stddev_samp(CAST({c} AS DOUBLE)) OVER (), 6) AS {c}_scaled"
+        for c in slots
+    )
+    return (
+        f"WITH {ACTIVITY},\n{levels},\n"
+        f"x AS (SELECT a.*, {idx_cols} FROM activity a {joins})\n"
+        f"SELECT c_custkey, {scaled} FROM x"
+    )
+
+
+def _read_metrics() -> str:
+    run = _metrics(MODEL_RUNS, "SELECT * FROM s", by_model=True)
+    parts = [
+        f"SELECT 'labels' AS engine, model, '{m}' AS metric, round({m}, 3) AS value FROM ({run})"
+        for m in ("accuracy", "precision", "recall", "f1", "weighted_f1")
+    ]
+    return "\nUNION ALL ".join(parts)
+
+
 def _strat_rank() -> str:
     return (
         "SELECT c_custkey, churned, "
@@ -291,6 +328,12 @@ def oracle_sql() -> dict[str, str]:
     sql = {
         # 2.1
         "read_table": f"SELECT {CUSTOMER_OUT} FROM customer",
+        "read_metrics": _read_metrics(),
+        "write_table": f"""WITH {SCORED}
+SELECT CAST(c_custkey AS INTEGER) AS c_custkey, c_mktsegment, n_name, r_name, round(c_acctbal, 6) AS c_acctbal,
+       CAST(n_orders AS INTEGER) AS n_orders, round(total_spend, 6) AS total_spend, round(avg_spend, 6) AS avg_spend,
+       tenure_days, round(urgent_share, 6) AS urgent_share, churned, round(churn_proba, 6) AS churn_proba
+FROM scored""",
         # 2.2
         "schema_report": "\nUNION ALL ".join(
             f"SELECT {i} AS position, '{c}' AS column_name, '{t}' AS data_type, true AS nullable, "
@@ -351,6 +394,8 @@ FROM activity""",
         "one_hot": _one_hot(),
         "standardize": _scaled("stddev_pop", "_std", True),
         "scale_vector": _scaled("stddev_samp", "_scaled", False),
+        "assemble": _assembled(),
+        "preprocess_pipeline": _pipeline_scaled(),
         # 2.5
         "random_split": f"""WITH {ACTIVITY}
 SELECT c_custkey,
