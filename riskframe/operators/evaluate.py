@@ -326,8 +326,6 @@ def cross_validate(
     fold's accuracy and macro precision/recall/F1 from one aggregate over
     ``(fold, side, label, prediction)``. Returns (side, metric, mean, std)
     rows with the population std, plus a ``fit_seconds`` row."""
-    cols = [label, fold_col]
-
     def one(i: int):
         train = df.where(F.col(fold_col) != i)
         t0 = time.perf_counter()
@@ -337,7 +335,7 @@ def cross_validate(
         for side, part in (("test", df.where(F.col(fold_col) == i)), ("train", train)):
             scored.append(
                 model.transform(part).select(
-                    F.lit(i).alias("fold_id"), F.lit(side).alias("side"), *[F.col(c) for c in cols[:1]], "prediction"
+                    F.lit(i).alias("fold_id"), F.lit(side).alias("side"), F.col(label), "prediction"
                 )
             )
         return secs, scored

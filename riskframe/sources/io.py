@@ -86,11 +86,18 @@ def write_metrics(metrics: DataFrame, path: str, digits: int = 3, mode: str = "o
     reference). The frame is a handful of rows (models × metrics); it is
     folded into one map by a global aggregate and written by one task."""
     fmt = f"%.{digits}f"
+    # entries are sorted so the document text does not depend on task order
     inner = metrics.groupBy("model").agg(
         F.map_from_entries(
-            F.collect_list(F.struct(F.col("metric"), F.format_string(fmt, F.col("value").cast("double"))))
+            F.array_sort(
+                F.collect_list(F.struct(F.col("metric"), F.format_string(fmt, F.col("value").cast("double"))))
+            )
         ).alias("m")
     )
-    doc = inner.agg(F.map_from_entries(F.collect_list(F.struct("model", "m"))).alias("doc"))
+    by_model = F.array_sort(
+        F.collect_list(F.struct("model", "m")),
+        lambda a, b: F.when(a["model"] < b["model"], -1).when(a["model"] > b["model"], 1).otherwise(0),
+    )
+    doc = inner.agg(F.map_from_entries(by_model).alias("doc"))
     doc.select(F.to_json("doc").alias("value")).coalesce(1).write.mode(mode).text(path)
     return path
