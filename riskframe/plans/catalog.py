@@ -130,7 +130,8 @@ def _metric_doc(spark, d) -> DataFrame:
 def q_write_metrics(spark, d):
     path = scratch_path(spark, "write_metrics")
     io.write_metrics(_metric_doc(spark, d), path)
-    return spark.read.text(path, wholetext=True)
+    text = spark.read.text(path, wholetext=True)
+    return text.select(F.regexp_replace("value", r"\s+$", "").alias("value"))  # without the final newline
 
 
 def q_read_metrics(spark, d):

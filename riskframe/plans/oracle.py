@@ -253,6 +253,19 @@ def _read_metrics() -> str:
     return "\nUNION ALL ".join(parts)
 
 
+def _write_metrics() -> str:
+    run = _metrics(MODEL_RUNS, "SELECT * FROM s", by_model=True)
+    tidy = " UNION ALL ".join(
+        f"SELECT model, '{m}' AS metric, {m} AS value FROM ({run})"
+        for m in ("accuracy", "precision", "recall", "f1", "weighted_f1")
+    )
+    return f"""WITH m AS ({tidy}),
+per_model AS (
+  SELECT model, '{{' || string_agg('"' || metric || '":"' || printf('%.3f', value) || '"', ',' ORDER BY metric) || '}}' AS j
+  FROM m GROUP BY model)
+SELECT '{{' || string_agg('"' || model || '":' || j, ',' ORDER BY model) || '}}' AS value FROM per_model"""
+
+
 def _strat_rank() -> str:
     return (
         "SELECT c_custkey, churned, "
@@ -329,6 +342,7 @@ def oracle_sql() -> dict[str, str]:
         # 2.1
         "read_table": f"SELECT {CUSTOMER_OUT} FROM customer",
         "read_metrics": _read_metrics(),
+        "write_metrics": _write_metrics(),
         "write_table": f"""WITH {SCORED}
 SELECT CAST(c_custkey AS INTEGER) AS c_custkey, c_mktsegment, n_name, r_name, round(c_acctbal, 6) AS c_acctbal,
        CAST(n_orders AS INTEGER) AS n_orders, round(total_spend, 6) AS total_spend, round(avg_spend, 6) AS avg_spend,
