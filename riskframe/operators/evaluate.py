@@ -387,11 +387,14 @@ def grid_search(
     metric: str = "recall",
     parallelism: int = 2,
     seed: int = 42,
+    pool: str | None = None,
 ):
     """``CrossValidator`` over precomputed folds (``foldCol``), scored by
     ``ClassMetricEvaluator(metric)``; returns ``(cv_model, results)`` where
     ``results`` has one row per parameter map with its mean CV score and
-    an ``is_best`` flag. The refit best model is ``cv_model.bestModel``."""
+    an ``is_best`` flag. The refit best model is ``cv_model.bestModel``.
+    ``pool`` names a FAIR scheduler pool for the search's jobs (the fit
+    threads inherit the caller's local properties)."""
     from pyspark.ml.tuning import CrossValidator
 
     ev = ClassMetricEvaluator(metricName=metric, labelCol=label)
@@ -404,7 +407,15 @@ def grid_search(
         parallelism=parallelism,
         seed=seed,
     )
-    cv_model = cv.fit(df)
+    sc = df.sparkSession.sparkContext
+    previous = sc.getLocalProperty("spark.scheduler.pool")
+    if pool is not None:
+        sc.setLocalProperty("spark.scheduler.pool", pool)
+    try:
+        cv_model = cv.fit(df)
+    finally:
+        if pool is not None:
+            sc.setLocalProperty("spark.scheduler.pool", previous)
     scores = list(cv_model.avgMetrics)
     best = max(range(len(scores)), key=lambda i: scores[i])
     rows = []

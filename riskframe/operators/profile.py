@@ -23,6 +23,9 @@ QUANTILES = (0.25, 0.5, 0.75)
 # this many (estimated) distinct values a column takes the distributed
 # exact path instead.
 PERCENTILE_DISTINCT_LIMIT = 1_000_000
+# Up to this many bins a histogram's bin is a ``when`` chain (codegen);
+# above it a binary search.
+HISTOGRAM_CHAIN_BINS = 16
 
 
 def _tidy(one_row: DataFrame, structs: list[Column]) -> DataFrame:
@@ -439,14 +442,33 @@ def histogram(df: DataFrame, col: str, edges: Sequence[float]) -> DataFrame:
         raise ValueError("edges must be strictly ascending with at least two values")
     x = F.col(col).cast("double")
     nb = len(edges) - 1
-    idx = None
-    for i in range(nb):
-        upper_ok = (x <= edges[i + 1]) if i == nb - 1 else (x < edges[i + 1])
-        cond = (x >= edges[i]) & upper_ok
-        idx = F.when(cond, F.lit(i)) if idx is None else idx.when(cond, F.lit(i))
+    if nb <= HISTOGRAM_CHAIN_BINS:
+        idx = None
+        for i in range(nb):
+            upper_ok = (x <= edges[i + 1]) if i == nb - 1 else (x < edges[i + 1])
+            cond = (x >= edges[i]) & upper_ok
+            idx = F.when(cond, F.lit(i)) if idx is None else idx.when(cond, F.lit(i))
+        binned = df.select(idx.alias("bin"))
+    else:
+        # Many bins: MLlib's Bucketizer finds the bin by binary search. The
+        # outer sentinel buckets (below the first / above the last edge)
+        # hold the values to ignore.
+        from pyspark.ml.feature import Bucketizer
+
+        splits = [float("-inf")] + edges + [float("inf")]
+        last = F.col("_b") == F.lit(float(nb + 1))
+        on_top = last & (F.col("_x") == F.lit(edges[-1]))  # the last bin is closed
+        binned = (
+            Bucketizer(splits=splits, inputCol="_x", outputCol="_b", handleInvalid="skip")
+            .transform(df.select(x.alias("_x")))
+            .select(
+                F.when(on_top, F.lit(nb - 1))
+                .when((F.col("_b") >= 1) & (F.col("_b") <= nb), F.col("_b").cast("int") - 1)
+                .alias("bin")
+            )
+        )
     counts = (
-        df.select(idx.alias("bin"))
-        .where(F.col("bin").isNotNull())
+        binned.where(F.col("bin").isNotNull())
         .groupBy("bin")
         .agg(F.count(F.lit(1)).alias("n"))
     )

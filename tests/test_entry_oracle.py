@@ -36,3 +36,17 @@ def test_oracle_matches_at_small_scale(spark):
     res = compare(spark, SF_SMALL, names=sorted(e.oracle_sql()), verbose=False)
     bad = {k: v for k, v in res.items() if v[0] != "ok"}
     assert not bad, bad
+
+
+def test_plans_have_no_python_or_cartesian_nodes(spark):
+    from plan_audit import audit
+
+    qs = e.queries()
+    flagged = {}
+    for name in sorted(e.oracle_sql()):
+        a = audit(qs[name](spark, SF_SMALL))
+        if a["bad"]:
+            flagged[name] = a["bad"]
+        # every scan reads a pruned schema, never the whole orders/lineitem rows
+        assert all("o_comment" not in s for s in a["scans"])
+    assert not flagged, flagged

@@ -116,3 +116,32 @@ def test_describe_text_matches_spark_describe(spark):
                 assert ours[stat][c] is None
             else:
                 assert math.isclose(float(ours[stat][c]), float(v), rel_tol=1e-12)
+
+
+def test_histogram_many_bins_equals_chain(spark):
+    df = spark.range(2000).select(((F.col("id") * 7919 % 1000) / 10.0 - 5.0).alias("x"))
+    edges = [float(e) for e in range(0, 101, 5)]  # 20 bins, values below 0 ignored
+    many = {r.bin: r["count"] for r in profile.histogram(df, "x", edges).collect()}
+    old = profile.HISTOGRAM_CHAIN_BINS
+    profile.HISTOGRAM_CHAIN_BINS = 1000
+    try:
+        chain = {r.bin: r["count"] for r in profile.histogram(df, "x", edges).collect()}
+    finally:
+        profile.HISTOGRAM_CHAIN_BINS = old
+    assert many == chain and len(many) == 20
+
+
+def test_empty_inputs(spark):
+    from riskframe.operators import act, evaluate
+
+    df = spark.createDataFrame([], "k string, x double, label double, prediction double, churn_proba double")
+    num = {r.column_name: r for r in profile.describe_numeric(df, ["x"]).collect()}
+    assert num["x"]["count"] == 0 and num["x"].p50 is None
+    assert profile.describe_numeric(df, ["x"], method="distributed").first()["count"] == 0
+    assert profile.describe_mixed(df, ["k", "x"]).count() == 1  # text part has no values
+    assert profile.value_shares(df, "k").count() == 0
+    assert [r["count"] for r in profile.histogram(df, "x", [0.0, 1.0]).collect()] == [0]
+    assert profile.duplicate_count(df, ["k"]).first().n_duplicates == 0
+    assert profile.null_total(df).first().status == "ok"
+    assert act.retention_roi(act.at_risk(df)).first().roi_pct is None
+    assert evaluate.summary(df).first().accuracy == 0.0
