@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from riskframe.functions.columns import linear_predictor, sigmoid
 from riskframe.functions.frames import checkpoint_root
-from riskframe.operators.evaluate import class_weight_lookup, with_class_weights  # noqa: F401
+from riskframe.operators.evaluate import with_class_weights
 
 # Fixed values of the reference's configurations.
 SEED = 42
