@@ -166,6 +166,15 @@ def test_notebook_flow_end_to_end(spark):
     n_test = res.extras["split_frame"].where("_split = 'test'").count()
     assert sum(r["count"] for r in cm) == n_test
 
+    from riskframe.functions.frames import scratch_path
+    from riskframe.plans.workflow import write_outputs
+    from riskframe.sources import io
+
+    paths = write_outputs(res, scratch_path(spark, "notebook-out"), key_cols=["customerID", "churn_proba"])
+    assert io.read_table(spark, paths["scored"]).count() == 800
+    assert io.read_table(spark, paths["importances"]).count() == 10
+    assert io.read_metrics(spark, paths["metrics"]).select("model").distinct().count() == 3
+
 
 def test_fixed_seed_repeats_on_fixed_partitioning(spark, planted):
     train, test = planted
