@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 
 from riskframe.functions.columns import linear_predictor, sigmoid
 from riskframe.functions.frames import checkpoint_root
+from riskframe.operators import features as feat
 from riskframe.operators.evaluate import with_class_weights
+from riskframe.operators.project import top_k
 
 # Fixed values of the reference's configurations.
 SEED = 42
@@ -163,3 +165,64 @@ def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
 def tree_stage(model):
     """The last stage of a fitted pipeline (or the model itself)."""
     return model.stages[-1] if isinstance(model, PipelineModel) else model
+
+
+# --------------------------------------------------------------------------
+# fit_* : preprocessing path + preset learner, fitted and timed
+# --------------------------------------------------------------------------
+
+PRESETS = ("spark", "notebook")
+
+
+def _fit(train: DataFrame, categorical, numeric, learner, mode: str, label: str):
+    pipe = with_model(feat.preprocess_pipeline(categorical, numeric, mode=mode), learner.setLabelCol(label))
+    return fit_timed(pipe, train)
+
+
+def fit_logistic(train: DataFrame, categorical: Sequence[str], numeric: Sequence[str], preset: str = "spark", label: str = "label"):
+    """(pipeline model, fit seconds). ``spark``: the MLlib script's
+    preprocessing (indexed + MLlib-scaled) and LR preset; ``notebook``:
+    one-hot + population-std standardization and the library-default LR
+    (its ``regParam`` needs the training row count, one count)."""
+    if preset == "spark":
+        return _fit(train, categorical, numeric, logistic_spark(), "ordinal", label)
+    if preset == "notebook":
+        return _fit(train, categorical, numeric, logistic_notebook(train.count()), "onehot", label)
+    raise ValueError(f"preset must be one of {PRESETS}")
+
+
+def fit_forest(train: DataFrame, categorical: Sequence[str], numeric: Sequence[str], preset: str = "spark", label: str = "label", seed: int = SEED):
+    """(pipeline model, fit seconds) of the random-forest presets."""
+    if preset == "spark":
+        return _fit(train, categorical, numeric, forest_spark(seed=seed), "ordinal", label)
+    if preset == "notebook":
+        return _fit(train, categorical, numeric, forest_notebook(seed=seed), "onehot", label)
+    raise ValueError(f"preset must be one of {PRESETS}")
+
+
+def fit_boosting(train: DataFrame, categorical: Sequence[str], numeric: Sequence[str], label: str = "label", seed: int = SEED):
+    """(pipeline model, fit seconds) of the boosting preset (one-hot path)."""
+    return _fit(train, categorical, numeric, boosting(seed=seed), "onehot", label)
+
+
+def feature_importance(
+    model,
+    df: DataFrame,
+    categorical: Sequence[str],
+    numeric: Sequence[str],
+    k: int = 10,
+) -> DataFrame:
+    """Top-k (feature, importance) of a fitted tree pipeline, slots named
+    ``num__x`` / ``cat__x_level`` from the assembled column's metadata
+    (read before any vector scaler, which drops it). The importance vector
+    has one entry per feature (model state, not data), so it becomes a
+    small frame on the driver. Raises if the model has no importances."""
+    learner = tree_stage(model)
+    if not hasattr(learner, "featureImportances"):
+        raise ValueError("the model has no feature importances")
+    assembled = feat.assembled_column(model)
+    names = feat.slot_names(model.transform(df), assembled)
+    imps = learner.featureImportances.toArray()
+    rows = [(feat.readable_name(n, numeric, categorical), float(v)) for n, v in zip(names, imps)]
+    frame = df.sparkSession.createDataFrame(rows, "feature string, importance double")
+    return top_k(frame, "importance", k, tie_break=["feature"])

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from riskframe.functions.columns import numeric_columns, round_doubles
 from riskframe.functions.frames import right_sized, scratch_path
 from riskframe.operators import act, evaluate, features, models, profile, project, split
-from riskframe.plans.workflow import feature_importance
+from riskframe.operators.models import feature_importance
 from riskframe.sources import activity as act_src
 from riskframe.sources import io
 from riskframe.sources.tables import load_table
@@ -304,34 +304,30 @@ def q_stratified_folds(spark, d):
 # --------------------------------------------------------------------------
 
 
-def _fit_and_score(spark, d, mode: str, make_learner) -> DataFrame:
-    """Fit preprocessing + learner on the persisted, right-sized training
-    split; score the test split."""
+def _fitted_scores(spark, d, fit) -> DataFrame:
     train, test = split_frames(spark, d)
-    learner = make_learner(train)
-    pipe = models.with_model(features.preprocess_pipeline(CATEGORICAL, NUMERIC, mode=mode), learner)
-    model, _ = models.fit_timed(pipe, train)
+    model, _ = fit(train)
     return models.score(model, test, keep=[KEY, "label"], with_prediction=True)
 
 
 def q_fit_logistic(spark, d):
-    return _fit_and_score(spark, d, "ordinal", lambda train: models.logistic_spark())
+    return _fitted_scores(spark, d, lambda t: models.fit_logistic(t, CATEGORICAL, NUMERIC, "spark"))
 
 
 def q_fit_logistic_notebook(spark, d):
-    return _fit_and_score(spark, d, "onehot", lambda train: models.logistic_notebook(train.count()))
+    return _fitted_scores(spark, d, lambda t: models.fit_logistic(t, CATEGORICAL, NUMERIC, "notebook"))
 
 
 def q_fit_forest(spark, d):
-    return _fit_and_score(spark, d, "ordinal", lambda train: models.forest_spark())
+    return _fitted_scores(spark, d, lambda t: models.fit_forest(t, CATEGORICAL, NUMERIC, "spark"))
 
 
 def q_fit_forest_notebook(spark, d):
-    return _fit_and_score(spark, d, "onehot", lambda train: models.forest_notebook())
+    return _fitted_scores(spark, d, lambda t: models.fit_forest(t, CATEGORICAL, NUMERIC, "notebook"))
 
 
 def q_fit_boosting(spark, d):
-    return _fit_and_score(spark, d, "onehot", lambda train: models.boosting())
+    return _fitted_scores(spark, d, lambda t: models.fit_boosting(t, CATEGORICAL, NUMERIC))
 
 
 def q_predict(spark, d):

@@ -26,30 +26,7 @@ from pyspark.sql import functions as F
 
 from riskframe.functions.frames import right_sized
 from riskframe.operators import act, evaluate, features, models, project, split
-
-
-def feature_importance(
-    model,
-    df: DataFrame,
-    categorical: Sequence[str],
-    numeric: Sequence[str],
-    k: int = 10,
-) -> DataFrame:
-    """Top-k (feature, importance) of a fitted tree pipeline, slots named
-    ``num__x`` / ``cat__x_level`` from the assembled column's metadata.
-    The importance vector has one entry per feature (model state, not
-    data), so it becomes a small frame on the driver."""
-    learner = models.tree_stage(model)
-    if not hasattr(learner, "featureImportances"):
-        raise ValueError("the model has no feature importances")
-    assembled = features.assembled_column(model)
-    names = features.slot_names(model.transform(df), assembled)
-    imps = learner.featureImportances.toArray()
-    rows = [
-        (features.readable_name(n, numeric, categorical), float(v)) for n, v in zip(names, imps)
-    ]
-    frame = df.sparkSession.createDataFrame(rows, "feature string, importance double")
-    return project.top_k(frame, "importance", k, tie_break=["feature"])
+from riskframe.operators.models import feature_importance  # noqa: F401  (re-export)
 
 
 @dataclass

@@ -4,7 +4,8 @@ from pyspark.ml.functions import vector_to_array
 from fixtures import CATEGORICAL, NUMERIC, subscribers
 from riskframe.functions.frames import right_sized
 from riskframe.operators import evaluate, features, models, project, split
-from riskframe.plans.workflow import feature_importance, mllib_flow
+from riskframe.operators.models import feature_importance
+from riskframe.plans.workflow import mllib_flow
 
 
 def test_indexer_frequency_then_alphabetical_and_unseen(spark):
