@@ -354,12 +354,23 @@ def _text_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     ).where(F.col("value").isNotNull())
     freq = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("freq"))
     best = F.min(F.struct((-F.col("freq")).alias("neg"), F.col("value").alias("value")))
-    return freq.groupBy("column_name").agg(
+    stats = freq.groupBy("column_name").agg(
         F.sum("freq").alias("count"),
         F.count(F.lit(1)).alias("unique"),
         best.getField("value").alias("top"),
         (-best.getField("neg")).alias("freq"),
     )
+    # every requested column appears, an all-null one with count 0
+    names = df.sparkSession.range(1).select(
+        F.explode(F.array(*[F.lit(c) for c in cols])).alias("column_name")
+    )
+    return F.broadcast(names).join(stats, "column_name", "left").select(
+        "column_name",
+        F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"),
+        F.coalesce(F.col("unique"), F.lit(0)).cast("long").alias("unique"),
+        "top",
+        "freq",
+    )
 
 
 def describe_mixed(df: DataFrame, cols: Sequence[str] | None = None, method: str = "auto") -> DataFrame:
