@@ -30,24 +30,28 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
 def right_sized(
     df: DataFrame, rows_per_partition: int = 500_000, min_partitions: int = 2
 ) -> DataFrame:
-    """The frame persisted (MEMORY_AND_DISK) at ``ceil(rows / rows_per_partition)``
-    partitions, at least ``min_partitions``.
+    """The frame at ``ceil(rows / rows_per_partition)`` partitions (at least
+    ``min_partitions``), checkpointed into the shared checkpoint folder and
+    persisted (MEMORY_AND_DISK).
 
     Iterative learners make one or more passes per iteration, each costing
     a task per partition: a small training set split over hundreds of
     partitions is dominated by task overhead, a large one needs many. A
-    frame already within a factor 2 of the target is only persisted. The
-    lineage is computed once (persist, count, repartition, persist); the
-    round-robin repartition is made deterministic by Spark's sort before
-    repartition, so a recomputed partition holds the same rows.
+    frame already within a factor 2 of the target is not reshuffled.
+
+    The reliable checkpoint cuts the lineage: every fit, fold and search
+    downstream starts from a short scan of the written rows instead of
+    re-planning (and re-describing, for every SQL execution) the whole
+    chain of joins, windows and cached frames above it, and a lost executor
+    re-reads the files instead of recomputing that chain.
     """
+    checkpoint_root(df.sparkSession)
     src = df.persist(StorageLevel.MEMORY_AND_DISK)
     n = src.count()
     parts = max(min_partitions, math.ceil(n / max(1, rows_per_partition)))
     current = src.rdd.getNumPartitions()
-    if parts // 2 <= current <= parts * 2:
-        return src  # already close to the target: no shuffle
-    out = src.repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
+    shaped = src if parts // 2 <= current <= parts * 2 else src.repartition(parts)
+    out = shaped.checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
     out.count()
     src.unpersist()
     return out
