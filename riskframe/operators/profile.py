@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskframe.functions.columns import is_missing, numeric_columns, text_columns
+from riskframe.functions.frames import checkpoint_root
 
 QUANTILES = (0.25, 0.5, 0.75)
 # Exact quantiles with the built-in ``percentile`` aggregate keep one buffer
@@ -75,9 +76,9 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] =
     1. Columns are unpivoted to (column, value) and counted per distinct
        value — a partial aggregate, so a value holding a third of the rows
        is one row after the map side.
-    2. The distinct values are range-partitioned on (column, value) and
-       persisted; the partition id tags contiguous value ranges (recomputed
-       blocks reuse the same shuffle and partitioner, so ids are stable).
+    2. The distinct values are range-partitioned on (column, value); the
+       partition id tags contiguous value ranges and is checkpointed with
+       the rows, so it is stable under any recomputation.
     3. Per-partition totals (columns × partitions rows) give each
        partition's rank offset; a running sum inside each partition gives
        every distinct value its rank interval.
@@ -94,9 +95,13 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] =
         )
     ).where(F.col("value").isNotNull())
     counted = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("w"))
+    # the partition ids are written with the rows (reliable checkpoint into
+    # the shared folder), so a recomputation can never re-tag them
+    checkpoint_root(spark)
     ranged = (
         counted.repartitionByRange(parts, "column_name", "value")
         .withColumn("pid", F.spark_partition_id())
+        .checkpoint(eager=True)
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
     totals = ranged.groupBy("column_name", "pid").agg(F.sum("w").alias("pw"))
