@@ -135,6 +135,7 @@ def score(
     out: str = "churn_proba",
     keep: Sequence[str] | None = None,
     with_prediction: bool = False,
+    threshold: float | None = None,
 ) -> DataFrame:
     """Positive-class probability for every row.
 
@@ -142,16 +143,27 @@ def score(
     slot 1 via ``vector_to_array``), or a mapping of fixed coefficients
     ``{"intercept": b, col: w, ...}`` scored as ``1/(1+exp(-(b+Σwx)))`` —
     a pure Catalyst expression, codegen'd, no Python per row.
+
+    ``with_prediction`` adds ``prediction``: the model's own (probability
+    above 0.5) unless ``threshold`` is given, in which case it is
+    ``probability >= threshold`` — the explicit cut-off that imbalanced
+    targets need (at 14-21 % positives a 0.5 cut-off predicts almost none).
     """
     cols = list(keep) if keep is not None else df.columns
     if isinstance(model, Mapping):
         coefs = {k: v for k, v in model.items() if k != "intercept"}
         p = sigmoid(linear_predictor(coefs, model.get("intercept", 0.0)))
-        extra = [F.when(p > 0.5, F.lit(1.0)).otherwise(F.lit(0.0)).alias("prediction")] if with_prediction else []
-        return df.select(*cols, p.alias(out), *extra)
-    scored = model.transform(df)
-    extra = ["prediction"] if with_prediction else []
-    return scored.select(*cols, vector_to_array(F.col("probability"))[1].alias(out), *extra)
+        frame = df.select(*cols, p.alias(out))
+        default = F.col(out) > F.lit(0.5)
+    else:
+        frame = model.transform(df).select(
+            *cols, vector_to_array(F.col("probability"))[1].alias(out), F.col("prediction").alias("_pred")
+        )
+        default = F.col("_pred") == F.lit(1.0)
+    if with_prediction:
+        positive = default if threshold is None else F.col(out) >= F.lit(float(threshold))
+        frame = frame.withColumn("prediction", F.when(positive, F.lit(1.0)).otherwise(F.lit(0.0)))
+    return frame.drop("_pred")
 
 
 def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:

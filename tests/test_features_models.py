@@ -183,3 +183,14 @@ def test_fixed_seed_repeats_on_fixed_partitioning(spark, planted):
     a = models.score(pipe.fit(train), test, keep=["customerID"]).orderBy("customerID").collect()
     b = models.score(pipe.fit(train), test, keep=["customerID"]).orderBy("customerID").collect()
     assert a == b
+
+
+def test_explicit_threshold_raises_recall(spark, planted):
+    train, test = planted
+    model, _ = models.fit_logistic(train, CATEGORICAL, NUMERIC, "spark")
+    default = evaluate.summary(models.score(model, test, keep=["label"], with_prediction=True)).first()
+    low = evaluate.summary(models.score(model, test, keep=["label"], with_prediction=True, threshold=0.2)).first()
+    assert low.recall >= default.recall
+    fixed = models.score({"intercept": 0.0, "x": 1.0}, spark.createDataFrame([(0.1,), (-0.1,)], "x double"),
+                         out="p", with_prediction=True, threshold=0.5)
+    assert [r.prediction for r in fixed.collect()] == [1.0, 0.0]
