@@ -66,9 +66,9 @@ def _num_stats(src: str, col: str) -> str:
     x = f"CAST({col} AS DOUBLE)"
     return (
         f"SELECT '{col}' AS column_name, count({col}) AS count, "
-        f"round(avg({x}), 6) AS mean, round(stddev_samp({x}), 6) AS std, round(min({x}), 6) AS min, "
-        f"round(quantile_cont({x}, 0.25), 6) AS p25, round(quantile_cont({x}, 0.5), 6) AS p50, "
-        f"round(quantile_cont({x}, 0.75), 6) AS p75, round(max({x}), 6) AS max FROM {src}"
+        f"(round(avg({x}), 6) + 0.0) AS mean, (round(stddev_samp({x}), 6) + 0.0) AS std, (round(min({x}), 6) + 0.0) AS min, "
+        f"(round(quantile_cont({x}, 0.25), 6) + 0.0) AS p25, (round(quantile_cont({x}, 0.5), 6) + 0.0) AS p50, "
+        f"(round(quantile_cont({x}, 0.75), 6) + 0.0) AS p75, (round(max({x}), 6) + 0.0) AS max FROM {src}"
     )
 
 
@@ -77,9 +77,9 @@ def _mixed_num(src: str, col: str) -> str:
     return (
         f"SELECT '{col}' AS column_name, count({col}) AS count, CAST(NULL AS BIGINT) AS unique, "
         f"CAST(NULL AS VARCHAR) AS top, CAST(NULL AS BIGINT) AS freq, "
-        f"round(avg({x}), 6) AS mean, round(stddev_samp({x}), 6) AS std, round(min({x}), 6) AS min, "
-        f"round(quantile_cont({x}, 0.25), 6) AS p25, round(quantile_cont({x}, 0.5), 6) AS p50, "
-        f"round(quantile_cont({x}, 0.75), 6) AS p75, round(max({x}), 6) AS max FROM {src}"
+        f"(round(avg({x}), 6) + 0.0) AS mean, (round(stddev_samp({x}), 6) + 0.0) AS std, (round(min({x}), 6) + 0.0) AS min, "
+        f"(round(quantile_cont({x}, 0.25), 6) + 0.0) AS p25, (round(quantile_cont({x}, 0.5), 6) + 0.0) AS p50, "
+        f"(round(quantile_cont({x}, 0.75), 6) + 0.0) AS p75, (round(max({x}), 6) + 0.0) AS max FROM {src}"
     )
 
 
@@ -132,8 +132,8 @@ MODEL_RUNS = (
     "UNION ALL SELECT 'all_positive', quality, 1 FROM labels"
 )
 REPORT_COLS = (
-    "model, round(accuracy, 6) AS accuracy, round(precision, 6) AS precision, round(recall, 6) AS recall, "
-    "round(f1, 6) AS f1, round(weighted_f1, 6) AS weighted_f1"
+    "model, (round(accuracy, 6) + 0.0) AS accuracy, (round(precision, 6) + 0.0) AS precision, (round(recall, 6) + 0.0) AS recall, "
+    "(round(f1, 6) + 0.0) AS f1, (round(weighted_f1, 6) + 0.0) AS weighted_f1"
 )
 
 
@@ -159,7 +159,7 @@ def _compare_runs() -> str:
     return f"""
 WITH ta AS ({_tidy(a, 'a')}), tb AS ({_tidy(b, 'b')})
 SELECT coalesce(ta.model, tb.model) AS model, coalesce(ta.metric, tb.metric) AS metric,
-       round(value_a, 6) AS value_a, round(value_b, 6) AS value_b,
+       (round(value_a, 6) + 0.0) AS value_a, (round(value_b, 6) + 0.0) AS value_b,
        CASE WHEN value_a IS NULL OR value_b IS NULL THEN NULL
             WHEN value_a = value_b THEN 'tie'
             WHEN value_a > value_b THEN 'a' ELSE 'b' END AS better
@@ -169,11 +169,11 @@ FROM ta FULL JOIN tb ON ta.model = tb.model AND ta.metric = tb.metric"""
 def _report_rows() -> str:
     return _metrics(
         LABEL_PAIRS,
-        """SELECT CAST(CAST(cls AS BIGINT) AS VARCHAR) AS class, round(precision, 6) AS precision,
-       round(recall, 6) AS recall, round(f1, 6) AS f1, CAST(support AS BIGINT) AS support FROM pf
-UNION ALL SELECT 'accuracy', NULL, NULL, round(accuracy, 6), CAST(n AS BIGINT) FROM s
-UNION ALL SELECT 'macro avg', round(macro_precision, 6), round(macro_recall, 6), round(macro_f1, 6), CAST(n AS BIGINT) FROM s
-UNION ALL SELECT 'weighted avg', round(weighted_precision, 6), round(weighted_recall, 6), round(weighted_f1, 6),
+        """SELECT CAST(CAST(cls AS BIGINT) AS VARCHAR) AS class, (round(precision, 6) + 0.0) AS precision,
+       (round(recall, 6) + 0.0) AS recall, (round(f1, 6) + 0.0) AS f1, CAST(support AS BIGINT) AS support FROM pf
+UNION ALL SELECT 'accuracy', NULL, NULL, (round(accuracy, 6) + 0.0), CAST(n AS BIGINT) FROM s
+UNION ALL SELECT 'macro avg', (round(macro_precision, 6) + 0.0), (round(macro_recall, 6) + 0.0), (round(macro_f1, 6) + 0.0), CAST(n AS BIGINT) FROM s
+UNION ALL SELECT 'weighted avg', (round(weighted_precision, 6) + 0.0), (round(weighted_recall, 6) + 0.0), (round(weighted_f1, 6) + 0.0),
           CAST(n AS BIGINT) FROM s""",
     )
 
@@ -212,12 +212,12 @@ def _scaled(std_fn: str, suffix: str, zero_to_one: bool) -> str:
         x = f"CAST({c} AS DOUBLE)"
         s = f"{std_fn}({x}) OVER ()"
         denom = f"coalesce(nullif({s}, 0), 1.0)" if zero_to_one else s
-        cols.append(f"round(({x} - avg({x}) OVER ()) / {denom}, 6) AS {c}{suffix}")
+        cols.append(f"(round(({x} - avg({x}) OVER ()) / {denom}, 6) + 0.0) AS {c}{suffix}")
     return f"WITH {ACTIVITY}\nSELECT c_custkey, {', '.join(cols)} FROM activity"
 
 
 def _assembled() -> str:
-    cols = ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}_slot" for c in NUMERIC)
+    cols = ", ".join(f"(round(CAST({c} AS DOUBLE), 6) + 0.0) AS {c}_slot" for c in NUMERIC)
     return f"WITH {ACTIVITY}\nSELECT c_custkey, {cols} FROM activity"
 
 
@@ -234,7 +234,7 @@ def _pipeline_scaled() -> str:
     joins = " ".join(f"LEFT JOIN lv_{c} ON a.{c} = lv_{c}.v" for c in cats)
     slots = [f"{c}_idx" for c in cats] + list(NUMERIC)
     scaled = ", ".join(
-        f"round((CAST({c} AS DOUBLE) - avg(CAST({c} AS DOUBLE)) OVER ()) / stddev_samp(CAST({c} AS DOUBLE)) OVER (), 6) AS {c}_scaled"
+        f"(round((CAST({c} AS DOUBLE) - avg(CAST({c} AS DOUBLE)) OVER ()) / stddev_samp(CAST({c} AS DOUBLE)) OVER (), 6) + 0.0) AS {c}_scaled"
         for c in slots
     )
     return (
@@ -247,7 +247,7 @@ def _pipeline_scaled() -> str:
 def _read_metrics() -> str:
     run = _metrics(MODEL_RUNS, "SELECT * FROM s", by_model=True)
     parts = [
-        f"SELECT 'labels' AS engine, model, '{m}' AS metric, round({m}, 3) AS value FROM ({run})"
+        f"SELECT 'labels' AS engine, model, '{m}' AS metric, (round({m}, 3) + 0.0) AS value FROM ({run})"
         for m in ("accuracy", "precision", "recall", "f1", "weighted_f1")
     ]
     return "\nUNION ALL ".join(parts)
@@ -313,10 +313,10 @@ def _describe_text() -> str:
         else:
             stats = [
                 ("count", null_text, f"CAST(count({col}) AS DOUBLE)"),
-                ("mean", null_text, f"round(avg({x}), 6)"),
-                ("stddev", null_text, f"round(stddev_samp({x}), 6)"),
-                ("min", null_text, f"round(min({x}), 6)"),
-                ("max", null_text, f"round(max({x}), 6)"),
+                ("mean", null_text, f"(round(avg({x}), 6) + 0.0)"),
+                ("stddev", null_text, f"(round(stddev_samp({x}), 6) + 0.0)"),
+                ("min", null_text, f"(round(min({x}), 6) + 0.0)"),
+                ("max", null_text, f"(round(max({x}), 6) + 0.0)"),
             ]
         for summary, text, num in stats:
             constant = text == null_text and num == null_num
@@ -328,11 +328,11 @@ def _describe_text() -> str:
 
 
 ACTIVITY_OUT = (
-    "c_custkey, c_mktsegment, n_name, r_name, round(c_acctbal, 6) AS c_acctbal, n_orders, "
-    "round(total_spend, 6) AS total_spend, round(avg_spend, 6) AS avg_spend, tenure_days, "
-    "round(urgent_share, 6) AS urgent_share, churned"
+    "c_custkey, c_mktsegment, n_name, r_name, (round(c_acctbal, 6) + 0.0) AS c_acctbal, n_orders, "
+    "(round(total_spend, 6) + 0.0) AS total_spend, (round(avg_spend, 6) + 0.0) AS avg_spend, tenure_days, "
+    "(round(urgent_share, 6) + 0.0) AS urgent_share, churned"
 )
-CUSTOMER_OUT = "c_custkey, c_name, c_nationkey, round(c_acctbal, 6) AS c_acctbal, c_mktsegment"
+CUSTOMER_OUT = "c_custkey, c_name, c_nationkey, (round(c_acctbal, 6) + 0.0) AS c_acctbal, c_mktsegment"
 HIGH_RISK = "SELECT * FROM scored WHERE churn_proba >= 0.8 ORDER BY churn_proba DESC, c_custkey LIMIT 20"
 
 
@@ -344,9 +344,9 @@ def oracle_sql() -> dict[str, str]:
         "read_metrics": _read_metrics(),
         "write_metrics": _write_metrics(),
         "write_table": f"""WITH {SCORED}
-SELECT CAST(c_custkey AS INTEGER) AS c_custkey, c_mktsegment, n_name, r_name, round(c_acctbal, 6) AS c_acctbal,
-       CAST(n_orders AS INTEGER) AS n_orders, round(total_spend, 6) AS total_spend, round(avg_spend, 6) AS avg_spend,
-       tenure_days, round(urgent_share, 6) AS urgent_share, churned, round(churn_proba, 6) AS churn_proba
+SELECT CAST(c_custkey AS INTEGER) AS c_custkey, c_mktsegment, n_name, r_name, (round(c_acctbal, 6) + 0.0) AS c_acctbal,
+       CAST(n_orders AS INTEGER) AS n_orders, (round(total_spend, 6) + 0.0) AS total_spend, (round(avg_spend, 6) + 0.0) AS avg_spend,
+       tenure_days, (round(urgent_share, 6) + 0.0) AS urgent_share, churned, (round(churn_proba, 6) + 0.0) AS churn_proba
 FROM scored""",
         # 2.2
         "schema_report": "\nUNION ALL ".join(
@@ -368,8 +368,8 @@ FROM scored""",
             "WHERE o_orderpriority IS NOT NULL GROUP BY o_orderpriority"
         ),
         "value_shares": (
-            "SELECT o_orderpriority, round(CAST(count(*) AS DOUBLE) * 100.0::DOUBLE / "
-            "CAST(sum(count(*)) OVER () AS DOUBLE), 6) AS share_pct FROM orders "
+            "SELECT o_orderpriority, (round(CAST(count(*) AS DOUBLE) * 100.0::DOUBLE / "
+            "CAST(sum(count(*)) OVER () AS DOUBLE), 6) + 0.0) AS share_pct FROM orders "
             "WHERE o_orderpriority IS NOT NULL GROUP BY o_orderpriority"
         ),
         "histogram": f"""WITH {ACTIVITY},
@@ -394,13 +394,13 @@ FROM bins LEFT JOIN b ON b.bin = bins.bin GROUP BY bins.bin, bins.lower, bins.up
         "map_label": f"WITH {ACTIVITY}\nSELECT c_custkey, churned, CASE churned WHEN 'Yes' THEN 1 WHEN 'No' THEN 0 END AS churn_flag FROM activity",
         "binary_label": f"WITH {ACTIVITY}\nSELECT c_custkey, churned, CASE WHEN churned = 'Yes' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label FROM activity",
         "features_and_target": f"""WITH {ACTIVITY}
-SELECT c_mktsegment, n_name, r_name, round(c_acctbal, 6) AS c_acctbal, n_orders, round(total_spend, 6) AS total_spend,
-       round(avg_spend, 6) AS avg_spend, tenure_days, round(urgent_share, 6) AS urgent_share, churned AS target
+SELECT c_mktsegment, n_name, r_name, (round(c_acctbal, 6) + 0.0) AS c_acctbal, n_orders, (round(total_spend, 6) + 0.0) AS total_spend,
+       (round(avg_spend, 6) + 0.0) AS avg_spend, tenure_days, (round(urgent_share, 6) + 0.0) AS urgent_share, churned AS target
 FROM activity""",
-        "select_existing": "SELECT c_custkey, c_mktsegment, round(c_acctbal, 6) AS c_acctbal FROM customer",
+        "select_existing": "SELECT c_custkey, c_mktsegment, (round(c_acctbal, 6) + 0.0) AS c_acctbal FROM customer",
         "filter_at_least": f"SELECT {CUSTOMER_OUT} FROM customer WHERE c_acctbal >= 8000",
         "top_k": (
-            "SELECT o_orderkey, o_custkey, round(o_totalprice, 6) AS o_totalprice FROM orders "
+            "SELECT o_orderkey, o_custkey, (round(o_totalprice, 6) + 0.0) AS o_totalprice FROM orders "
             "ORDER BY o_totalprice DESC, o_orderkey LIMIT 10"
         ),
         # 2.4
@@ -420,11 +420,11 @@ SELECT c_custkey, churned, CASE WHEN rk <= floor(n * 0.3::DOUBLE + 0.5::DOUBLE)
         "stratified_folds": f"""WITH {ACTIVITY}, r AS ({_strat_rank()})
 SELECT c_custkey, churned, CAST((rk - 1) % 5 AS INTEGER) AS fold FROM r""",
         # 2.6
-        "score": f"WITH {SCORED}\nSELECT c_custkey, round(churn_proba, 6) AS churn_proba FROM scored",
+        "score": f"WITH {SCORED}\nSELECT c_custkey, (round(churn_proba, 6) + 0.0) AS churn_proba FROM scored",
         "class_weights": f"""WITH {ACTIVITY},
 cw AS (SELECT churned, count(*) AS nc FROM activity GROUP BY churned),
 tot AS (SELECT sum(nc) AS n, count(*) AS k FROM cw)
-SELECT a.c_custkey, a.churned, round(CAST(tot.n AS DOUBLE) / CAST(tot.k * cw.nc AS DOUBLE), 6) AS weight
+SELECT a.c_custkey, a.churned, (round(CAST(tot.n AS DOUBLE) / CAST(tot.k * cw.nc AS DOUBLE), 6) + 0.0) AS weight
 FROM activity a JOIN cw ON a.churned = cw.churned CROSS JOIN tot""",
         # 2.7
         "confusion_matrix": """WITH grid AS (SELECT * FROM (VALUES (0.0::DOUBLE, 0.0::DOUBLE), (0.0::DOUBLE, 1.0::DOUBLE),
@@ -433,15 +433,15 @@ cnt AS (SELECT CAST(quality AS DOUBLE) AS label, CAST(toxic AS DOUBLE) AS predic
         FROM labels GROUP BY ALL)
 SELECT g.label, g.prediction, CAST(coalesce(c.n, 0) AS BIGINT) AS count
 FROM grid g LEFT JOIN cnt c ON g.label = c.label AND g.prediction = c.prediction""",
-        "accuracy": _metrics(LABEL_PAIRS, "SELECT round(accuracy, 6) AS accuracy FROM s"),
-        "precision_binary": _metrics(LABEL_PAIRS, "SELECT round(precision, 6) AS precision FROM s"),
-        "recall_binary": _metrics(LABEL_PAIRS, "SELECT round(recall, 6) AS recall FROM s"),
-        "f1_binary": _metrics(LABEL_PAIRS, "SELECT round(f1, 6) AS f1 FROM s"),
-        "f1_weighted": _metrics(LABEL_PAIRS, "SELECT round(weighted_f1, 6) AS weighted_f1 FROM s"),
+        "accuracy": _metrics(LABEL_PAIRS, "SELECT (round(accuracy, 6) + 0.0) AS accuracy FROM s"),
+        "precision_binary": _metrics(LABEL_PAIRS, "SELECT (round(precision, 6) + 0.0) AS precision FROM s"),
+        "recall_binary": _metrics(LABEL_PAIRS, "SELECT (round(recall, 6) + 0.0) AS recall FROM s"),
+        "f1_binary": _metrics(LABEL_PAIRS, "SELECT (round(f1, 6) + 0.0) AS f1 FROM s"),
+        "f1_weighted": _metrics(LABEL_PAIRS, "SELECT (round(weighted_f1, 6) + 0.0) AS weighted_f1 FROM s"),
         "macro_scores": _metrics(
             LABEL_PAIRS,
-            "SELECT round(macro_precision, 6) AS macro_precision, round(macro_recall, 6) AS macro_recall, "
-            "round(macro_f1, 6) AS macro_f1 FROM s",
+            "SELECT (round(macro_precision, 6) + 0.0) AS macro_precision, (round(macro_recall, 6) + 0.0) AS macro_recall, "
+            "(round(macro_f1, 6) + 0.0) AS macro_f1 FROM s",
         ),
         "classification_report": _report_rows(),
         "metrics_report": _metrics(MODEL_RUNS, f"SELECT {REPORT_COLS} FROM s", by_model=True),
@@ -450,7 +450,7 @@ FROM grid g LEFT JOIN cnt c ON g.label = c.label AND g.prediction = c.prediction
         ),
         "compare_runs": _compare_runs(),
         # 2.8
-        "high_risk": f"WITH {SCORED}, top AS ({HIGH_RISK})\nSELECT {ACTIVITY_OUT}, round(churn_proba, 6) AS churn_proba FROM top",
+        "high_risk": f"WITH {SCORED}, top AS ({HIGH_RISK})\nSELECT {ACTIVITY_OUT}, (round(churn_proba, 6) + 0.0) AS churn_proba FROM top",
         "risk_profile": f"WITH {SCORED}, top AS ({HIGH_RISK})\n"
         + "\nUNION ALL ".join(
             [
@@ -463,11 +463,11 @@ FROM grid g LEFT JOIN cnt c ON g.label = c.label AND g.prediction = c.prediction
         "retention_roi": f"""WITH {SCORED},
 n AS (SELECT count(*) AS n_targeted FROM scored WHERE churn_proba >= 0.8)
 SELECT n_targeted,
-       round(CAST(n_targeted AS DOUBLE) * 150.0::DOUBLE, 6) AS expected_gain,
-       round(CAST(n_targeted AS DOUBLE) * 100.0::DOUBLE, 6) AS expected_cost,
+       (round(CAST(n_targeted AS DOUBLE) * 150.0::DOUBLE, 6) + 0.0) AS expected_gain,
+       (round(CAST(n_targeted AS DOUBLE) * 100.0::DOUBLE, 6) + 0.0) AS expected_cost,
        CASE WHEN n_targeted = 0 THEN NULL
-            ELSE round((CAST(n_targeted AS DOUBLE) * 150.0::DOUBLE - CAST(n_targeted AS DOUBLE) * 100.0::DOUBLE)
-                       / (CAST(n_targeted AS DOUBLE) * 100.0::DOUBLE) * 100.0::DOUBLE, 6) END AS roi_pct
+            ELSE (round((CAST(n_targeted AS DOUBLE) * 150.0::DOUBLE - CAST(n_targeted AS DOUBLE) * 100.0::DOUBLE)
+                       / (CAST(n_targeted AS DOUBLE) * 100.0::DOUBLE) * 100.0::DOUBLE, 6) + 0.0) END AS roi_pct
 FROM n""",
     }
     return sql
