@@ -171,7 +171,12 @@ def notebook_flow(
         res.extras["grid"] = results
         final = cv_model.bestModel
 
-    scored = models.score(final, labelled, out="churn_proba", keep=df.columns)
+    # every customer is scored (the business case), and each row says
+    # whether it was used for training, so the file is never mistaken for
+    # held-out predictions
+    scored = models.score(
+        final, tagged.withColumnRenamed("_split", "split"), out="churn_proba", keep=df.columns + ["split"]
+    )
     res.extras["scored"] = scored
     res.extras["high_risk"] = act.high_risk(scored, "churn_proba", threshold, top, key=[key])
     if profile_cols:

@@ -159,6 +159,7 @@ def test_notebook_flow_end_to_end(spark):
     assert len(grid) == 2 and sum(r.is_best for r in grid) == 1
     scored = res.extras["scored"]
     assert scored.count() == 800
+    assert {r.split for r in scored.select("split").distinct().collect()} == {"train", "test"}
     top = res.extras["high_risk"].collect()
     assert len(top) <= 20 and all(r.churn_proba >= 0.8 for r in top)
     roi = res.extras["roi"].first()
