@@ -78,3 +78,65 @@ def test_activity_positive_counts(spark):
     a = load_activity(spark, SF_MID)
     assert a.count() == 1496
     assert a.where("churned = 'Yes'").count() == 322
+
+
+def test_activity_with_a_hot_customer_matches_brute_force(spark):
+    """One customer holds a third of all orders; the Spark plan (partial
+    aggregation, joins) must agree with a plain pandas computation."""
+    import datetime as dt
+
+    import pandas as pd
+
+    from riskframe.sources.activity import activity_frame
+
+    n = 3000
+    orders = spark.range(n).select(
+        F.col("id").alias("o_orderkey"),
+        F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 97).cast("long").alias("o_custkey"),
+        F.lit("O").alias("o_orderstatus"),
+        (F.col("id") % 1000 + 0.25).cast("double").alias("o_totalprice"),
+        F.expr("timestamp_ntz'1995-01-01 00:00:00' + make_dt_interval(CAST(id * 7 % 2400 AS INT), 0, 0, 0)").alias(
+            "o_orderdate"
+        ),
+        F.when(F.col("id") % 5 == 0, "1-URGENT").otherwise("3-MEDIUM").alias("o_orderpriority"),
+    )
+    customer = spark.range(100).select(
+        F.col("id").alias("c_custkey"),
+        F.concat(F.lit("c"), F.col("id").cast("string")).alias("c_name"),
+        (F.col("id") % 5).cast("int").alias("c_nationkey"),
+        (F.col("id") * 10.5).alias("c_acctbal"),
+        F.when(F.col("id") % 2 == 0, "A").otherwise("B").alias("c_mktsegment"),
+    )
+    nation = spark.range(5).select(
+        F.col("id").cast("int").alias("n_nationkey"),
+        F.concat(F.lit("N"), F.col("id").cast("string")).alias("n_name"),
+        (F.col("id") % 2).cast("int").alias("n_regionkey"),
+    )
+    region = spark.range(2).select(
+        F.col("id").cast("int").alias("r_regionkey"), F.concat(F.lit("R"), F.col("id").cast("string")).alias("r_name")
+    )
+
+    got = activity_frame(customer, orders, nation, region).toPandas().set_index("c_custkey").sort_index()
+
+    o, c = orders.toPandas(), customer.toPandas()
+    cutoff = o.o_orderdate.max() - dt.timedelta(days=365)
+    before, after = o[o.o_orderdate <= cutoff], o[o.o_orderdate > cutoff]
+    g = before.groupby("o_custkey")
+    exp = pd.DataFrame({
+        "n_orders": g.size(),
+        "total_spend": g.o_totalprice.sum(),
+        "first": g.o_orderdate.min(),
+        "urgent": g.o_orderpriority.apply(lambda s: (s == "1-URGENT").sum()),
+    })
+    exp["churned"] = ["No" if k in set(after.o_custkey) else "Yes" for k in exp.index]
+    exp["tenure_days"] = [(cutoff.normalize() - f.normalize()).days for f in exp["first"]]
+    exp = exp.join(c.set_index("c_custkey"), how="inner").sort_index()
+
+    assert list(got.index) == list(exp.index)
+    assert got.loc[7, "n_orders"] == exp.loc[7, "n_orders"] > n // 4  # the hot customer
+    assert (got.n_orders == exp.n_orders).all()
+    assert ((got.total_spend - exp.total_spend).abs() < 1e-6).all()
+    assert (got.avg_spend.round(9) == (exp.total_spend / exp.n_orders).round(9)).all()
+    assert (got.urgent_share.round(12) == (exp.urgent / exp.n_orders).round(12)).all()
+    assert (got.tenure_days == exp.tenure_days).all()
+    assert (got.churned == exp.churned).all()
