@@ -50,7 +50,8 @@ def right_sized(
     n = src.count()
     parts = max(min_partitions, math.ceil(n / max(1, rows_per_partition)))
     current = src.rdd.getNumPartitions()
-    shaped = src if parts // 2 <= current <= parts * 2 else src.repartition(parts)
+    close = current >= min_partitions and parts / 2 <= current <= parts * 2
+    shaped = src if close else src.repartition(parts)
     out = shaped.checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
     out.count()
     src.unpersist()

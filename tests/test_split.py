@@ -140,3 +140,15 @@ def test_activity_with_a_hot_customer_matches_brute_force(spark):
     assert (got.urgent_share.round(12) == (exp.urgent / exp.n_orders).round(12)).all()
     assert (got.tenure_days == exp.tenure_days).all()
     assert (got.churned == exp.churned).all()
+
+
+def test_right_sized_cuts_lineage(spark):
+    from riskframe.functions.frames import right_sized
+
+    deep = split.stratified_folds(_frame(spark, 3000), "label", "key", k=3)
+    deep = split.stratified_split(deep, "label", "key", 0.3)
+    before = len(deep._jdf.queryExecution().toString())
+    cut = right_sized(deep, rows_per_partition=1000)
+    after = len(cut._jdf.queryExecution().toString())
+    assert cut.rdd.getNumPartitions() == 3 and cut.count() == 3000
+    assert after < before / 5, (before, after)
