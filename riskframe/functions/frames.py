@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import os
 import tempfile
 import uuid
 
@@ -86,14 +85,3 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     loss of executors, unlike ``localCheckpoint``)."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=eager)
-
-
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme for Python-side file access in tests."""
-    return path[len("file:") :] if path.startswith("file:") else path
-
-
-def ensure_parent(path: str) -> None:
-    p = local_path(path)
-    if "://" not in p:
-        os.makedirs(os.path.dirname(p) or ".", exist_ok=True)

@@ -540,7 +540,3 @@ def null_total(df: DataFrame) -> DataFrame:
         "n_missing",
         F.when(F.col("n_missing") == 0, F.lit("ok")).otherwise(F.lit("alert")).alias("status"),
     )
-
-
-def numeric_fields(df: DataFrame) -> list[T.StructField]:
-    return [f for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
