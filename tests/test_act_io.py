@@ -98,3 +98,15 @@ def test_reference_script_from_csv(spark):
     assert cmp[("Random Forest", "weighted_f1")].value_b is None  # never matched with the other f1
     out["flow"].extras["train_vectors"].unpersist()
     out["flow"].extras["train"].unpersist()
+
+
+def test_read_table_null_token(spark):
+    path = scratch_path(spark, "nulls")
+    local = path[len("file:"):] if path.startswith("file:") else path
+    os.makedirs(local, exist_ok=True)
+    with open(os.path.join(local, "part-0.csv"), "w") as f:
+        f.write("id,x,s\n1,1.5,a\n2,NA,b\n3,,NA\n")
+    df = io.read_table(spark, path, null_value="NA")
+    rows = {r.id: r for r in df.collect()}
+    assert dict(df.dtypes)["x"] == "double"
+    assert rows[2].x is None and rows[3].x is None and rows[3].s is None and rows[1].s == "a"

@@ -195,3 +195,18 @@ def test_explicit_threshold_raises_recall(spark, planted):
     fixed = models.score({"intercept": 0.0, "x": 1.0}, spark.createDataFrame([(0.1,), (-0.1,)], "x double"),
                          out="p", with_prediction=True, threshold=0.5)
     assert [r.prediction for r in fixed.collect()] == [1.0, 0.0]
+
+
+def test_grid_search_in_a_scheduler_pool(spark, planted):
+    from pyspark.ml.tuning import ParamGridBuilder
+
+    train, _ = planted
+    folded = split.stratified_folds(train, "label", "customerID", k=2)
+    lr = models.logistic_spark()
+    pipe = models.with_model(features.preprocess_pipeline(CATEGORICAL, NUMERIC), lr)
+    grid = ParamGridBuilder().addGrid(lr.regParam, [0.01, 0.1]).build()
+    cv_model, results = evaluate.grid_search(folded, pipe, grid, "label", "fold", k=2, metric="f1", parallelism=2, pool="search")
+    rows = results.collect()
+    assert len(rows) == 2 and sum(r.is_best for r in rows) == 1
+    assert spark.sparkContext.getLocalProperty("spark.scheduler.pool") is None
+    assert cv_model.bestModel is not None

@@ -152,3 +152,11 @@ def test_right_sized_cuts_lineage(spark):
     after = len(cut._jdf.queryExecution().toString())
     assert cut.rdd.getNumPartitions() == 3 and cut.count() == 3000
     assert after < before / 5, (before, after)
+
+
+def test_hash_split_three_parts_is_a_partition(spark):
+    df = _frame(spark, 3000)
+    out = split.assign_split(df, "key", (0.5, 0.3, 0.2), ("a", "b", "c"), seed=1)
+    counts = {r.split: r["count"] for r in out.groupBy("split").count().collect()}
+    assert sum(counts.values()) == 3000 and set(counts) == {"a", "b", "c"}
+    assert 1350 < counts["a"] < 1650 and 750 < counts["b"] < 1050
