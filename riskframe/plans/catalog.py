@@ -409,7 +409,8 @@ def q_compare_runs(spark, d):
 def q_cross_validate(spark, d):
     folded = right_sized(split.stratified_folds(labelled(spark, d), "label", KEY, k=5, seed=42))
     pipe = models.with_model(features.preprocess_pipeline(CATEGORICAL, NUMERIC), models.forest_spark())
-    return evaluate.cross_validate(folded, pipe, "label", "fold", k=5)
+    # small training frames use few partitions: run fits side by side
+    return evaluate.cross_validate(folded, pipe, "label", "fold", k=5, parallelism=4)
 
 
 def q_grid_search(spark, d):
@@ -419,7 +420,7 @@ def q_grid_search(spark, d):
     rf = models.forest_notebook(max_depth=8)
     pipe = models.with_model(features.preprocess_pipeline(CATEGORICAL, NUMERIC, mode="onehot"), rf)
     grid = ParamGridBuilder().addGrid(rf.weightCol, ["w_unit", "w_balanced"]).build()
-    _, results = evaluate.grid_search(folded, pipe, grid, "label", "fold", k=3, metric="recall", parallelism=2)
+    _, results = evaluate.grid_search(folded, pipe, grid, "label", "fold", k=3, metric="recall", parallelism=4)
     return results
 
 
