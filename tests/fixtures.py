@@ -20,7 +20,7 @@ CATEGORICAL = [
 ]
 NUMERIC = ["SeniorCitizen", "tenure", "InternetCharges", "MonthlyCharges", "TotalCharges"]
 
-# The ten previewed rows of the reference's log (values as printed).
+# The ten previewed rows of the reference's log (values as printed).
 PREVIEW_ROWS = [
     ("customer_1", "Male", 0, "No", "Yes", 51, "Yes", "Yes", "No", "No internet service", "No internet service", "No internet service", "No internet service", "No internet service", "No internet service", "Month-to-month", 0.0, 43.53, 2220.03, "No"),
     ("customer_2", "Male", 1, "Yes", "Yes", 14, "Yes", "Yes", "DSL", "No internet service", "No internet service", "Yes", "No internet service", "Yes", "No internet service", "Two year", 46.0, 109.39, 1531.46, "No"),
@@ -34,8 +34,8 @@ PREVIEW_ROWS = [
     ("customer_10", "Female", 1, "Yes", "Yes", 1, "No", "No phone service", "Fiber optic", "Yes", "No", "No", "Yes", "No", "Yes", "Two year", 136.31, 191.31, 191.31, "No"),
 ]
 
-# The nine published risk-list rows: (customerID, Contract, InternetService,
-# tenure, MonthlyCharges, churn_proba).
+# The nine published risk-list rows (customerID, Contract,
+# InternetService, tenure, MonthlyCharges, churn_proba).
 RISK_ROWS = [
     ("customer_1714", "Month-to-month", "Fiber optic", 2, 136.05, 0.8404514875482348),
     ("customer_117", "Month-to-month", "Fiber optic", 3, 199.07, 0.8218873903178892),
@@ -48,6 +48,7 @@ RISK_ROWS = [
     ("customer_4182", "Month-to-month", "Fiber optic", 3, 175.11, 0.8010405447203298),
 ]
 
+# The two published metrics documents.
 SKLEARN_METRICS_JSON = """{
   "Logistic Regression": {"time": "0.072", "accuracy": "0.857", "precision": "0.667", "recall": "0.013", "f1-score": "0.026"},
   "Random Forest": {"time": "0.481", "accuracy": "0.849", "precision": "0.340", "recall": "0.053", "f1-score": "0.091"},
@@ -58,7 +59,7 @@ SPARK_METRICS_JSON = """{
   "Random Forest": {"time": "6.910", "accuracy": "0.858", "f1-score": "0.792"}
 }"""
 
-# Confusion cells (TP, FP, FN, TN) consistent with the published metrics.
+# Confusion cells (TP, FP, FN, TN) consistent with the published metrics.
 CELLS = {
     "LR": (4, 2, 300, 1807),
     "RF": (16, 31, 288, 1778),
