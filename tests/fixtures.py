@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The subscriber table's columns and the column roles used by
+# the reference's MLlib script.
 SUBSCRIBER_SCHEMA = (
     "customerID string, gender string, SeniorCitizen int, Partner string, Dependents string, "
     "tenure int, PhoneService string, MultipleLines string, InternetService string, "
