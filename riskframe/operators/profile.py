@@ -3,7 +3,9 @@
 Each profile is one aggregate pass over the input (partial aggregation on
 the map side, a tiny final merge) whose single wide result row is turned
 into tidy rows with ``inline(array(struct...))`` — no per-column jobs and
-nothing data-sized on the driver.
+nothing data-sized on the driver. Exact quartiles of tables above 1M rows
+add a distinct-count pass and, for high-cardinality columns, the
+distributed rank of ``exact_quantiles``.
 """
 
 from __future__ import annotations
