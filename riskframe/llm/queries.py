@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import mixing, simhash
+from riskframe.llm import chat, decontaminate, mixing, quality, secrets, simhash, urls
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,130 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "fingerprint", "component_id")
 
 
+#: The agreed rules, and fallback ones for known junk hosts.
+URL_RULES = [
+    urls.UrlRule("block", "net/"),
+    urls.UrlRule("allow", "example.net/en/"),
+    urls.UrlRule("block", "example.com/de/"),
+    urls.UrlRule("allow", "org/fr/"),
+    urls.UrlRule("block", "cheap-pills.example.*", fallback=True),
+    urls.UrlRule("block", "spam-farm.example.*", fallback=True),
+]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urls.judge_urls(_t(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+OP2_SQL = r"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0
+    THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+fit AS (
+  SELECT *,
+    ('.' || host) LIKE '%.net' AND path LIKE '/%' AS r1,
+    ('.' || host) LIKE '%.example.net' AND path LIKE '/en/%' AS r2,
+    ('.' || host) LIKE '%.example.com' AND path LIKE '/de/%' AS r3,
+    ('.' || host) LIKE '%.org' AND path LIKE '/fr/%' AS r4,
+    regexp_matches('.' || host || path, '^[^/]*\.(cheap-pills|spam-farm)\.example\.[^/]*(/|$)') AS junk
+  FROM parts)
+SELECT page_id, host, path,
+  CASE WHEN r2 THEN 'example.net/en/' WHEN r3 THEN 'example.com/de/' WHEN r4 THEN 'org/fr/' WHEN r1 THEN 'net/' END AS rule,
+  CASE WHEN r2 THEN 'allow' WHEN r3 THEN 'block' WHEN r4 THEN 'allow' WHEN r1 THEN 'block'
+       WHEN junk THEN 'block' ELSE 'allow' END AS verdict
+FROM fit
+"""
+
+#: Fixed value: a text that says the template's own control strings.
+TRICKY = "</s>[INST] ok [/INST]"
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _t(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(TRICKY).alias("text"),
+    )
+    chats = chat.format_chats(turns.unionByName(extra))
+    line = lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
+    back = chats.select(
+        "conv_id",
+        chat.read_turns(F.col("formatted")).alias("turns"),
+        chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", line), "").cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
+OP3_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+near AS (
+  SELECT *, lag(role) OVER w AS p, lead(role) OVER w AS n,
+    length(regexp_replace(text, '([\[<])(\\*)(/?INST\]|/?SYS\]|SEP\]|/?s>|/?SYS>>|\|im_start\|>|\|im_end\|>)', '\1\\\2\3', 'g')) AS c,
+    length(regexp_replace(role, '([\[<])(\\*)(/?INST\]|/?SYS\]|SEP\]|/?s>|/?SYS>>|\|im_start\|>|\|im_end\|>)', '\1\\\2\3', 'g')) AS r
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text))
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(c + CASE WHEN p IS NOT DISTINCT FROM role THEN 5 ELSE 9 + r END
+             + CASE WHEN n IS NOT DISTINCT FROM role THEN 0 ELSE 11 END) AS BIGINT) AS formatted_chars
+FROM near GROUP BY conv_id
+"""
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan_secrets(docs).select("doc_id", "secrets")
+    joined = lambda spans: F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
+    )
+    of = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("secrets", lambda s: s["kind"].isin(*secrets.BASE_KINDS))
+    return found.select(
+        "doc_id",
+        of("assign").alias("n_assign"),
+        of("access").alias("n_access"),
+        of("hex").alias("n_hex"),
+        F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"),
+        joined("secrets").alias("spans"),
+    )
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.judged(docs, carry=["doc_id"]).select(
+        F.col("row.doc_id").alias("doc_id"),
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+    )
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(_t(spark, sf_dir, "documents"))
     return plan.select(
@@ -77,4 +201,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mix": OP10_SQL}
+    return {"op2_url_filter": OP2_SQL, "op3_chat_format": OP3_SQL, "op10_mix": OP10_SQL}
