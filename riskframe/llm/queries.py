@@ -9,7 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import chat, decontaminate, mixing, quality, secrets, simhash, urls
+from riskframe.functions.frames import scratch_path
+from riskframe.llm import archive, chat, decontaminate, mixing, quality, secrets, simhash, urls
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,6 +110,33 @@ FROM near GROUP BY conv_id
 """
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    archive.write_archives(archive.page_records(_t(spark, sf_dir, "pages")), path)
+    back = archive.read_archives(spark, path)
+    return back.select(
+        archive.page_of(F.col("record_id")).alias("page_id"),
+        "payload_bytes",
+        # a response's digest is taken again from what was read
+        F.when(F.col("record_type") == "response", F.sha2("payload", 256))
+        .otherwise(F.regexp_replace("payload_digest", "^sha256:", ""))
+        .alias("payload_digest"),
+        "record_type",
+        archive.page_of(F.col("refers_to")).alias("refers_to"),
+    )
+
+
+OP4_SQL = """
+WITH rows AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+least AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM rows)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM least
+"""
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
 
@@ -201,4 +229,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL, "op3_chat_format": OP3_SQL, "op10_mix": OP10_SQL}
+    return {"op2_url_filter": OP2_SQL, "op3_chat_format": OP3_SQL, "op4_warc": OP4_SQL, "op10_mix": OP10_SQL}
