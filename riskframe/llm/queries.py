@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.functions.frames import scratch_path
-from riskframe.llm import archive, chat, decontaminate, mixing, quality, secrets, simhash, urls
+from riskframe.llm import archive, chat, decontaminate, lm, mixing, quality, secrets, simhash, urls
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -137,6 +137,17 @@ FROM least
 """
 
 
+def _remainder(n: int):
+    """crc32 of the doc_id's text, modulo n (null: of no text)."""
+    text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    return F.crc32(text.cast("binary")) % n
+
+
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm.lm_scores(docs.withColumn("train", _remainder(7) != 2))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
 
