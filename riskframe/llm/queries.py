@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.functions.frames import scratch_path
-from riskframe.llm import archive, chat, decontaminate, lm, mixing, quality, secrets, simhash, urls
+from riskframe.llm import archive, chat, decontaminate, lm, mixing, puquality, quality, secrets, simhash, urls
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -143,6 +143,13 @@ def _remainder(n: int):
     return F.crc32(text.cast("binary")) % n
 
 
+def op5_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
+    trusted = _t(spark, sf_dir, "labels").where((F.col("quality") == 1) & (_remainder(3) != 1)).select("doc_id")
+    scores = puquality.pu_scores(docs, trusted, train=_remainder(3) != 1)
+    return scores.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
     return lm.lm_scores(docs.withColumn("train", _remainder(7) != 2))
