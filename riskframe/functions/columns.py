@@ -35,10 +35,14 @@ def f_score(precision: Column, recall: Column) -> Column:
 
 
 def stable_hash(keys: Iterable[str | Column], seed: int | str) -> Column:
-    """Hex md5 of ``key#...#seed``: a per-row random draw that does not
-    depend on partitioning, task order or the engine (DuckDB's ``md5``
-    gives the same string)."""
-    parts = [col_of(k).cast("string") for k in keys]
+    """Hex md5 of the key parts and the seed: a per-row random draw that does
+    not depend on partitioning, task order or the engine (DuckDB's ``md5``
+    gives the same string). A part is its length, a colon and its text; a
+    null part is a dash, so different keys never read alike."""
+    parts = []
+    for k in keys:
+        text = col_of(k).cast("string")
+        parts.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-")))
     return F.md5(F.concat_ws("#", *parts, F.lit(str(seed))))
 
 

@@ -1,4 +1,4 @@
-"""Frame-level helpers: size-checked broadcast and lineage cutting."""
+"""Frame-level helpers: written intermediates and right-sized inputs."""
 
 from __future__ import annotations
 
@@ -10,63 +10,22 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A side is broadcast only when it has at most this many rows. The check
-# runs ``limit(n + 1).count()``, which stops reading once n + 1 rows are
-# seen, so probing a large side costs a few tasks, not a full scan.
-DEFAULT_BROADCAST_ROWS = 1_000_000
-
-
-def has_at_most(df: DataFrame, max_rows: int) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint when the frame is proven small, else the frame as is
-    (the join then shuffles; AQE may still convert it at run time)."""
-    return F.broadcast(df) if has_at_most(df, max_rows) else df
-
-
-def right_sized(
-    df: DataFrame, rows_per_partition: int = 500_000, min_partitions: int = 2
-) -> DataFrame:
-    """The frame at ``ceil(rows / rows_per_partition)`` partitions (at least
-    ``min_partitions``), checkpointed into the shared checkpoint folder and
-    persisted (MEMORY_AND_DISK).
-
-    Iterative learners make one or more passes per iteration, each costing
-    a task per partition: a small training set split over hundreds of
-    partitions is dominated by task overhead, a large one needs many. A
-    frame already within a factor 2 of the target is not reshuffled.
-
-    The reliable checkpoint cuts the lineage: every fit, fold and search
-    downstream starts from a short scan of the written rows instead of
-    re-planning (and re-describing, for every SQL execution) the whole
-    chain of joins, windows and cached frames above it, and a lost executor
-    re-reads the files instead of recomputing that chain.
-    """
-    checkpoint_root(df.sparkSession)
-    src = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = src.count()
-    parts = max(min_partitions, math.ceil(n / max(1, rows_per_partition)))
-    current = src.rdd.getNumPartitions()
-    close = current >= min_partitions and parts / 2 <= current <= parts * 2
-    shaped = src if close else src.repartition(parts)
-    out = shaped.checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
-    out.count()
-    src.unpersist()
-    return out
-
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this must be set (HDFS/S3/ABFS...). Only when it is unset,
-    as in local tests, a folder under the local temp dir is created and
-    registered for the session.
+    A cluster must name one that driver and executors share (HDFS, S3,
+    ABFS...); without it this raises. Only in local mode, as in tests, a
+    folder under the local temp dir is made and registered for the session.
     """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError(
+                f"spark.checkpoint.dir is not set and the master is {sc.master}: "
+                "name a folder that all executors share"
+            )
         root = tempfile.mkdtemp(prefix="riskframe-ckpt-")
         sc.setCheckpointDir(root)
     elif not sc.getCheckpointDir():
@@ -75,13 +34,45 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path under the checkpoint root for written tables."""
+    """A fresh, unique path under the checkpoint root for written tables. It
+    is deleted when the driver's JVM ends."""
     root = checkpoint_root(spark).rstrip("/")
-    return f"{root}/riskframe/{name}-{uuid.uuid4().hex}"
+    path = f"{root}/riskframe/{name}-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    at = hadoop.Path(path)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(at)  # only what is there can be marked
+    system.deleteOnExit(at)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet under the checkpoint root and read back:
+    computed once, cached nowhere, and a lost executor only re-reads files."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives the
-    loss of executors, unlike ``localCheckpoint``)."""
+def right_sized(
+    df: DataFrame, rows_per_partition: int = 500_000, min_partitions: int = 2
+) -> DataFrame:
+    """The frame in ``ceil(rows / rows_per_partition)`` partitions (at least
+    ``min_partitions``), checkpointed into the shared folder.
+
+    Iterative learners make passes over their input that cost a task per
+    partition: a small training set should not come in hundreds. Rows are
+    dealt and sorted by a hash of the whole row, so the layout is a function
+    of the data and the parameters alone, whatever the cluster and the
+    partitions before; learners that draw per partition then fit the same
+    model everywhere. The checkpoint cuts the lineage: fits start from a scan
+    of the written rows. Nothing stays cached.
+    """
     checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        parts = max(min_partitions, math.ceil(src.count() / max(1, rows_per_partition)))
+        h = F.xxhash64(*[F.col(f"`{c}`") for c in src.columns])
+        return src.repartition(parts, h).sortWithinPartitions(h).checkpoint(eager=True)
+    finally:
+        src.unpersist()

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskframe.functions.frames import written
 from riskframe.operators.profile import describe_mixed
 from riskframe.operators.project import filter_at_least, select_existing, top_k
 
@@ -37,8 +38,9 @@ def high_risk(
 
 
 def risk_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Mixed describe of the listed (existing) columns of a risk list."""
-    return describe_mixed(select_existing(df, cols))
+    """Mixed describe of the listed (existing) columns of a risk list. The
+    list's rows are written first: what made them runs once."""
+    return describe_mixed(written(select_existing(df, cols), "risk-list"))
 
 
 def retention_roi(

@@ -10,7 +10,8 @@ number).
 Names are explicit: ``precision``/``recall``/``f1`` are for the positive
 class, ``macro_*`` unweighted class means, ``weighted_*`` support-weighted
 means (what MLlib calls "f1"). Every 0/0 is 0.0 — a class that never occurs
-or is never predicted does not raise, and an empty input gives 0.0.
+or is never predicted does not raise, and an empty input gives 0.0. Rows whose
+label or prediction is missing (null or NaN) are left out of every metric.
 """
 
 from __future__ import annotations
@@ -19,14 +20,16 @@ import time
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
+from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.param.shared import HasLabelCol, HasPredictionCol
-from pyspark.sql import DataFrame
+from pyspark.ml.param.shared import HasLabelCol, HasOutputCol, HasPredictionCol
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions.columns import f_score, safe_ratio
-from riskframe.functions.frames import bounded_broadcast
+from riskframe.functions.frames import written
 
 POSITIVE = 1.0
 
@@ -54,7 +57,9 @@ def confusion_counts(
     by: Sequence[str] = (),
 ) -> DataFrame:
     """``(by..., label, prediction, n)`` with label/prediction as double and
-    ``n`` the (weighted) row count as double."""
+    ``n`` the (weighted) row count as double, without rows where either is
+    missing."""
+    there = [F.col(c).isNotNull() & ~F.isnan(c) for c in ("label", "prediction")]
     n = F.sum(F.col(weight).cast("double")) if weight else F.count(F.lit(1)).cast("double")
     return (
         df.select(
@@ -63,6 +68,7 @@ def confusion_counts(
             F.col(prediction).cast("double").alias("prediction"),
             *([F.col(weight)] if weight else []),
         )
+        .where(there[0] & there[1])
         .groupBy(*by, "label", "prediction")
         .agg(n.alias("n"))
     )
@@ -188,33 +194,33 @@ def _class_name(c):
     return F.when(c == F.floor(c), c.cast("long").cast("string")).otherwise(c.cast("string"))
 
 
-def classification_report(df: DataFrame, label="label", prediction="prediction") -> DataFrame:
-    """sklearn's report as rows: one per class, then ``accuracy`` (value in
-    ``f1``, precision/recall null), ``macro avg`` and ``weighted avg``."""
-    per = per_class(confusion_counts(df, label, prediction))
+def classification_report(
+    df: DataFrame, label="label", prediction="prediction", by: Sequence[str] = ()
+) -> DataFrame:
+    """sklearn's report as rows, for each group of ``by``: one per class,
+    then ``accuracy`` (value in ``f1``, precision/recall null), ``macro avg``
+    and ``weighted avg``."""
+    per = per_class(confusion_counts(df, label, prediction, by=by), by)
     classes = per.select(
+        *by,
         _class_name(F.col("cls")).alias("class"),
         "precision",
         "recall",
         "f1",
         F.col("support").cast("long").alias("support"),
     )
-    s = summary(df, label, prediction)
     null = F.lit(None).cast("double")
-    rows = s.select(
-        F.inline(
-            F.array(
-                F.struct(F.lit("accuracy").alias("class"), null.alias("precision"), null.alias("recall"),
-                         F.col("accuracy").alias("f1"), F.col("n").cast("long").alias("support")),
-                F.struct(F.lit("macro avg").alias("class"), F.col("macro_precision").alias("precision"),
-                         F.col("macro_recall").alias("recall"), F.col("macro_f1").alias("f1"),
-                         F.col("n").cast("long").alias("support")),
-                F.struct(F.lit("weighted avg").alias("class"), F.col("weighted_precision").alias("precision"),
-                         F.col("weighted_recall").alias("recall"), F.col("weighted_f1").alias("f1"),
-                         F.col("n").cast("long").alias("support")),
-            )
-        )
-    )
+
+    def line(name: str, *values) -> Column:
+        cols = [v.alias(c) for v, c in zip(values, ("precision", "recall", "f1"))]
+        return F.struct(F.lit(name).alias("class"), *cols, F.col("n").cast("long").alias("support"))
+
+    means = [
+        line(f"{kind} avg", *[F.col(f"{kind}_{m}") for m in ("precision", "recall", "f1")])
+        for kind in ("macro", "weighted")
+    ]
+    s = summary(df, label, prediction, by=by)
+    rows = s.select(*by, F.inline(F.array(line("accuracy", null, null, F.col("accuracy")), *means)))
     return classes.unionByName(rows)
 
 
@@ -310,6 +316,31 @@ class ClassMetricEvaluator(Evaluator, HasLabelCol, HasPredictionCol):
         return True
 
 
+FOLD_METRICS = ("accuracy", "macro_precision", "macro_recall", "macro_f1")
+
+
+def fold_scores(
+    predictions: DataFrame, label: str = "label", prediction: str = "prediction", positive: float = POSITIVE
+) -> DataFrame:
+    """``(side, metric, mean, std)`` over folds, with the population std,
+    from rows ``(fold_id, side, label, prediction)`` in one aggregate."""
+    per_fold = summary(predictions, label, prediction, positive, by=["fold_id", "side"])
+    long = per_fold.select(
+        "side",
+        F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in FOLD_METRICS])),
+    )
+    return long.groupBy("side", "metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+
+
+def _side_by_side(spark, work, items, parallelism: int) -> list:
+    """``work`` over ``items`` in driver threads that inherit the caller's job
+    group and scheduler pool."""
+    if parallelism <= 1:
+        return [work(x) for x in items]
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(work), items))
+
+
 def cross_validate(
     df: DataFrame,
     estimator,
@@ -320,12 +351,12 @@ def cross_validate(
     positive: float = POSITIVE,
 ) -> DataFrame:
     """k-fold evaluation over a frame that already has ``fold_col`` (see
-    ``split.stratified_folds``): fits one model per fold (in
-    ``parallelism`` driver threads, each submitting distributed jobs),
-    scores the held-out fold **and** the training side, and derives every
-    fold's accuracy and macro precision/recall/F1 from one aggregate over
-    ``(fold, side, label, prediction)``. Returns (side, metric, mean, std)
-    rows with the population std, plus a ``fit_seconds`` row."""
+    ``split.stratified_folds``; pass a written or right-sized frame, it is
+    read by every fit): fits one model per fold, scores the held-out fold
+    **and** the training side, and returns ``fold_scores``. With
+    ``parallelism=1`` a ``fit_seconds`` row is added; fits that run side by
+    side have no time of their own."""
+
     def one(i: int):
         train = df.where(F.col(fold_col) != i)
         t0 = time.perf_counter()
@@ -340,33 +371,19 @@ def cross_validate(
             )
         return secs, scored
 
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        results = list(pool.map(one, range(k)))
+    spark = df.sparkSession
+    results = _side_by_side(spark, one, range(k), parallelism)
     frames = [f for _, fs in results for f in fs]
     union = frames[0]
     for f in frames[1:]:
         union = union.unionByName(f)
-    per_fold = summary(union, label, "prediction", positive, by=["fold_id", "side"]).select(
-        "side", "accuracy", "macro_precision", "macro_recall", "macro_f1"
-    )
-    long = per_fold.select(
-        "side",
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"))
-                    for m in ("accuracy", "macro_precision", "macro_recall", "macro_f1")
-                ]
-            )
-        ),
-    )
-    stats = long.groupBy("side", "metric").agg(
-        F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")
-    )
+    stats = fold_scores(union, label, "prediction", positive)
+    if parallelism > 1:
+        return stats
     secs = [s for s, _ in results]
     mean_t = sum(secs) / len(secs)
     std_t = (sum((s - mean_t) ** 2 for s in secs) / len(secs)) ** 0.5
-    timing = df.sparkSession.range(1).select(
+    timing = spark.range(1).select(
         F.lit("fit").alias("side"), F.lit("fit_seconds").alias("metric"),
         F.lit(mean_t).alias("mean"), F.lit(std_t).alias("std"),
     )
@@ -377,62 +394,82 @@ def _param_value(v):
     return v if isinstance(v, (int, float, str, bool)) or v is None else str(v)
 
 
+def param_text(params: dict) -> str:
+    """``name=value;...`` in the order of the names."""
+    return ";".join(f"{p.name}={_param_value(v)}" for p, v in sorted(params.items(), key=lambda kv: kv[0].name))
+
+
 def grid_search(
     df: DataFrame,
-    estimator,
+    preprocess,
+    learner,
     param_grid: list,
     label: str = "label",
     fold_col: str = "fold",
     k: int = 5,
     metric: str = "recall",
-    parallelism: int = 2,
-    seed: int = 42,
-    pool: str | None = None,
+    parallelism: int = 1,
 ):
-    """``CrossValidator`` over precomputed folds (``foldCol``), scored by
-    ``ClassMetricEvaluator(metric)``; returns ``(cv_model, results)`` where
-    ``results`` has one row per parameter map with its mean CV score and
-    an ``is_best`` flag. The refit best model is ``cv_model.bestModel``.
-    ``pool`` names a FAIR scheduler pool for the search's jobs (the fit
-    threads inherit the caller's local properties)."""
-    from pyspark.ml.tuning import CrossValidator
-
-    ev = ClassMetricEvaluator(metricName=metric, labelCol=label)
-    cv = CrossValidator(
-        estimator=estimator,
-        estimatorParamMaps=param_grid,
-        evaluator=ev,
-        numFolds=k,
-        foldCol=fold_col,
-        parallelism=parallelism,
-        seed=seed,
-    )
-    sc = df.sparkSession.sparkContext
-    previous = sc.getLocalProperty("spark.scheduler.pool")
-    if pool is not None:
-        sc.setLocalProperty("spark.scheduler.pool", pool)
-    try:
-        cv_model = cv.fit(df)
-    finally:
-        if pool is not None:
-            sc.setLocalProperty("spark.scheduler.pool", previous)
-    scores = list(cv_model.avgMetrics)
-    best = max(range(len(scores)), key=lambda i: scores[i])
+    """Exhaustive search over precomputed folds; returns ``(best_model,
+    results)``.
+
+    ``preprocess`` is fitted once per fold, on that fold's training side
+    alone, and its vectors are written once; every combination fits
+    ``learner`` on them and is scored on both sides. ``results`` has one row
+    per combination: ``combo, params, cv_score, cv_std, train_score,
+    train_std`` (mean and population std of ``metric`` over the folds),
+    ``fit_seconds, score_seconds`` (means over the folds; null if fits run
+    side by side) and ``is_best`` (highest ``cv_score``, the first of equals).
+    The best combination is fitted again on all rows, as a pipeline model.
+    """
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric!r}; use one of {METRICS}")
+    spark = df.sparkSession
+    evaluator = ClassMetricEvaluator(metricName=metric, labelCol=label)
+    got: list[list[tuple]] = [[] for _ in param_grid]
+    for fold in range(k):
+        train = df.where(F.col(fold_col) != fold)
+        prep = preprocess.fit(train)
+        sides = [
+            written(prep.transform(part), f"fold-{side}")
+            for side, part in (("test", df.where(F.col(fold_col) == fold)), ("train", train))
+        ]
+
+        def one(params):
+            t0 = time.perf_counter()
+            model = learner.fit(sides[1], params)
+            t1 = time.perf_counter()
+            test, taught = (evaluator.evaluate(model.transform(side)) for side in sides)
+            return test, taught, t1 - t0, time.perf_counter() - t1
+
+        for scores, row in zip(got, _side_by_side(spark, one, param_grid, parallelism)):
+            scores.append(row)
+
+    def mean_std(values):
+        m = sum(values) / len(values)
+        return m, (sum((v - m) ** 2 for v in values) / len(values)) ** 0.5
+
     rows = []
-    for i, pm in enumerate(param_grid):
-        params = ";".join(f"{p.name}={_param_value(v)}" for p, v in sorted(pm.items(), key=lambda kv: kv[0].name))
-        rows.append((i, params, float(scores[i]), i == best))
-    results = df.sparkSession.createDataFrame(
-        rows, "combo int, params string, cv_score double, is_best boolean"
+    for i, (params, scores) in enumerate(zip(param_grid, got)):
+        test, taught, fit, score = (mean_std(x) for x in zip(*scores))
+        timed = parallelism <= 1
+        rows.append((i, param_text(params), *test, *taught, fit[0] if timed else None, score[0] if timed else None))
+    best = max(range(len(rows)), key=lambda i: (rows[i][2], -i))
+    results = spark.createDataFrame(
+        [(*r, r[0] == best) for r in rows],
+        "combo int, params string, cv_score double, cv_std double, train_score double, train_std double, "
+        "fit_seconds double, score_seconds double, is_best boolean",
     )
-    return cv_model, results
+    prep = preprocess.fit(df)
+    fitted = learner.fit(written(prep.transform(df), "search-train"), param_grid[best])
+    return PipelineModel(stages=[prep, fitted]), results
 
 
 def class_weight_lookup(df: DataFrame, label: str) -> DataFrame:
-    """(label, weight) with "balanced" weights n / (k · n_class)."""
-    # one row per class, cached: the two scalar subqueries (n, k) and the
-    # lookup itself read it back instead of re-reading the input
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc")).persist()
+    """(label, weight) with "balanced" weights n / (k · n_class); rows
+    without a label are a class of their own."""
+    # one row per class, written: the input is aggregated once
+    counts = written(df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc")), "classes")
     n = counts.select(F.sum("_nc")).scalar()
     k = counts.select(F.count(F.lit(1))).scalar()
     return counts.select(label, (n / (k * F.col("_nc"))).alias("weight"))
@@ -441,6 +478,37 @@ def class_weight_lookup(df: DataFrame, label: str) -> DataFrame:
 def with_class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """Adds the balanced weight per row (``weightCol`` of the learners)."""
     lookup = class_weight_lookup(df, label).withColumnRenamed(label, "_label_w").withColumnRenamed("weight", out)
-    return df.join(
-        bounded_broadcast(lookup, max_rows=100_000), F.col(label).eqNullSafe(F.col("_label_w")), "left"
-    ).drop("_label_w")
+    return df.join(lookup, F.col(label).eqNullSafe(F.col("_label_w")), "left").drop("_label_w")
+
+
+class BalancedWeights(Estimator, HasLabelCol, HasOutputCol):
+    """Pipeline stage for weights computed inside each fit: learns the
+    balanced weight of every class from the rows it is fitted on (one row per
+    class on the driver; classification learners have few) and adds it to
+    rows that have the label column."""
+
+    def __init__(self, labelCol="label", outputCol="w_balanced"):
+        super().__init__()
+        self._set(labelCol=labelCol, outputCol=outputCol)
+
+    def _fit(self, dataset: DataFrame) -> "BalancedWeightsModel":
+        rows = dataset.groupBy(F.col(self.getLabelCol()).cast("double")).count().collect()
+        n = sum(r[1] for r in rows)
+        weights = {r[0]: n / (len(rows) * r[1]) for r in rows}
+        return BalancedWeightsModel(self.getLabelCol(), self.getOutputCol(), weights)
+
+
+class BalancedWeightsModel(Model, HasLabelCol, HasOutputCol):
+    def __init__(self, labelCol="label", outputCol="w_balanced", weights=None):
+        super().__init__()
+        self._set(labelCol=labelCol, outputCol=outputCol)
+        self.weights = dict(weights or {})
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        if self.getLabelCol() not in dataset.columns:
+            return dataset
+        label = F.col(self.getLabelCol()).cast("double")
+        weight = F.lit(1.0)
+        for value, w in self.weights.items():
+            weight = F.when(label.eqNullSafe(F.lit(value).cast("double")), F.lit(w)).otherwise(weight)
+        return dataset.withColumn(self.getOutputCol(), weight)

@@ -26,6 +26,9 @@ IDX = "_idx"
 OHE = "_ohe"
 STD = "_std"
 IMP = "_imp"
+# Category levels of one column that a fit accepts, and as plain columns.
+MAX_LEVELS = 10_000
+MAX_ONE_HOT_COLUMNS = 500
 
 
 # --------------------------------------------------------------------------
@@ -46,8 +49,46 @@ def category_indexer(cols: Sequence[str], suffix: str = IDX) -> StringIndexer:
     )
 
 
-def index_categories(df: DataFrame, cols: Sequence[str], suffix: str = IDX) -> DataFrame:
+def check_levels(df: DataFrame, cols: Sequence[str], max_levels: int = MAX_LEVELS) -> None:
+    """Raise, naming the columns, if one has more than ``max_levels`` distinct
+    values (by HyperLogLog, one aggregate for all). The fitted indexer keeps
+    every level on the driver and one-hot makes a slot of each, so a key among
+    the categories must not get that far. Nothing is ever cut."""
+    if not cols:
+        return
+    row = df.agg(*[F.approx_count_distinct(F.col(c)) for c in cols]).first()
+    wide = {c: n for c, n in zip(cols, row) if n > max_levels}
+    if wide:
+        raise ValueError(f"more than max_levels={max_levels} category levels (estimated): {wide}")
+
+
+class LevelCheck(Estimator, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
+    """``check_levels`` as a pipeline stage before an indexer."""
+
+    maxLevels = Param(Params._dummy(), "maxLevels", "levels allowed", typeConverter=TypeConverters.toInt)
+
+    @keyword_only
+    def __init__(self, *, inputCols=None, maxLevels=MAX_LEVELS):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _fit(self, dataset: DataFrame) -> "LevelCheckModel":
+        check_levels(dataset, self.getInputCols(), self.getOrDefault(self.maxLevels))
+        return LevelCheckModel()
+
+
+class LevelCheckModel(Model, DefaultParamsReadable, DefaultParamsWritable):
+    """Passes rows on."""
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return dataset
+
+
+def index_categories(
+    df: DataFrame, cols: Sequence[str], suffix: str = IDX, max_levels: int = MAX_LEVELS
+) -> DataFrame:
     """Fit the indexer on ``df`` and add the ``<col>_idx`` columns."""
+    check_levels(df, cols, max_levels)
     return category_indexer(cols, suffix).fit(df).transform(df)
 
 
@@ -67,15 +108,19 @@ def one_hot_encoder(cols: Sequence[str]) -> list:
     ]
 
 
-def one_hot(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def one_hot(df: DataFrame, cols: Sequence[str], max_levels: int = MAX_LEVELS) -> DataFrame:
     """Fit and apply the one-hot stages; adds ``<col>_ohe`` vector columns."""
+    check_levels(df, cols, max_levels)
     return Pipeline(stages=one_hot_encoder(cols)).fit(df).transform(df)
 
 
-def one_hot_columns(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+def one_hot_columns(
+    df: DataFrame, cols: Sequence[str], keep: Sequence[str] = (), max_levels: int = MAX_ONE_HOT_COLUMNS
+) -> DataFrame:
     """One-hot as plain 0/1 double columns named ``<col>_<level>`` (levels
     come from the fitted indexer, a bounded list), for inspection and for
     consumers that do not read vectors."""
+    check_levels(df, cols, max_levels)
     model = Pipeline(stages=one_hot_encoder(cols)).fit(df)
     indexer = model.stages[0]
     out = model.transform(df)
@@ -215,6 +260,7 @@ def preprocess_pipeline(
     scale: bool = True,
     handle_invalid: str = "error",
     impute_strategy: str = "mean",
+    max_levels: int = MAX_LEVELS,
 ) -> Pipeline:
     """Per-type preprocessing as one unfitted ``Pipeline``.
 
@@ -230,13 +276,14 @@ def preprocess_pipeline(
     ``"error"`` (default), ``"skip"`` (drop the row), ``"keep"`` (NaN slot)
     or ``"impute"`` (an MLlib ``Imputer`` with ``impute_strategy`` — mean,
     median or mode — fitted on the training data, before scaling). Missing
-    categories always go to the indexer's extra "unknown" level.
+    categories always go to the indexer's extra "unknown" level. A category
+    of more than ``max_levels`` levels raises before anything is indexed.
 
     The assembled column before any vector scaling carries the slot names
     (``slot_names`` reads it).
     """
     categorical, numeric = list(categorical), list(numeric)
-    stages = []
+    stages = [LevelCheck(inputCols=categorical, maxLevels=max_levels)] if categorical else []
     nums = numeric
     assemble_invalid = handle_invalid
     if handle_invalid == "impute":

@@ -3,32 +3,27 @@
 Each profile is one aggregate pass over the input (partial aggregation on
 the map side, a tiny final merge) whose single wide result row is turned
 into tidy rows with ``inline(array(struct...))`` — no per-column jobs and
-nothing data-sized on the driver. Exact quartiles of tables above 1M rows
-add a distinct-count pass and, for high-cardinality columns, the
-distributed rank of ``exact_quantiles``.
+nothing data-sized on the driver. Exact quartiles add a few such passes
+(``exact_quantiles``), the same way for every size of table. Missing cells
+(null, or NaN in a floating-point column) are left out everywhere.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskframe.functions.columns import is_missing, numeric_columns, text_columns
-from riskframe.functions.frames import checkpoint_root
+from riskframe.functions.columns import is_missing, numeric_columns
 
 QUANTILES = (0.25, 0.5, 0.75)
-# Exact quantiles with the built-in ``percentile`` aggregate keep one buffer
-# entry per distinct value and merge all of them in one final task. Above
-# this many (estimated) distinct values a column takes the distributed
-# exact path instead.
-PERCENTILE_DISTINCT_LIMIT = 1_000_000
-# Up to this many bins a histogram's bin is a ``when`` chain (codegen);
-# above it a binary search.
-HISTOGRAM_CHAIN_BINS = 16
+# ``percentile_approx`` is off by at most 1 / ACCURACY of the rows.
+ACCURACY = 10_000
+# Values of a bracket that one task may sort; a larger one is narrowed again.
+BRACKET_ROWS = 100_000
 
 
 def _tidy(one_row: DataFrame, structs: list[Column]) -> DataFrame:
@@ -70,227 +65,219 @@ def preview(df: DataFrame, n: int = 5, order_by: Sequence[str] | None = None) ->
     return df.limit(n)
 
 
+def _present(df: DataFrame, name: str) -> Column:
+    """The column as double, null where it is missing."""
+    return F.when(~is_missing(df, name), F.col(name).cast("double"))
+
+
+class _Target:
+    """The order statistics of ranks ``first`` and ``last`` (equal or
+    neighbours) of one column, known to lie in [low, high] with ``below``
+    values under and ``inside`` values in that bracket."""
+
+    def __init__(self, col: int, first: int, last: int, n: int, low: float, high: float):
+        self.col, self.first, self.last = col, first, last
+        self.low, self.high, self.below, self.inside = low, high, 0, n
+        self.stuck = False
+
+    @property
+    def open(self) -> bool:
+        return self.low != self.high and self.inside > BRACKET_ROWS and not self.stuck
+
+    def shares(self) -> tuple[float, float]:
+        """Where in the bracket to probe for a narrower one."""
+        margin = 2.0 / ACCURACY
+        return (
+            max(0.0, (self.first - self.below) / self.inside - margin),
+            min(1.0, (self.last - self.below + 1) / self.inside + margin),
+        )
+
+    def within(self, x: Column) -> Column:
+        return x.between(F.lit(self.low), F.lit(self.high))
+
+
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = QUANTILES) -> DataFrame:
     """Exact quantiles (linear interpolation between order statistics, as
-    pandas and DuckDB ``quantile_cont``) without putting a column in one
-    task: ``(column_name, q_index, p, value)``.
-
-    1. Columns are unpivoted to (column, value) and counted per distinct
-       value — a partial aggregate, so a value holding a third of the rows
-       is one row after the map side.
-    2. The distinct values are range-partitioned on (column, value); the
-       partition id tags contiguous value ranges and is checkpointed with
-       the rows, so it is stable under any recomputation.
-    3. Per-partition totals (columns × partitions rows) give each
-       partition's rank offset; a running sum inside each partition gives
-       every distinct value its rank interval.
-    4. The two order statistics around ``(n - 1) · p`` are found with a
-       broadcast join against the (columns × probs) target ranks.
+    pandas and DuckDB ``quantile_cont``): ``(column_name, q_index, p,
+    value)``, null for a column without values.
+
+    Every wanted rank is bracketed: ``percentile_approx`` at shares a little
+    below and above it proposes two values of the column, and a counting scan
+    proves how many values lie under and between them (a proposal that misses
+    is widened). A round leaves about 4 / ACCURACY of the bracket; rounds go
+    on until a bracket has at most ``BRACKET_ROWS`` values, or only one
+    distinct one, or stops shrinking, which a value held by many rows at its
+    edge can cause. Then the distinct values of all brackets are counted, and
+    running sums over each find the order statistics. All scans are aggregates with one
+    small result row; only bracketed values are ever shuffled, as counts.
     """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    long = df.select(
-        F.inline(
-            F.array(
-                *[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in cols]
-            )
-        )
-    ).where(F.col("value").isNotNull())
-    counted = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("w"))
-    # the partition ids are written with the rows (reliable checkpoint into
-    # the shared folder), so a recomputation can never re-tag them
-    checkpoint_root(spark)
-    ranged = (
-        counted.repartitionByRange(parts, "column_name", "value")
-        .withColumn("pid", F.spark_partition_id())
-        .checkpoint(eager=True)
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
-    totals = ranged.groupBy("column_name", "pid").agg(F.sum("w").alias("pw"))
-    before = Window.partitionBy("column_name").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        "column_name",
-        "pid",
-        F.coalesce(F.sum("pw").over(before), F.lit(0)).alias("off"),
-        F.sum("pw").over(Window.partitionBy("column_name")).alias("n"),
-    )
-    running = Window.partitionBy("column_name", "pid").orderBy("value").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    ranks = (
-        ranged.join(F.broadcast(offsets), ["column_name", "pid"])
-        .withColumn("r_end", F.col("off") + F.sum("w").over(running))
-        .withColumn("r_start", F.col("r_end") - F.col("w"))
-        .select("column_name", "value", "r_start", "r_end")
-    )
-    qs = F.array(*[F.lit(float(p)) for p in probs])
-    targets = (
-        offsets.groupBy("column_name")
-        .agg(F.max("n").alias("n"))
-        .select(F.col("column_name").alias("t_col"), "n", F.posexplode(qs).alias("q_index", "p"))
-        .withColumn("h", (F.col("n") - 1).cast("double") * F.col("p"))
-        .withColumn("lo", F.floor("h"))
-        .withColumn("hi", F.ceil("h"))
-    )
+    return _exact_quantiles(df, list(cols), list(probs), _extent(df, list(cols)))
 
-    def covers(r: str) -> Column:
-        return (F.col("r_start") <= F.col(r)) & (F.col(r) < F.col("r_end"))
 
-    hits = ranks.join(
-        F.broadcast(targets), (F.col("column_name") == F.col("t_col")) & (covers("lo") | covers("hi"))
-    )
-    picked = hits.groupBy("column_name", "q_index", "p", "h", "lo").agg(
-        F.max(F.when(covers("lo"), F.col("value"))).alias("v_lo"),
-        F.max(F.when(covers("hi"), F.col("value"))).alias("v_hi"),
-    )
-    result = picked.select(
-        "column_name",
-        "q_index",
-        "p",
-        (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * (F.col("h") - F.col("lo"))).alias("value"),
+def _extent(df: DataFrame, cols: list[str]) -> list[tuple[int, float | None, float | None]]:
+    aggs = []
+    for name in cols:
+        x = _present(df, name)
+        aggs += [F.count(x), F.min(x), F.max(x)]
+    row = df.agg(*aggs).first()
+    return [(row[3 * i], row[3 * i + 1], row[3 * i + 2]) for i in range(len(cols))]
+
+
+def _exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], extent) -> DataFrame:
+    xs = [_present(df, c) for c in cols]
+    targets: dict[tuple[int, int], _Target] = {}
+    for i, (n, low, high) in enumerate(extent):
+        if n:
+            for q, p in enumerate(probs):
+                h = (n - 1) * p
+                targets[i, q] = _Target(i, math.floor(h), math.ceil(h), n, low, high)
+    while active := [t for t in targets.values() if t.open]:
+        _narrow(df, xs, active)
+    picked = _pick(df, xs, list(targets.values()))
+    rows = []
+    for i, name in enumerate(cols):
+        for q, p in enumerate(probs):
+            value = None
+            if (i, q) in targets:
+                t = targets[i, q]
+                low, high = picked[id(t)]
+                part = (extent[i][0] - 1) * p - t.first
+                value = low if low == high or not part else low + (high - low) * part
+            rows.append((name, q, float(p), value))
+    return df.sparkSession.createDataFrame(
+        rows, "column_name string, q_index int, p double, value double"
     )
-    # The answer has columns × probs rows: materialize it, then release the
-    # cached distinct values instead of leaving them on the executors.
-    return _materialize_small(result, [ranged])
-
-
-def _materialize_small(result: DataFrame, cached: list[DataFrame]) -> DataFrame:
-    """Collect a result whose size is bounded by parameters (columns ×
-    statistics), rebuild it as a local frame and unpersist the cached
-    intermediates it was computed from."""
-    rows = result.collect()
-    out = result.sparkSession.createDataFrame(rows, result.schema)
-    for c in cached:
-        c.unpersist()
+
+
+def _narrow(df: DataFrame, xs: list[Column], active: list[_Target]) -> None:
+    """One round: propose narrower brackets, count, keep what is proven.
+    Targets that still share a bracket share its approximation."""
+    groups: dict[tuple[int, float, float], list[_Target]] = {}
+    for t in active:
+        groups.setdefault((t.col, t.low, t.high), []).append(t)
+    row = df.agg(
+        *[
+            F.percentile_approx(
+                F.when(ts[0].within(xs[ts[0].col]), xs[ts[0].col]),
+                F.array(*[F.lit(s) for t in ts for s in t.shares()]),
+                ACCURACY,
+            )
+            for ts in groups.values()
+        ]
+    ).first()
+    found = {id(t): values[2 * k : 2 * k + 2] for ts, values in zip(groups.values(), row) for k, t in enumerate(ts)}
+    proposed = [found[id(t)] for t in active]
+    counts = df.agg(
+        *[
+            F.count_if(test)
+            for t, (low, high) in zip(active, proposed)
+            for test in (xs[t.col] < low, xs[t.col] <= high)
+        ]
+    ).first()
+    for k, (t, (low, high)) in enumerate(zip(active, proposed)):
+        under, upto = counts[2 * k], counts[2 * k + 1]
+        before = t.inside
+        end = t.below + t.inside
+        if under <= t.first:
+            t.low, t.below = low, under
+        if upto > t.last:
+            t.high, end = high, upto
+        t.inside = end - t.below
+        t.stuck = t.inside * 2 > before
+
+
+def _pick(df: DataFrame, xs: list[Column], targets: list[_Target]) -> dict[int, tuple[float, float]]:
+    """Both order statistics of each target, from its bracket's values."""
+    out = {id(t): (t.low, t.high) for t in targets if t.low == t.high}
+    rest = [t for t in targets if t.low != t.high]
+    if rest:
+        long = df.select(
+            F.inline(
+                F.array(
+                    *[
+                        F.struct(F.lit(k).alias("t"), F.when(t.within(xs[t.col]), xs[t.col]).alias("value"))
+                        for k, t in enumerate(rest)
+                    ]
+                )
+            )
+        ).where(F.col("value").isNotNull())
+        counted = long.groupBy("t", "value").agg(F.count(F.lit(1)).alias("w"))
+        run = Window.partitionBy("t").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ranked = counted.withColumn("upto", F.sum("w").over(run))
+        ranks = F.array(*[F.array(F.lit(t.first - t.below), F.lit(t.last - t.below)) for t in rest])
+        at = ranks[F.col("t")]
+
+        def holds(rank: Column) -> Column:
+            return (F.col("upto") - F.col("w") <= rank) & (rank < F.col("upto"))
+
+        found = ranked.groupBy("t").agg(
+            F.max(F.when(holds(at[0]), F.col("value"))).alias("low"),
+            F.max(F.when(holds(at[1]), F.col("value"))).alias("high"),
+        )
+        for r in found.collect():  # one row per target
+            out[id(rest[r["t"]])] = (r["low"], r["high"])
     return out
 
 
+METHODS = ("exact", "approx")
+
+
 def _numeric_stats(
-    df: DataFrame, cols: Sequence[str], method: str = "auto", accuracy: int = 10_000
+    df: DataFrame, cols: Sequence[str], method: str = "exact", accuracy: int = ACCURACY
 ) -> DataFrame:
-    """One row per column: count, mean, std, min, p25, p50, p75, max.
-
-    Quartiles: ``approx`` uses ``percentile_approx``; ``percentile`` the
-    exact built-in aggregate (one buffer entry per distinct value, merged in
-    one task); ``distributed`` ``exact_quantiles``; ``auto`` picks per
-    column with a checked bound:
-
-    * if the table has at most ``PERCENTILE_DISTINCT_LIMIT`` rows (a row
-      count, read from file footers for parquet), no column can have more
-      distinct values than that, so one aggregate computes moments and
-      exact quartiles together;
-    * otherwise one aggregate computes the moments and a HyperLogLog
-      distinct estimate; columns under the limit get the built-in exact
-      aggregate, the rest the distributed path.
-    """
+    """One row per column: count, mean, std, min, p25, p50, p75, max of the
+    values that are not missing. ``approx`` takes ``percentile_approx`` for
+    the quartiles and is one lazy aggregate; ``exact`` runs the passes of
+    ``exact_quantiles`` here and returns a frame of one row per column."""
+    if method not in METHODS:
+        raise ValueError(f"method must be one of {METHODS}")
     cols = list(cols)
+    fields = "column_name string, count long, mean double, std double, min double, p25 double, p50 double, p75 double, max double"
+    if not cols:
+        return df.sparkSession.createDataFrame([], fields)
     qs = F.array(*[F.lit(q) for q in QUANTILES])
-    if method == "auto" and df.count() <= PERCENTILE_DISTINCT_LIMIT:
-        method = "percentile"
-    single_pass = method in ("approx", "percentile")
-
     aggs = []
     for i, name in enumerate(cols):
-        c = F.col(name).cast("double")
+        x = _present(df, name)
         aggs += [
-            F.lit(name).alias(f"name{i}"),
-            F.count(c).alias(f"n{i}"),
-            F.avg(c).alias(f"mean{i}"),
-            F.stddev_samp(c).alias(f"std{i}"),
-            F.min(c).alias(f"min{i}"),
-            F.max(c).alias(f"max{i}"),
+            F.count(x).alias(f"n{i}"),
+            F.avg(x).alias(f"mean{i}"),
+            F.stddev_samp(x).alias(f"std{i}"),
+            F.min(x).alias(f"min{i}"),
+            F.max(x).alias(f"max{i}"),
         ]
         if method == "approx":
-            aggs.append(F.percentile_approx(c, qs, accuracy).alias(f"q{i}"))
-        elif method == "percentile":
-            aggs.append(F.percentile(c, qs).alias(f"q{i}"))
-        elif method == "auto":
-            aggs.append(F.approx_count_distinct(c).alias(f"ndv{i}"))
+            aggs.append(F.percentile_approx(x, qs, accuracy).alias(f"q{i}"))
     wide = df.agg(*aggs)
-
-    def tidy(one_row: DataFrame) -> DataFrame:
-        return one_row.select(
-            F.inline(
-                F.array(
-                    *[
-                        F.struct(
-                            F.col(f"name{i}").alias("column_name"),
-                            F.col(f"n{i}").alias("count"),
-                            F.col(f"mean{i}").alias("mean"),
-                            F.col(f"std{i}").alias("std"),
-                            F.col(f"min{i}").alias("min"),
-                            (F.col(f"q{i}") if single_pass else F.lit(None).cast("array<double>")).alias("q"),
-                            F.col(f"max{i}").alias("max"),
-                        )
-                        for i in range(len(cols))
-                    ]
-                )
-            )
-        )
-
-    if single_pass:
-        return tidy(wide).select(
-            "column_name", "count", "mean", "std", "min",
-            F.col("q")[0].cast("double").alias("p25"),
-            F.col("q")[1].cast("double").alias("p50"),
-            F.col("q")[2].cast("double").alias("p75"),
-            "max",
-        )
-
-    moments = wide.persist(StorageLevel.MEMORY_AND_DISK)
-    if method == "auto":
-        row = moments.first()
-        small = [c for i, c in enumerate(cols) if row[f"ndv{i}"] <= PERCENTILE_DISTINCT_LIMIT]
-    else:  # distributed
-        small = []
-    large = [c for c in cols if c not in small]
-
-    quartiles = []
-    if small:
-        pct = df.agg(*[F.percentile(F.col(c).cast("double"), qs).alias(f"q{i}") for i, c in enumerate(small)])
-        quartiles.append(
-            pct.select(
-                F.inline(
-                    F.array(
-                        *[
-                            F.struct(
-                                F.lit(c).alias("qc"),
-                                F.col(f"q{i}")[0].alias("p25"),
-                                F.col(f"q{i}")[1].alias("p50"),
-                                F.col(f"q{i}")[2].alias("p75"),
-                            )
-                            for i, c in enumerate(small)
-                        ]
-                    )
+    if method == "approx":
+        return _tidy(
+            wide,
+            [
+                F.struct(
+                    F.lit(name).alias("column_name"),
+                    F.col(f"n{i}").alias("count"),
+                    *[F.col(f"{s}{i}").alias(s) for s in ("mean", "std", "min")],
+                    *[F.col(f"q{i}")[k].alias(p) for k, p in enumerate(("p25", "p50", "p75"))],
+                    F.col(f"max{i}").alias("max"),
                 )
-            )
-        )
-    if large:
-        ex = exact_quantiles(df, large, QUANTILES)
-        quartiles.append(
-            ex.groupBy(F.col("column_name").alias("qc")).agg(
-                *[F.max(F.when(F.col("q_index") == k, F.col("value"))).alias(n) for k, n in enumerate(("p25", "p50", "p75"))]
-            )
+                for i, name in enumerate(cols)
+            ],
         )
-    q = quartiles[0]
-    for extra in quartiles[1:]:
-        q = q.unionByName(extra)
-    # both sides have one row per column (bounded by the column count)
-    result = tidy(moments).drop("q").join(F.broadcast(q), F.col("column_name") == F.col("qc"), "left").select(
-        "column_name", "count", "mean", "std", "min",
-        F.col("p25").cast("double").alias("p25"),
-        F.col("p50").cast("double").alias("p50"),
-        F.col("p75").cast("double").alias("p75"),
-        "max",
-    )
-    return _materialize_small(result, [moments])
+    row = wide.first()
+    extent = [(row[f"n{i}"], row[f"min{i}"], row[f"max{i}"]) for i in range(len(cols))]
+    q = {(r["column_name"], r["q_index"]): r["value"] for r in _exact_quantiles(df, cols, list(QUANTILES), extent).collect()}
+    rows = [
+        (name, row[f"n{i}"], row[f"mean{i}"], row[f"std{i}"], row[f"min{i}"], q[name, 0], q[name, 1], q[name, 2], row[f"max{i}"])
+        for i, name in enumerate(cols)
+    ]
+    return df.sparkSession.createDataFrame(rows, fields)
 
 
 def describe_numeric(
     df: DataFrame,
     cols: Sequence[str] | None = None,
-    method: str = "auto",
-    accuracy: int = 10_000,
+    method: str = "exact",
+    accuracy: int = ACCURACY,
 ) -> DataFrame:
     """pandas ``describe()``: count, mean, sample std, min, quartiles, max,
     one row per numeric column. Quartiles are exact unless
@@ -380,17 +367,18 @@ def _text_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     )
 
 
-def describe_mixed(df: DataFrame, cols: Sequence[str] | None = None, method: str = "auto") -> DataFrame:
-    """pandas ``describe(include="all")``: one row per column with
-    count, unique, top, freq (text) and mean, std, min, quartiles, max
-    (numeric); the other group's fields are null."""
+def describe_mixed(df: DataFrame, cols: Sequence[str] | None = None, method: str = "exact") -> DataFrame:
+    """pandas ``describe(include="all")``: one row per column with mean, std,
+    min, quartiles, max for a numeric one, and unique, top, freq (of the
+    values as text) for one of any other type; the other group's fields are
+    null. Without columns the result is empty."""
     cols = list(cols) if cols is not None else df.columns
     num = [c for c in cols if c in numeric_columns(df)]
-    txt = [c for c in cols if c in text_columns(df)]
+    other = [c for c in cols if c not in num]
     null_long = F.lit(None).cast("long")
     null_double = F.lit(None).cast("double")
     parts = []
-    if num:
+    if num or not other:
         parts.append(
             _numeric_stats(df, num, method).select(
                 "column_name",
@@ -407,9 +395,9 @@ def describe_mixed(df: DataFrame, cols: Sequence[str] | None = None, method: str
                 "max",
             )
         )
-    if txt:
+    if other:
         parts.append(
-            _text_stats(df, txt).select(
+            _text_stats(df, other).select(
                 "column_name",
                 "count",
                 "unique",
@@ -425,9 +413,9 @@ def describe_mixed(df: DataFrame, cols: Sequence[str] | None = None, method: str
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
-    """Rows per distinct non-null value, most frequent first."""
+    """Rows per distinct value, missing ones left out, most frequent first."""
     return (
-        df.where(F.col(col).isNotNull())
+        df.where(~is_missing(df, col))
         .groupBy(col)
         .agg(F.count(F.lit(1)).alias("count"))
         .orderBy(F.desc("count"), F.asc(col))
@@ -435,10 +423,10 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
 
 
 def value_shares(df: DataFrame, col: str) -> DataFrame:
-    """Percentage of non-null rows per value. The total is a scalar
+    """Percentage of rows per value, missing ones left out. The total is a scalar
     subquery (one partial aggregate, evaluated once, its value inlined), not
     a global window that would pull every row into one task."""
-    counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("count"))
+    counts = df.where(~is_missing(df, col)).groupBy(col).agg(F.count(F.lit(1)).alias("count"))
     total = counts.select(F.sum("count")).scalar()
     return counts.select(col, (F.col("count") * 100.0 / total).alias("share_pct")).orderBy(
         F.desc("share_pct"), F.asc(col)
@@ -450,41 +438,24 @@ def histogram(df: DataFrame, col: str, edges: Sequence[float]) -> DataFrame:
     one closed on both sides, values outside are ignored; empty bins are
     kept with count 0.
 
-    The bin index is a ``when`` chain (codegen); counts are a partial
-    aggregate; the bin frame is built from ``range`` and has
-    ``len(edges) - 1`` rows, a size fixed by the parameter, so it is
-    broadcast.
+    The bin index is a balanced tree of comparisons (codegen), for any number
+    of edges, infinite ones included; counts are a partial aggregate; the bin
+    frame is built from ``range`` and has ``len(edges) - 1`` rows, a size
+    fixed by the parameter, so it is broadcast.
     """
     edges = [float(e) for e in edges]
-    if len(edges) < 2 or any(b <= a for a, b in zip(edges, edges[1:])):
+    if len(edges) < 2 or any(not b > a for a, b in zip(edges, edges[1:])):
         raise ValueError("edges must be strictly ascending with at least two values")
-    x = F.col(col).cast("double")
+    x = _present(df, col)
     nb = len(edges) - 1
-    if nb <= HISTOGRAM_CHAIN_BINS:
-        idx = None
-        for i in range(nb):
-            upper_ok = (x <= edges[i + 1]) if i == nb - 1 else (x < edges[i + 1])
-            cond = (x >= edges[i]) & upper_ok
-            idx = F.when(cond, F.lit(i)) if idx is None else idx.when(cond, F.lit(i))
-        binned = df.select(idx.alias("bin"))
-    else:
-        # Many bins: MLlib's Bucketizer finds the bin by binary search. The
-        # outer sentinel buckets (below the first / above the last edge)
-        # hold the values to ignore.
-        from pyspark.ml.feature import Bucketizer
-
-        splits = [float("-inf")] + edges + [float("inf")]
-        last = F.col("_b") == F.lit(float(nb + 1))
-        on_top = last & (F.col("_x") == F.lit(edges[-1]))  # the last bin is closed
-        binned = (
-            Bucketizer(splits=splits, inputCol="_x", outputCol="_b", handleInvalid="skip")
-            .transform(df.select(x.alias("_x")))
-            .select(
-                F.when(on_top, F.lit(nb - 1))
-                .when((F.col("_b") >= 1) & (F.col("_b") <= nb), F.col("_b").cast("int") - 1)
-                .alias("bin")
-            )
-        )
+
+    def bin_of(first: int, last: int) -> Column:
+        if first == last:
+            return F.lit(first)
+        mid = (first + last + 1) // 2
+        return F.when(x < edges[mid], bin_of(first, mid - 1)).otherwise(bin_of(mid, last))
+
+    binned = df.select(F.when(x.between(edges[0], edges[-1]), bin_of(0, nb - 1)).alias("bin"))
     counts = (
         binned.where(F.col("bin").isNotNull())
         .groupBy("bin")

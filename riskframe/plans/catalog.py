@@ -10,16 +10,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.functions.columns import numeric_columns, round_doubles
-from riskframe.functions.frames import right_sized, scratch_path
+from riskframe.functions.frames import right_sized, scratch_path, written
 from riskframe.operators import act, evaluate, features, models, profile, project, split
 from riskframe.operators.models import feature_importance
+from riskframe.plans import workflow
 from riskframe.sources import activity as act_src
 from riskframe.sources import io
 from riskframe.sources.tables import load_table
@@ -95,11 +94,9 @@ def model_runs(spark, d) -> DataFrame:
 
 
 def split_frames(spark, d):
-    """Stratified 70/30 train/test of the labelled activity frame. The
-    tagged frame is persisted so train and test come from one computation;
-    train is right-sized for the learners."""
-    tagged = split.stratified_split(labelled(spark, d), "label", KEY, 0.3, seed=42, out="_split")
-    tagged = tagged.persist(StorageLevel.MEMORY_AND_DISK)
+    """Stratified 70/30 train/test of the labelled activity frame, written
+    once; train is right-sized for the learners."""
+    tagged = written(split.stratified_split(labelled(spark, d), "label", KEY, 0.3, seed=42, out="_split"), "entry")
     train = right_sized(tagged.where(F.col("_split") == "train").drop("_split"))
     test = tagged.where(F.col("_split") == "test").drop("_split")
     return train, test
@@ -111,10 +108,12 @@ def split_frames(spark, d):
 
 
 def q_read_table(spark, d):
-    cust = _t(spark, d, "customer")
+    """``documents`` through CSV and back: texts with newlines, quotes and
+    padding come back as they were; empty ones and nulls stay apart."""
+    docs = _t(spark, d, "documents")
     path = scratch_path(spark, "read_table")
-    io.write_table(cust, path)
-    return io.read_table(spark, path, schema=cust.schema)
+    io.write_table(docs, path)
+    return io.read_table(spark, path, schema=docs.schema, null_value=[io.NULL_TOKEN, "NA"])
 
 
 def q_write_table(spark, d):
@@ -158,7 +157,11 @@ def q_preview(spark, d):
 
 
 def q_describe_numeric(spark, d):
-    return profile.describe_numeric(_t(spark, d, "customer"))
+    return profile.describe_numeric(customer_with_gaps(spark, d))
+
+
+def q_describe_lineitem(spark, d):
+    return profile.describe_numeric(_t(spark, d, "lineitem"))
 
 
 def q_describe_text(spark, d):
@@ -180,15 +183,15 @@ def q_describe_text(spark, d):
 
 
 def q_describe_mixed(spark, d):
-    return profile.describe_mixed(_t(spark, d, "customer"), ["c_mktsegment", "c_nationkey", "c_acctbal"])
+    return profile.describe_mixed(_t(spark, d, "orders"))
 
 
 def q_value_counts(spark, d):
-    return profile.value_counts(_t(spark, d, "orders"), "o_orderpriority")
+    return profile.value_counts(customer_with_gaps(spark, d), "c_acctbal")
 
 
 def q_value_shares(spark, d):
-    return profile.value_shares(_t(spark, d, "orders"), "o_orderpriority")
+    return profile.value_shares(customer_with_gaps(spark, d), "c_mktsegment")
 
 
 def q_histogram(spark, d):
@@ -288,7 +291,9 @@ def q_preprocess_pipeline(spark, d):
 
 
 def q_random_split(spark, d):
-    return split.assign_split(activity(spark, d), KEY, (0.7, 0.3), ("train", "test"), seed=42).select(KEY, "split")
+    parts = split.random_split(activity(spark, d), (0.7, 0.3), seed=42, by=KEY)
+    train, test = (p.select(KEY, F.lit(n).alias("split")) for p, n in zip(parts, ("train", "test")))
+    return train.unionByName(test)
 
 
 def q_stratified_split(spark, d):
@@ -304,37 +309,53 @@ def q_stratified_folds(spark, d):
 # --------------------------------------------------------------------------
 
 
-def _fitted_scores(spark, d, fit) -> DataFrame:
+def _fit_checks(spark, d, fit, calibrated: bool = False) -> DataFrame:
+    """A real fit, scored on every test row. What SQL can know of it is
+    checked, not the scores: the rows and labels, that probabilities are in
+    [0, 1] and that the prediction is ``probability > 0.5``. A logistic
+    regression's intercept is not penalised, so at the optimum its mean
+    probability on the training rows is their positive share."""
     train, test = split_frames(spark, d)
     model, _ = fit(train)
-    return models.score(model, test, keep=[KEY, "label"], with_prediction=True)
+    p = F.col("churn_proba")
+    out = models.score(model, test, keep=[KEY, "label"], with_prediction=True).select(
+        KEY,
+        "label",
+        p.between(0.0, 1.0).alias("probability_valid"),
+        ((p > 0.5) == (F.col("prediction") == 1.0)).alias("prediction_follows"),
+    )
+    if calibrated:
+        mean, share = models.score(model, train, keep=["label"]).agg(F.avg("churn_proba"), F.avg("label")).first()
+        out = out.withColumns({"train_share": F.lit(share), "mean_is_share": F.lit(abs(mean - share) < 1e-3)})
+    return out
 
 
 def q_fit_logistic(spark, d):
-    return _fitted_scores(spark, d, lambda t: models.fit_logistic(t, CATEGORICAL, NUMERIC, "spark"))
+    return _fit_checks(spark, d, lambda t: models.fit_logistic(t, CATEGORICAL, NUMERIC, "spark"), True)
 
 
 def q_fit_logistic_notebook(spark, d):
-    return _fitted_scores(spark, d, lambda t: models.fit_logistic(t, CATEGORICAL, NUMERIC, "notebook"))
+    return _fit_checks(spark, d, lambda t: models.fit_logistic(t, CATEGORICAL, NUMERIC, "notebook"), True)
 
 
 def q_fit_forest(spark, d):
-    return _fitted_scores(spark, d, lambda t: models.fit_forest(t, CATEGORICAL, NUMERIC, "spark"))
+    return _fit_checks(spark, d, lambda t: models.fit_forest(t, CATEGORICAL, NUMERIC, "spark"))
 
 
 def q_fit_forest_notebook(spark, d):
-    return _fitted_scores(spark, d, lambda t: models.fit_forest(t, CATEGORICAL, NUMERIC, "notebook"))
+    return _fit_checks(spark, d, lambda t: models.fit_forest(t, CATEGORICAL, NUMERIC, "notebook"))
 
 
 def q_fit_boosting(spark, d):
-    return _fitted_scores(spark, d, lambda t: models.fit_boosting(t, CATEGORICAL, NUMERIC))
+    return _fit_checks(spark, d, lambda t: models.fit_boosting(t, CATEGORICAL, NUMERIC))
 
 
 def q_predict(spark, d):
+    """A real fit; checked is that every test row gets class 0 or 1."""
     train, test = split_frames(spark, d)
     pipe = models.with_model(features.preprocess_pipeline(CATEGORICAL, NUMERIC), models.logistic_spark())
     model = pipe.fit(train)
-    return models.predict(model, test, keep=[KEY])
+    return models.predict(model, test, keep=[KEY]).select(KEY, F.col("prediction").isin(0.0, 1.0).alias("is_class"))
 
 
 def q_score(spark, d):
@@ -346,10 +367,13 @@ def q_class_weights(spark, d):
 
 
 def q_feature_importance(spark, d):
+    """A real fit of the notebook's forest; checked are the names of all
+    slots, that no importance is negative and that they sum to one."""
     train, _ = split_frames(spark, d)
     pipe = models.with_model(features.preprocess_pipeline(CATEGORICAL, NUMERIC, mode="onehot"), models.forest_notebook())
-    model = pipe.fit(train)
-    return feature_importance(model, train, CATEGORICAL, NUMERIC, k=10)
+    found = feature_importance(pipe.fit(train), train, CATEGORICAL, NUMERIC, k=1_000_000)
+    total = found.agg(F.sum("importance")).first()[0]
+    return found.select("feature", (F.col("importance") >= 0).alias("is_share"), F.lit(total).alias("total"))
 
 
 # --------------------------------------------------------------------------
@@ -406,22 +430,73 @@ def q_compare_runs(spark, d):
     )
 
 
+def _label_folds(spark, d) -> DataFrame:
+    """``labels`` in five folds, each row once per fold as test or train."""
+    lab, pred = LABEL_PAIR
+    folded = split.stratified_folds(_t(spark, d, "labels"), lab, "doc_id", k=5, seed=42)
+    return folded.withColumn("fold_id", F.explode(F.sequence(F.lit(0), F.lit(4)))).select(
+        "fold_id",
+        F.when(F.col("fold") == F.col("fold_id"), "test").otherwise("train").alias("side"),
+        F.col(lab).alias("label"),
+        F.col(pred).alias("prediction"),
+    )
+
+
+def _checked(score: Column) -> Column:
+    return F.when(score.between(0.0, 1.0), 1.0).otherwise(0.0)
+
+
 def q_cross_validate(spark, d):
+    """Source ``fitted``: the notebook's forest (one-hot, unlimited depth)
+    fitted and scored on five folds; SQL knows only that the means are shares
+    (1.0 if so). Source ``labels``: the same aggregation over the folds of
+    ``labels``, whose values SQL computes."""
     folded = right_sized(split.stratified_folds(labelled(spark, d), "label", KEY, k=5, seed=42))
-    pipe = models.with_model(features.preprocess_pipeline(CATEGORICAL, NUMERIC), models.forest_spark())
+    prep = features.preprocess_pipeline(CATEGORICAL, NUMERIC, mode="onehot")
     # small training frames use few partitions: run fits side by side
-    return evaluate.cross_validate(folded, pipe, "label", "fold", k=5, parallelism=4)
+    fitted = evaluate.cross_validate(
+        folded, models.with_model(prep, models.forest_notebook()), "label", "fold", k=5, parallelism=4
+    )
+    known = evaluate.fold_scores(_label_folds(spark, d))
+    none = F.lit(None).cast("double")
+    return fitted.select(
+        F.lit("fitted").alias("source"), "side", "metric", _checked(F.col("mean")).alias("mean"), none.alias("std")
+    ).unionByName(known.select(F.lit("labels").alias("source"), "side", "metric", "mean", "std"))
 
 
 def q_grid_search(spark, d):
+    """Source ``fitted``: a search over the training rows that varies every
+    dimension of the mapped grid at its own depths (8 of the 72 combinations,
+    five folds); SQL knows the combinations, that both scores are shares (1.0
+    if so) and that one is best. Source ``labels``: the mean test recall over
+    the folds of ``labels``."""
     train, _ = split_frames(spark, d)
-    folded = split.stratified_folds(models.class_weights(train, "label", "w_balanced"), "label", KEY, k=3, seed=42)
-    folded = right_sized(folded.withColumn("w_unit", F.lit(1.0)))
-    rf = models.forest_notebook(max_depth=8)
-    pipe = models.with_model(features.preprocess_pipeline(CATEGORICAL, NUMERIC, mode="onehot"), rf)
-    grid = ParamGridBuilder().addGrid(rf.weightCol, ["w_unit", "w_balanced"]).build()
-    _, results = evaluate.grid_search(folded, pipe, grid, "label", "fold", k=3, metric="recall", parallelism=4)
-    return results
+    folded = right_sized(split.stratified_folds(train.withColumn("w_unit", F.lit(1.0)), "label", KEY, k=5, seed=42))
+    rf = models.forest_notebook()
+    _, results = evaluate.grid_search(
+        folded,
+        workflow.weighted_preprocessing(CATEGORICAL, NUMERIC),
+        rf,
+        workflow.star_grid(rf),
+        "label",
+        "fold",
+        k=5,
+        metric="recall",
+        parallelism=4,
+    )
+    fitted = results.select(
+        F.lit("fitted").alias("source"),
+        "params",
+        (_checked(F.col("cv_score")) * _checked(F.col("train_score"))).alias("value"),
+    )
+    best = results.agg(F.count_if("is_best").cast("double").alias("value")).select(
+        F.lit("fitted").alias("source"), F.lit("is_best").alias("params"), "value"
+    )
+    folds = evaluate.summary(_label_folds(spark, d).where("side = 'test'"), by=["fold_id"])
+    known = folds.agg(F.avg("recall").alias("value")).select(
+        F.lit("labels").alias("source"), F.lit("recall").alias("params"), "value"
+    )
+    return fitted.unionByName(best).unionByName(known)
 
 
 # --------------------------------------------------------------------------
@@ -438,6 +513,37 @@ def q_risk_profile(spark, d):
     return act.risk_profile(top, PROFILE_COLS)
 
 
+# Fixed value: the activity table has a base rate of 21 % and little signal.
+FLOW_THRESHOLD = 0.2
+
+
+def risk_flow(spark, d) -> workflow.RiskFlow:
+    """The trained path over the activity table."""
+    return workflow.risk_flow(
+        activity(spark, d), CATEGORICAL, NUMERIC, TARGET, KEY, threshold=FLOW_THRESHOLD, profile_cols=PROFILE_COLS
+    )
+
+
+def q_risk_flow(spark, d):
+    """Trained model to campaign; checked are the counts and the rules
+    between the results, not the scores."""
+    flow = risk_flow(spark, d)
+    listed = flow.high_risk.select("churn_proba").collect()  # at most TOP_K
+    p = [r[0] for r in listed]
+    roi = flow.roi.first()
+    at_risk = flow.scored.where(F.col("churn_proba") >= FLOW_THRESHOLD).count()
+    good = (
+        len(p) == min(act.TOP_K, at_risk)
+        and p == sorted(p, reverse=True)
+        and all(x >= FLOW_THRESHOLD for x in p)
+        and roi["n_targeted"] == at_risk
+    )
+    rows = flow.scored.groupBy("split").agg(F.count(F.lit(1)).alias("n_scored"))
+    return rows.select(
+        "split", "n_scored", F.lit(good).alias("list_follows"), F.lit(flow.profile.count()).cast("long").alias("n_profiled")
+    )
+
+
 def q_retention_roi(spark, d):
     return act.retention_roi(act.at_risk(scored(spark, d), "churn_proba", act.THRESHOLD))
 
@@ -455,6 +561,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "table_shape": q_table_shape,
     "preview": q_preview,
     "describe_numeric": q_describe_numeric,
+    "describe_lineitem": q_describe_lineitem,
     "describe_text": q_describe_text,
     "describe_mixed": q_describe_mixed,
     "value_counts": q_value_counts,
@@ -509,6 +616,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "high_risk": q_high_risk,
     "risk_profile": q_risk_profile,
     "retention_roi": q_retention_roi,
+    "risk_flow": q_risk_flow,
 }
 
 

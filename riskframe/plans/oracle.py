@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from riskframe.functions.columns import hex_threshold
 from riskframe.plans.catalog import RISK_COEFFICIENTS
+from riskframe.plans.workflow import GRID
 
 ACTIVITY = """
 cut AS (SELECT max(o_orderdate) - INTERVAL 365 DAY AS cutoff FROM orders),
@@ -43,6 +44,10 @@ activity AS (
 NUMERIC = ("c_acctbal", "n_orders", "total_spend", "avg_spend", "tenure_days", "urgent_share")
 
 
+# the split's key text: length, colon, value
+_KEY = "length(CAST(c_custkey AS VARCHAR)) || ':' || CAST(c_custkey AS VARCHAR)"
+
+
 def _d(x: float) -> str:
     return f"CAST({float(x)!r} AS DOUBLE)"
 
@@ -84,7 +89,7 @@ def _mixed_num(src: str, col: str) -> str:
 
 
 def _mixed_text(src: str, col: str) -> str:
-    f = f"(SELECT {col} AS v, count(*) AS n FROM {src} WHERE {col} IS NOT NULL GROUP BY {col})"
+    f = f"(SELECT CAST({col} AS VARCHAR) AS v, count(*) AS n FROM {src} WHERE {col} IS NOT NULL GROUP BY {col})"
     nd = "CAST(NULL AS DOUBLE)"
     return (
         f"SELECT '{col}' AS column_name, CAST(sum(n) AS BIGINT) AS count, count(*) AS unique, "
@@ -269,7 +274,7 @@ SELECT '{{' || string_agg('"' || model || '":' || j, ',' ORDER BY model) || '}}'
 def _strat_rank() -> str:
     return (
         "SELECT c_custkey, churned, "
-        "row_number() OVER (PARTITION BY churned ORDER BY md5(concat_ws('#', CAST(c_custkey AS VARCHAR), '42')), c_custkey) AS rk, "
+        f"row_number() OVER (PARTITION BY churned ORDER BY md5({_KEY} || '#42'), c_custkey) AS rk, "
         "count(*) OVER (PARTITION BY churned) AS n FROM activity"
     )
 
@@ -280,6 +285,10 @@ GAPS = """gaps AS (
          CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE c_mktsegment END AS c_mktsegment
   FROM customer)"""
 
+# the same with NaN as null
+GAPS_NULL = f"""{GAPS},
+filled AS (SELECT * REPLACE (CASE WHEN isnan(c_acctbal) THEN NULL ELSE c_acctbal END AS c_acctbal) FROM gaps)"""
+
 GAP_MISSING = (
     ("c_custkey", "c_custkey IS NULL"),
     ("c_name", "c_name IS NULL"),
@@ -336,11 +345,72 @@ CUSTOMER_OUT = "c_custkey, c_name, c_nationkey, (round(c_acctbal, 6) + 0.0) AS c
 HIGH_RISK = "SELECT * FROM scored WHERE churn_proba >= 0.8 ORDER BY churn_proba DESC, c_custkey LIMIT 20"
 
 
+def _test_rows(columns: str) -> str:
+    return f"""WITH {ACTIVITY}, r AS ({_strat_rank()}),
+t AS (SELECT *, rk > floor(n * 0.3::DOUBLE + 0.5::DOUBLE) AS is_train,
+             CASE WHEN churned = 'Yes' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label FROM r)
+SELECT {columns} FROM t WHERE NOT is_train"""
+
+
+FIT = "c_custkey, label, true AS probability_valid, true AS prediction_follows"
+FIT_LOGISTIC = (
+    FIT + ", (SELECT (round(avg(label), 6) + 0.0) FROM t WHERE is_train) AS train_share, true AS mean_is_share"
+)
+
+
+def _importance() -> str:
+    numbers = " UNION ALL ".join(f"SELECT 'num__{c}' AS feature" for c in NUMERIC)
+    levels = " UNION ALL ".join(
+        f"SELECT DISTINCT 'cat__{c}_' || {c} FROM activity JOIN taught USING (c_custkey) WHERE {c} IS NOT NULL"
+        for c in ("c_mktsegment", "n_name", "r_name")
+    )
+    return f"""WITH {ACTIVITY}, r AS ({_strat_rank()}),
+taught AS (SELECT c_custkey FROM r WHERE rk > floor(n * 0.3::DOUBLE + 0.5::DOUBLE)),
+names AS ({numbers} UNION ALL {levels})
+SELECT feature, true AS is_share, 1.0::DOUBLE AS total FROM names"""
+
+
+_DOC_KEY = "md5(length(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR) || '#42')"
+LABEL_FOLDS = f"""SELECT i || '-' || CASE WHEN fold = i THEN 'test' ELSE 'train' END AS model, quality AS label, toxic AS prediction
+FROM (SELECT *, (row_number() OVER (PARTITION BY quality ORDER BY {_DOC_KEY}, doc_id) - 1) % 5 AS fold FROM labels)
+CROSS JOIN range(5) f(i)"""
+FOLD_METRICS = ("accuracy", "macro_precision", "macro_recall", "macro_f1")
+
+
+def _cross_validate() -> str:
+    known = "\nUNION ALL ".join(
+        f"SELECT 'labels' AS source, split_part(model, '-', 2) AS side, '{m}' AS metric, "
+        f"(round(avg({m}), 6) + 0.0) AS mean, (round(stddev_pop({m}), 6) + 0.0) AS std FROM s GROUP BY ALL"
+        for m in FOLD_METRICS
+    )
+    fitted = "\nUNION ALL ".join(
+        f"SELECT 'fitted', '{side}', '{m}', 1.0::DOUBLE, CAST(NULL AS DOUBLE)"
+        for side in ("test", "train")
+        for m in FOLD_METRICS
+    )
+    return _metrics(LABEL_FOLDS, known, by_model=True, tail=f"UNION ALL\n{fitted}")
+
+
+def _grid_search() -> str:
+    base = {k: v[0] for k, v in GRID.items()}
+    combos = [base] + [base | {k: x} for k, v in GRID.items() for x in v[1:]]
+    fitted = "\nUNION ALL ".join(
+        "SELECT 'fitted', '" + ";".join(f"{k}={c[k]}" for k in sorted(c)) + "', 1.0::DOUBLE" for c in combos
+    )
+    return _metrics(
+        LABEL_FOLDS,
+        "SELECT 'labels' AS source, 'recall' AS params, (round(avg(recall), 6) + 0.0) AS value FROM s "
+        "WHERE model LIKE '%-test'",
+        by_model=True,
+        tail=f"UNION ALL SELECT 'fitted', 'is_best', 1.0::DOUBLE\nUNION ALL {fitted}",
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     split_cut = hex_threshold(0.7, 8)
     sql = {
         # 2.1
-        "read_table": f"SELECT {CUSTOMER_OUT} FROM customer",
+        "read_table": "SELECT doc_id, nullif(text, 'NA') AS text, nullif(lang, 'NA') AS lang, nullif(source, 'NA') AS source, n_chars FROM documents",
         "read_metrics": _read_metrics(),
         "write_metrics": _write_metrics(),
         "write_table": f"""WITH {SCORED}
@@ -357,20 +427,25 @@ FROM scored""",
         "table_shape": "SELECT count(*) AS n_rows, 6 AS n_cols FROM orders",
         "preview": f"SELECT {CUSTOMER_OUT} FROM customer ORDER BY c_custkey LIMIT 5",
         "describe_numeric": "\nUNION ALL ".join(
-            _num_stats("customer", c) for c in ("c_custkey", "c_nationkey", "c_acctbal")
+            f"(WITH {GAPS_NULL} {_num_stats('filled', c)})" for c in ("c_custkey", "c_nationkey", "c_acctbal")
+        ),
+        "describe_lineitem": "\nUNION ALL ".join(
+            _num_stats("lineitem", f"l_{c}")
+            for c in ("orderkey", "partkey", "suppkey", "linenumber", "quantity", "extendedprice", "discount", "tax")
         ),
         "describe_text": _describe_text(),
         "describe_mixed": "\nUNION ALL ".join(
-            [_mixed_text("customer", "c_mktsegment"), _mixed_num("customer", "c_nationkey"), _mixed_num("customer", "c_acctbal")]
+            [_mixed_num("orders", f"o_{c}") for c in ("orderkey", "custkey", "totalprice")]
+            + [_mixed_text("orders", f"o_{c}") for c in ("orderstatus", "orderdate", "orderpriority")]
         ),
         "value_counts": (
-            "SELECT o_orderpriority, count(*) AS count FROM orders "
-            "WHERE o_orderpriority IS NOT NULL GROUP BY o_orderpriority"
+            f"WITH {GAPS_NULL} SELECT (round(c_acctbal, 6) + 0.0) AS c_acctbal, count(*) AS count FROM filled "
+            "WHERE c_acctbal IS NOT NULL GROUP BY c_acctbal"
         ),
         "value_shares": (
-            "SELECT o_orderpriority, (round(CAST(count(*) AS DOUBLE) * 100.0::DOUBLE / "
-            "CAST(sum(count(*)) OVER () AS DOUBLE), 6) + 0.0) AS share_pct FROM orders "
-            "WHERE o_orderpriority IS NOT NULL GROUP BY o_orderpriority"
+            f"WITH {GAPS_NULL} SELECT c_mktsegment, (round(CAST(count(*) AS DOUBLE) * 100.0::DOUBLE / "
+            "CAST(sum(count(*)) OVER () AS DOUBLE), 6) + 0.0) AS share_pct FROM filled "
+            "WHERE c_mktsegment IS NOT NULL GROUP BY c_mktsegment"
         ),
         "histogram": f"""WITH {ACTIVITY},
 lab AS (SELECT CASE WHEN churned = 'Yes' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS x FROM activity),
@@ -413,13 +488,25 @@ FROM activity""",
         # 2.5
         "random_split": f"""WITH {ACTIVITY}
 SELECT c_custkey,
-       CASE WHEN substr(md5(concat_ws('#', CAST(c_custkey AS VARCHAR), '42')), 1, 8) < '{split_cut}' THEN 'train' ELSE 'test' END AS split
+       CASE WHEN substr(md5({_KEY} || '#42'), 1, 8) < '{split_cut}' THEN 'train' ELSE 'test' END AS split
 FROM activity""",
         "stratified_split": f"""WITH {ACTIVITY}, r AS ({_strat_rank()})
 SELECT c_custkey, churned, CASE WHEN rk <= floor(n * 0.3::DOUBLE + 0.5::DOUBLE) THEN 'test' ELSE 'train' END AS split FROM r""",
         "stratified_folds": f"""WITH {ACTIVITY}, r AS ({_strat_rank()})
 SELECT c_custkey, churned, CAST((rk - 1) % 5 AS INTEGER) AS fold FROM r""",
-        # 2.6
+        # 2.6: fits, checked by what must hold of them
+        "fit_logistic": _test_rows(FIT_LOGISTIC),
+        "fit_logistic_notebook": _test_rows(FIT_LOGISTIC),
+        "fit_forest": _test_rows(FIT),
+        "fit_forest_notebook": _test_rows(FIT),
+        "fit_boosting": _test_rows(FIT),
+        "predict": _test_rows("c_custkey, true AS is_class"),
+        "feature_importance": _importance(),
+        "cross_validate": _cross_validate(),
+        "grid_search": _grid_search(),
+        "risk_flow": f"""WITH {ACTIVITY}, r AS ({_strat_rank()})
+SELECT CASE WHEN rk <= floor(n * 0.3::DOUBLE + 0.5::DOUBLE) THEN 'test' ELSE 'train' END AS split, count(*) AS n_scored,
+       true AS list_follows, CAST(4 AS BIGINT) AS n_profiled FROM r GROUP BY ALL""",
         "score": f"WITH {SCORED}\nSELECT c_custkey, (round(churn_proba, 6) + 0.0) AS churn_proba FROM scored",
         "class_weights": f"""WITH {ACTIVITY},
 cw AS (SELECT churned, count(*) AS nc FROM activity GROUP BY churned),

@@ -7,7 +7,7 @@ metrics, best model, confusion matrix, importances, cross-validation,
 grid search, then score every customer → risk list → profile → ROI.
 
 Differences from the reference that matter at scale: preprocessing is
-fitted once per flow and its vector frame persisted (the reference fits it
+fitted once per flow and its vector frame written (the reference fits it
 once per model and re-reads the input for every fit); all metrics of all
 models come from one aggregate; the split is a function of the key, not
 of partitioning; only bounded results (model state, metrics, top-k) reach
@@ -16,17 +16,17 @@ the driver.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
-from pyspark.ml import PipelineModel
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.functions.frames import right_sized
-from riskframe.operators import act, evaluate, features, models, project, split
+from riskframe.functions.frames import right_sized, written
+from riskframe.operators import act, evaluate, features, models, profile, project, split
 from riskframe.operators.models import feature_importance  # noqa: F401  (re-export)
 
 
@@ -55,36 +55,67 @@ def mllib_flow(
     """The MLlib script with its two learners (LR maxIter 100 / regParam
     0.05; forest of 100 trees), evaluated on a stratified hash split."""
     labelled = project.binary_label(df, target, positive, "label")
-    train, test = split.train_test(labelled, "label", key, test_size, seed)
-    train = right_sized(train)
+    tagged = written(split.stratified_split(labelled, "label", key, test_size, seed, out="_split"), "flow")
+    train = right_sized(tagged.where(F.col("_split") == "train").drop("_split"))
+    test = tagged.where(F.col("_split") == "test").drop("_split")
     prep = features.preprocess_pipeline(categorical, numeric, mode="ordinal")
     prep_model, prep_secs = models.fit_timed(prep, train)
-    train_v = prep_model.transform(train).select(key, "label", "features").persist(StorageLevel.MEMORY_AND_DISK)
+    # the vectors keep the checkpointed frame's layout; learners cache their
+    # own points and release them
+    train_v = prep_model.transform(train).select(key, "label", "features")
     test_v = prep_model.transform(test).select(key, "label", "features")
     res = FlowResult()
-    try:
-        for name, learner in (
-            ("Logistic Regression", models.logistic_spark()),
-            ("Random Forest", models.forest_spark(seed=seed)),
-        ):
-            m, secs = models.fit_timed(learner, train_v)
-            res.models[name] = m
-            res.fit_seconds[name] = secs + prep_secs
-        preds = None
-        for name, m in res.models.items():
-            p = m.transform(test_v).select(F.lit(name).alias("model"), "label", "prediction")
-            preds = p if preds is None else preds.unionByName(p)
-        res.report = evaluate.metrics_report(preds, fit_seconds=_timings(df.sparkSession, res.fit_seconds))
-        res.extras["preprocess"] = prep_model
-        res.extras["train_vectors"] = train_v
-        res.extras["train"] = train
-    except Exception:
-        train_v.unpersist()
-        train.unpersist()
-        raise
+    for name, learner in (
+        ("Logistic Regression", models.logistic_spark()),
+        ("Random Forest", models.forest_spark(seed=seed)),
+    ):
+        m, secs = models.fit_timed(learner, train_v)
+        res.models[name] = m
+        res.fit_seconds[name] = secs + prep_secs
+    preds = None
+    for name, m in res.models.items():
+        p = m.transform(test_v).select(F.lit(name).alias("model"), "label", "prediction")
+        preds = p if preds is None else preds.unionByName(p)
+    res.report = evaluate.metrics_report(preds, fit_seconds=_timings(df.sparkSession, res.fit_seconds))
+    res.extras["preprocess"] = prep_model
+    res.extras["train"] = train
     return res
 
 
+# The notebook's search mapped to MLlib's forest parameters.
+GRID = {
+    "weightCol": ["w_unit", "w_balanced"],
+    "numTrees": [100, 200, 300],
+    "maxDepth": [models.MAX_TREE_DEPTH, 8, 16],
+    "minInstancesPerNode": [1, 5],
+    "featureSubsetStrategy": ["sqrt", "log2"],
+}
+
+
+def reference_grid(forest) -> list[dict]:
+    """All 72 combinations."""
+    builder = ParamGridBuilder()
+    for name, values in GRID.items():
+        builder = builder.addGrid(forest.getParam(name), values)
+    return builder.build()
+
+
+def star_grid(forest) -> list[dict]:
+    """The first value of every dimension, and each other value with the
+    first ones of the rest: 8 combinations that vary all five dimensions."""
+    base = {forest.getParam(name): values[0] for name, values in GRID.items()}
+    return [base] + [
+        base | {forest.getParam(name): v} for name, values in GRID.items() for v in values[1:]
+    ]
+
+
+def weighted_preprocessing(categorical: Sequence[str], numeric: Sequence[str]) -> Pipeline:
+    """The one-hot preprocessing after a stage that learns the balanced class
+    weights, so both are fitted on a fold's training side alone."""
+    prep = features.preprocess_pipeline(categorical, numeric, mode="onehot")
+    return Pipeline(stages=[evaluate.BalancedWeights("label", "w_balanced"), *prep.getStages()])
+
+
 def notebook_flow(
     df: DataFrame,
     categorical: Sequence[str],
@@ -95,42 +126,49 @@ def notebook_flow(
     seed: int = 42,
     test_size: float = 0.3,
     folds: int = 5,
-    grid: str = "small",
+    grid: str | None = "reference",
     threshold: float = act.THRESHOLD,
     top: int = act.TOP_K,
     profile_cols: Sequence[str] = (),
-    parallelism: int = 2,
+    parallelism: int = 1,
     forest_trees: int = models.N_TREES,
     boost_stages: int = models.GB_STAGES,
 ) -> FlowResult:
-    """The notebook, end to end. ``grid="reference"`` runs the reference's
-    grid re-mapped to MLlib (72 combinations × ``folds``); ``"small"``
-    varies only the class weighting; ``None`` skips the search.
-    ``forest_trees`` / ``boost_stages`` default to the reference's 100."""
+    """The notebook, end to end. ``grid="reference"`` searches its mapped
+    grid (72 combinations × ``folds``), ``"star"`` each dimension on its own
+    (8 combinations), ``None`` skips the search and lists risks by the untuned
+    forest. ``forest_trees`` / ``boost_stages`` default to the reference's
+    100; with ``forest_trees`` other than that the grid's tree counts shrink
+    in proportion. Times are measured with ``parallelism=1``.
+    """
 
     def forest():
         return models.forest_notebook(seed=seed).setNumTrees(forest_trees)
 
     spark = df.sparkSession
-    labelled = project.binary_label(df, target, positive, "label")
-    tagged = split.stratified_split(labelled, "label", key, test_size, seed, out="_split")
-    tagged = tagged.persist(StorageLevel.MEMORY_AND_DISK)
+    res = FlowResult()
+    res.extras["missing"] = profile.null_total(df)
+    res.extras["missing_by_column"] = profile.null_counts(df)
+    res.extras["duplicates"] = profile.duplicate_count(df, df.columns)
+    res.extras["duplicate_keys"] = profile.duplicate_count(df, [key])
+    res.extras["target_shares"] = profile.value_shares(df, target)
+    labelled = project.binary_label(df, target, positive, "label").withColumn("w_unit", F.lit(1.0))
+    tagged = written(split.stratified_split(labelled, "label", key, test_size, seed, out="_split"), "flow")
     train = right_sized(tagged.where(F.col("_split") == "train").drop("_split"))
     test = tagged.where(F.col("_split") == "test").drop("_split")
     n_train = train.count()
-    res = FlowResult()
 
     learners = {
         "Logistic Regression": models.logistic_notebook(n_train),
         "Random Forest": forest(),
         "Gradient Boosting": models.boosting(seed=seed).setMaxIter(boost_stages),
     }
-    # preprocessing is fitted once and its vectors persisted for all three
-    # learners; each learner's fit time includes that shared preprocessing
+    # preprocessing is fitted once for all three learners; each learner's fit
+    # time includes it
     prep_model, prep_secs = models.fit_timed(
         features.preprocess_pipeline(categorical, numeric, mode="onehot"), train
     )
-    train_v = prep_model.transform(train).persist(StorageLevel.MEMORY_AND_DISK)
+    train_v = prep_model.transform(train)
     preds = None
     for name, learner in learners.items():
         fitted, secs = models.fit_timed(learner, train_v)
@@ -138,44 +176,49 @@ def notebook_flow(
         res.models[name], res.fit_seconds[name] = m, secs + prep_secs
         p = m.transform(test).select(F.lit(name).alias("model"), "label", "prediction")
         preds = p if preds is None else preds.unionByName(p)
-    res.extras["train_vectors"] = train_v
+    preds = written(preds, "predictions")
     res.report = evaluate.metrics_report(preds, fit_seconds=_timings(spark, res.fit_seconds))
+    res.extras["classification_reports"] = evaluate.classification_report(preds, by=["model"])
     best_name = evaluate.select_best(res.report).first()["model"]
-    best = res.models[best_name]
     res.extras["best_model"] = best_name
-    res.extras["confusion_matrix"] = evaluate.confusion_matrix(best.transform(test), "label", "prediction")
+    res.extras["confusion_matrix"] = evaluate.confusion_matrix(
+        preds.where(F.col("model") == best_name), "label", "prediction"
+    )
     res.extras["importances"] = feature_importance(res.models["Random Forest"], train, categorical, numeric)
 
     rf_pipe = models.with_model(features.preprocess_pipeline(categorical, numeric, mode="onehot"), forest())
     if folds:
-        all_folds = split.stratified_folds(labelled, "label", key, folds, seed)
+        # every fit and score reads the folds: dealt once
+        all_folds = right_sized(split.stratified_folds(labelled, "label", key, folds, seed))
         res.extras["cross_validation"] = evaluate.cross_validate(all_folds, rf_pipe, "label", "fold", folds, parallelism)
 
     final = res.models["Random Forest"]
     if grid:
-        weighted = models.class_weights(train, "label", "w_balanced").withColumn("w_unit", F.lit(1.0))
-        train_folds = split.stratified_folds(weighted, "label", key, folds or 3, seed)
+        if grid not in ("reference", "star"):
+            raise ValueError("grid must be reference, star or None")
         rf = forest()
-        pipe = models.with_model(features.preprocess_pipeline(categorical, numeric, mode="onehot"), rf)
-        builder = ParamGridBuilder().addGrid(rf.weightCol, ["w_unit", "w_balanced"])
-        if grid == "reference":
-            builder = (
-                builder.addGrid(rf.numTrees, [100, 200, 300])
-                .addGrid(rf.maxDepth, [models.MAX_TREE_DEPTH, 8, 16])
-                .addGrid(rf.minInstancesPerNode, [1, 5])
-                .addGrid(rf.featureSubsetStrategy, ["sqrt", "log2"])
-            )
-        cv_model, results = evaluate.grid_search(
-            train_folds, pipe, builder.build(), "label", "fold", folds or 3, "recall", parallelism, seed
+        combos = reference_grid(rf) if grid == "reference" else star_grid(rf)
+        trees = rf.getParam("numTrees")
+        combos = [c | {trees: max(1, c[trees] * forest_trees // models.N_TREES)} for c in combos]
+        train_folds = right_sized(split.stratified_folds(train, "label", key, folds or 3, seed))
+        t0 = time.perf_counter()
+        final, res.extras["grid"] = evaluate.grid_search(
+            train_folds, weighted_preprocessing(categorical, numeric), rf, combos, "label", "fold", folds or 3, "recall", parallelism
         )
-        res.extras["grid"] = results
-        final = cv_model.bestModel
+        res.extras["search_seconds"] = time.perf_counter() - t0
+        t0 = time.perf_counter()
+        tuned = written(final.transform(test).select("label", "prediction"), "tuned")
+        res.extras["predict_seconds"] = time.perf_counter() - t0
+        res.extras["tuned_report"] = evaluate.classification_report(tuned)
 
     # every customer is scored (the business case), and each row says
     # whether it was used for training, so the file is never mistaken for
     # held-out predictions
-    scored = models.score(
-        final, tagged.withColumnRenamed("_split", "split"), out="churn_proba", keep=df.columns + ["split"]
+    scored = written(
+        models.score(
+            final, tagged.withColumnRenamed("_split", "split"), out="churn_proba", keep=df.columns + ["split"]
+        ),
+        "scored",
     )
     res.extras["scored"] = scored
     res.extras["high_risk"] = act.high_risk(scored, "churn_proba", threshold, top, key=[key])
@@ -186,6 +229,44 @@ def notebook_flow(
     return res
 
 
+@dataclass
+class RiskFlow:
+    scored: DataFrame
+    high_risk: DataFrame
+    profile: DataFrame
+    roi: DataFrame
+
+
+def risk_flow(
+    df: DataFrame,
+    categorical: Sequence[str],
+    numeric: Sequence[str],
+    target: str,
+    key: str,
+    positive="Yes",
+    threshold: float = act.THRESHOLD,
+    top: int = act.TOP_K,
+    profile_cols: Sequence[str] = (),
+    seed: int = 42,
+    test_size: float = 0.3,
+) -> RiskFlow:
+    """The business case with a trained model: split, fit the logistic preset
+    on the training side, score every customer once (written), then the risk
+    list, its profile and the return of a campaign."""
+    labelled = project.binary_label(df, target, positive, "label")
+    tagged = written(split.stratified_split(labelled, "label", key, test_size, seed, out="split"), "flow")
+    train = right_sized(tagged.where(F.col("split") == "train"))
+    model, _ = models.fit_logistic(train, categorical, numeric, "spark")
+    scored = written(models.score(model, tagged, "churn_proba", keep=[*df.columns, "split"]), "scored")
+    listed = written(act.high_risk(scored, "churn_proba", threshold, top, key=[key]), "risk-list")
+    return RiskFlow(
+        scored,
+        listed.orderBy(F.desc("churn_proba"), key),
+        act.risk_profile(listed, profile_cols),
+        act.retention_roi(act.at_risk(scored, "churn_proba", threshold)),
+    )
+
+
 def reference_script(
     spark,
     csv_path: str,

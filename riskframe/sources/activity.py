@@ -18,7 +18,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.functions.frames import bounded_broadcast
 from riskframe.sources.tables import load_table
 
 # Fixed values of the adapter (part of its definition).
@@ -74,7 +73,7 @@ def activity_frame(
     joined = customer.select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment").join(
         per_customer, F.col("c_custkey") == F.col("o_custkey")
     )
-    joined = joined.join(bounded_broadcast(geo), F.col("c_nationkey") == F.col("n_nationkey"))
+    joined = joined.join(geo, F.col("c_nationkey") == F.col("n_nationkey"))
 
     return joined.select(
         F.col("c_custkey"),

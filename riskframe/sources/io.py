@@ -2,11 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# One CSV dialect for both directions: a quote inside a quoted value is
+# doubled, nothing else is an escape, white space belongs to the value, and a
+# null is written as NULL_TOKEN, so it differs from an empty text.
+NULL_TOKEN = "\\N"
+_DIALECT = {
+    "quote": '"',
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+# Types tried in this order for text read with several null tokens.
+_INFERRED = ("int", "bigint", "double", "boolean", "timestamp")
+
+
 def read_table(
     spark: SparkSession,
     path: str,
@@ -14,36 +30,77 @@ def read_table(
     header: bool = True,
     infer_schema: bool = True,
     schema: T.StructType | str | None = None,
-    null_value: str | None = None,
+    null_value: str | Sequence[str] | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
     """Header CSV (or parquet) → frame. An explicit ``schema`` skips the
-    inference pass (a full extra read of the file); ``null_value`` names the
-    token read as null."""
+    inference pass (a full extra read of the file).
+
+    ``null_value`` names the token, or tokens, read as null (default
+    ``NULL_TOKEN``, which ``write_table`` writes); a missing value between
+    two commas is null too. Quoted values may hold newlines; such files are
+    read whole by a task, so ``multi_line=False`` lets Spark split large files
+    that have none.
+    """
     if fmt == "parquet":
         return spark.read.parquet(path)
-    reader = spark.read.option("header", header)
-    if null_value is not None:
-        reader = reader.option("nullValue", null_value)
+    tokens = [NULL_TOKEN] if null_value is None else [null_value] if isinstance(null_value, str) else list(null_value)
+    reader = spark.read.options(
+        header=header, multiLine=multi_line, nullValue=tokens[0] if tokens else NULL_TOKEN, **_DIALECT
+    )
+    if len(tokens) <= 1:
+        if schema is not None:
+            return reader.schema(schema).csv(path)
+        return reader.option("inferSchema", infer_schema).csv(path)
+    # several tokens: read text, blank the tokens out, then give types
+    raw = reader.csv(path)
     if schema is not None:
-        reader = reader.schema(schema)
+        schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+        raw = raw.toDF(*schema.fieldNames())
+    text = raw.select(*[F.when(~F.col(f"`{c}`").isin(*tokens), F.col(f"`{c}`")).alias(c) for c in raw.columns])
+    if schema is not None:
+        types = {f.name: f.dataType for f in schema.fields}
+    elif infer_schema:
+        types = _infer(text)
     else:
-        reader = reader.option("inferSchema", infer_schema)
-    return reader.csv(path)
+        types = {}
+    return text.select(
+        *[F.col(f"`{c}`").try_cast(types[c]).alias(c) if c in types else F.col(f"`{c}`") for c in text.columns]
+    )
+
+
+def _infer(text: DataFrame) -> dict[str, str]:
+    """The first type of ``_INFERRED`` that reads all values of a column; one
+    aggregate over all columns."""
+    aggs = []
+    for c in text.columns:
+        x = F.col(f"`{c}`")
+        aggs += [F.count(x), *[F.count(x.try_cast(t)) for t in _INFERRED]]
+    row = text.agg(*aggs).first()
+    step, out = len(_INFERRED) + 1, {}
+    for i, c in enumerate(text.columns):
+        n, *good = row[i * step : (i + 1) * step]
+        fits = [t for t, k in zip(_INFERRED, good) if k == n]
+        if n and fits:
+            out[c] = fits[0]
+    return out
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite", header: bool = True) -> str:
     """Write with a header row (CSV) or as parquet; one file per task, no
-    index column. Returns the path."""
+    index column. Text comes back from ``read_table`` as it was: quotes,
+    newlines, padding, empty and null values. Returns the path."""
     writer = df.write.mode(mode)
     if fmt == "parquet":
         writer.parquet(path)
     else:
-        writer.option("header", header).csv(path)
+        writer.options(header=header, nullValue=NULL_TOKEN, emptyValue="", quoteAll=True, **_DIALECT).csv(path)
     return path
 
 
 # The nested document: {model: {metric: "0.857", ...}, ...}.
 _DOC = "map<string,map<string,string>>"
+MAX_METRIC_ROWS = 10_000
 
 
 def read_metrics(
@@ -83,8 +140,10 @@ def read_metrics(
 def write_metrics(metrics: DataFrame, path: str, digits: int = 3, mode: str = "overwrite") -> str:
     """Tidy (model, metric, value) → one nested JSON document
     ``{model: {metric: "0.857"}}`` (values as fixed-point strings, like the
-    reference). The frame is a handful of rows (models × metrics); it is
-    folded into one map by a global aggregate and written by one task."""
+    reference). The document is one value, so the frame must be small: more
+    than ``MAX_METRIC_ROWS`` rows (models × metrics) raise."""
+    if metrics.limit(MAX_METRIC_ROWS + 1).count() > MAX_METRIC_ROWS:
+        raise ValueError(f"more than {MAX_METRIC_ROWS} metric rows do not make one document")
     fmt = f"%.{digits}f"
     # entries are sorted so the document text does not depend on task order
     inner = metrics.groupBy("model").agg(

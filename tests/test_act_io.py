@@ -96,8 +96,6 @@ def test_reference_script_from_csv(spark):
     cmp = {(r.model, r.metric): r for r in out["comparison"].collect()}
     assert cmp[("Random Forest", "accuracy")].better in ("a", "b", "tie")
     assert cmp[("Random Forest", "weighted_f1")].value_b is None  # never matched with the other f1
-    out["flow"].extras["train_vectors"].unpersist()
-    out["flow"].extras["train"].unpersist()
 
 
 def test_read_table_null_token(spark):

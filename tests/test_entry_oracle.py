@@ -16,7 +16,7 @@ EXPECTED = {
     "confusion_matrix", "accuracy", "precision_binary", "recall_binary", "f1_binary", "f1_weighted",
     "macro_scores", "classification_report", "metrics_report", "select_best", "cross_validate",
     "grid_search", "feature_importance", "compare_runs",
-    "high_risk", "risk_profile", "retention_roi",
+    "high_risk", "risk_profile", "retention_roi", "describe_lineitem", "risk_flow",
 }
 
 

@@ -1,5 +1,6 @@
 import pytest
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
 
 from fixtures import CATEGORICAL, NUMERIC, subscribers
 from riskframe.functions.frames import right_sized
@@ -112,8 +113,6 @@ def test_mllib_flow_reports_both_models(spark):
     rep = {r.model: r for r in res.report.collect()}
     assert set(rep) == {"Logistic Regression", "Random Forest"}
     assert all(0.0 <= r.accuracy <= 1.0 and r.fit_seconds > 0 for r in rep.values())
-    res.extras["train_vectors"].unpersist()
-    res.extras["train"].unpersist()
 
 
 def test_cross_validate_rows(spark, planted):
@@ -146,7 +145,7 @@ def test_notebook_flow_end_to_end(spark):
 
     df = subscribers(spark, 800, seed=3, signal=3.0)
     res = notebook_flow(
-        df, CATEGORICAL, NUMERIC, "Churn", "customerID", folds=2, grid="small",
+        df, CATEGORICAL, NUMERIC, "Churn", "customerID", folds=2, grid="star",
         profile_cols=["Contract", "InternetService", "tenure", "MonthlyCharges"],
         forest_trees=20, boost_stages=10,
     )
@@ -156,7 +155,12 @@ def test_notebook_flow_end_to_end(spark):
     assert len(res.extras["importances"].collect()) == 10
     assert {r.side for r in res.extras["cross_validation"].collect()} == {"test", "train", "fit"}
     grid = res.extras["grid"].collect()
-    assert len(grid) == 2 and sum(r.is_best for r in grid) == 1
+    assert len(grid) == 8 and sum(r.is_best for r in grid) == 1
+    assert all(0 <= r.cv_score <= 1 and 0 <= r.train_score <= 1 and r.fit_seconds > 0 for r in grid)
+    assert len(workflow_grid()) == 72
+    assert {r["class"] for r in res.extras["tuned_report"].collect()} >= {"0", "1", "accuracy"}
+    assert {r.model for r in res.extras["classification_reports"].collect()} == report
+    assert res.extras["missing"].first().n_missing == 0 and res.extras["duplicate_keys"].first().n_duplicates == 0
     scored = res.extras["scored"]
     assert scored.count() == 800
     assert {r.split for r in scored.select("split").distinct().collect()} == {"train", "test"}
@@ -197,16 +201,56 @@ def test_explicit_threshold_raises_recall(spark, planted):
     assert [r.prediction for r in fixed.collect()] == [1.0, 0.0]
 
 
-def test_grid_search_in_a_scheduler_pool(spark, planted):
+def workflow_grid():
+    from riskframe.plans.workflow import reference_grid
+
+    return reference_grid(models.forest_notebook())
+
+
+def test_grid_search_keeps_the_callers_pool_and_weights_by_fold(spark, planted):
     from pyspark.ml.tuning import ParamGridBuilder
 
+    from riskframe.plans.workflow import weighted_preprocessing
+
     train, _ = planted
-    folded = split.stratified_folds(train, "label", "customerID", k=2)
-    lr = models.logistic_spark()
-    pipe = models.with_model(features.preprocess_pipeline(CATEGORICAL, NUMERIC), lr)
+    folded = right_sized(split.stratified_folds(train, "label", "customerID", k=2))
+    lr = models.logistic_spark().setWeightCol("w_balanced")
     grid = ParamGridBuilder().addGrid(lr.regParam, [0.01, 0.1]).build()
-    cv_model, results = evaluate.grid_search(folded, pipe, grid, "label", "fold", k=2, metric="f1", parallelism=2, pool="search")
+    spark.sparkContext.setLocalProperty("spark.scheduler.pool", "search")
+    try:
+        best, results = evaluate.grid_search(
+            folded, weighted_preprocessing(CATEGORICAL, NUMERIC), lr, grid, "label", "fold", k=2, metric="f1", parallelism=2
+        )
+        assert spark.sparkContext.getLocalProperty("spark.scheduler.pool") == "search"
+    finally:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
     rows = results.collect()
     assert len(rows) == 2 and sum(r.is_best for r in rows) == 1
-    assert spark.sparkContext.getLocalProperty("spark.scheduler.pool") is None
-    assert cv_model.bestModel is not None
+    assert all(r.fit_seconds is None for r in rows)
+    assert best.transform(train).where("prediction is null").count() == 0
+    w = evaluate.BalancedWeights().fit(folded.where("fold = 0"))
+    n, pos = folded.where("fold = 0").count(), folded.where("fold = 0 and label = 1").count()
+    assert w.weights[1.0] == pytest.approx(n / (2 * pos))
+
+
+def test_too_many_levels_raise_with_the_columns_name(spark):
+    df = spark.range(3000).select(
+        F.concat(F.lit("customer_"), F.col("id").cast("string")).alias("name"), (F.col("id") % 3).cast("string").alias("kind")
+    )
+    for run in (
+        lambda: features.index_categories(df, ["kind", "name"], max_levels=1000),
+        lambda: features.one_hot(df, ["name"], max_levels=1000),
+        lambda: features.one_hot_columns(df, ["kind", "name"]),
+        lambda: features.preprocess_pipeline(["kind", "name"], [], max_levels=1000).fit(df),
+    ):
+        with pytest.raises(ValueError, match="name"):
+            run()
+    assert features.index_categories(df, ["kind"]).count() == 3000
+
+
+def test_missing_labels_are_left_out(spark):
+    df = spark.createDataFrame(
+        [(1.0, 1.0), (0.0, 0.0), (None, 1.0), (1.0, None), (float("nan"), 0.0)], "label double, prediction double"
+    )
+    s = evaluate.summary(df).first()
+    assert (s.n, s.accuracy, s.macro_f1) == (2.0, 1.0, 1.0)

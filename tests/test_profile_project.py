@@ -1,5 +1,6 @@
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from fixtures import preview_frame
@@ -87,19 +88,72 @@ def test_projection_helpers(spark):
     assert df.where(F.col("Churn") == "Yes").count() == 1
 
 
-def test_distributed_quantiles_equal_builtin_exact(spark):
-    # a hot value holding a third of the rows, duplicates, nulls, negatives
-    df = spark.range(3000).select(
-        F.when(F.col("id") % 3 == 0, F.lit(7.0)).otherwise((F.col("id") * 37 % 1001) / 10.0 - 20.0).alias("x"),
-        F.when(F.col("id") % 5 == 0, None).otherwise(F.col("id") % 17).alias("y"),
-    )
-    a = {r.column_name: r for r in profile.describe_numeric(df, method="distributed").collect()}
-    b = {r.column_name: r for r in profile.describe_numeric(df, method="percentile").collect()}
-    for c in ("x", "y"):
-        for k in ("p25", "p50", "p75", "min", "max", "count"):
-            assert math.isclose(a[c][k], b[c][k], rel_tol=1e-12, abs_tol=1e-12), (c, k, a[c][k], b[c][k])
+def _quartiles(values):
+    """pandas' rule; equal neighbours (infinite ones too) are the answer."""
+    v, out = sorted(values), []
+    for p in (0.25, 0.5, 0.75):
+        h = (len(v) - 1) * p
+        lo, hi = v[math.floor(h)], v[math.ceil(h)]
+        out.append(lo if lo == hi else lo + (hi - lo) * (h - math.floor(h)))
+    return out
+
+
+def test_exact_quartiles_in_few_and_many_rounds(spark, monkeypatch):
+    inf, nan = math.inf, math.nan
+    n = 30_000
+    cols = {
+        "hot": [7.0 if i % 3 == 0 else (i * 37 % 1001) / 10.0 - 20.0 for i in range(n)],
+        "distinct": [math.sin(i) * 1e6 for i in range(n)],
+        "gaps": [None if i % 5 == 0 else nan if i % 7 == 0 else float(i % 17) for i in range(n)],
+        "infinite": [inf if i % 2 else -inf if i % 3 == 0 else float(i) for i in range(n)],
+        "constant": [3.0] * n,
+        "edge": [1.0 if i < n // 4 else 2.0 + i for i in range(n)],
+        "empty": [None] * n,
+    }
+    df = spark.createDataFrame(list(zip(*cols.values())), ", ".join(f"{c} double" for c in cols)).repartition(4)
+    seen = []
+    for limit, accuracy in ((100_000, 10_000), (50, 20), (1, 10)):
+        monkeypatch.setattr(profile, "BRACKET_ROWS", limit)
+        monkeypatch.setattr(profile, "ACCURACY", accuracy)
+        got = {r.column_name: r for r in profile.describe_numeric(df).collect()}
+        for c, values in cols.items():
+            here = [v for v in values if v is not None and v == v]
+            assert got[c]["count"] == len(here)
+            want = _quartiles(here) if here else [None] * 3
+            assert [got[c].p25, got[c].p50, got[c].p75] == want, (c, limit)
+        seen.append(got["distinct"].asDict())
+    assert seen[0] == seen[1] == seen[2]
     approx = {r.column_name: r for r in profile.describe_numeric(df, method="approx").collect()}
-    assert approx["y"]["count"] == b["y"]["count"]
+    assert approx["gaps"]["count"] == got["gaps"]["count"]
+    with pytest.raises(ValueError):
+        profile.describe_numeric(df, method="percentile")
+
+
+def test_more_than_a_million_distinct_values(spark):
+    df = spark.range(1_300_001).select((F.col("id") * 7919 % 1_300_001).alias("x"))
+    r = profile.describe_numeric(df).first()
+    assert (r.p25, r.p50, r.p75) == (325_000.0, 650_000.0, 975_000.0)
+
+
+def test_missing_values_are_no_values(spark):
+    df = spark.createDataFrame([(1.0,), (1.0,), (math.nan,), (None,), (math.inf,)], "x double")
+    assert [(r.x, r["count"]) for r in profile.value_counts(df, "x").collect()] == [(1.0, 2), (math.inf, 1)]
+    assert round(sum(r.share_pct for r in profile.value_shares(df, "x").collect()), 9) == 100.0
+    assert [r["count"] for r in profile.histogram(df, "x", [0.0, 1.0, math.inf]).collect()] == [0, 3]
+
+
+def test_describe_mixed_covers_every_type(spark):
+    df = spark.sql(
+        "select 1 as i, 'a' as s, true as b, date'2024-01-02' as d, timestamp'2024-01-02 03:04:05' as t, "
+        "array(1, 2) as a, cast(1.5 as decimal(5,2)) as n"
+    )
+    got = {r.column_name: r for r in profile.describe_mixed(df).collect()}
+    assert set(got) == set("isbdtan")
+    assert (got["b"].top, got["d"].top, got["t"].top) == ("true", "2024-01-02", "2024-01-02 03:04:05")
+    assert got["n"].p50 == 1.5 and got["a"].unique == 1
+    assert profile.describe_mixed(df, ["b"]).count() == 1
+    none = profile.describe_mixed(df, [])
+    assert none.count() == 0 and none.columns[:2] == ["column_name", "count"]
 
 
 def test_describe_text_matches_spark_describe(spark):
@@ -118,17 +172,24 @@ def test_describe_text_matches_spark_describe(spark):
                 assert math.isclose(float(ours[stat][c]), float(v), rel_tol=1e-12)
 
 
-def test_histogram_many_bins_equals_chain(spark):
-    df = spark.range(2000).select(((F.col("id") * 7919 % 1000) / 10.0 - 5.0).alias("x"))
-    edges = [float(e) for e in range(0, 101, 5)]  # 20 bins, values below 0 ignored
-    many = {r.bin: r["count"] for r in profile.histogram(df, "x", edges).collect()}
-    old = profile.HISTOGRAM_CHAIN_BINS
-    profile.HISTOGRAM_CHAIN_BINS = 1000
-    try:
-        chain = {r.bin: r["count"] for r in profile.histogram(df, "x", edges).collect()}
-    finally:
-        profile.HISTOGRAM_CHAIN_BINS = old
-    assert many == chain and len(many) == 20
+def test_histogram_with_few_many_and_infinite_edges(spark):
+    xs = [(i * 7919 % 1000) / 10.0 - 5.0 for i in range(2000)] + [-math.inf, math.inf, math.nan]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    for edges in (
+        [0.0, 50.0],
+        [float(e) for e in range(0, 101, 5)],
+        [-math.inf, *map(float, range(10)), math.inf],
+        [-math.inf, *map(float, range(500)), math.inf],
+    ):
+        want = [
+            sum(a <= x < b or (k == len(edges) - 2 and x == b) for x in xs)
+            for k, (a, b) in enumerate(zip(edges, edges[1:]))
+        ]
+        got = sorted(profile.histogram(df, "x", edges).collect(), key=lambda r: r.bin)
+        assert [r["count"] for r in got] == want
+        assert [(r.lower, r.upper) for r in got] == list(zip(edges, edges[1:]))
+    with pytest.raises(ValueError):
+        profile.histogram(df, "x", [0.0, math.nan])
 
 
 def test_empty_inputs(spark):
@@ -137,7 +198,6 @@ def test_empty_inputs(spark):
     df = spark.createDataFrame([], "k string, x double, label double, prediction double, churn_proba double")
     num = {r.column_name: r for r in profile.describe_numeric(df, ["x"]).collect()}
     assert num["x"]["count"] == 0 and num["x"].p50 is None
-    assert profile.describe_numeric(df, ["x"], method="distributed").first()["count"] == 0
     mixed = {r.column_name: r for r in profile.describe_mixed(df, ["k", "x"]).collect()}
     assert mixed["k"]["count"] == 0 and mixed["k"].unique == 0 and mixed["k"].top is None
     assert profile.value_shares(df, "k").count() == 0

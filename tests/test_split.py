@@ -160,3 +160,58 @@ def test_hash_split_three_parts_is_a_partition(spark):
     counts = {r.split: r["count"] for r in out.groupBy("split").count().collect()}
     assert sum(counts.values()) == 3000 and set(counts) == {"a", "b", "c"}
     assert 1350 < counts["a"] < 1650 and 750 < counts["b"] < 1050
+
+
+def test_split_keys_do_not_collide(spark):
+    rows = [("a", None), (None, "a"), ("a#b", "c"), ("a", "b#c"), ("1:a", ""), ("", "1:a"), (None, None), ("-", "-")]
+    df = spark.createDataFrame(rows, "p string, q string")
+    h = {r[0] for r in df.select(stable_hash(["p", "q"], 1)).collect()}
+    assert len(h) == len(rows)
+
+
+def test_null_keys_spread_over_buckets(spark):
+    df = spark.range(4000).select(
+        F.when(F.col("id") % 2 == 0, F.col("id")).alias("key"), (F.col("id") % 2).cast("double").alias("label"), "id"
+    )
+    ranked = split.stratified_rank(df, "label", "key", digits=2)
+    w = split._draw(df, ["key"], 42)
+    sizes = df.where("key is null").groupBy(F.substring(w, 1, 2)).count().agg(F.max("count")).first()[0]
+    assert sizes < 50
+    ranks = sorted(r._rank for r in ranked.where("label = 1").collect())
+    assert ranks == list(range(1, 2001))
+    a = {r.id for r in split.stratified_split(df, "label", "key").where("split = 'test'").collect()}
+    b = {r.id for r in split.stratified_split(df.repartition(7), "label", "key").where("split = 'test'").collect()}
+    assert a == b and len(a) == 1200
+
+
+def test_right_sized_layout_depends_on_the_rows_alone(spark):
+    from riskframe.functions.frames import right_sized
+
+    df = _frame(spark, 3000)
+    layouts = []
+    for parts in (1, 3, 9):
+        cut = right_sized(df.repartition(parts), rows_per_partition=1000)
+        layouts.append(cut.withColumn("p", F.spark_partition_id()).collect())
+    assert layouts[0] == layouts[1] == layouts[2]
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    import pytest
+
+    from riskframe.functions.frames import checkpoint_root
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError):
+        checkpoint_root(Session())
