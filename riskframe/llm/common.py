@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.functions.frames import scratch_path
+from riskframe.functions.frames import written  # noqa: F401 - shared by the operators
 
 #: Fixed value: words are runs of characters other than these six.
 SPACES = " \t\n\x0b\f\r"
@@ -13,19 +13,6 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet under the session's checkpoint folder and
-    read back: cuts the lineage, is computed once, and a lost executor only
-    re-reads files. The folder goes when the driver's JVM ends."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    at = hadoop.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, all else as it is."""
     return F.translate(text, UPPER, UPPER.lower())
