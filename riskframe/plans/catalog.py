@@ -482,7 +482,7 @@ def q_grid_search(spark, d):
         "fold",
         k=5,
         metric="recall",
-        parallelism=4,
+        parallelism=8,
     )
     fitted = results.select(
         F.lit("fitted").alias("source"),

@@ -1,8 +1,7 @@
 """Streaming.
 
 The reference has no stream, watermark or stateful operator, so none is
-built here. Every operator in this library is a lazy DataFrame
-transformation and a fitted pipeline is an MLlib Transformer, so scoring
-(``operators.models.score``) and the threshold filter (``operators.act.at_risk``)
-apply unchanged to a frame read with ``spark.readStream``.
+built here. Fitted pipelines are MLlib Transformers, so
+``operators.models.score`` and ``operators.act.at_risk`` apply to a frame read
+with ``spark.readStream`` as they do to a table (tests/test_streaming.py).
 """
