@@ -22,7 +22,6 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,39 +33,74 @@ SIMILARITY = 0.8
 #: 23 is more than four standard deviations above.
 RADIUS = 23
 BLOCKS, BLOCK_BITS = 8, 8
-BLOCK_CHARS = 20_000_000
-#: Words whose hashes a task keeps.
-CACHE = 400_000
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_HASHES = _WordHashes()
+BLOCK_CHARS = 4_000_000
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd factor and of its inverse modulo 2**64."""
+    factor = 0x9E3779B97F4A7C15
+    both = [np.full(n, f, np.uint64) for f in (factor, pow(factor, -1, 1 << 64))]
+    for p in both:
+        p[0] = 1
+        np.multiply.accumulate(p, out=p)
+    return both[0], both[1]
+
+
+#: Bytes hashed at once.
+PIECE = 1 << 17
+_POWER, _INVERSE = _powers(PIECE + 1)
+_SPACE = np.zeros(256, bool)
+_SPACE[list(b" \t\n\x0b\x0c\r")] = True
+_BYTE = np.random.default_rng(5).integers(0, 1 << 64, 256, dtype=np.uint64)
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """A 64-bit hash of each word, all words of a piece at once: differences
+    of a running sum of byte values times powers, shifted back to power zero.
+    Pieces end at white space; only a word longer than ``PIECE`` makes one
+    longer."""
+    data = np.frombuffer(raw, np.uint8)
+    out = []
+    at = 0
+    while at < len(data):
+        space = _SPACE[data[at : at + PIECE]]
+        if at + PIECE < len(data):
+            while not space.any():
+                more = _SPACE[data[at + len(space) : at + 2 * len(space)]]
+                if not len(more):
+                    break
+                space = np.concatenate([space, more])
+            else:
+                space = space[: len(space) - int(space[::-1].argmax())]
+        n = len(space)
+        power, inverse = (_POWER, _INVERSE) if n < len(_POWER) else _powers(n + 1)
+        edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
+        starts, stops = edge[::2], edge[1::2]
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTE[data[at : at + n]] * power[:n], out=total[1:])
+        out.append((total[stops] - total[starts]) * inverse[starts])
+        at += n
+    return _mix(np.concatenate(out)) if out else np.empty(0, np.uint64)
 
 
 def shingle_hashes(text: str | None) -> tuple[np.ndarray, int]:
     """Hashes of the five-word shingles of the lower-cased text, in order,
     and its number of words."""
-    words = (text or "").lower().encode("utf-8", "surrogatepass").split()
-    n = len(words)
+    w = word_hashes((text or "").lower().encode("utf-8", "surrogatepass"))
+    n = len(w)
     if n < SHINGLE:
         return np.empty(0, np.uint64), n
-    w = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, n)
     out = np.zeros(n - SHINGLE + 1, np.uint64)
-    factor = np.uint64(0x9E3779B97F4A7C15)
     for k in range(SHINGLE):
-        out *= factor
+        out *= np.uint64(0x9E3779B97F4A7C15)
         out += w[k : n - SHINGLE + 1 + k]
-        out ^= out >> np.uint64(29)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    out ^= out >> np.uint64(32)
-    return out, n
+    return _mix(out), n
 
 
 def sign_windows(hashes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
@@ -86,24 +120,32 @@ class MultiIndex:
 
     def __init__(self, fingerprints: np.ndarray, radius: int = RADIUS):
         self.fps, self.radius = fingerprints, radius
-        reach = radius // BLOCKS
         values = np.arange(1 << BLOCK_BITS, dtype=np.uint64)
-        self.table: list[list[np.ndarray]] = []
-        for b in range(BLOCKS):
-            own = self.block(fingerprints, b)
-            near = np.bitwise_count(values[:, None] ^ own[None, :]) <= reach
-            self.table.append([np.flatnonzero(row) for row in near])
+        # by block: value by fingerprint, whether they are near
+        self.tables = [
+            np.bitwise_count(values[:, None] ^ self.block(fingerprints, b)[None, :]) <= radius // BLOCKS
+            for b in range(BLOCKS)
+        ]
 
     @staticmethod
     def block(fps: np.ndarray, b: int) -> np.ndarray:
         return (fps >> np.uint64(b * BLOCK_BITS)) & np.uint64((1 << BLOCK_BITS) - 1)
 
-    def near(self, fp: np.uint64) -> np.ndarray:
-        """Places of all fingerprints at most ``radius`` bits from ``fp``."""
-        found = np.unique(
-            np.concatenate([self.table[b][int(self.block(fp, b))] for b in range(BLOCKS)])
-        )
-        return found[np.bitwise_count(self.fps[found] ^ fp) <= self.radius]
+    def near(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs of places in ``fps`` and in the index that are at most
+        ``radius`` bits apart."""
+        left, right = [], []
+        step = max(1, (1 << 22) // max(1, len(self.fps)))
+        for at in range(0, len(fps), step):
+            part = fps[at : at + step]
+            found = np.zeros((len(part), len(self.fps)), bool)
+            for b, table in enumerate(self.tables):
+                found |= table[self.block(part, b)]
+            i, j = np.nonzero(found)
+            close = np.bitwise_count(part[i] ^ self.fps[j]) <= self.radius
+            left.append(i[close] + at)
+            right.append(j[close])
+        return np.concatenate(left), np.concatenate(right)
 
 
 class LeakIndex:
@@ -139,7 +181,11 @@ class LeakIndex:
         hit = self.filter[hashes >> self.shift]
         if not hit.any():
             return []
-        hit[hit] = np.isin(hashes[hit], self.known)
+        some = hashes[hit]
+        at = np.minimum(np.searchsorted(self.known, some), len(self.known) - 1)
+        hit[hit] = self.known[at] == some
+        if not hit.any():
+            return []
         seen = np.concatenate([[0], np.cumsum(hit)])
         s = self.similarity
         out = []
@@ -150,16 +196,12 @@ class LeakIndex:
             if not len(starts):
                 continue
             best: dict[int, tuple[float, int]] = {}
-            for start, fp in zip(starts.tolist(), sign_windows(hashes, starts, here)):
-                candidates = index.near(fp)
-                if not len(candidates):
-                    continue
-                window = Counter(hashes[start : start + here].tolist())
-                for c in candidates.tolist():
-                    common = (window & counts[c]).total()
-                    got = common / (here + size - common)
-                    if got >= s - 1e-12 and got > best.get(c, (0.0, 0))[0]:
-                        best[c] = (got, start)
+            for i, c in zip(*(x.tolist() for x in index.near(sign_windows(hashes, starts, here)))):
+                start = int(starts[i])
+                common = (Counter(hashes[start : start + here].tolist()) & counts[c]).total()
+                got = common / (here + size - common)
+                if got >= s - 1e-12 and got > best.get(c, (0.0, 0))[0]:
+                    best[c] = (got, start)
             out += [(ids[c], got, start, here + SHINGLE - 1) for c, (got, start) in best.items()]
         return sorted(out, key=lambda x: (x[0] is None, x[0] or 0))
 
@@ -209,7 +251,9 @@ def _lookup(items, similarity: float):
         names = ("item_id", "similarity", "first_word", "n_words")
         return pd.Series([[dict(zip(names, x)) for x in index.leaks(t)] for t in texts])
 
-    return look
+    # nondeterministic to the optimiser, which would else run it again to
+    # filter on what it returns
+    return look.asNondeterministic()
 
 
 def find_leaks(

@@ -46,12 +46,16 @@ def test_multi_index_finds_all_in_the_radius():
     rng = np.random.default_rng(3)
     fps = rng.integers(0, 2**64, 500, dtype=np.uint64)
     index = decontaminate.MultiIndex(fps)
+    probes = []
     for i in range(300):
         fp = fps[i]
         for b in rng.choice(64, rng.integers(0, 24), replace=False).tolist():
             fp = fp ^ np.uint64(1 << b)
-        want = np.flatnonzero(np.bitwise_count(fps ^ fp) <= decontaminate.RADIUS)
-        assert index.near(fp).tolist() == want.tolist()
+        probes.append(fp)
+    probes = np.array(probes)
+    want = np.nonzero(np.bitwise_count(probes[:, None] ^ fps[None, :]) <= decontaminate.RADIUS)
+    got = index.near(probes)
+    assert got[0].tolist() == want[0].tolist() and got[1].tolist() == want[1].tolist()
 
 
 def test_edited_copies_are_found(spark):
@@ -105,3 +109,24 @@ def test_edge_rows(spark):
     assert decontaminate.find_leaks(docs.where("false"), bench).count() == 0
     assert decontaminate.find_leaks(docs, bench.where("false")).count() == 0
     assert decontaminate.decontaminate(docs, bench.where("false")).count() == len(rows)
+
+
+def test_word_hashes_by_pieces(monkeypatch):
+    rng = random.Random(6)
+    words = ["w" * rng.randint(1, 12) + str(i % 50) for i in range(3000)] + ["x" * 500, "y" * 70]
+    rng.shuffle(words)
+    for glue in (" ", "\n\t ", "\x0b"):
+        raw = (glue + glue.join(words) + rng.choice(["", glue])).encode()
+        whole = decontaminate.word_hashes(raw)
+        assert len(whole) == len(words)
+        assert len(set(whole.tolist())) == len(set(words))
+        by = dict(zip(words, whole.tolist()))
+        for size in (64, 7, 1):
+            monkeypatch.setattr(decontaminate, "PIECE", size)
+            again = decontaminate.word_hashes(raw)
+            assert again.tolist() == [by[w] for w in words]
+        monkeypatch.undo()
+    for raw in (b"", b" ", b" \n"):
+        assert len(decontaminate.word_hashes(raw)) == 0
+    assert len(decontaminate.word_hashes(b"z" * 300_000)) == 1
+    assert len(decontaminate.word_hashes(b"z" * 300_000 + b" y")) == 2
