@@ -204,18 +204,51 @@ def fit_logistic(train: DataFrame, categorical: Sequence[str], numeric: Sequence
     raise ValueError(f"preset must be one of {PRESETS}")
 
 
-def fit_forest(train: DataFrame, categorical: Sequence[str], numeric: Sequence[str], preset: str = "spark", label: str = "label", seed: int = SEED):
-    """(pipeline model, fit seconds) of the random-forest presets."""
+def fit_forest(
+    train: DataFrame,
+    categorical: Sequence[str],
+    numeric: Sequence[str],
+    preset: str = "spark",
+    label: str = "label",
+    seed: int = SEED,
+    max_depth: int | None = None,
+    min_leaf: int = 1,
+):
+    """(pipeline model, fit seconds) of the random-forest presets.
+    ``max_depth`` (default: the preset's, 5 or 30) and ``min_leaf`` bound the
+    trees. With the notebook's depth and ``min_leaf=1`` they grow with the
+    rows; ``n_nodes`` tells how large a fitted model is."""
     if preset == "spark":
-        return _fit(train, categorical, numeric, forest_spark(seed=seed), "ordinal", label)
-    if preset == "notebook":
-        return _fit(train, categorical, numeric, forest_notebook(seed=seed), "onehot", label)
-    raise ValueError(f"preset must be one of {PRESETS}")
+        learner, mode = forest_spark(seed=seed), "ordinal"
+    elif preset == "notebook":
+        learner, mode = forest_notebook(seed=seed), "onehot"
+    else:
+        raise ValueError(f"preset must be one of {PRESETS}")
+    if max_depth is not None:
+        learner = learner.setMaxDepth(max_depth)
+    return _fit(train, categorical, numeric, learner.setMinInstancesPerNode(min_leaf), mode, label)
 
 
-def fit_boosting(train: DataFrame, categorical: Sequence[str], numeric: Sequence[str], label: str = "label", seed: int = SEED):
-    """(pipeline model, fit seconds) of the boosting preset (one-hot path)."""
-    return _fit(train, categorical, numeric, boosting(seed=seed), "onehot", label)
+def n_nodes(model) -> int:
+    """Nodes of all trees of a fitted forest or boosting model: its size on
+    the driver and in the broadcast that scores rows."""
+    return int(tree_stage(model).totalNumNodes)
+
+
+def fit_boosting(
+    train: DataFrame,
+    categorical: Sequence[str],
+    numeric: Sequence[str],
+    label: str = "label",
+    seed: int = SEED,
+    checkpoint_interval: int = 10,
+):
+    """(pipeline model, fit seconds) of the boosting preset (one-hot path).
+    Every stage is a few Spark jobs over the training partitions, whose number
+    is the caller's (``right_sized(train, rows_per_partition=...)``);
+    ``checkpoint_interval`` is the stages between lineage cuts."""
+    learner = boosting(seed=seed).setCheckpointInterval(checkpoint_interval)
+    return _fit(train, categorical, numeric, learner, "onehot", label)
 
 
 def feature_importance(

@@ -101,6 +101,13 @@ def test_boosting_and_weights(spark, planted):
     assert models.predict(model, test, keep=["customerID"]).count() == test.count()
 
 
+def test_depth_and_leaf_bound_the_forest(spark, planted):
+    train, _ = planted
+    small, _ = models.fit_forest(train, CATEGORICAL, NUMERIC, "notebook", max_depth=3, min_leaf=50)
+    large, _ = models.fit_forest(train, CATEGORICAL, NUMERIC, "notebook", max_depth=8)
+    assert 100 <= models.n_nodes(small) <= 100 * 15 < models.n_nodes(large)
+
+
 def test_fixed_coefficient_score(spark):
     df = spark.createDataFrame([(0.0,), (2.0,)], "x double")
     out = [r.p for r in models.score({"intercept": 0.0, "x": 1.0}, df, out="p").collect()]
