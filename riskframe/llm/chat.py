@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskframe.llm.common import free_name
+
 #: What follows the first character of a control string.
 _TAIL = r"(/?INST\]|/?SYS\]|SEP\]|/?s>|/?SYS>>|\|im_start\|>|\|im_end\|>)"
 OPEN, HEAD, SEP, CLOSE = "<s>", "[INST]", "[SEP]", "[/INST]</s>"
@@ -135,14 +137,28 @@ def read_turns(formatted: Column) -> Column:
     )
 
 
-def loss_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss spans, unescaped, nothing between."""
-    return F.array_join(
-        F.transform(
-            spans,
-            lambda s: unescape(
-                F.substring(formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
-            ),
-        ),
-        "",
-    )
+#: Code points in a block of a formatted text.
+BLOCK = 4096
+
+
+def with_loss_text(chats: DataFrame, out_col: str = "loss") -> DataFrame:
+    """``chats`` plus all text under its loss spans, unescaped, nothing
+    between. The text is cut into blocks first, so a span costs its own blocks
+    and not the way to them: linear in the conversation."""
+    text, spans = F.col("formatted"), F.col("loss_spans")
+    blocks = free_name(chats, "blocks")
+    cut = chats.withColumn(blocks, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)))
+    b = F.col(blocks)
+
+    def under(s: Column) -> Column:
+        first = F.floor(s["start"] / BLOCK)
+        last = F.floor(s["end"] / BLOCK)
+        near = F.array_join(F.slice(b, (first + 1).cast("int"), (last - first + 1).cast("int")), "")
+        return unescape(
+            F.substring(near, (s["start"] - first * BLOCK + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
+        )
+
+    # the blocks are named twice, so the optimiser keeps them a column of
+    # their own and does not cut the text again for each span
+    found = F.when(F.size(b) > 0, F.array_join(F.transform(spans, under), "")).otherwise(F.lit(""))
+    return cut.withColumn(out_col, found).drop(blocks)

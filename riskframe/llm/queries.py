@@ -75,10 +75,10 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     chats = chat.format_chats(turns.unionByName(extra))
     line = lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
-    back = chats.select(
+    back = chat.with_loss_text(chats).select(
         "conv_id",
         chat.read_turns(F.col("formatted")).alias("turns"),
-        chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"),
+        "loss",
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
     return back.select(

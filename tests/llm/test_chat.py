@@ -19,11 +19,7 @@ def _round(df):
     out = chat.format_chats(df)
     return {
         r.conv_id: r
-        for r in out.select(
-            "*",
-            chat.read_turns(F.col("formatted")).alias("back"),
-            chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"),
-        ).collect()
+        for r in chat.with_loss_text(out).withColumn("back", chat.read_turns(F.col("formatted"))).collect()
     }
 
 
