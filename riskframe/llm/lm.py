@@ -34,11 +34,12 @@ from pyspark.sql import functions as F
 
 from riskframe.llm.common import written
 
-BATCH_BYTES = 32 << 20
-#: Bits of the filter: about ``BITS_PER_GRAM`` for each gram, at most 64 MB.
+BATCH_BYTES = 16 << 20
+#: Bits of the filter: at least ``BITS_PER_TOKEN`` for each training token,
+#: up to a power of two, at most 64 MB.
 MAX_BITS = 1 << 29
 MIN_BITS = 1 << 20
-BITS_PER_GRAM = 10
+BITS_PER_TOKEN = 6
 PROBES = 3
 #: Pseudo-count of the unigram distribution in a bigram's.
 PRIOR = 200.0
@@ -48,11 +49,12 @@ BUCKETS_PER_BATCH, MIN_BUCKETS = 8, 256
 CHUNK = 1 << 19
 #: The end token; words are never empty.
 END = b""
-_REST = np.uint64((1 << 40) - 1)
+#: Hash bits of a gram within its bucket: so few that sorted differences fit 32.
+REST_BITS = 40
 
 _BATCH = (
     "batch long, ids array<long>, train array<boolean>, lengths array<int>, "
-    "tokens array<string>, n_train array<long>, codes binary, n_grams long"
+    "tokens array<string>, n_train array<long>, hashes binary, codes binary, taught long"
 )
 
 
@@ -117,10 +119,11 @@ class _Batch:
         codes = np.concatenate(self.parts)
         taught = np.repeat(np.array(self.train, bool), lengths)
         n_train = np.bincount(codes[taught], minlength=len(self.codes))
-        grams = _batch_grams(codes, lengths, np.array(self.train, bool), token_hashes(list(self.codes)), n_train)
+        hashes = token_hashes(list(self.codes))
+        self.parts.clear()
         tokens = [t.decode("utf-8", "surrogatepass") for t in self.codes]
-        values = [[batch], [self.ids], [self.train], [lengths], [tokens], [n_train], [_pack(codes)], [len(grams[0])]]
-        types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary(), pa.int64()]
+        values = [[batch], [self.ids], [self.train], [lengths], [tokens], [n_train], [hashes.tobytes()], [_pack(codes)], [int(n_train.sum())]]
+        types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64()]
         names = [c.split()[0] for c in _BATCH.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types)], names=names)
 
@@ -140,27 +143,56 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.row(number)
 
 
-def _histories(codes: np.ndarray, lengths: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Hash of the token before each token, ``_BEGIN`` for a text's first."""
-    before = np.empty(len(codes), np.uint64)
-    before[1:] = hashes[codes[:-1]]
-    before[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = _BEGIN
-    return before
+def _pieces(codes: np.ndarray, lengths: np.ndarray, hashes: np.ndarray):
+    """The texts of a batch, about ``CHUNK`` tokens at a time: first and last
+    text, first and last token, and each token's bigram hash (the history of
+    a text's first token is ``_BEGIN``)."""
+    ends = np.cumsum(lengths)
+    first = start = 0
+    while first < len(lengths):
+        last = max(first + 1, int(np.searchsorted(ends, start + CHUNK, "right")))
+        stop = int(ends[last - 1])
+        right = hashes[codes[start:stop]]
+        left = np.empty_like(right)
+        left[1:] = right[:-1]
+        left[ends[first:last] - lengths[first:last] - start] = _BEGIN
+        yield first, last, start, stop, bigram_hashes(left, right)
+        first, start = last, stop
 
 
 def _batch_grams(
     codes: np.ndarray, lengths: np.ndarray, train: np.ndarray, hashes: np.ndarray, n_train: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (sorted) and counts of a batch's training uni- and bigrams."""
-    taught = np.repeat(train, lengths)
-    pairs = bigram_hashes(_histories(codes, lengths, hashes)[taught], hashes[codes[taught]])
+    lengths = lengths.astype(np.int64)
+    pairs = np.empty(int(lengths[train].sum()), np.uint64)
+    at = 0
+    for first, last, _, _, both in _pieces(codes, lengths, hashes):
+        both = both[np.repeat(train[first:last], lengths[first:last])]
+        pairs[at : at + len(both)] = both
+        at += len(both)
     two, n_two = np.unique(pairs, return_counts=True)
+    del pairs
     known = n_train > 0
     grams = np.concatenate([unigram_hashes(hashes[known]), two])
     order = np.argsort(grams, kind="stable")
     return grams[order], np.concatenate([n_train[known], n_two])[order]
 
 
+def _columns(rows: pa.RecordBatch) -> Iterator[dict]:
+    """Each batch row's columns: lists as arrays, binaries as bytes."""
+    for i in range(len(rows)):
+        out = {}
+        for name in rows.schema.names:
+            cell = rows.column(name)[i]
+            if pa.types.is_list(cell.type):
+                keep = name == "ids"  # may hold nulls
+                out[name] = cell.values if keep else cell.values.to_numpy(zero_copy_only=False)
+            else:
+                out[name] = cell.as_py()
+        yield out
+
+
 def encoded(docs: DataFrame) -> DataFrame:
     """``docs(id, text, train)`` as written batches."""
     rows = docs.select(
@@ -246,21 +278,19 @@ class LogBloom:
 
 
 def _rest(hashes: np.ndarray, bucket_bits: int) -> np.ndarray:
-    return (hashes >> np.uint64(24 - bucket_bits)) & _REST
+    return (hashes >> np.uint64(64 - REST_BITS - bucket_bits)) & np.uint64((1 << REST_BITS) - 1)
 
 
 def _spread(bucket_bits: int):
-    """Per batch and bucket: the sorted 40-bit rests as differences, and the
+    """Per batch and bucket: the sorted rests as differences, and the
     counts, packed."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            for row in rows.to_pylist():
-                codes = _unpack(row["codes"], sum(row["lengths"]))
-                hashes = token_hashes([t.encode("utf-8", "surrogatepass") for t in row["tokens"]])
-                grams, counts = _batch_grams(
-                    codes, np.array(row["lengths"], np.int64), np.array(row["train"], bool), hashes, np.array(row["n_train"], np.int64)
-                )
+            for row in _columns(rows):
+                codes = _unpack(row["codes"], int(row["lengths"].sum()))
+                hashes = np.frombuffer(row["hashes"], np.uint64)
+                grams, counts = _batch_grams(codes, row["lengths"], row["train"], hashes, row["n_train"])
                 bucket = (grams >> np.uint64(64 - bucket_bits)).astype(np.int64)
                 rest = _rest(grams, bucket_bits).astype(np.int64)
                 cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
@@ -306,14 +336,14 @@ def _segment(segment: int):
 def build_filter(batches: DataFrame) -> tuple[LogBloom, int]:
     """The filter of the batches' training grams, and their number. A bucket
     merges one packed array per batch; at most ``MAX_BITS`` bits come back."""
-    told = batches.agg(F.count("*"), F.sum("n_grams")).first()
-    n_batches, n_grams = told[0], told[1] or 0
+    told = batches.agg(F.count("*"), F.sum("taught")).first()
+    n_batches, n_tokens = told[0], told[1] or 0
     buckets = max(MIN_BUCKETS, BUCKETS_PER_BATCH * n_batches)
     bucket_bits = min(20, (buckets - 1).bit_length())
-    n_bits = 1 << max(0, BITS_PER_GRAM * n_grams - 1).bit_length()
+    n_bits = 1 << max(0, BITS_PER_TOKEN * n_tokens - 1).bit_length()
     n_bits = max(min(MAX_BITS, max(MIN_BITS, n_bits)), 64 << bucket_bits)
     segment = n_bits >> bucket_bits
-    spread = batches.select("lengths", "train", "tokens", "n_train", "codes").mapInArrow(
+    spread = batches.select("lengths", "train", "n_train", "hashes", "codes").mapInArrow(
         _spread(bucket_bits), "bucket long, blob binary"
     )
     filled = spread.groupBy("bucket").applyInArrow(_segment(segment), "bucket long, bits binary, grams long")
@@ -333,43 +363,36 @@ _SCORES = "id long, held_out boolean, n_tokens long, n_known long, base_score do
 
 def _score(shared, n: int, v: int, n_docs: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, bucket_bits, segment = shared.value
-        bloom = LogBloom(np.frombuffer(bits, np.uint8), bucket_bits, segment)
         for rows in batches:
-            for row in rows.to_pylist():
-                yield _score_batch(row, bloom, n, v, n_docs)
+            for row in _columns(rows):
+                yield _score_batch(row, shared.value, n, v, n_docs)
 
     return score
 
 
 def _score_batch(row: dict, bloom: LogBloom, n: int, v: int, n_docs: int) -> pa.RecordBatch:
-    lengths = np.array(row["lengths"], np.int64)
+    lengths = row["lengths"].astype(np.int64)
     codes = _unpack(row["codes"], int(lengths.sum()))
-    hashes = token_hashes([t.encode("utf-8", "surrogatepass") for t in row["tokens"]])
+    hashes = np.frombuffer(row["hashes"], np.uint64)
     exact = np.zeros(len(hashes), np.int64)
-    exact[np.array(row["pos"], np.int64)] = row["c"]
+    exact[row["pos"]] = row["c"]
     base = np.log10((exact + 1) / (n + v + 1))
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     rough = quantised(bloom.level(unigram_hashes(hashes)))
-    single = (rough + 1) / (n + v + 1)
-    history = np.empty(len(codes))
-    history[1:] = rough[codes[:-1]]
-    history[starts] = n_docs
-    pairs = bigram_hashes(_histories(codes, lengths, hashes), hashes[codes])
-    both = np.minimum(quantised(bloom.level(pairs)), history)
-    p = np.log10(np.minimum((both + PRIOR * single[codes]) / (history + PRIOR), 1.0))
-    add = np.add.reduceat
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(row["ids"], pa.int64()),
-            pa.array(~np.array(row["train"], bool)),
-            pa.array(lengths),
-            pa.array(add((exact > 0)[codes].astype(np.int64), starts)),
-            pa.array(add(base[codes], starts)),
-            pa.array(add(p, starts)),
-        ],
-        names=[c.split()[0] for c in _SCORES.split(", ")],
-    )
+    single = PRIOR * (rough + 1) / (n + v + 1)
+    n_known, base_score, score = np.zeros(len(lengths), np.int64), np.zeros(len(lengths)), np.zeros(len(lengths))
+    for first, last, start, stop, pairs in _pieces(codes, lengths, hashes):
+        part = codes[start:stop]
+        firsts = np.cumsum(lengths[first:last]) - lengths[first:last]
+        history = np.empty(len(part))
+        history[1:] = rough[part[:-1]]
+        history[firsts] = n_docs
+        both = np.minimum(quantised(bloom.level(pairs)), history)
+        p = np.log10(np.minimum((both + single[part]) / (history + PRIOR), 1.0))
+        n_known[first:last] = np.add.reduceat((exact > 0)[part].astype(np.int64), firsts)
+        base_score[first:last] = np.add.reduceat(base[part], firsts)
+        score[first:last] = np.add.reduceat(p, firsts)
+    arrays = [row["ids"], pa.array(~row["train"]), pa.array(lengths), pa.array(n_known), pa.array(base_score), pa.array(score)]
+    return pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in _SCORES.split(", ")])
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_col: str = "train") -> DataFrame:
@@ -391,9 +414,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     n, v = told[0] or 0, told[1] or 0
     n_docs = batches.agg(F.sum(F.size(F.filter("train", lambda t: t)))).first()[0] or 0
     bloom, _ = build_filter(batches)
-    shared = docs.sparkSession.sparkContext.broadcast((bloom.bits.tobytes(), bloom.bucket_bits, bloom.segment))
+    shared = docs.sparkSession.sparkContext.broadcast(bloom)
     met = batches.join(totals.select("batch", "totals.pos", "totals.c"), "batch").select(
-        "ids", "train", "lengths", "tokens", "codes", "pos", "c"
+        "ids", "train", "lengths", "hashes", "codes", "pos", "c"
     )
     scored = met.mapInArrow(_score(shared, n, v, n_docs), _SCORES)
     return scored.select(
