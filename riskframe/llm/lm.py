@@ -44,13 +44,13 @@ PROBES = 3
 #: Pseudo-count of the unigram distribution in a bigram's.
 PRIOR = 200.0
 #: Buckets per batch, and at least.
-BUCKETS_PER_BATCH, MIN_BUCKETS = 8, 256
+BUCKETS_PER_BATCH, MIN_BUCKETS = 4, 256
 #: Grams worked on at once.
 CHUNK = 1 << 19
 #: The end token; words are never empty.
 END = b""
 #: Hash bits of a gram within its bucket: so few that sorted differences fit 32.
-REST_BITS = 40
+REST_BITS = 36
 
 _BATCH = (
     "batch long, ids array<long>, train array<boolean>, lengths array<int>, "
