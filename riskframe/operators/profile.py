@@ -23,7 +23,7 @@ QUANTILES = (0.25, 0.5, 0.75)
 # ``percentile_approx`` is off by at most 1 / ACCURACY of the rows.
 ACCURACY = 10_000
 # Values of a bracket that one task may sort; a larger one is narrowed again.
-BRACKET_ROWS = 100_000
+BRACKET_ROWS = 10_000
 
 
 def _tidy(one_row: DataFrame, structs: list[Column]) -> DataFrame:
@@ -189,33 +189,33 @@ def _narrow(df: DataFrame, xs: list[Column], active: list[_Target]) -> None:
 def _pick(df: DataFrame, xs: list[Column], targets: list[_Target]) -> dict[int, tuple[float, float]]:
     """Both order statistics of each target, from its bracket's values."""
     out = {id(t): (t.low, t.high) for t in targets if t.low == t.high}
-    rest = [t for t in targets if t.low != t.high]
-    if rest:
+    # targets that share a bracket share its values
+    groups: dict[tuple[int, float, float], list[_Target]] = {}
+    for t in targets:
+        if t.low != t.high:
+            groups.setdefault((t.col, t.low, t.high), []).append(t)
+    if groups:
+        brackets = list(groups.values())
+        inside = [F.when(ts[0].within(xs[ts[0].col]), xs[ts[0].col]) for ts in brackets]
         long = df.select(
-            F.inline(
-                F.array(
-                    *[
-                        F.struct(F.lit(k).alias("t"), F.when(t.within(xs[t.col]), xs[t.col]).alias("value"))
-                        for k, t in enumerate(rest)
-                    ]
-                )
-            )
+            F.inline(F.array(*[F.struct(F.lit(g).alias("g"), x.alias("value")) for g, x in enumerate(inside)]))
         ).where(F.col("value").isNotNull())
-        counted = long.groupBy("t", "value").agg(F.count(F.lit(1)).alias("w"))
-        run = Window.partitionBy("t").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        counted = long.groupBy("g", "value").agg(F.count(F.lit(1)).alias("w"))
+        run = Window.partitionBy("g").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         ranked = counted.withColumn("upto", F.sum("w").over(run))
-        ranks = F.array(*[F.array(F.lit(t.first - t.below), F.lit(t.last - t.below)) for t in rest])
-        at = ranks[F.col("t")]
-
-        def holds(rank: Column) -> Column:
-            return (F.col("upto") - F.col("w") <= rank) & (rank < F.col("upto"))
-
-        found = ranked.groupBy("t").agg(
-            F.max(F.when(holds(at[0]), F.col("value"))).alias("low"),
-            F.max(F.when(holds(at[1]), F.col("value"))).alias("high"),
-        )
-        for r in found.collect():  # one row per target
-            out[id(rest[r["t"]])] = (r["low"], r["high"])
+        # the wanted ranks of each bracket, as many places for all
+        most = max(len(ts) for ts in brackets)
+        wanted = [[r - t.below for t in ts for r in (t.first, t.last)] for ts in brackets]
+        ranks = F.array(*[F.array(*[F.lit(r) for r in w + [-1] * (2 * most - len(w))]) for w in wanted])[F.col("g")]
+
+        def at(k: int) -> Column:
+            holds = (F.col("upto") - F.col("w") <= ranks[k]) & (ranks[k] < F.col("upto"))
+            return F.max(F.when(holds, F.col("value")))
+
+        found = ranked.groupBy("g").agg(*[at(k).alias(f"v{k}") for k in range(2 * most)])
+        for r in found.collect():  # one row per bracket
+            for k, t in enumerate(brackets[r["g"]]):
+                out[id(t)] = (r[f"v{2 * k}"], r[f"v{2 * k + 1}"])
     return out
 
 
