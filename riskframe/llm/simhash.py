@@ -281,7 +281,8 @@ def simhash_groups(
     rooted = fps.join(roots, "fp", "left").select(
         "fp", "low", F.coalesce("root", "fp").alias("root_fp")
     )
-    least = rooted.groupBy("root_fp").agg(F.min("low").alias("component_id"))
+    # one row per group, written: the join below can then split a hot group
+    least = written(rooted.groupBy("root_fp").agg(F.min("low").alias("component_id")), "groups")
     named = rooted.join(least, "root_fp").select("fp", "root_fp", "component_id")
     return rows.join(named, "fp").select(
         F.col("id").alias(id_col),
