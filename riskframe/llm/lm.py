@@ -3,9 +3,10 @@
 The filter holds, for every uni- and bigram of the training texts, its count
 on a log scale: a gram of level q (count 2**(q-1) to 2**q - 1) is entered
 under 1 to q, and probing 1, 2, ... until one is missing reads the level back.
-False positives only raise a level. The filter has at most ``MAX_BITS`` bits,
-whatever the corpus; that is what is broadcast. Probabilities are smoothed
-from the quantised counts c:
+False positives only raise a level. The filter grows with the training tokens
+(``BITS_PER_TOKEN``), so their share stays the same at every size; it is cut
+into segments by hash and never gathered. Probabilities are smoothed from the
+quantised counts c:
 
     P(v)     = (c(v) + 1) / (N + V + 1)
     P(v | u) = (c(u v) + PRIOR * P(v)) / (c(u) + PRIOR)
@@ -14,9 +15,10 @@ Scale. Texts are read once and written in batches of about ``BATCH_BYTES`` as
 a dictionary of the batch's tokens and one code per token. Token counts are
 summed over dictionaries, not over documents, so a token costs a row per
 batch, never a row per occurrence, and each batch gets the exact totals of its
-own tokens back. Bigrams are counted per batch, then merged in hash buckets
-whose number grows with the number of batches; a bucket fills its own segment
-of the filter.
+own tokens back. Distinct grams are counted per batch, then merged in hash
+buckets whose number grows with the number of batches; a bucket fills its own
+segment of the filter, probes it for every gram it was sent, held-out ones
+(count 0) included, and sends each batch its levels back.
 """
 
 from __future__ import annotations
@@ -36,8 +38,7 @@ from riskframe.llm.common import written
 
 BATCH_BYTES = 16 << 20
 #: Bits of the filter: at least ``BITS_PER_TOKEN`` for each training token,
-#: up to a power of two, at most 64 MB.
-MAX_BITS = 1 << 29
+#: up to a power of two.
 MIN_BITS = 1 << 20
 BITS_PER_TOKEN = 6
 PROBES = 3
@@ -49,8 +50,11 @@ BUCKETS_PER_BATCH, MIN_BUCKETS = 4, 256
 CHUNK = 1 << 19
 #: The end token; words are never empty.
 END = b""
-#: Hash bits of a gram within its bucket: so few that sorted differences fit 32.
-REST_BITS = 36
+#: Hash bits of a gram within its bucket. A bucket has some 10**5 to 10**6
+#: grams at every size, so an unseen one seldom shares them with a seen one.
+REST_BITS = 32
+#: Most bits that ``build_filter`` gathers.
+WHOLE_BITS = 1 << 29
 
 _BATCH = (
     "batch long, ids array<long>, train array<boolean>, lengths array<int>, "
@@ -160,23 +164,28 @@ def _pieces(codes: np.ndarray, lengths: np.ndarray, hashes: np.ndarray):
         first, start = last, stop
 
 
+#: Grams are told apart by all bits but the last, which marks training ones
+#: while a batch is counted.
+_LAST = np.uint64(1)
+
+
 def _batch_grams(
     codes: np.ndarray, lengths: np.ndarray, train: np.ndarray, hashes: np.ndarray, n_train: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) and counts of a batch's training uni- and bigrams."""
+    """Hashes (sorted, last bit 0) of a batch's uni- and bigrams and how often
+    each occurs in its training texts."""
     lengths = lengths.astype(np.int64)
-    pairs = np.empty(int(lengths[train].sum()), np.uint64)
-    at = 0
-    for first, last, _, _, both in _pieces(codes, lengths, hashes):
-        both = both[np.repeat(train[first:last], lengths[first:last])]
-        pairs[at : at + len(both)] = both
-        at += len(both)
-    two, n_two = np.unique(pairs, return_counts=True)
+    pairs = np.empty(len(codes), np.uint64)
+    for first, last, start, stop, both in _pieces(codes, lengths, hashes):
+        pairs[start:stop] = (both & ~_LAST) | np.repeat(train[first:last], lengths[first:last])
+    pairs.sort()
+    cuts = np.flatnonzero(np.concatenate([[True], pairs[1:] >> _LAST != pairs[:-1] >> _LAST]))
+    n_two = np.add.reduceat((pairs & _LAST).astype(np.int64), cuts)
+    two = pairs[cuts] & ~_LAST
     del pairs
-    known = n_train > 0
-    grams = np.concatenate([unigram_hashes(hashes[known]), two])
+    grams = np.concatenate([unigram_hashes(hashes) & ~_LAST, two])
     order = np.argsort(grams, kind="stable")
-    return grams[order], np.concatenate([n_train[known], n_two])[order]
+    return grams[order], np.concatenate([n_train, n_two])[order]
 
 
 def _columns(rows: pa.RecordBatch) -> Iterator[dict]:
@@ -261,20 +270,24 @@ class LogBloom:
 
     def level(self, hashes: np.ndarray) -> np.ndarray:
         """Levels of the grams, 0 for one that is not there."""
-        out = np.zeros(len(hashes), np.int32)
-        for i in range(0, len(hashes), CHUNK):
-            h = hashes[i : i + CHUNK]
-            start = (h >> np.uint64(64 - self.bucket_bits)) * np.uint64(self.segment)
-            rest = _rest(h, self.bucket_bits)
-            left = np.arange(len(h))
-            level = 1
-            while len(left) and level <= 64:
-                at = self.places(rest[left], level, self.segment) + start[left]
-                there = (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
-                left = left[there.all(axis=0)]
-                out[i + left] = level
-                level += 1
-        return out
+        start = (hashes >> np.uint64(64 - self.bucket_bits)) * np.uint64(self.segment)
+        return _read(self.bits, _rest(hashes, self.bucket_bits), start, self.segment)
+
+
+def _read(bits: np.ndarray, rest: np.ndarray, start: np.ndarray, segment: int) -> np.ndarray:
+    """Levels of the grams whose segments begin at the bits ``start``."""
+    out = np.zeros(len(rest), np.uint8)
+    for i in range(0, len(rest), CHUNK):
+        r, s = rest[i : i + CHUNK], start[i : i + CHUNK]
+        left = np.arange(len(r))
+        level = 1
+        while len(left) and level <= 64:
+            at = LogBloom.places(r[left], level, segment) + s[left]
+            there = (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
+            left = left[there.all(axis=0)]
+            out[i + left] = level
+            level += 1
+    return out
 
 
 def _rest(hashes: np.ndarray, bucket_bits: int) -> np.ndarray:
@@ -282,8 +295,7 @@ def _rest(hashes: np.ndarray, bucket_bits: int) -> np.ndarray:
 
 
 def _spread(bucket_bits: int):
-    """Per batch and bucket: the sorted rests as differences, and the
-    counts, packed."""
+    """Per batch and bucket: the sorted rests and the counts, packed."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -292,62 +304,114 @@ def _spread(bucket_bits: int):
                 hashes = np.frombuffer(row["hashes"], np.uint64)
                 grams, counts = _batch_grams(codes, row["lengths"], row["train"], hashes, row["n_train"])
                 bucket = (grams >> np.uint64(64 - bucket_bits)).astype(np.int64)
-                rest = _rest(grams, bucket_bits).astype(np.int64)
+                rest = _rest(grams, bucket_bits)
                 cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
                 ends = np.append(cuts[1:], len(grams))
                 blobs = [_blob(rest[a:b], counts[a:b]) for a, b in zip(cuts, ends)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[cuts], pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "blob"]
+                    [pa.array(np.full(len(cuts), row["batch"])), pa.array(bucket[cuts]), pa.array(blobs, pa.binary())],
+                    names=["batch", "bucket", "blob"],
                 )
 
     return spread
 
 
 def _blob(rest: np.ndarray, counts: np.ndarray) -> bytes:
-    steps = np.diff(rest, prepend=0)
-    wide = "<u4" if steps.max(initial=0) < 1 << 32 else "<u8"
-    packed = pa.Codec("zstd", 1).compress(counts.astype("<u4").tobytes(), asbytes=True)
-    return len(rest).to_bytes(4, "little") + wide[2].encode() + steps.astype(wide).tobytes() + packed
+    """Sorted rests by Elias and Fano: the low bits as they are, the high ones
+    as the gaps between set bits."""
+    n = len(rest)
+    low = max(0, REST_BITS - n.bit_length())
+    high = np.zeros(n + (1 << (REST_BITS - low)), bool)
+    high[(rest >> np.uint64(low)).astype(np.int64) + np.arange(n)] = True
+    bits = np.unpackbits(rest.astype("<u8").view(np.uint8).reshape(n, 8), axis=1, bitorder="little")[:, :low]
+    return n.to_bytes(4, "little") + np.packbits(high).tobytes() + np.packbits(bits).tobytes() + _pack(counts)
 
 
 def _unblob(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, wide = int.from_bytes(blob[:4], "little"), int(blob[4:5])
-    steps = np.frombuffer(blob, f"<u{wide}", n, 5).astype(np.int64)
-    raw = pa.Codec("zstd", 1).decompress(blob[5 + n * wide :], 4 * n, asbytes=True)
-    return np.cumsum(steps), np.frombuffer(raw, "<u4").astype(np.int64)
+    n = int.from_bytes(blob[:4], "little")
+    low = max(0, REST_BITS - n.bit_length())
+    raw = np.frombuffer(blob, np.uint8)
+    width = n + (1 << (REST_BITS - low))
+    at, end = 4 + (width + 7) // 8, 4 + (width + 7) // 8 + (n * low + 7) // 8
+    high = np.flatnonzero(np.unpackbits(raw[4:at], count=width)) - np.arange(n)
+    bits = np.zeros((n, 64), np.uint8)
+    bits[:, :low] = np.unpackbits(raw[at:end], count=n * low).reshape(n, low)
+    rest = np.packbits(bits, axis=1, bitorder="little").view("<u8")[:, 0]
+    return rest | (high.astype(np.uint64) << np.uint64(low)), _unpack(blob[end:], n).astype(np.int64)
+
+
+def _filled(table: pa.Table, segment: int) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A bucket's segment from what the batches sent: the number of grams by
+    row, each one's place among the distinct ones, these, their counts, and
+    the packed bits."""
+    parts = [_unblob(b.as_py()) for b in table.column("blob")]
+    rest, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    counts = np.bincount(place, np.concatenate([p[1] for p in parts])).astype(np.int64)
+    bits = np.zeros(segment, bool)
+    level = levels(counts)
+    for q in range(1, int(level.max(initial=0)) + 1):
+        bits[LogBloom.places(rest[level >= q], q, segment).reshape(-1)] = True
+    return [len(p[0]) for p in parts], place, rest, counts, np.packbits(bits, bitorder="little")
 
 
 def _segment(segment: int):
     def fill(key: tuple, table: pa.Table) -> pa.Table:
-        parts = [_unblob(b.as_py()) for b in table.column("blob")]
-        rest, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        counts = np.bincount(place, np.concatenate([p[1] for p in parts])).astype(np.int64)
-        bits = np.zeros(segment, bool)
-        level = levels(counts)
-        for q in range(1, int(level.max(initial=0)) + 1):
-            at = LogBloom.places(rest[level >= q].astype(np.uint64), q, segment)
-            bits[at.reshape(-1)] = True
-        packed = np.packbits(bits, bitorder="little").tobytes()
-        return pa.table({"bucket": [key[0].as_py()], "bits": pa.array([packed], pa.binary()), "grams": [len(rest)]})
+        _, _, _, counts, bits = _filled(table, segment)
+        return pa.table({"bucket": [key[0].as_py()], "bits": pa.array([bits.tobytes()], pa.binary()), "grams": [int((counts > 0).sum())]})
 
     return fill
 
 
-def build_filter(batches: DataFrame) -> tuple[LogBloom, int]:
-    """The filter of the batches' training grams, and their number. A bucket
-    merges one packed array per batch; at most ``MAX_BITS`` bits come back."""
-    told = batches.agg(F.count("*"), F.sum("taught")).first()
-    n_batches, n_tokens = told[0], told[1] or 0
+def _answer(segment: int):
+    """To each batch the levels of the grams it sent, in their order."""
+
+    def answer(key: tuple, table: pa.Table) -> pa.Table:
+        sizes, place, rest, _, bits = _filled(table, segment)
+        read = _read(bits, rest, np.zeros(len(rest), np.uint64), segment)[place]
+        codec = pa.Codec("zstd", 1)
+        back = [codec.compress(x.tobytes(), asbytes=True) for x in np.split(read, np.cumsum(sizes)[:-1])]
+        bucket = pa.array(np.full(len(sizes), key[0].as_py()))
+        return pa.table({"batch": table.column("batch"), "bucket": bucket, "n": pa.array(sizes, pa.int32()), "levels": pa.array(back, pa.binary())})
+
+    return answer
+
+
+def filter_shape(n_batches: int, n_tokens: int) -> tuple[int, int]:
+    """Binary logarithm of the number of segments, and the bits of one."""
     buckets = max(MIN_BUCKETS, BUCKETS_PER_BATCH * n_batches)
     bucket_bits = min(20, (buckets - 1).bit_length())
     n_bits = 1 << max(0, BITS_PER_TOKEN * n_tokens - 1).bit_length()
-    n_bits = max(min(MAX_BITS, max(MIN_BITS, n_bits)), 64 << bucket_bits)
-    segment = n_bits >> bucket_bits
-    spread = batches.select("lengths", "train", "n_train", "hashes", "codes").mapInArrow(
-        _spread(bucket_bits), "bucket long, blob binary"
+    return bucket_bits, max(MIN_BITS, n_bits, 64 << bucket_bits) >> bucket_bits
+
+
+def _spread_grams(batches: DataFrame):
+    """The batches' grams grouped by bucket, and the filter's shape."""
+    told = batches.agg(F.count("*"), F.sum("taught")).first()
+    bucket_bits, segment = filter_shape(told[0], told[1] or 0)
+    spread = batches.select("batch", "lengths", "train", "n_train", "hashes", "codes").mapInArrow(
+        _spread(bucket_bits), "batch long, bucket long, blob binary"
     )
-    filled = spread.groupBy("bucket").applyInArrow(_segment(segment), "bucket long, bits binary, grams long")
-    bits = np.zeros(n_bits // 8, np.uint8)
+    return spread.groupBy("bucket"), bucket_bits, segment
+
+
+def gram_levels(batches: DataFrame) -> DataFrame:
+    """For each batch the filter's levels of its grams: ``found``, an array of
+    ``bucket, n, levels``. A bucket merges one packed array per batch and
+    holds one segment of the filter."""
+    grouped, _, segment = _spread_grams(batches)
+    answered = grouped.applyInArrow(_answer(segment), "batch long, bucket long, n int, levels binary")
+    return answered.groupBy("batch").agg(F.collect_list(F.struct("bucket", "n", "levels")).alias("found"))
+
+
+def build_filter(batches: DataFrame) -> tuple[LogBloom, int]:
+    """The whole filter in one array and the number of training grams, to look
+    at a small corpus; scoring never gathers it. Over ``WHOLE_BITS`` it
+    raises."""
+    grouped, bucket_bits, segment = _spread_grams(batches)
+    if segment << bucket_bits > WHOLE_BITS:
+        raise ValueError(f"{segment << bucket_bits} bits are too many to gather")
+    filled = grouped.applyInArrow(_segment(segment), "bucket long, bits binary, grams long")
+    bits = np.zeros((segment << bucket_bits) // 8, np.uint8)
     grams = 0
     for row in filled.collect():
         at = row["bucket"] * segment // 8
@@ -361,23 +425,33 @@ def build_filter(batches: DataFrame) -> tuple[LogBloom, int]:
 _SCORES = "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _score(shared, n: int, v: int, n_docs: int):
+def _score(n: int, v: int, n_docs: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for row in _columns(rows):
-                yield _score_batch(row, shared.value, n, v, n_docs)
+                yield _score_batch(row, n, v, n_docs)
 
     return score
 
 
-def _score_batch(row: dict, bloom: LogBloom, n: int, v: int, n_docs: int) -> pa.RecordBatch:
+def _found(row: dict) -> np.ndarray:
+    """The levels of a batch's grams, in the order of ``_batch_grams``."""
+    codec, order = pa.Codec("zstd", 1), np.argsort(row["bucket"])
+    sent = zip(row["n"][order].tolist(), row["levels"][order])
+    return np.concatenate([np.frombuffer(codec.decompress(x, k, asbytes=True), np.uint8) for k, x in sent])
+
+
+def _score_batch(row: dict, n: int, v: int, n_docs: int) -> pa.RecordBatch:
     lengths = row["lengths"].astype(np.int64)
     codes = _unpack(row["codes"], int(lengths.sum()))
     hashes = np.frombuffer(row["hashes"], np.uint64)
     exact = np.zeros(len(hashes), np.int64)
     exact[row["pos"]] = row["c"]
     base = np.log10((exact + 1) / (n + v + 1))
-    rough = quantised(bloom.level(unigram_hashes(hashes)))
+    grams, _ = _batch_grams(codes, lengths, row["train"], hashes, exact)
+    found = _found(row)
+    level = lambda h: found[np.searchsorted(grams, h & ~_LAST)].astype(np.int32)
+    rough = quantised(level(unigram_hashes(hashes)))
     single = PRIOR * (rough + 1) / (n + v + 1)
     n_known, base_score, score = np.zeros(len(lengths), np.int64), np.zeros(len(lengths)), np.zeros(len(lengths))
     for first, last, start, stop, pairs in _pieces(codes, lengths, hashes):
@@ -386,7 +460,7 @@ def _score_batch(row: dict, bloom: LogBloom, n: int, v: int, n_docs: int) -> pa.
         history = np.empty(len(part))
         history[1:] = rough[part[:-1]]
         history[firsts] = n_docs
-        both = np.minimum(quantised(bloom.level(pairs)), history)
+        both = np.minimum(quantised(level(pairs)), history)
         p = np.log10(np.minimum((both + single[part]) / (history + PRIOR), 1.0))
         n_known[first:last] = np.add.reduceat((exact > 0)[part].astype(np.int64), firsts)
         base_score[first:last] = np.add.reduceat(base[part], firsts)
@@ -413,12 +487,11 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     told = totals.agg(F.sum("n"), F.sum("v")).first()
     n, v = told[0] or 0, told[1] or 0
     n_docs = batches.agg(F.sum(F.size(F.filter("train", lambda t: t)))).first()[0] or 0
-    bloom, _ = build_filter(batches)
-    shared = docs.sparkSession.sparkContext.broadcast(bloom)
-    met = batches.join(totals.select("batch", "totals.pos", "totals.c"), "batch").select(
-        "ids", "train", "lengths", "hashes", "codes", "pos", "c"
+    found = gram_levels(batches).select("batch", "found.bucket", "found.n", "found.levels")
+    met = batches.join(totals.select("batch", "totals.pos", "totals.c"), "batch").join(found, "batch").select(
+        "ids", "train", "lengths", "hashes", "codes", "pos", "c", "bucket", "n", "levels"
     )
-    scored = met.mapInArrow(_score(shared, n, v, n_docs), _SCORES)
+    scored = met.mapInArrow(_score(n, v, n_docs), _SCORES)
     return scored.select(
         F.col("id").alias(id_col),
         "held_out",

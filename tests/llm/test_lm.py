@@ -111,3 +111,31 @@ def test_edge_rows(spark):
     none = lm.lm_scores(frame.withColumn("train", frame.train & False)).collect()
     assert len(none) == len(docs) and all(r.score == 0 == r.base_score and r.train_tokens == 0 for r in none)
     assert lm.lm_scores(frame.where("false")).count() == 0
+
+
+def test_filter_grows_with_the_corpus(spark, monkeypatch):
+    # a bound on the whole filter, as there once was, is not looked at
+    monkeypatch.setattr(lm, "MAX_BITS", 1 << 14, raising=False)
+    monkeypatch.setattr(lm, "MIN_BITS", 1 << 10)
+    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    docs = [(r.doc_id, r.text, zlib.crc32(str(r.doc_id).encode()) % 7 != 2) for r in rows]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, train boolean").repartition(5)
+    want = {w[0]: w[5] for w in brute(docs)}
+    off = [abs(r.score - want[r.doc_id]) / abs(want[r.doc_id]) for r in lm.lm_scores(frame).collect()]
+    assert len(off) == len(docs) and np.median(off) < 0.01 and max(off) < 0.1
+    for tokens_ in (10**6, 10**8, 10**10, 10**12):
+        bucket_bits, segment = lm.filter_shape(tokens_ // 2_500_000, tokens_)
+        assert segment << bucket_bits >= lm.BITS_PER_TOKEN * tokens_
+        assert segment <= 1 << 27
+
+
+def test_blobs_come_back():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 63, 64, 5000):
+        rest = np.sort(rng.integers(0, 1 << lm.REST_BITS, n, dtype=np.uint64))
+        rest[n // 2] = rest[0]
+        rest[-1] = (1 << lm.REST_BITS) - 1
+        rest.sort()
+        counts = rng.integers(0, 100_000, n)
+        got = lm._unblob(lm._blob(rest, counts))
+        assert (got[0] == rest).all() and (got[1] == counts).all()
