@@ -6,6 +6,9 @@ the fingerprint is cut into eight blocks, and two fingerprints at most
 ``RADIUS`` bits apart have a block at most ``RADIUS // 8`` bits apart, so
 looking up each block finds all of them. Candidates are verified by the exact
 weighted Jaccard similarity of the shingles (weight: how often one occurs).
+A much repeated shingle rules a fingerprint more than that similarity, so
+items and windows with repeats (``_heavy``) are not left to fingerprints: they
+are compared exactly, all windows in one sliding count an item.
 
 Windows too poor in benchmark shingles for that similarity are not signed: a
 similarity of s over a and b shingles takes s * (a + b) / (1 + s) common ones,
@@ -29,8 +32,9 @@ from riskframe.llm.common import free_name
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Bits. Similarity 0.8 means a cosine of 0.89 and about 10 differing bits;
-#: 23 is more than four standard deviations above.
+#: Bits. Similarity 0.8 of distinct shingles means a cosine of 0.89 and about
+#: 10 differing bits; 23 is more than four standard deviations above, and about
+#: four with the repeats that ``_heavy`` lets pass.
 RADIUS = 23
 BLOCKS, BLOCK_BITS = 8, 8
 BLOCK_CHARS = 4_000_000
@@ -115,6 +119,47 @@ def sign_windows(hashes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarra
     return out
 
 
+def _heavy(repeats: np.ndarray | int, size: int) -> np.ndarray | bool:
+    """Whether ``size`` shingles with so many ``repeats`` (those beyond their
+    distinct number) may be too uneven for a fingerprint. Weights w put the
+    squared distance of two vectors up by at most their sums of w * (w - 1),
+    each at most repeats * (repeats + 1): let pass to a 32nd of the size."""
+    return repeats * (repeats + 1) * 32 > size
+
+
+def _pairs(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places whose shingle occurs before, and where it did last."""
+    order = np.argsort(hashes, kind="stable")
+    same = hashes[order[1:]] == hashes[order[:-1]]
+    return order[1:][same], order[:-1][same]
+
+
+def _repeats(pairs: tuple[np.ndarray, np.ndarray], n: int, size: int) -> np.ndarray:
+    """The repeats in each of the ``n`` windows of ``size`` shingles."""
+    at, before = pairs
+    first, last = np.maximum(at - size + 1, 0), np.minimum(before, n - 1)
+    both = first <= last
+    return np.cumsum(np.bincount(first[both], minlength=n + 1) - np.bincount(last[both] + 1, minlength=n + 1))[:n]
+
+
+def _slide(hashes: list[int], starts: list[int], size: int, want: Counter):
+    """For each of the ascending starts, the shingles its window has in common
+    with ``want``."""
+    have, common, at = Counter(), 0, -size
+    for start in starts:
+        if start - at >= size:
+            have = Counter(hashes[start : start + size])
+            common = (have & want).total()
+        else:
+            for old, new in zip(hashes[at:start], hashes[at + size : start + size]):
+                common -= have[old] <= want.get(old, 0)
+                have[old] -= 1
+                have[new] += 1
+                common += have[new] <= want.get(new, 0)
+        at = start
+        yield start, common
+
+
 class MultiIndex:
     """Fingerprints under all block values near their own ones."""
 
@@ -164,7 +209,8 @@ class LeakIndex:
         for size, group in sorted(by_size.items()):
             signs = np.array([sign_windows(h, np.zeros(1, np.int64), size)[0] for _, h in group], np.uint64)
             counts = [Counter(h.tolist()) for _, h in group]
-            self.sizes.append((size, [i for i, _ in group], counts, MultiIndex(signs)))
+            heavy = [c for c, x in enumerate(counts) if _heavy(size - len(x), size)]
+            self.sizes.append((size, [i for i, _ in group], counts, MultiIndex(signs), heavy))
         known = [h for g in by_size.values() for _, h in g]
         self.known = np.unique(np.concatenate(known)) if known else np.empty(0, np.uint64)
         bits = max(16, min(24, math.ceil(math.log2(len(self.known) + 1)) + 6))
@@ -189,19 +235,39 @@ class LeakIndex:
         seen = np.concatenate([[0], np.cumsum(hit)])
         s = self.similarity
         out = []
-        for size, ids, counts, index in self.sizes:
+        pairs, all_of, listed = None, Counter(), []
+        for size, ids, counts, index, heavy_items in self.sizes:
             here = min(size, len(hashes))  # a shorter text is one window
             need = s * (size + here) / (1 + s)
             starts = np.flatnonzero(seen[here:] - seen[:-here] >= need - 1e-9)
             if not len(starts):
                 continue
             best: dict[int, tuple[float, int]] = {}
-            for i, c in zip(*(x.tolist() for x in index.near(sign_windows(hashes, starts, here)))):
-                start = int(starts[i])
-                common = (Counter(hashes[start : start + here].tolist()) & counts[c]).total()
+
+            def offer(c: int, start: int, common: int) -> None:
                 got = common / (here + size - common)
-                if got >= s - 1e-12 and got > best.get(c, (0.0, 0))[0]:
+                if got >= s - 1e-12 and (c not in best or (-got, start) < (-best[c][0], best[c][1])):
                     best[c] = (got, start)
+
+            if pairs is None:
+                pairs = _pairs(hashes)
+            uneven = _heavy(_repeats(pairs, len(hashes) - here + 1, here)[starts], here)
+            even = starts[~uneven]
+            if len(even):
+                for i, c in zip(*(x.tolist() for x in index.near(sign_windows(hashes, even, here)))):
+                    start = int(even[i])
+                    offer(c, start, (Counter(hashes[start : start + here].tolist()) & counts[c]).total())
+            if heavy_items or uneven.any():
+                if not listed:
+                    listed = hashes.tolist()
+                    all_of = Counter(listed)
+                exact = dict.fromkeys(range(len(counts)), starts[uneven].tolist()) if uneven.any() else {}
+                exact |= dict.fromkeys(heavy_items, starts.tolist())
+                for c, some in exact.items():
+                    # what the whole text has bounds what a window has
+                    if sum(min(k, all_of.get(h, 0)) for h, k in counts[c].items()) >= need - 1e-9:
+                        for start, common in _slide(listed, some, here, counts[c]):
+                            offer(c, start, common)
             out += [(ids[c], got, start, here + SHINGLE - 1) for c, (got, start) in best.items()]
         return sorted(out, key=lambda x: (x[0] is None, x[0] or 0))
 

@@ -130,3 +130,42 @@ def test_word_hashes_by_pieces(monkeypatch):
         assert len(decontaminate.word_hashes(raw)) == 0
     assert len(decontaminate.word_hashes(b"z" * 300_000)) == 1
     assert len(decontaminate.word_hashes(b"z" * 300_000 + b" y")) == 2
+
+
+def test_repeated_shingles_are_not_lost():
+    rng = random.Random(8)
+    vocabulary = [f"word{i}" for i in range(5000)]
+    far = 0
+    for n in range(12):
+        item = rng.choices(vocabulary, k=404)
+        at = rng.randrange(100, 300)
+        text = item[:at] + ["x"] * 36 + item[at:]
+        if n % 3 == 1:  # the item holds the run
+            item, text = text, item
+        if n % 3 == 2:  # both do, and differ in all else but a little
+            item = ["x"] * 360 + rng.choices(vocabulary, k=40)
+            text = ["x"] * 360 + rng.choices(vocabulary, k=30)
+        other = " ".join(rng.choices(vocabulary, k=404))
+        whole = " ".join(rng.choices(vocabulary, k=30) + text + rng.choices(vocabulary, k=30))
+        want = brute(whole, " ".join(item))
+        assert want >= 0.8
+        got = decontaminate.LeakIndex([(1, " ".join(item)), (2, other)]).leaks(whole)
+        assert [(x[0], round(x[1], 9)) for x in got] == [(1, round(want, 9))]
+        w, size = decontaminate.shingle_hashes(whole)[0], len(item) - 4
+        fp = decontaminate.sign_windows(w, np.array([got[0][2]]), min(size, len(w)))
+        own = decontaminate.sign_windows(decontaminate.shingle_hashes(" ".join(item))[0], np.zeros(1, np.int64), size)
+        far += int(np.bitwise_count(fp ^ own)[0]) > decontaminate.RADIUS
+    assert far
+
+
+def test_repeats_and_sliding_counts():
+    rng = np.random.default_rng(9)
+    for n, size in ((40, 7), (40, 40), (200, 30), (5, 1)):
+        hashes = rng.integers(0, 12, n, dtype=np.uint64)
+        windows = [hashes[i : i + size].tolist() for i in range(n - size + 1)]
+        got = decontaminate._repeats(decontaminate._pairs(hashes), len(windows), size)
+        assert got.tolist() == [size - len(set(w)) for w in windows]
+        want = Counter(rng.integers(0, 12, size).tolist())
+        starts = sorted(rng.choice(len(windows), max(1, len(windows) // 3), replace=False).tolist())
+        slid = list(decontaminate._slide(hashes.tolist(), starts, size, want))
+        assert slid == [(i, (Counter(windows[i]) & want).total()) for i in starts]
