@@ -93,18 +93,27 @@ def word_hashes(raw: bytes) -> np.ndarray:
     return _mix(np.concatenate(out)) if out else np.empty(0, np.uint64)
 
 
+def _shingles(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` words."""
+    n = len(words)
+    if n < size:
+        return np.empty(0, np.uint64)
+    out = np.zeros(n - size + 1, np.uint64)
+    for k in range(size):
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += words[k : n - size + 1 + k]
+    return _mix(out)
+
+
+def _words(text: str | None) -> np.ndarray:
+    return word_hashes((text or "").lower().encode("utf-8", "surrogatepass"))
+
+
 def shingle_hashes(text: str | None) -> tuple[np.ndarray, int]:
     """Hashes of the five-word shingles of the lower-cased text, in order,
     and its number of words."""
-    w = word_hashes((text or "").lower().encode("utf-8", "surrogatepass"))
-    n = len(w)
-    if n < SHINGLE:
-        return np.empty(0, np.uint64), n
-    out = np.zeros(n - SHINGLE + 1, np.uint64)
-    for k in range(SHINGLE):
-        out *= np.uint64(0x9E3779B97F4A7C15)
-        out += w[k : n - SHINGLE + 1 + k]
-    return _mix(out), n
+    w = _words(text)
+    return _shingles(w, SHINGLE), len(w)
 
 
 def sign_windows(hashes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
@@ -195,16 +204,23 @@ class MultiIndex:
 
 class LeakIndex:
     """Benchmark items by length, ready to be looked up in texts. Items
-    without text or of fewer than five words have no shingle and are left
-    out."""
+    without words are left out, and without ``short_items`` those of fewer
+    than five words, too; with it, all words of such an item are its single
+    shingle, so it is found where they stand in a row."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], similarity: float = SIMILARITY):
+    def __init__(self, items: list[tuple[int | None, str | None]], similarity: float = SIMILARITY, short_items: bool = False):
         self.similarity = similarity
         by_size: dict[int, list[tuple[int | None, np.ndarray]]] = defaultdict(list)
+        short: dict[int, dict[int, list[int | None]]] = defaultdict(lambda: defaultdict(list))
         for item_id, text in sorted(set(items), key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")):
-            hashes, _ = shingle_hashes(text)
-            if len(hashes):
+            w = _words(text)
+            if len(w) >= SHINGLE:
+                hashes = _shingles(w, SHINGLE)
                 by_size[len(hashes)].append((item_id, hashes))
+            elif len(w) and short_items:
+                short[len(w)][int(_shingles(w, len(w))[0])].append(item_id)
+        # by number of words: hashes, and the items of each
+        self.short = [(n, np.array(sorted(x), np.uint64), [x[h] for h in sorted(x)]) for n, x in sorted(short.items())]
         self.sizes = []
         for size, group in sorted(by_size.items()):
             signs = np.array([sign_windows(h, np.zeros(1, np.int64), size)[0] for _, h in group], np.uint64)
@@ -221,7 +237,21 @@ class LeakIndex:
     def leaks(self, text: str | None) -> list[tuple[int | None, float, int, int]]:
         """``(item_id, similarity, first_word, n_words)`` of each item's most
         similar window (ties: the first) at the similarity or above."""
-        hashes, n_words = shingle_hashes(text)
+        words = _words(text)
+        out = self._short_leaks(words) + self._long_leaks(_shingles(words, SHINGLE))
+        return sorted(out, key=lambda x: (x[0] is None, x[0] or 0))
+
+    def _short_leaks(self, words: np.ndarray) -> list[tuple[int | None, float, int, int]]:
+        out = []
+        for n, known, ids in self.short:
+            runs = _shingles(words, n)
+            at = np.minimum(np.searchsorted(known, runs), len(known) - 1)
+            there = np.flatnonzero(known[at] == runs)
+            which, first = np.unique(at[there], return_index=True)
+            out += [(i, 1.0, int(there[f]), n) for k, f in zip(which, first) for i in ids[k]]
+        return out
+
+    def _long_leaks(self, hashes: np.ndarray) -> list[tuple[int | None, float, int, int]]:
         if not len(hashes) or not len(self.known):
             return []
         hit = self.filter[hashes >> self.shift]
@@ -269,7 +299,7 @@ class LeakIndex:
                         for start, common in _slide(listed, some, here, counts[c]):
                             offer(c, start, common)
             out += [(ids[c], got, start, here + SHINGLE - 1) for c, (got, start) in best.items()]
-        return sorted(out, key=lambda x: (x[0] is None, x[0] or 0))
+        return out
 
 
 LEAKS = "array<struct<item_id:bigint,similarity:double,first_word:int,n_words:int>>"
@@ -282,6 +312,7 @@ def leaks_of(
     item_text_col: str = "text",
     similarity: float = SIMILARITY,
     block_chars: int = BLOCK_CHARS,
+    short_items: bool = False,
 ) -> Column:
     """The benchmark items in a text, as an array (empty: clean). The
     benchmark is read here, block by block."""
@@ -297,14 +328,14 @@ def leaks_of(
     for b in range(n_blocks):
         rows = items.where(block == b).collect()  # about block_chars at most
         if n_blocks == 1 or rows:
-            found.append(_lookup(context.broadcast([tuple(r) for r in rows]), similarity)(text.cast("string")))
+            found.append(_lookup(context.broadcast([tuple(r) for r in rows]), similarity, short_items)(text.cast("string")))
     return found[0] if len(found) == 1 else F.concat(*found)
 
 
 _INDEX: dict[str, LeakIndex] = {}
 
 
-def _lookup(items, similarity: float):
+def _lookup(items, similarity: float, short_items: bool):
     token = uuid.uuid4().hex
 
     @F.pandas_udf(LEAKS)
@@ -312,7 +343,7 @@ def _lookup(items, similarity: float):
         if token not in _INDEX:  # built once a worker; a few are kept
             if len(_INDEX) >= 4:
                 _INDEX.clear()
-            _INDEX[token] = LeakIndex(items.value, similarity)
+            _INDEX[token] = LeakIndex(items.value, similarity, short_items)
         index = _INDEX[token]
         names = ("item_id", "similarity", "first_word", "n_words")
         return pd.Series([[dict(zip(names, x)) for x in index.leaks(t)] for t in texts])
@@ -328,16 +359,19 @@ def find_leaks(
     id_col: str = "doc_id",
     text_col: str = "text",
     similarity: float = SIMILARITY,
+    short_items: bool = False,
     **benchmark_cols: str,
 ) -> DataFrame:
     """One row per document row and benchmark item in it: ``id_col, item_id,
     similarity, first_word, n_words`` of the most similar window.
 
-    Null, empty and shorter than five-word texts hold nothing. Repeated rows
-    are each reported; repeated items once for each item id and text. Extra
-    columns are not read. An empty table on either side gives an empty result.
+    Null and empty texts hold nothing. Items of one to four words are looked
+    for only with ``short_items``, as these words in a row (similarity 1); other
+    items are not found in texts of fewer than five words. Repeated rows are
+    each reported; repeated items once for each item id and text. Extra columns
+    are not read. An empty table on either side gives an empty result.
     """
-    found = leaks_of(F.col("text"), benchmark, similarity=similarity, **benchmark_cols)
+    found = leaks_of(F.col("text"), benchmark, similarity=similarity, short_items=short_items, **benchmark_cols)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     return (
         rows.select("id", found.alias("leaks"))
@@ -351,9 +385,11 @@ def decontaminate(
     benchmark: DataFrame,
     text_col: str = "text",
     similarity: float = SIMILARITY,
+    short_items: bool = False,
     **benchmark_cols: str,
 ) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, columns unchanged."""
+    """The rows of ``docs`` that hold no benchmark item (as ``find_leaks`` finds
+    them), columns unchanged."""
     leaks = free_name(docs, "leaks")
-    found = leaks_of(F.col(f"`{text_col}`"), benchmark, similarity=similarity, **benchmark_cols)
+    found = leaks_of(F.col(f"`{text_col}`"), benchmark, similarity=similarity, short_items=short_items, **benchmark_cols)
     return docs.withColumn(leaks, found).where(F.size(leaks) == 0).drop(leaks)

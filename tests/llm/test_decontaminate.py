@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from riskframe.llm import decontaminate, queries
 
 SF = "/root/testdata/sf0.001"
@@ -169,3 +170,20 @@ def test_repeats_and_sliding_counts():
         starts = sorted(rng.choice(len(windows), max(1, len(windows) // 3), replace=False).tolist())
         slid = list(decontaminate._slide(hashes.tolist(), starts, size, want))
         assert slid == [(i, (Counter(windows[i]) & want).total()) for i in starts]
+
+
+def test_short_items_are_found(spark, tmp_path):
+    items = [(1, "Too short"), (2, "one"), (3, "a b c d"), (4, " "), (5, None), (6, "too SHORT"), (7, "a b c d e f g")]
+    docs = [
+        (1, "too short"), (2, "far too short, one too short ONE one"), (3, "a b c"), (4, "x a b c d"), (5, None), (6, ""),
+        (7, "too, short"), (8, "short too"), (9, "a b c d e f g"),
+    ]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in queries.op7_decontaminate(spark, str(tmp_path)).collect())
+    assert got == [
+        (1, 1, 1.0, 0, 2), (1, 6, 1.0, 0, 2), (2, 1, 1.0, 4, 2), (2, 2, 1.0, 3, 1), (2, 6, 1.0, 4, 2),
+        (4, 3, 1.0, 1, 4), (9, 3, 1.0, 0, 4), (9, 7, 1.0, 0, 7),
+    ]
+    kept = corpus_pipeline.benchmark_free(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert sorted(r.doc_id for r in kept.collect()) == [3, 5, 6, 7, 8]
