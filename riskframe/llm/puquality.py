@@ -13,8 +13,9 @@ it, so the least ratio over all thresholds (with a margin for its noise)
 bounds the prior. That step counts all training rows.
 
 Texts are reduced to ``WIDTH`` numbers where they are, once, and written. The
-network is fitted on a sample of at most about ``MAX_POSITIVE`` trusted and
-``MAX_UNLABELLED`` unlabelled rows, drawn by a hash of the id.
+network is fitted on a sample of at most about ``max_positive`` trusted and
+``max_unlabelled`` unlabelled rows, drawn by a hash of id and features; the
+prior's counts and the scores cover all rows.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from riskframe.llm.common import written
 from riskframe.llm.quality import STOP_WORDS
 
-#: Expected size of the samples that the network is fitted on.
+#: Expected size of the samples that the network is fitted on, by default.
 MAX_POSITIVE, MAX_UNLABELLED = 10_000, 20_000
 SHAPES, HASHED = 18, 32
 WIDTH = SHAPES + HASHED
@@ -216,13 +217,18 @@ def pu_scores(
     train: Column,
     id_col: str = "doc_id",
     text_col: str = "text",
+    max_positive: int = MAX_POSITIVE,
+    max_unlabelled: int = MAX_UNLABELLED,
 ) -> DataFrame:
     """One row per row of ``docs``: ``id_col, held_out, score``; the score is
     0 to 1, higher for better text.
 
     Learns from rows where ``train`` (over ``docs``; null: false) holds:
     those whose id is in the first column of ``positive_ids`` are the trusted
-    positives, and all of them, labels unseen, the unlabelled ones. Only the
+    positives, and all of them, labels unseen, the unlabelled ones. The network
+    is fitted on about ``max_positive`` and ``max_unlabelled`` of them, on all
+    where there are no more; kinds of text too rare to be among these are not
+    seen in fitting. Each row takes some 200 bytes of the driver. Only the
     text is scored. Null and empty texts have all features zero and get the
     score of such a text. Repeated rows, null ids (never positive) and extra
     columns are fine. Without positives, or without rows to learn from, every
@@ -238,14 +244,14 @@ def pu_scores(
     known = positive_ids.select(F.col(positive_ids.columns[0]).alias("id")).distinct()
     taught = rows.where(~F.col("held_out"))
     trusted = written(taught.join(known, "id", "left_semi"), "trusted")
-    pos, unl = _sample(trusted, MAX_POSITIVE, 1), _sample(taught, MAX_UNLABELLED, 2)
+    pos, unl = _sample(trusted, max_positive, 1), _sample(taught, max_unlabelled, 2)
     if not len(pos) or not len(unl):
         return rows.select(F.col("id").alias(id_col), "held_out", F.lit(0.5).alias("score"))
     # the ranker learns from one half of the texts and is counted on the other
     half = F.pmod(F.xxhash64("x", F.lit(3)), F.lit(2))
     ranker = _fit(
-        _sample(trusted.where(half == 0), MAX_POSITIVE, 1),
-        _sample(taught.where(half == 0), MAX_UNLABELLED, 2),
+        _sample(trusted.where(half == 0), max_positive, 1),
+        _sample(taught.where(half == 0), max_unlabelled, 2),
         None,
         RANKER_EPOCHS,
     )

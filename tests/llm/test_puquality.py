@@ -63,3 +63,18 @@ def test_edge_rows(spark):
     none = puquality.pu_scores(docs, trusted.where("false"), F.lit(True)).collect()
     assert {r.score for r in none} == {0.5}
     assert puquality.pu_scores(docs.where("false"), trusted, F.lit(True)).count() == 0
+
+
+def test_sample_bounds_are_arguments(spark, monkeypatch):
+    sizes = []
+    fit = puquality._fit
+    monkeypatch.setattr(puquality, "_fit", lambda p, u, *a: (sizes.append((len(p), len(u))), fit(p, u, None, 1))[1])
+    docs = spark.createDataFrame([(i, f"text {i} " * (i % 9 + 1)) for i in range(600)], "doc_id long, text string")
+    trusted = docs.where("doc_id % 2 = 0").select("doc_id")
+    for most, least in (((1000, 1000), (300, 600)), ((30, 60), None)):
+        sizes.clear()
+        puquality.pu_scores(docs, trusted, F.lit(True), max_positive=most[0], max_unlabelled=most[1])
+        if least:
+            assert sizes[-1] == least
+        else:
+            assert all(0 < p < 90 and 0 < u < 150 for p, u in sizes)
