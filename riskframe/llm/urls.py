@@ -4,7 +4,8 @@ Each rule is indexed under one token only, the one fewest URLs of the table
 have; the tokens of a URL fetch the rules indexed under them, and only those
 run their regular expression. The index is a literal map of at most
 ``MAX_RULES`` rules inside the expression, so URLs are judged where they are:
-no shuffle, and repeated rows or hot hosts make no difference.
+no shuffle, and repeated rows or hot hosts make no difference. More rules are
+a table of the same index, joined to the tokens of the distinct URLs.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from riskframe.llm.common import ascii_lower, free_name
 
-#: Rules in one index (about 200 bytes each travel with every task).
+#: Rules in a literal index (about 200 bytes each travel with every task).
 MAX_RULES = 20_000
 TOKEN = "[^./]+"
 _RULE = "rule string, action string, regex string, rank int, own int"
@@ -98,39 +99,70 @@ def judge_urls(
     pattern, null if only a fallback or none fits; ``verdict`` its action,
     else ``default``. A null URL, or one without ``://``, has an empty host
     and path and fits none. Repeated rows are judged alike; an empty table or
-    an empty list of rules is fine. More than ``MAX_RULES`` rules raise.
+    an empty list of rules is fine. More than ``MAX_RULES`` rules are joined.
     """
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; the index holds {MAX_RULES}")
     host, path, rule, verdict = (free_name(pages, c) for c in ("host", "path", "rule", "verdict"))
     url = F.col(f"`{url_col}`")
-    parts = pages.select(host_of(url).alias("host"), path_of(url).alias("path"))
-    seen = token_counts(parts, sorted({t for r in rules for t in r.tokens()}))
     order = sorted(rules, key=lambda r: (r.fallback, -len(r.pattern), r.pattern))
+    split = pages.withColumn(host, host_of(url)).withColumn(path, path_of(url))
+    h, p = F.col(f"`{host}`"), F.col(f"`{path}`")
+    chosen = free_name(split, "chosen")
+    if len(rules) > MAX_RULES:
+        out = _joined(split, h, p, order, chosen)
+    else:
+        out = split.withColumn(chosen, _looked_up(pages, url, h, p, order))
+    c = F.col(f"`{chosen}`")
+    return (
+        out.withColumn(rule, F.when(c["own"] == 1, c["rule"]))
+        .withColumn(verdict, F.coalesce(c["action"], F.lit(default)))
+        .drop(chosen)
+    )
+
+
+def _looked_up(pages: DataFrame, url: Column, h: Column, p: Column, order: list[UrlRule]) -> Column:
+    """The first rule in ``order`` that fits, from a literal index."""
+    parts = pages.select(host_of(url).alias("host"), path_of(url).alias("path"))
+    seen = token_counts(parts, sorted({t for r in order for t in r.tokens()}))
     index: dict[str, list[dict]] = {}
     for rank, r in enumerate(order):
         rarest = min(r.tokens(), key=lambda t: (seen.get(t, 0), t), default="")
         entry = {"rule": r.pattern, "action": r.action, "regex": r.regex(), "rank": rank, "own": int(not r.fallback)}
         index.setdefault(rarest, []).append(entry)
     table = F.from_json(F.lit(json.dumps(index)), f"map<string,array<struct<{_typed()}>>>")
-    split = pages.withColumn(host, host_of(url)).withColumn(path, path_of(url))
-    h, p = F.col(f"`{host}`"), F.col(f"`{path}`")
     # rules without a literal token are indexed under the empty one
     keys = F.concat(_tokens(h, p), F.array(F.lit("")))
     fetched = F.flatten(F.filter(F.transform(keys, lambda t: F.element_at(table, t)), lambda x: x.isNotNull()))
     whole = F.concat(F.lit("."), h, p)
     fits = F.filter(fetched, lambda r: (h != "") & F.regexp_like(whole, r["regex"]))
-    best = F.array_min(
+    return F.array_min(
         F.transform(fits, lambda r: F.struct(r["rank"], r["rule"], r["action"], r["own"]))
     )
-    chosen = free_name(split, "chosen")
-    out = split.withColumn(chosen, best)
-    c = F.col(f"`{chosen}`")
-    return (
-        out.withColumn(rule, F.when(c["own"] == 1, c["rule"]))
-        .withColumn(verdict, F.coalesce(c["action"], F.lit(default)))
-        .drop(chosen)
+
+
+def _joined(split: DataFrame, h: Column, p: Column, order: list[UrlRule], chosen: str) -> DataFrame:
+    """``split`` with the first rule in ``order`` that fits, as ``chosen``: the
+    index as a table, joined to the tokens of the distinct hosts and paths."""
+    spark = split.sparkSession
+    rows = [(r.pattern, r.action, r.regex(), i, int(not r.fallback)) for i, r in enumerate(order)]
+    table = spark.createDataFrame(rows, _RULE)
+    listed = spark.createDataFrame(
+        [(i, t) for i, r in enumerate(order) for t in sorted(set(r.tokens())) or [""]], "rank int, token string"
+    )
+    parts = split.select(h.alias("h"), p.alias("p")).where("h <> ''").distinct()
+    # rules without a literal token are indexed under the empty one
+    tokens = parts.select("h", "p", F.explode(F.concat(_tokens(F.col("h"), F.col("p")), F.array(F.lit("")))).alias("token"))
+    seen = tokens.groupBy("token").agg(F.count("*").alias("n"))
+    rarest = listed.join(seen, "token", "left").groupBy("rank").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))["token"].alias("token")
+    )
+    fits = tokens.join(rarest.join(table, "rank"), "token").where(
+        F.regexp_like(F.concat(F.lit("."), F.col("h"), F.col("p")), F.col("regex"))
+    )
+    key, rest = free_name(split, "key_host"), free_name(split, "key_path")
+    best = fits.groupBy(F.col("h").alias(key), F.col("p").alias(rest)).agg(
+        F.min(F.struct("rank", "rule", "action", "own")).alias(chosen)
     )
+    return split.join(best, (h == F.col(key)) & (p == F.col(rest)), "left").drop(key, rest)
 
 
 def _typed() -> str:

@@ -63,3 +63,14 @@ def test_wildcards_ties_and_longest(spark):
     got = [r.rule for r in urls.judge_urls(pages, rules).collect()]
     assert got == ["ads*.example.com", None, "*/ok/", "b.com/x*y/(z)/", "b.com/x*y/(z)/"]
     assert urls.UrlRule("block", "b.com/x+y/(z)/").tokens() == ["b", "com", "x+y", "(z)"]
+
+
+def test_more_rules_than_the_literal_index_holds(spark, monkeypatch):
+    rules = [*queries.URL_RULES, urls.UrlRule("block", "*/fr/7"), *(urls.UrlRule("block", f"h{i}.com/x") for i in range(50))]
+    rows = [(i, u) for i, (u, _, _) in enumerate(URLS)] + [(None, "x://q.net/"), (None, "x://q.net/"), (90, "x://a.h7.com/xy")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    read = lambda df: (df.columns, sorted(map(str, df.collect())))
+    want = read(urls.judge_urls(pages, rules))
+    monkeypatch.setattr(urls, "MAX_RULES", 5)
+    assert read(urls.judge_urls(pages, rules)) == want
+    assert urls.judge_urls(pages.where("false"), rules).count() == 0
