@@ -10,7 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.functions.frames import scratch_path
-from riskframe.llm import archive, chat, decontaminate, lm, mixing, puquality, quality, secrets, simhash, urls
+from riskframe.llm import (
+    archive,
+    chat,
+    decontaminate,
+    linededup,
+    lm,
+    merkle,
+    mixing,
+    puquality,
+    quality,
+    secrets,
+    simhash,
+    urls,
+)
+from riskframe.llm.common import ascii_lower
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -242,9 +256,128 @@ LEFT JOIN bars b ON d.source IS NOT DISTINCT FROM b.source
 """
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = F.coalesce("text", F.lit("")).cast("binary")
+    return linededup.line_dedup(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(kept, 256).alias("kept_sha256"))
+
+
+OP11_SQL = r"""
+WITH lines AS (
+  SELECT rowid AS r, doc_id, UNNEST(string_split(t, chr(10))) AS line, UNNEST(range(len(string_split(t, chr(10))))) AS pos
+  FROM (SELECT row_number() OVER () AS rowid, doc_id, coalesce(text, '') AS t FROM documents)),
+keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+frequent AS (
+  SELECT key, max(doc_id) AS last_id FROM keyed WHERE length(key) >= 20
+  GROUP BY key HAVING count(DISTINCT doc_id) + max(CAST(doc_id IS NULL AS INT)) >= 3),
+marked AS (
+  SELECT k.*, f.key IS NOT NULL AND k.doc_id IS DISTINCT FROM f.last_id AS gone
+  FROM keyed k LEFT JOIN frequent f ON k.key = f.key)
+SELECT min(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY r
+"""
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents")
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    digest = lambda text: merkle.row_digest(*[text if c == "text" else F.col(c) for c in columns])
+    lowered = _remainder(3) == 0
+    shown = F.when(lowered, digest(ascii_lower(F.col("text"))))
+    rows = merkle.merkle_manifest(docs, columns, carry={"shown": shown})
+    folded = merkle.fold(F.coalesce("shown", "leaf"), F.col("proof"))
+    return rows.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(merkle.siblings(F.col("proof")).cast("binary"), 256).alias("proof_sha256"),
+        folded.alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY n) AS t
+  FROM (SELECT UNNEST(range(256)) AS n)),
+rows AS (
+  SELECT doc_id, lang, text, source, n_chars,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), ''), ''), lambda c: ascii(c)::BIGINT)),
+      lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 3 = 0 AS lowered
+  FROM documents, crc),
+parts AS (
+  SELECT *,
+    coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low
+  FROM rows),
+digests AS (
+  SELECT doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(head || CASE WHEN lowered THEN coalesce(strlen(low) || ':' || low, '-') ELSE coalesce(strlen(text) || ':' || text, '-') END) AS shown
+  FROM parts),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n
+  FROM digests),
+nodes AS (
+  SELECT lang, 0 AS level, i, leaf AS h, n FROM leaves
+  UNION ALL
+  SELECT lang, level + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (n + 7) // 8
+  FROM nodes WHERE n > 1 GROUP BY lang, level, i // 8, n),
+heights AS (SELECT lang, max(level) AS height FROM nodes GROUP BY lang),
+subroots AS (
+  SELECT n.lang, n.h AS subroot, e.height, row_number() OVER (ORDER BY n.lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n
+  FROM nodes n JOIN heights e ON n.lang IS NOT DISTINCT FROM e.lang AND n.level = e.height),
+tops AS (
+  SELECT 0 AS level, i, subroot AS h, n FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (n + 7) // 8
+  FROM tops WHERE n > 1 GROUP BY level, i // 8, n),
+steps AS (
+  SELECT lang, level, i, h, n, i // 8 AS p FROM nodes WHERE n > 1
+  UNION ALL
+  SELECT s.lang, s.height + t.level, t.i, t.h, t.n, t.i // 8 FROM tops t, subroots s WHERE t.n > 1),
+walks AS (
+  SELECT l.lang, l.i AS leaf_i, e.level, CAST(floor(l.i / pow(8, e.level)) AS BIGINT) AS i
+  FROM leaves l JOIN (SELECT DISTINCT lang, level FROM nodes WHERE n > 1) e ON l.lang IS NOT DISTINCT FROM e.lang
+  UNION ALL
+  SELECT l.lang, l.i, s.height + t.level, CAST(floor(s.i / pow(8, t.level)) AS BIGINT)
+  FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang, (SELECT DISTINCT level FROM tops WHERE n > 1) t),
+sides AS (
+  SELECT w.lang, w.leaf_i, w.level,
+    coalesce(string_agg(s.h, '' ORDER BY s.i) FILTER (s.i < w.i), '') AS before,
+    coalesce(string_agg(s.h, '' ORDER BY s.i) FILTER (s.i > w.i), '') AS after
+  FROM walks w JOIN steps s ON w.lang IS NOT DISTINCT FROM s.lang AND w.level = s.level AND w.i // 8 = s.p
+  GROUP BY w.lang, w.leaf_i, w.level),
+proofs AS (
+  SELECT lang, leaf_i, list(struct_pack(before, after) ORDER BY level) AS proof,
+    string_agg(before || after, '' ORDER BY level) AS text, count(*) AS depth
+  FROM sides GROUP BY lang, leaf_i),
+met AS (
+  SELECT l.*, coalesce(p.proof, []) AS proof, coalesce(p.text, '') AS siblings, coalesce(p.depth, 0) AS depth
+  FROM leaves l LEFT JOIN proofs p ON l.lang IS NOT DISTINCT FROM p.lang AND l.i = p.leaf_i),
+folds AS (
+  SELECT lang, i, 0 AS level, shown AS h, proof, depth FROM met
+  UNION ALL
+  SELECT lang, i, level + 1, sha256(proof[level + 1].before || h || proof[level + 1].after), proof, depth FROM folds WHERE level < depth)
+SELECT m.doc_id, m.leaf, s.subroot, t.h AS root, sha256(m.siblings) AS proof_sha256, f.h AS folded_root, f.h = t.h AS verified
+FROM met m JOIN folds f ON m.lang IS NOT DISTINCT FROM f.lang AND m.i = f.i AND f.level = m.depth
+JOIN subroots s ON m.lang IS NOT DISTINCT FROM s.lang, tops t WHERE t.n = 1
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL, "op3_chat_format": OP3_SQL, "op4_warc": OP4_SQL, "op10_mix": OP10_SQL}
+    return {
+        "op2_url_filter": OP2_SQL,
+        "op3_chat_format": OP3_SQL,
+        "op4_warc": OP4_SQL,
+        "op10_mix": OP10_SQL,
+        "op11_line_dedup": OP11_SQL,
+        "op12_merkle_manifest": OP12_SQL,
+    }
