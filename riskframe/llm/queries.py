@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from riskframe.functions.frames import scratch_path
 from riskframe.llm import (
+    alignment,
     archive,
     chat,
     decontaminate,
@@ -368,6 +369,11 @@ JOIN subroots s ON m.lang IS NOT DISTINCT FROM s.lang, tops t WHERE t.n = 1
 """
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align_tokenizers(docs, groups="sha256").withColumnRenamed("groups", "groups_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
