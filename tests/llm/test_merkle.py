@@ -1,0 +1,114 @@
+"""Merkle manifest against the SQL and a plain recursive version."""
+
+import hashlib
+import random
+
+import pytest
+from oracle_check import compare
+from pyspark.sql import functions as F
+
+from riskframe.llm import merkle
+
+SF = "/root/testdata/sf0.001"
+COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, leaf string, rank int, proof string"
+
+
+def H(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def brute(rows, fanout):
+    """Per row: id, leaf, rank, siblings by level, subroot, root."""
+
+    def tree(leaves):
+        paths, level = [[] for _ in leaves], leaves
+        at = list(range(len(leaves)))
+        while len(level) > 1:
+            for k, i in enumerate(at):
+                first = i - i % fanout
+                paths[k].append(("".join(level[first:i]), "".join(level[i + 1 : first + fanout])))
+            level = [H(*level[i : i + fanout]) for i in range(0, len(level), fanout)]
+            at = [i // fanout for i in at]
+        return level[0], paths
+
+    text = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    by = {}
+    for r in rows:
+        leaf = H(*[text(r[c]) for c in COLUMNS])
+        by.setdefault(r["lang"], []).append((r["doc_id"] is not None, r["doc_id"] or 0, leaf))
+    order = sorted(by, key=lambda v: (v is not None, (v or "").encode()))
+    trees = {v: tree([x[2] for x in sorted(by[v])]) for v in order}
+    root, top = tree([trees[v][0] for v in order]) if order else (None, [])
+    out = []
+    for v, above in zip(order, top):
+        sub, paths = trees[v]
+        for rank, ((known, i, leaf), path) in enumerate(zip(sorted(by[v]), paths)):
+            out.append((i if known else None, leaf, rank, tuple(path + above), sub, root))
+    return out
+
+
+def check(spark, rows, fanout=8, block_levels=4):
+    docs = spark.createDataFrame([tuple(r[c] for c in ("doc_id", "text", "lang", "source", "n_chars")) + ("x", 1, "y") for r in rows], SCHEMA)
+    got = merkle.merkle_manifest(docs.repartition(5), COLUMNS, fanout=fanout, block_levels=block_levels)
+    assert got.columns == ["doc_id", "leaf", "rank", "proof", "subroot", "root"]
+    folded = got.withColumn("same", merkle.fold(F.col("leaf"), F.col("proof")) == F.col("root"))
+    key = lambda r: tuple((x is not None, x if x is not None else 0) for x in r[:3]) + (r[4],)
+    have = folded.collect()
+    assert all(r.same for r in have)
+    have = [(r.doc_id, r.leaf, r["rank"], tuple((s.before, s.after) for s in r.proof), r.subroot, r.root) for r in have]
+    assert sorted(have, key=key) == sorted(brute(rows, fanout), key=key)
+
+
+def row(i, lang="en", text="t"):
+    return {"doc_id": i, "text": text, "lang": lang, "source": None if i and i % 3 else "s:1", "n_chars": i}
+
+
+def test_query_equals_sql(spark):
+    res = compare(spark, SF, names=["op12_merkle_manifest"], verbose=False)
+    assert res["op12_merkle_manifest"][0] == "ok", res
+
+
+@pytest.mark.parametrize("fanout, block_levels", [(8, 4), (2, 1), (3, 0), (2, 3)])
+def test_trees_of_many_sizes(spark, fanout, block_levels):
+    """Complete and broken levels, several rounds, trees of one row, null and
+    empty values of the tree column."""
+    sizes = {"en": 130, "de": 64, "fr": 9, "x": 1, None: 17, "": 2, "é": 33}
+    rows = [row(i * 7 % 1000, v) for v, n in sizes.items() for i in range(n)]
+    random.Random(3).shuffle(rows)
+    check(spark, rows, fanout, block_levels)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 7, 8, 9, 15, 16, 17, 31])
+def test_butterfly_of_broken_subtrees(spark, n):
+    check(spark, [row(i) for i in range(n)], 2, 0)
+
+
+def test_hostile_rows(spark):
+    rows = [row(None, text="a"), row(None, text=None), row(None, None, ""), row(5), row(5), row(5, text="other"), row(-3)]
+    rows += [row(7, text="long " * 100_000), row(8, text="▁é👍\x00"), row(9, "en\n", "")]
+    check(spark, rows, 2, 1)
+
+
+def test_one_row_repeated_many_times(spark):
+    check(spark, [row(4)] * 700 + [row(1), row(9)], 8, 1)
+
+
+def test_many_trees(spark):
+    check(spark, [row(i, f"v{i % 90}") for i in range(200)], 4, 1)
+
+
+def test_tampering_is_found(spark):
+    docs = spark.createDataFrame([(i, "Text %d" % i, "en") for i in range(50)], "doc_id long, text string, lang string")
+    shown = F.when(F.col("doc_id") == 17, merkle.row_digest(F.col("doc_id"), F.lower("text"))).otherwise(
+        merkle.row_digest(F.col("doc_id"), F.col("text"))
+    )
+    rows = merkle.merkle_manifest(docs, ["doc_id", "text"], carry={"shown": shown})
+    ok = rows.select("doc_id", (merkle.fold(F.col("shown"), F.col("proof")) == F.col("root")).alias("ok")).collect()
+    assert [r.doc_id for r in ok if not r.ok] == [17]
+    with pytest.raises(ValueError):
+        merkle.merkle_manifest(docs, ["doc_id"], carry={"Leaf": F.lit(1)})
+
+
+def test_empty_table(spark):
+    assert merkle.merkle_manifest(spark.createDataFrame([], SCHEMA), COLUMNS).count() == 0
