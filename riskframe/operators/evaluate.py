@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from riskframe.functions.columns import f_score, safe_ratio
 from riskframe.functions.frames import written
+from riskframe.operators.ensembles import nested_predictions
 
 POSITIVE = 1.0
 
@@ -399,6 +400,18 @@ def param_text(params: dict) -> str:
     return ";".join(f"{p.name}={_param_value(v)}" for p, v in sorted(params.items(), key=lambda kv: kv[0].name))
 
 
+def _nested_groups(param_grid: list, nested: str | None) -> list[list[int]]:
+    """Places of the combinations that share a fit: those that differ in the
+    parameter ``nested`` alone."""
+    if nested is None:
+        return [[i] for i in range(len(param_grid))]
+    groups: dict[str, list[int]] = {}
+    for i, params in enumerate(param_grid):
+        rest = {p: v for p, v in params.items() if p.name != nested}
+        groups.setdefault(param_text(rest), []).append(i)
+    return list(groups.values())
+
+
 def grid_search(
     df: DataFrame,
     preprocess,
@@ -409,6 +422,7 @@ def grid_search(
     k: int = 5,
     metric: str = "recall",
     parallelism: int = 1,
+    nested: str | None = None,
 ):
     """Exhaustive search over precomputed folds; returns ``(best_model,
     results)``.
@@ -421,12 +435,32 @@ def grid_search(
     ``fit_seconds, score_seconds`` (means over the folds; null if fits run
     side by side) and ``is_best`` (highest ``cv_score``, the first of equals).
     The best combination is fitted again on all rows, as a pipeline model.
+
+    ``nested="numTrees"`` (forests only) fits the combinations that differ in
+    the number of trees once, with the most of them, and scores each as the
+    forest of its first trees, all in one pass over a side; seconds are then
+    those of the shared fit. A prefix is a valid forest of its size, though
+    not the one that MLlib draws when asked for fewer trees.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}; use one of {METRICS}")
+    if nested not in (None, "numTrees"):
+        raise ValueError("only numTrees can be nested")
     spark = df.sparkSession
     evaluator = ClassMetricEvaluator(metricName=metric, labelCol=label)
+    groups = _nested_groups(param_grid, nested)
     got: list[list[tuple]] = [[] for _ in param_grid]
+
+    def sizes_of(group: list[int]) -> list[int]:
+        param = learner.getParam(nested)
+        return [param_grid[i].get(param, learner.getOrDefault(param)) for i in group]
+
+    def prefix_scores(model, sizes: list[int], both: DataFrame) -> list[list[float]]:
+        rows = nested_predictions(model, both, sizes, ["_side", label])
+        found = summary(rows, label, "prediction", by=["_side", "n_trees"]).select("_side", "n_trees", metric).collect()
+        score = {(r[0], r[1]): float(r[2]) if r[2] is not None else 0.0 for r in found}
+        return [[score.get((side, n), 0.0) for n in sizes] for side in ("test", "train")]
+
     for fold in range(k):
         train = df.where(F.col(fold_col) != fold)
         prep = preprocess.fit(train)
@@ -434,16 +468,30 @@ def grid_search(
             written(prep.transform(part), f"fold-{side}")
             for side, part in (("test", df.where(F.col(fold_col) == fold)), ("train", train))
         ]
+        features = learner.getFeaturesCol()
+        test, taught = (
+            t.select(F.lit(side).alias("_side"), label, features) for side, t in zip(("test", "train"), sides)
+        )
+        both = test.unionByName(taught)
 
-        def one(params):
+        def one(group):
             t0 = time.perf_counter()
-            model = learner.fit(sides[1], params)
-            t1 = time.perf_counter()
-            test, taught = (evaluator.evaluate(model.transform(side)) for side in sides)
-            return test, taught, t1 - t0, time.perf_counter() - t1
-
-        for scores, row in zip(got, _side_by_side(spark, one, param_grid, parallelism)):
-            scores.append(row)
+            if nested is None:
+                model = learner.fit(sides[1], param_grid[group[0]])
+                t1 = time.perf_counter()
+                scores = [[evaluator.evaluate(model.transform(side))] for side in sides]
+            else:
+                sizes = sizes_of(group)
+                most = param_grid[group[0]] | {learner.getParam(nested): max(sizes)}
+                model = learner.fit(sides[1], most)
+                t1 = time.perf_counter()
+                scores = prefix_scores(model, sizes, both)
+            seconds = t1 - t0, time.perf_counter() - t1
+            return [(*pair, *seconds) for pair in zip(*scores)]
+
+        for group, rows in zip(groups, _side_by_side(spark, one, groups, parallelism)):
+            for i, row in zip(group, rows):
+                got[i].append(row)
 
     def mean_std(values):
         m = sum(values) / len(values)

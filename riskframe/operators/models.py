@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from riskframe.functions.columns import linear_predictor, sigmoid
 from riskframe.functions.frames import checkpoint_root
 from riskframe.operators import features as feat
+from riskframe.operators.ensembles import Boosting, Forest
 from riskframe.operators.evaluate import with_class_weights
 from riskframe.operators.project import top_k
 
@@ -68,7 +69,7 @@ def logistic_notebook(n_train: int, label: str = "label", features: str = "featu
 def forest_spark(label: str = "label", features: str = "features", seed: int = SEED) -> RandomForestClassifier:
     """The MLlib script's forest: 100 trees, MLlib defaults otherwise
     (maxDepth 5, maxBins 32, gini)."""
-    return RandomForestClassifier(featuresCol=features, labelCol=label, numTrees=N_TREES, seed=seed)
+    return Forest(featuresCol=features, labelCol=label, numTrees=N_TREES, seed=seed)
 
 
 def forest_notebook(
@@ -84,7 +85,7 @@ def forest_notebook(
     it is kept small: with node ids cached, 64 MB fits as fast as 256 MB or
     1 GB did, and 100 trees of depth 30 no longer exhaust a 1 GB heap.
     """
-    return RandomForestClassifier(
+    return Forest(
         featuresCol=features,
         labelCol=label,
         numTrees=N_TREES,
@@ -101,7 +102,7 @@ def boosting(label: str = "label", features: str = "features", seed: int = SEED)
     """The notebook's boosting: 100 stages, depth 3, rate 0.1 (MLlib's own
     defaults differ, so all are set). Checkpointing every 10 iterations into
     the shared checkpoint folder keeps the lineage short."""
-    return GBTClassifier(
+    return Boosting(
         featuresCol=features,
         labelCol=label,
         maxIter=GB_STAGES,

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from riskframe.functions.columns import numeric_columns, round_doubles
 from riskframe.functions.frames import right_sized, scratch_path, written
-from riskframe.operators import act, evaluate, features, models, profile, project, split
+from riskframe.operators import act, evaluate, features, models, profile, project, search, split
 from riskframe.operators.models import feature_importance
 from riskframe.plans import workflow
 from riskframe.sources import activity as act_src
@@ -465,24 +465,27 @@ def q_cross_validate(spark, d):
 
 
 def q_grid_search(spark, d):
-    """Source ``fitted``: a search over the training rows that varies every
-    dimension of the mapped grid at its own depths (8 of the 72 combinations,
-    five folds); SQL knows the combinations, that both scores are shares (1.0
-    if so) and that one is best. Source ``labels``: the mean test recall over
-    the folds of ``labels``."""
-    train, _ = split_frames(spark, d)
-    folded = right_sized(split.stratified_folds(train.withColumn("w_unit", F.lit(1.0)), "label", KEY, k=5, seed=42))
-    rf = models.forest_notebook()
-    _, results = evaluate.grid_search(
+    """Source ``fitted``: the reference's whole grid, 216 combinations, over
+    the training rows in five folds. SQL knows the combinations, that both
+    scores are shares (1.0 if so) and that one is best. Source ``tuned``: the
+    best combination fitted on all training rows and scored on the test rows,
+    whose support SQL knows. Source ``labels``: the mean test recall over the
+    folds of ``labels``."""
+    train, test = split_frames(spark, d)
+    folded = right_sized(split.stratified_folds(train, "label", KEY, k=5, seed=42))
+    best_model, results = search.search_forests(
         folded,
-        workflow.weighted_preprocessing(CATEGORICAL, NUMERIC),
-        rf,
-        workflow.star_grid(rf),
+        features.preprocess_pipeline(CATEGORICAL, NUMERIC, mode="onehot"),
+        search.combinations(search.FOREST_GRID),
         "label",
         "fold",
         k=5,
         metric="recall",
-        parallelism=8,
+    )
+    tuned = evaluate.classification_report(models.predict(best_model, test, keep=["label"])).select(
+        F.lit("tuned").alias("source"),
+        F.concat(F.lit("support "), F.col("class")).alias("params"),
+        F.when(F.col("f1").between(0.0, 1.0), F.col("support").cast("double")).alias("value"),
     )
     fitted = results.select(
         F.lit("fitted").alias("source"),
@@ -496,7 +499,7 @@ def q_grid_search(spark, d):
     known = folds.agg(F.avg("recall").alias("value")).select(
         F.lit("labels").alias("source"), F.lit("recall").alias("params"), "value"
     )
-    return fitted.unionByName(best).unionByName(known)
+    return fitted.unionByName(best).unionByName(tuned).unionByName(known)
 
 
 # --------------------------------------------------------------------------

@@ -10,8 +10,8 @@ to BIGINT, so results compare exactly with ``catalog.queries()``.
 from __future__ import annotations
 
 from riskframe.functions.columns import hex_threshold
+from riskframe.operators import search
 from riskframe.plans.catalog import RISK_COEFFICIENTS
-from riskframe.plans.workflow import GRID
 
 ACTIVITY = """
 cut AS (SELECT max(o_orderdate) - INTERVAL 365 DAY AS cutoff FROM orders),
@@ -392,18 +392,20 @@ def _cross_validate() -> str:
 
 
 def _grid_search() -> str:
-    base = {k: v[0] for k, v in GRID.items()}
-    combos = [base] + [base | {k: x} for k, v in GRID.items() for x in v[1:]]
-    fitted = "\nUNION ALL ".join(
-        "SELECT 'fitted', '" + ";".join(f"{k}={c[k]}" for k in sorted(c)) + "', 1.0::DOUBLE" for c in combos
-    )
-    return _metrics(
+    combos = search.combinations(search.FOREST_GRID)
+    fitted = "\nUNION ALL ".join(f"SELECT 'fitted', '{search.combo_text(c)}', 1.0::DOUBLE" for c in combos)
+    known = _metrics(
         LABEL_FOLDS,
         "SELECT 'labels' AS source, 'recall' AS params, (round(avg(recall), 6) + 0.0) AS value FROM s "
         "WHERE model LIKE '%-test'",
         by_model=True,
         tail=f"UNION ALL SELECT 'fitted', 'is_best', 1.0::DOUBLE\nUNION ALL {fitted}",
     )
+    tuned = _test_rows("label").replace("SELECT label FROM t", "SELECT * FROM t")
+    return f"""SELECT * FROM ({known})
+UNION ALL SELECT 'tuned', 'support ' || CAST(CAST(label AS INTEGER) AS VARCHAR), CAST(count(*) AS DOUBLE) FROM ({tuned}) GROUP BY label
+UNION ALL SELECT 'tuned', 'support ' || line, CAST(n AS DOUBLE)
+FROM (SELECT count(*) AS n FROM ({tuned})), (VALUES ('accuracy'), ('macro avg'), ('weighted avg')) v(line)"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -135,7 +135,7 @@ def notebook_flow(
     boost_stages: int = models.GB_STAGES,
 ) -> FlowResult:
     """The notebook, end to end. ``grid="reference"`` searches its mapped
-    grid (72 combinations × ``folds``), ``"star"`` each dimension on its own
+    grid (72 combinations × ``folds``, numbers of trees sharing a fit), ``"star"`` each dimension on its own
     (8 combinations), ``None`` skips the search and lists risks by the untuned
     forest. ``forest_trees`` / ``boost_stages`` default to the reference's
     100; with ``forest_trees`` other than that the grid's tree counts shrink
@@ -203,7 +203,8 @@ def notebook_flow(
         train_folds = right_sized(split.stratified_folds(train, "label", key, folds or 3, seed))
         t0 = time.perf_counter()
         final, res.extras["grid"] = evaluate.grid_search(
-            train_folds, weighted_preprocessing(categorical, numeric), rf, combos, "label", "fold", folds or 3, "recall", parallelism
+            train_folds, weighted_preprocessing(categorical, numeric), rf, combos, "label", "fold", folds or 3, "recall",
+            parallelism, nested="numTrees",
         )
         res.extras["search_seconds"] = time.perf_counter() - t0
         t0 = time.perf_counter()
