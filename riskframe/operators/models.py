@@ -22,6 +22,7 @@ from riskframe.functions.frames import checkpoint_root
 from riskframe.operators import features as feat
 from riskframe.operators.ensembles import Boosting, Forest
 from riskframe.operators.evaluate import with_class_weights
+from riskframe.operators.newton import NewtonLogistic
 from riskframe.operators.project import top_k
 
 # Fixed values of the reference's configurations.
@@ -196,12 +197,13 @@ def _fit(train: DataFrame, categorical, numeric, learner, mode: str, label: str)
 def fit_logistic(train: DataFrame, categorical: Sequence[str], numeric: Sequence[str], preset: str = "spark", label: str = "label"):
     """(pipeline model, fit seconds). ``spark``: the MLlib script's
     preprocessing (indexed + MLlib-scaled) and LR preset; ``notebook``:
-    one-hot + population-std standardization and the library-default LR
-    (its ``regParam`` needs the training row count, one count)."""
+    one-hot + population-std standardization and the library-default LR,
+    solved to its optimum by Newton steps (``logistic_notebook`` is the same
+    objective for MLlib's own optimiser)."""
     if preset == "spark":
         return _fit(train, categorical, numeric, logistic_spark(), "ordinal", label)
     if preset == "notebook":
-        return _fit(train, categorical, numeric, logistic_notebook(train.count()), "onehot", label)
+        return _fit(train, categorical, numeric, NewtonLogistic(penalty=1.0 / NOTEBOOK_LR_C), "onehot", label)
     raise ValueError(f"preset must be one of {PRESETS}")
 
 

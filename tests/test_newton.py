@@ -1,0 +1,74 @@
+"""Newton's logistic regression against a direct solve and MLlib."""
+
+import numpy as np
+import pytest
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from riskframe.functions.frames import written
+from riskframe.operators import models
+from riskframe.operators.newton import NewtonLogistic
+
+
+@pytest.fixture(scope="module")
+def table(spark):
+    df = spark.range(700).select(
+        "id", F.randn(1).alias("a"), (F.randn(2) * 3).alias("b"), (F.rand(3) > 0.7).cast("double").alias("c"), F.lit(0.0).alias("d")
+    )
+    p = 1 / (1 + F.exp(-(1.5 * F.col("a") - 0.4 * F.col("b") + F.col("c") - 1)))
+    df = df.withColumn("label", (F.rand(5) < p).cast("double"))
+    return written(VectorAssembler(inputCols=["a", "b", "c", "d"], outputCol="features").transform(df), "newton-test")
+
+
+def direct(x, y, penalty, steps=200):
+    """Plain Newton in numpy, no halving."""
+    x = np.c_[x, np.ones(len(x))]
+    lam = np.full(x.shape[1], penalty)
+    lam[-1] = 0
+    beta = np.zeros(x.shape[1])
+    for _ in range(steps):
+        mu = 1 / (1 + np.exp(-x @ beta))
+        g = x.T @ (y - mu) - lam * beta
+        beta = beta + np.linalg.lstsq((x * (mu * (1 - mu))[:, None]).T @ x + np.diag(lam), g, rcond=None)[0]
+    return beta
+
+
+@pytest.mark.parametrize("penalty", [1.0, 0.01, 100.0])
+def test_coefficients_equal_a_direct_solve(table, penalty):
+    model = NewtonLogistic(penalty).fit(table)
+    rows = table.select(vector_to_array("features").alias("x"), "label").collect()
+    want = direct(np.array([r.x for r in rows]), np.array([r.label for r in rows]), penalty)
+    assert model.coefficients.toArray() == pytest.approx(want[:-1], abs=1e-8)
+    assert model.intercept == pytest.approx(want[-1], abs=1e-8)
+    assert model.n_steps <= 10 and model.gradient < 1e-6
+
+
+def test_same_objective_as_mllib(table):
+    ours = NewtonLogistic(1.0).fit(table)
+    theirs = models.logistic_notebook(table.count()).setTol(1e-12).fit(table)
+    assert ours.coefficients.toArray() == pytest.approx(theirs.coefficients.toArray(), abs=1e-4)
+    a, b = (
+        m.transform(table).select("id", vector_to_array("probability")[1].alias("p"), "prediction").orderBy("id").collect()
+        for m in (ours, theirs)
+    )
+    assert all(x.p == pytest.approx(y.p, abs=1e-4) for x, y in zip(a, b))
+    assert all(x.prediction == float(x.p > 0.5) for x in a)
+
+
+def test_repeated_rows_unlabelled_rows_and_one_class(spark, table):
+    twice = NewtonLogistic(2.0).fit(table.union(table))
+    assert twice.coefficients.toArray() == pytest.approx(NewtonLogistic(1.0).fit(table).coefficients.toArray(), abs=1e-8)
+    some = table.union(table.withColumn("label", F.lit(None).cast("double")))
+    assert NewtonLogistic(1.0).fit(some).intercept == pytest.approx(NewtonLogistic(1.0).fit(table).intercept, abs=1e-8)
+    one = NewtonLogistic(1.0).fit(table.where("label = 1"))
+    assert one.intercept > 5 and np.abs(one.coefficients.toArray()).max() < 0.1
+    assert NewtonLogistic().fit(table.limit(0)).intercept == 0.0
+
+
+def test_separable_rows_stay_finite(spark):
+    df = spark.createDataFrame([(float(i), float(i > 0)) for i in (-3, -2, -1, 1, 2, 3)] * 5, "a double, label double")
+    df = VectorAssembler(inputCols=["a"], outputCol="features").transform(df)
+    model = NewtonLogistic(1e-3).fit(df)
+    assert np.isfinite(model.coefficients[0]) and model.coefficients[0] > 5
+    assert model.transform(df).where("prediction <> label").count() == 0
