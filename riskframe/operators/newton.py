@@ -38,7 +38,7 @@ class NewtonLogistic(Estimator, HasFeaturesCol, HasLabelCol):
     no penalty, there is no finite optimum and the fit stops after
     ``max_iter`` steps."""
 
-    def __init__(self, penalty: float = 1.0, max_iter: int = 50, tol: float = 1e-12, featuresCol="features", labelCol="label"):
+    def __init__(self, penalty: float = 1.0, max_iter: int = 50, tol: float = 1e-10, featuresCol="features", labelCol="label"):
         super().__init__()
         self._set(featuresCol=featuresCol, labelCol=labelCol)
         self.penalty, self.max_iter, self.tol = penalty, max_iter, tol
@@ -65,18 +65,14 @@ class NewtonLogistic(Estimator, HasFeaturesCol, HasLabelCol):
             if np.abs(gradient).max() <= self.tol * n:
                 break
             step = np.linalg.lstsq(hessian + np.diag(penalty), gradient, rcond=None)[0]
-            size, new = 1.0, None
+            size, new = 1.0, loss
             while size > 1e-9:
                 new = self._loss(rows, beta + size * step, penalty)
-                if new <= loss:
+                # sums of doubles tell no more than this
+                if new <= loss + 1e-12 * abs(loss):
                     break
                 size /= 2
-            if new is None or new > loss:  # as low as sums of doubles tell
-                break
-            settled = loss - new <= 1e-15 * abs(loss)
             beta, loss, steps = beta + size * step, new, steps + 1
-            if settled:
-                break
         return NewtonLogisticModel(beta[:-1], beta[-1], steps, np.abs(gradient).max(), self.getFeaturesCol())
 
     @staticmethod
