@@ -32,8 +32,8 @@ def _dot(x: Column, weights: np.ndarray) -> Column:
 
 class NewtonLogistic(Estimator, HasFeaturesCol, HasLabelCol):
     """Minimises ``sum of log losses + penalty / 2 * |w|^2``, the intercept
-    unpenalised (``penalty = 1 / C``). Steps are halved until the objective
-    falls; the fit ends when no gradient entry exceeds ``tol`` times the rows.
+    unpenalised (``penalty = 1 / C``). A step that does not shorten the
+    gradient is halved; the fit ends when no gradient entry exceeds ``tol`` times the rows.
     Rows without a label are left out; without rows, or with one class only and
     no penalty, there is no finite optimum and the fit stops after
     ``max_iter`` steps."""
@@ -56,31 +56,22 @@ class NewtonLogistic(Estimator, HasFeaturesCol, HasLabelCol):
             raise ValueError(f"{p - 1} features are too many for Newton steps")
         penalty = np.full(p, float(self.penalty))
         penalty[-1] = 0.0
-        beta, steps = np.zeros(p), 0
-        loss = self._loss(rows, beta, penalty) if n else 0.0
-        gradient = np.zeros(p)
-        while n and steps < self.max_iter:
-            hessian, gradient = self._moments(rows, beta, p)
-            gradient = gradient - penalty * beta
-            if np.abs(gradient).max() <= self.tol * n:
+        beta, gradient, steps = np.zeros(p), np.zeros(p), 0
+        last, step = None, np.zeros(p)  # the point before, and the step from it
+        while n:
+            hessian, new = self._moments(rows, beta, p)
+            new = new - penalty * beta
+            if last is not None and np.linalg.norm(new) > np.linalg.norm(gradient) and np.abs(step).max() > 1e-12:
+                step = step / 2  # too far
+                beta = last + step
+                continue
+            gradient = new
+            if np.abs(gradient).max() <= self.tol * n or steps == self.max_iter:
                 break
             step = np.linalg.lstsq(hessian + np.diag(penalty), gradient, rcond=None)[0]
-            size, new = 1.0, loss
-            while size > 1e-9:
-                new = self._loss(rows, beta + size * step, penalty)
-                # sums of doubles tell no more than this
-                if new <= loss + 1e-12 * abs(loss):
-                    break
-                size /= 2
-            beta, loss, steps = beta + size * step, new, steps + 1
+            last, beta, steps = beta, beta + step, steps + 1
         return NewtonLogisticModel(beta[:-1], beta[-1], steps, np.abs(gradient).max(), self.getFeaturesCol())
 
-    @staticmethod
-    def _loss(rows: DataFrame, beta: np.ndarray, penalty: np.ndarray) -> float:
-        m = rows.select(_dot(F.col("x"), beta).alias("m"), "y")
-        each = F.log1p(F.exp(-F.abs("m"))) + F.greatest("m", F.lit(0.0)) - F.col("y") * F.col("m")
-        return float(m.agg(F.sum(each)).first()[0]) + 0.5 * float((penalty * beta * beta).sum())
-
     @staticmethod
     def _moments(rows: DataFrame, beta: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
         """Hessian and gradient of the unpenalised part."""
