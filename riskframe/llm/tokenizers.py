@@ -11,12 +11,14 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from dataclasses import dataclass, field
 
 #: Fixed value: how byte-level BPE splits a text before merging.
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The piece alphabet's sign for a space.
 SPACE_SIGN = "▁"
+LONG_SPACE = re.compile(r"\s{1000}")
 #: Words whose pieces a worker remembers.
 MOST_WORDS = 200_000
 
@@ -77,9 +79,21 @@ class ByteLevelBpe:
         ranks = {bytes(byte[c] for c in t): i for t, i in data["model"]["vocab"].items() if t not in added}
         return tiktoken.Encoding("byte-level", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    def _slow(self):
+        import tokenizers
+
+        out = tokenizers.Tokenizer.from_str(self.raw.decode())
+        out.encode_special_tokens = True
+        return out
+
     def encode(self, texts: list[str]) -> list[list[int]]:
-        one = _once(self.key, self._build).encode_ordinary
-        return [one(t) for t in texts]
+        key = self.key
+        one = _once(key, self._build).encode_ordinary
+        # the fast library's pattern runs out of stack in long runs of space
+        return [
+            _once("slow-" + key, self._slow).encode(t, add_special_tokens=False).ids if LONG_SPACE.search(t) else one(t)
+            for t in texts
+        ]
 
 
 class _Words:

@@ -118,6 +118,7 @@ HOSTILE = [
     "x" * 5000,
     "\n" * 400,
     " " * 300 + "end",
+    "long run" + " " * 200_000 + "\n" * 3000 + "end",
     "don't won't I'll we've 12345678901234567890",
     "lorem ipsum " * 2000,
     "  ​﻿\u0085",
