@@ -15,10 +15,17 @@ Scale. Texts are read once and written in batches of about ``BATCH_BYTES`` as
 a dictionary of the batch's tokens and one code per token. Token counts are
 summed over dictionaries, not over documents, so a token costs a row per
 batch, never a row per occurrence, and each batch gets the exact totals of its
-own tokens back. Distinct grams are counted per batch, then merged in hash
-buckets whose number grows with the number of batches; a bucket fills its own
-segment of the filter, probes it for every gram it was sent, held-out ones
-(count 0) included, and sends each batch its levels back.
+own tokens back.
+
+The filter is made of training grams alone. Each batch's distinct ones are cut
+by at most ``RADIX_BITS`` of their hash a step; between steps as many batches
+are merged as a step has values, so a step has at most ``2 ** RADIX_BITS`` rows
+a batch, a group never holds more grams than a batch has, and rows grow in
+proportion to the batches. The buckets at the end fill a segment each, written
+as a table: the model. Scoring probes it by slices of at most ``SLICE_BYTES``:
+the grams that each batch asks for are written by slice, a pass broadcasts one
+slice and reads their levels, so every gram is probed once, in one pass. There
+is a row for each batch and slice (one slice for some 30 batches).
 """
 
 from __future__ import annotations
@@ -34,6 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskframe.functions.frames import scratch_path
 from riskframe.llm.common import written
 
 BATCH_BYTES = 16 << 20
@@ -46,6 +54,12 @@ PROBES = 3
 PRIOR = 200.0
 #: Buckets per batch, and at least.
 BUCKETS_PER_BATCH, MIN_BUCKETS = 4, 256
+#: Most bits of a radix step.
+RADIX_BITS = 8
+#: Most bytes of the filter broadcast at once (through the driver, too).
+SLICE_BYTES = 64 << 20
+#: Parts of a slice's questions.
+PROBE_TASKS = 32
 #: Grams worked on at once.
 CHUNK = 1 << 19
 #: The end token; words are never empty.
@@ -132,19 +146,22 @@ class _Batch:
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types)], names=names)
 
 
-def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    # unique within the one committed attempt of each task
-    number = TaskContext.get().partitionId() << 32
-    batch = _Batch()
-    for rows in batches:
-        ids, texts, train = (rows.column(i) for i in range(3))
-        for i in range(len(rows)):
-            batch.add(ids[i].as_py(), texts[i].as_py(), train[i].as_py())
-            if batch.bytes >= BATCH_BYTES:
-                yield batch.row(number)
-                batch, number = _Batch(), number + 1
-    if batch.ids:
-        yield batch.row(number)
+def _encode(batch_bytes: int):
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # unique within the one committed attempt of each task
+        number = TaskContext.get().partitionId() << 32
+        batch = _Batch()
+        for rows in batches:
+            ids, texts, train = (rows.column(i) for i in range(3))
+            for i in range(len(rows)):
+                batch.add(ids[i].as_py(), texts[i].as_py(), train[i].as_py())
+                if batch.bytes >= batch_bytes:
+                    yield batch.row(number)
+                    batch, number = _Batch(), number + 1
+        if batch.ids:
+            yield batch.row(number)
+
+    return encode
 
 
 def _pieces(codes: np.ndarray, lengths: np.ndarray, hashes: np.ndarray):
@@ -207,7 +224,7 @@ def encoded(docs: DataFrame) -> DataFrame:
     rows = docs.select(
         F.col("id").cast("long"), F.col("text").cast("string"), F.coalesce("train", F.lit(False))
     )
-    return written(rows.mapInArrow(_encode, _BATCH), "batches")
+    return written(rows.mapInArrow(_encode(BATCH_BYTES), _BATCH), "batches")
 
 
 # --- exact token counts -----------------------------------------------------
@@ -291,133 +308,274 @@ def _read(bits: np.ndarray, rest: np.ndarray, start: np.ndarray, segment: int) -
 
 
 def _rest(hashes: np.ndarray, bucket_bits: int) -> np.ndarray:
-    return (hashes >> np.uint64(64 - REST_BITS - bucket_bits)) & np.uint64((1 << REST_BITS) - 1)
+    return _lead(hashes, bucket_bits + REST_BITS) & np.uint64((1 << REST_BITS) - 1)
+
+
+def _lead(hashes: np.ndarray, width: int) -> np.ndarray:
+    return hashes >> np.uint64(64 - width)
+
+
+def _pack_sorted(x: np.ndarray, width: int) -> bytes:
+    """Sorted numbers of ``width`` bits by Elias and Fano: the low bits as they
+    are, the high ones as the gaps between set bits."""
+    n = len(x)
+    low = max(0, width - n.bit_length())
+    high = np.zeros(n + (1 << (width - low)), bool)
+    high[(x >> np.uint64(low)).astype(np.int64) + np.arange(n)] = True
+    parts = [n.to_bytes(4, "little"), np.packbits(high).tobytes()]
+    for i in range(0, n, CHUNK // 8):
+        some = x[i : i + CHUNK // 8].astype("<u8").view(np.uint8).reshape(-1, 8)
+        parts.append(np.packbits(np.unpackbits(some, axis=1, bitorder="little")[:, :low]).tobytes())
+    return b"".join(parts)
+
+
+def _unpack_sorted(blob: bytes, width: int) -> tuple[np.ndarray, int]:
+    """The numbers and where they end in ``blob``."""
+    n = int.from_bytes(blob[:4], "little")
+    low = max(0, width - n.bit_length())
+    raw = np.frombuffer(blob, np.uint8)
+    room = n + (1 << (width - low))
+    at = 4 + (room + 7) // 8
+    high = np.flatnonzero(np.unpackbits(raw[4:at], count=room)) - np.arange(n)
+    out = high.astype(np.uint64) << np.uint64(low)
+    for i in range(0, n, CHUNK // 8):
+        k = min(CHUNK // 8, n - i)
+        end = at + (k * low + 7) // 8
+        bits = np.zeros((k, 64), np.uint8)
+        bits[:, :low] = np.unpackbits(raw[at:end], count=k * low).reshape(k, low)
+        out[i : i + k] |= np.packbits(bits, axis=1, bitorder="little").view("<u8")[:, 0]
+        at = end
+    return out, at
+
+
+def _blob(x: np.ndarray, counts: np.ndarray, width: int = REST_BITS) -> bytes:
+    return _pack_sorted(x, width) + _pack(counts)
+
+
+def _unblob(blob: bytes, width: int = REST_BITS) -> tuple[np.ndarray, np.ndarray]:
+    x, end = _unpack_sorted(blob, width)
+    return x, _unpack(blob[end:], len(x)).astype(np.int64)
+
+
+def _merged(blobs: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers of all blobs, sorted, and the sums of their counts."""
+    parts = [_unblob(b.as_py(), width) for b in blobs]
+    x = np.concatenate([p[0] for p in parts])
+    order = np.argsort(x, kind="stable")
+    x = x[order]
+    cuts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+    return x[cuts], np.add.reduceat(np.concatenate([p[1] for p in parts])[order], cuts)
+
+
+def _runs(x: np.ndarray, width: int, bits: int) -> tuple[np.ndarray, np.ndarray, list[slice]]:
+    """Sorted numbers cut by their leading ``bits``: the values there are of
+    these, the numbers without them, and where each value's are."""
+    lead = (x >> np.uint64(width - bits)).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(lead, prepend=-1))
+    places = [slice(a, b) for a, b in zip(cuts, np.append(cuts[1:], len(x)))]
+    return lead[cuts], x & np.uint64((1 << (width - bits)) - 1), places
+
+
+def _asked(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    codes = _unpack(row["codes"], int(row["lengths"].sum()))
+    hashes = np.frombuffer(row["hashes"], np.uint64)
+    return _batch_grams(codes, row["lengths"], row["train"], hashes, row["n_train"])
+
+
+_RADIX = "prefix long, batches long, blob binary"
+
+
+def _radix_rows(x: np.ndarray, counts: np.ndarray, width: int, bits: int, prefix: int, batches: int) -> dict:
+    lead, rest, places = _runs(x, width, bits)
+    return {
+        "prefix": pa.array((prefix << bits) + lead, pa.int64()),
+        "batches": pa.array(np.full(len(lead), batches), pa.int64()),
+        "blob": pa.array([_blob(rest[at], counts[at], width - bits) for at in places], pa.binary()),
+    }
 
 
-def _spread(bucket_bits: int):
-    """Per batch and bucket: the sorted rests and the counts, packed."""
+def _spread(width: int, bits: int):
+    """A batch's training grams, cut by the first radix."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for row in _columns(rows):
-                codes = _unpack(row["codes"], int(row["lengths"].sum()))
-                hashes = np.frombuffer(row["hashes"], np.uint64)
-                grams, counts = _batch_grams(codes, row["lengths"], row["train"], hashes, row["n_train"])
-                bucket = (grams >> np.uint64(64 - bucket_bits)).astype(np.int64)
-                rest = _rest(grams, bucket_bits)
-                cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-                ends = np.append(cuts[1:], len(grams))
-                blobs = [_blob(rest[a:b], counts[a:b]) for a, b in zip(cuts, ends)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(cuts), row["batch"])), pa.array(bucket[cuts]), pa.array(blobs, pa.binary())],
-                    names=["batch", "bucket", "blob"],
-                )
+                grams, counts = _asked(row)
+                taught = counts > 0
+                x = _lead(grams[taught], width)
+                yield pa.RecordBatch.from_pydict(_radix_rows(x, counts[taught], width, bits, 0, row["batches"]))
 
     return spread
 
 
-def _blob(rest: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted rests by Elias and Fano: the low bits as they are, the high ones
-    as the gaps between set bits."""
-    n = len(rest)
-    low = max(0, REST_BITS - n.bit_length())
-    high = np.zeros(n + (1 << (REST_BITS - low)), bool)
-    high[(rest >> np.uint64(low)).astype(np.int64) + np.arange(n)] = True
-    bits = np.unpackbits(rest.astype("<u8").view(np.uint8).reshape(n, 8), axis=1, bitorder="little")[:, :low]
-    return n.to_bytes(4, "little") + np.packbits(high).tobytes() + np.packbits(bits).tobytes() + _pack(counts)
+def _split(width: int, bits: int):
+    """The grams of some batches that share a prefix, merged and cut by the
+    next radix."""
 
+    def split(key: tuple, table: pa.Table) -> pa.Table:
+        prefix, batches = (k.as_py() for k in key)
+        x, counts = _merged(table.column("blob"), width)
+        return pa.table(_radix_rows(x, counts, width, bits, prefix, batches >> bits))
 
-def _unblob(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = int.from_bytes(blob[:4], "little")
-    low = max(0, REST_BITS - n.bit_length())
-    raw = np.frombuffer(blob, np.uint8)
-    width = n + (1 << (REST_BITS - low))
-    at, end = 4 + (width + 7) // 8, 4 + (width + 7) // 8 + (n * low + 7) // 8
-    high = np.flatnonzero(np.unpackbits(raw[4:at], count=width)) - np.arange(n)
-    bits = np.zeros((n, 64), np.uint8)
-    bits[:, :low] = np.unpackbits(raw[at:end], count=n * low).reshape(n, low)
-    rest = np.packbits(bits, axis=1, bitorder="little").view("<u8")[:, 0]
-    return rest | (high.astype(np.uint64) << np.uint64(low)), _unpack(blob[end:], n).astype(np.int64)
-
-
-def _filled(table: pa.Table, segment: int) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A bucket's segment from what the batches sent: the number of grams by
-    row, each one's place among the distinct ones, these, their counts, and
-    the packed bits."""
-    parts = [_unblob(b.as_py()) for b in table.column("blob")]
-    rest, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    counts = np.bincount(place, np.concatenate([p[1] for p in parts])).astype(np.int64)
-    bits = np.zeros(segment, bool)
-    level = levels(counts)
-    for q in range(1, int(level.max(initial=0)) + 1):
-        bits[LogBloom.places(rest[level >= q], q, segment).reshape(-1)] = True
-    return [len(p[0]) for p in parts], place, rest, counts, np.packbits(bits, bitorder="little")
-
-
-def _segment(segment: int):
-    def fill(key: tuple, table: pa.Table) -> pa.Table:
-        _, _, _, counts, bits = _filled(table, segment)
-        return pa.table({"bucket": [key[0].as_py()], "bits": pa.array([bits.tobytes()], pa.binary()), "grams": [int((counts > 0).sum())]})
-
-    return fill
+    return split
 
 
-def _answer(segment: int):
-    """To each batch the levels of the grams it sent, in their order."""
+def _segment(segment: int, slice_shift: int):
+    """The segment that a bucket's grams fill."""
 
-    def answer(key: tuple, table: pa.Table) -> pa.Table:
-        sizes, place, rest, _, bits = _filled(table, segment)
-        read = _read(bits, rest, np.zeros(len(rest), np.uint64), segment)[place]
-        codec = pa.Codec("zstd", 1)
-        back = [codec.compress(x.tobytes(), asbytes=True) for x in np.split(read, np.cumsum(sizes)[:-1])]
-        bucket = pa.array(np.full(len(sizes), key[0].as_py()))
-        return pa.table({"batch": table.column("batch"), "bucket": bucket, "n": pa.array(sizes, pa.int32()), "levels": pa.array(back, pa.binary())})
+    def fill(key: tuple, table: pa.Table) -> pa.Table:
+        rest, counts = _merged(table.column("blob"), REST_BITS)
+        bits = np.zeros(segment, bool)
+        level = levels(counts)
+        for q in range(1, int(level.max(initial=0)) + 1):
+            bits[LogBloom.places(rest[level >= q], q, segment).reshape(-1)] = True
+        bucket = key[0].as_py()
+        packed = np.packbits(bits, bitorder="little").tobytes()
+        return pa.table({"bucket": [bucket], "bits": pa.array([packed], pa.binary()), "grams": [len(rest)], "slice": [bucket >> slice_shift]})
 
-    return answer
+    return fill
 
 
 def filter_shape(n_batches: int, n_tokens: int) -> tuple[int, int]:
     """Binary logarithm of the number of segments, and the bits of one."""
     buckets = max(MIN_BUCKETS, BUCKETS_PER_BATCH * n_batches)
-    bucket_bits = min(20, (buckets - 1).bit_length())
+    bucket_bits = (buckets - 1).bit_length()
     n_bits = 1 << max(0, BITS_PER_TOKEN * n_tokens - 1).bit_length()
     return bucket_bits, max(MIN_BITS, n_bits, 64 << bucket_bits) >> bucket_bits
 
 
-def _spread_grams(batches: DataFrame):
-    """The batches' grams grouped by bucket, and the filter's shape."""
-    told = batches.agg(F.count("*"), F.sum("taught")).first()
-    bucket_bits, segment = filter_shape(told[0], told[1] or 0)
-    spread = batches.select("batch", "lengths", "train", "n_train", "hashes", "codes").mapInArrow(
-        _spread(bucket_bits), "batch long, bucket long, blob binary"
-    )
-    return spread.groupBy("bucket"), bucket_bits, segment
+def radix_steps(bucket_bits: int) -> list[int]:
+    """The bits of each step, as even as can be."""
+    n = max(1, -(-bucket_bits // RADIX_BITS))
+    return [bucket_bits // n + (i < bucket_bits % n) for i in range(n)]
 
 
-def gram_levels(batches: DataFrame) -> DataFrame:
-    """For each batch the filter's levels of its grams: ``found``, an array of
-    ``bucket, n, levels``. A bucket merges one packed array per batch and
-    holds one segment of the filter."""
-    grouped, _, segment = _spread_grams(batches)
-    answered = grouped.applyInArrow(_answer(segment), "batch long, bucket long, n int, levels binary")
-    return answered.groupBy("batch").agg(F.collect_list(F.struct("bucket", "n", "levels")).alias("found"))
+def slice_bits(bucket_bits: int, segment: int) -> int:
+    """Binary logarithm of the number of slices; a segment is in one of them."""
+    slices = -(-(segment << bucket_bits) // (8 * SLICE_BYTES))
+    return min(bucket_bits, (slices - 1).bit_length())
+
+
+@dataclass
+class FilterTable:
+    """The written filter: ``bucket, bits, grams``, by ``slice``."""
+
+    rows: DataFrame
+    bucket_bits: int
+    segment: int
+    slice_bits: int
+
+    @property
+    def width(self) -> int:
+        """Bits of a hash that the filter tells apart."""
+        return self.bucket_bits + REST_BITS
+
+    def load(self, number: int) -> np.ndarray:
+        """A slice, packed: at most ``SLICE_BYTES`` or one segment."""
+        size = self.segment // 8
+        per_slice = 1 << (self.bucket_bits - self.slice_bits)
+        bits = np.zeros(size * per_slice, np.uint8)
+        for row in self.rows.where(F.col("slice") == number).select("bucket", "bits").collect():
+            at = (row["bucket"] - number * per_slice) * size
+            bits[at : at + size] = np.frombuffer(row["bits"], np.uint8)
+        return bits
+
+
+def radix_rows(batches: DataFrame, n_batches: int, bucket_bits: int) -> list[DataFrame]:
+    """The rows of each radix step; the last ones' prefixes are buckets."""
+    steps = radix_steps(bucket_bits)
+    width = bucket_bits + REST_BITS
+    # batches that are merged before the second step share a number
+    groups = max(1, n_batches >> steps[0])
+    number = F.pmod(F.xxhash64("batch"), F.lit(groups)).alias("batches")
+    rows = batches.where("taught > 0").select("lengths", "train", "n_train", "hashes", "codes", number)
+    out = [rows.mapInArrow(_spread(width, steps[0]), _RADIX)]
+    for done, bits in enumerate(steps[1:], 1):
+        split = _split(width - sum(steps[:done]), bits)
+        out.append(out[-1].groupBy("prefix", "batches").applyInArrow(split, _RADIX))
+    return out
+
+
+def write_filter(batches: DataFrame) -> FilterTable:
+    """The filter of the batches' training grams as a table."""
+    told = batches.agg(F.count("*"), F.sum("taught")).first()
+    bucket_bits, segment = filter_shape(told[0], told[1] or 0)
+    slices = slice_bits(bucket_bits, segment)
+    grams = radix_rows(batches, told[0], bucket_bits)[-1]
+    schema = "bucket long, bits binary, grams long, slice long"
+    filled = grams.groupBy("prefix").applyInArrow(_segment(segment, bucket_bits - slices), schema)
+    path = scratch_path(batches.sparkSession, "filter")
+    filled.repartition("slice").write.mode("overwrite").partitionBy("slice").parquet(path)
+    return FilterTable(batches.sparkSession.read.schema(schema).parquet(path), bucket_bits, segment, slices)
 
 
 def build_filter(batches: DataFrame) -> tuple[LogBloom, int]:
     """The whole filter in one array and the number of training grams, to look
     at a small corpus; scoring never gathers it. Over ``WHOLE_BITS`` it
     raises."""
-    grouped, bucket_bits, segment = _spread_grams(batches)
-    if segment << bucket_bits > WHOLE_BITS:
-        raise ValueError(f"{segment << bucket_bits} bits are too many to gather")
-    filled = grouped.applyInArrow(_segment(segment), "bucket long, bits binary, grams long")
-    bits = np.zeros((segment << bucket_bits) // 8, np.uint8)
-    grams = 0
-    for row in filled.collect():
-        at = row["bucket"] * segment // 8
-        bits[at : at + segment // 8] = np.frombuffer(row["bits"], np.uint8)
-        grams += row["grams"]
-    return LogBloom(bits, bucket_bits, segment), grams
+    table = write_filter(batches)
+    if table.segment << table.bucket_bits > WHOLE_BITS:
+        raise ValueError(f"{table.segment << table.bucket_bits} bits are too many to gather")
+    bits = np.concatenate([table.load(i) for i in range(1 << table.slice_bits)])
+    grams = table.rows.agg(F.sum("grams")).first()[0] or 0
+    return LogBloom(bits, table.bucket_bits, table.segment), grams
+
+
+def _ask(width: int, bits: int):
+    """A batch's grams, held-out ones included, by the slice they are in."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for row in _columns(rows):
+                lead, rest, places = _runs(_lead(_asked(row)[0], width), width, bits)
+                blobs = [_pack_sorted(rest[at], width - bits) for at in places]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(lead), row["batch"])), pa.array(blobs, pa.binary()), pa.array(lead)],
+                    names=["batch", "blob", "slice"],
+                )
+
+    return ask
+
+
+def _probe(held, segment: int, width: int):
+    """The levels of the grams asked for, read from the broadcast slice."""
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, codec = held.value, pa.Codec("zstd", 1)
+        for rows in batches:
+            for number, blob in zip(rows.column("batch"), rows.column("blob")):
+                x, _ = _unpack_sorted(blob.as_py(), width)
+                start = (x >> np.uint64(REST_BITS)) * np.uint64(segment)
+                read = _read(bits, x & np.uint64((1 << REST_BITS) - 1), start, segment)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([number.as_py()], pa.int64()), pa.array([len(x)], pa.int32()), pa.array([codec.compress(read.tobytes(), asbytes=True)], pa.binary())],
+                    names=["batch", "n", "levels"],
+                )
+
+    return probe
+
+
+def gram_levels(batches: DataFrame, table: FilterTable) -> DataFrame:
+    """For each batch the filter's levels of its grams: ``found``, an array of
+    ``slice, n, levels``. One pass a slice: it is broadcast, probed for the
+    grams that are in it, and let go."""
+    spark = batches.sparkSession
+    schema = "batch long, blob binary, slice long"
+    asked = batches.select("batch", "lengths", "train", "n_train", "hashes", "codes").mapInArrow(
+        _ask(table.width, table.slice_bits), schema
+    )
+    questions, answers = scratch_path(spark, "questions"), scratch_path(spark, "levels")
+    part = F.pmod(F.xxhash64("batch"), F.lit(PROBE_TASKS))
+    asked.repartition("slice", part).write.mode("overwrite").partitionBy("slice").parquet(questions)
+    asked = spark.read.schema(schema).parquet(questions)
+    for number in range(1 << table.slice_bits):
+        held = spark.sparkContext.broadcast(table.load(number))
+        probe = _probe(held, table.segment, table.width - table.slice_bits)
+        answered = asked.where(F.col("slice") == number).select("batch", "blob").mapInArrow(probe, "batch long, n int, levels binary")
+        answered.write.mode("overwrite").parquet(f"{answers}/slice={number}")
+        held.destroy()
+    read = spark.read.schema("batch long, n int, levels binary, slice long").parquet(answers)
+    return read.groupBy("batch").agg(F.collect_list(F.struct("slice", "n", "levels")).alias("found"))
 
 
 # --- scores -----------------------------------------------------------------
@@ -436,7 +594,7 @@ def _score(n: int, v: int, n_docs: int):
 
 def _found(row: dict) -> np.ndarray:
     """The levels of a batch's grams, in the order of ``_batch_grams``."""
-    codec, order = pa.Codec("zstd", 1), np.argsort(row["bucket"])
+    codec, order = pa.Codec("zstd", 1), np.argsort(row["slice"])
     sent = zip(row["n"][order].tolist(), row["levels"][order])
     return np.concatenate([np.frombuffer(codec.decompress(x, k, asbytes=True), np.uint8) for k, x in sent])
 
@@ -477,8 +635,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     the words of the text, A-Z lower-cased, and one end; a null text is empty
     and has the end only. ``base_score`` sums log10((c + 1) / (N + V + 1)) over
     the tokens with exact counts; ``score`` is the model's log10 probability.
-    Repeated rows count and score as often as they occur; ids may be null or
-    repeat. Extra columns are not read. Without training rows all
+    Repeated rows count and score as often as they occur; ids are cast to long
+    (text that is no number raises), may be null or repeat. Extra columns are not read. Without training rows all
     probabilities are one; an empty table gives an empty result.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{train_col}`").alias("train"))
@@ -487,9 +645,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     told = totals.agg(F.sum("n"), F.sum("v")).first()
     n, v = told[0] or 0, told[1] or 0
     n_docs = batches.agg(F.sum(F.size(F.filter("train", lambda t: t)))).first()[0] or 0
-    found = gram_levels(batches).select("batch", "found.bucket", "found.n", "found.levels")
+    found = gram_levels(batches, write_filter(batches)).select("batch", "found.slice", "found.n", "found.levels")
     met = batches.join(totals.select("batch", "totals.pos", "totals.c"), "batch").join(found, "batch").select(
-        "ids", "train", "lengths", "hashes", "codes", "pos", "c", "bucket", "n", "levels"
+        "ids", "train", "lengths", "hashes", "codes", "pos", "c", "slice", "n", "levels"
     )
     scored = met.mapInArrow(_score(n, v, n_docs), _SCORES)
     return scored.select(

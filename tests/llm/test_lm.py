@@ -139,3 +139,43 @@ def test_blobs_come_back():
         counts = rng.integers(0, 100_000, n)
         got = lm._unblob(lm._blob(rest, counts))
         assert (got[0] == rest).all() and (got[1] == counts).all()
+
+
+def test_slices_and_radix_steps(spark, monkeypatch):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()
+    docs = [(r.doc_id, r.text, zlib.crc32(str(r.doc_id).encode()) % 7 != 2) for r in rows]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, train boolean").repartition(3)
+    whole = sorted(map(tuple, lm.lm_scores(frame).collect()))
+    monkeypatch.setattr(lm, "MIN_BITS", 1 << 10)
+    monkeypatch.setattr(lm, "SLICE_BYTES", 1 << 10)
+    monkeypatch.setattr(lm, "RADIX_BITS", 3)
+    monkeypatch.setattr(lm, "BATCH_BYTES", 1 << 12)
+    batches = lm.encoded(frame.withColumnRenamed("doc_id", "id"))
+    table = lm.write_filter(batches)
+    assert table.slice_bits >= 2 and len(lm.radix_steps(table.bucket_bits)) >= 3
+    assert all(len(table.load(i)) <= 1 << 10 for i in range(1 << table.slice_bits))
+    cut = sorted(map(tuple, lm.lm_scores(frame).collect()))
+    assert [c[:5] for c in cut] == [w[:5] for w in whole]
+    want = {w[0]: w for w in brute(docs)}
+    assert all(math.isclose(c[5], want[c[0]][4], rel_tol=1e-9) for c in cut)
+    off = [abs(c[6] - want[c[0]][5]) / abs(want[c[0]][5]) for c in cut]
+    assert np.median(off) < 0.01 and max(off) < 0.1
+
+
+def test_rows_grow_with_the_batches(spark, monkeypatch):
+    # grams differ between the documents, so every batch has every radix
+    monkeypatch.setattr(lm, "BATCH_BYTES", 1 << 12)
+    monkeypatch.setattr(lm, "RADIX_BITS", 4)
+    monkeypatch.setattr(lm, "MIN_BUCKETS", 16)
+    rows = []
+    for n in (16, 128):
+        docs = [(i, " ".join(f"w{i}x{k}" for k in range(700)), True) for i in range(n)]
+        batches = lm.encoded(spark.createDataFrame(docs, "id long, text string, train boolean").repartition(4))
+        n_batches = batches.count()
+        bucket_bits, _ = lm.filter_shape(n_batches, 700 * n)
+        steps = lm.radix_steps(bucket_bits)
+        told = [s.count() for s in lm.radix_rows(batches, n_batches, bucket_bits)]
+        # the groups are drawn by hash, so they are only about as large as named
+        assert all(k <= 2.5 * n_batches * 2**bits for k, bits in zip(told, steps))
+        rows.append(max(told) / n_batches)
+    assert rows[1] <= 2 * rows[0]
