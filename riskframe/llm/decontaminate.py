@@ -2,10 +2,13 @@
 
 A benchmark item of n words is looked for in every n-word window of a text.
 The window's 64-bit SimHash of its five-word shingles probes a multi-index:
-the fingerprint is cut into eight blocks, and two fingerprints at most
-``RADIUS`` bits apart have a block at most ``RADIUS // 8`` bits apart, so
-looking up each block finds all of them. Candidates are verified by the exact
-weighted Jaccard similarity of the shingles (weight: how often one occurs).
+the fingerprint is cut into four blocks of 16 bits, and two fingerprints at
+most ``RADIUS`` bits apart have a block at most ``RADIUS // 4`` bits apart. Items
+are listed under the block values up to half of that away from their own, a
+window asks for those up to the other half away from its own, so their lists
+hold all in the radius; about 15 % of unrelated pairs meet. Candidates are
+verified by the exact weighted Jaccard similarity of the shingles (weight: how
+often one occurs).
 A much repeated shingle rules a fingerprint more than that similarity, so
 items and windows with repeats (``_heavy``) are not left to fingerprints: they
 are compared exactly, all windows in one sliding count an item.
@@ -14,7 +17,8 @@ Windows too poor in benchmark shingles for that similarity are not signed: a
 similarity of s over a and b shingles takes s * (a + b) / (1 + s) common ones,
 and a window cannot share more than it has of all items together. Nothing is
 lost by it. Texts are scanned whole, each where it is: no shuffle. Items come
-to the tasks in blocks of at most ``BLOCK_CHARS`` characters or one item.
+to the tasks in blocks of at most about ``BLOCK_CHARS`` characters or one item; a
+pass over the texts holds one block, indexed once a worker.
 """
 
 from __future__ import annotations
@@ -22,21 +26,23 @@ from __future__ import annotations
 import math
 import uuid
 from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import free_name
+from riskframe.llm.common import free_name, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Bits. Similarity 0.8 of distinct shingles means a cosine of 0.89 and about
-#: 10 differing bits; 23 is more than four standard deviations above, and about
-#: four with the repeats that ``_heavy`` lets pass.
-RADIUS = 23
-BLOCKS, BLOCK_BITS = 8, 8
+#: Bits. Similarity 0.8 of distinct shingles means a cosine of 0.89, 9.7
+#: differing bits on average and a deviation of 2.9: of pairs at just 0.8 about
+#: one in a thousand is farther apart.
+RADIUS = 19
+BLOCKS, BLOCK_BITS = 4, 16
 BLOCK_CHARS = 4_000_000
 
 
@@ -169,33 +175,50 @@ def _slide(hashes: list[int], starts: list[int], size: int, want: Counter):
         yield start, common
 
 
+def _near_masks(bits: int) -> np.ndarray:
+    """The block values with at most so many set bits."""
+    values = np.arange(1 << BLOCK_BITS, dtype=np.uint64)
+    return values[np.bitwise_count(values) <= bits]
+
+
 class MultiIndex:
-    """Fingerprints under all block values near their own ones."""
+    """Lists of fingerprints by the block values near their own ones."""
 
     def __init__(self, fingerprints: np.ndarray, radius: int = RADIUS):
         self.fps, self.radius = fingerprints, radius
-        values = np.arange(1 << BLOCK_BITS, dtype=np.uint64)
-        # by block: value by fingerprint, whether they are near
-        self.tables = [
-            np.bitwise_count(values[:, None] ^ self.block(fingerprints, b)[None, :]) <= radius // BLOCKS
-            for b in range(BLOCKS)
-        ]
+        near = radius // BLOCKS
+        listed = _near_masks(near // 2)
+        self.asked = _near_masks(near - near // 2)
+        self.lists = []  # by block: values in order, and the fingerprint of each
+        for b in range(BLOCKS):
+            values = (self.block(fingerprints, b)[:, None] ^ listed).reshape(-1).astype(np.uint16)
+            order = np.argsort(values, kind="stable")
+            self.lists.append((values[order], (order // len(listed)).astype(np.int32)))
 
     @staticmethod
     def block(fps: np.ndarray, b: int) -> np.ndarray:
         return (fps >> np.uint64(b * BLOCK_BITS)) & np.uint64((1 << BLOCK_BITS) - 1)
 
+    def candidates(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of places in ``fps`` and in the index that meet in a list."""
+        found = []
+        for b, (values, owner) in enumerate(self.lists):
+            asked = (self.block(fps, b)[:, None] ^ self.asked).reshape(-1).astype(np.uint16)
+            first = np.searchsorted(values, asked)
+            n = np.searchsorted(values, asked, "right") - first
+            at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            who = np.repeat(np.arange(len(asked)) // len(self.asked), n)
+            found.append(np.unique(who * len(self.fps) + owner[at]))
+        return np.divmod(np.unique(np.concatenate(found)), max(1, len(self.fps)))
+
     def near(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All pairs of places in ``fps`` and in the index that are at most
         ``radius`` bits apart."""
-        left, right = [], []
-        step = max(1, (1 << 22) // max(1, len(self.fps)))
+        left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        step = max(1, min(1024, (1 << 20) // max(1, len(self.fps))))
         for at in range(0, len(fps), step):
             part = fps[at : at + step]
-            found = np.zeros((len(part), len(self.fps)), bool)
-            for b, table in enumerate(self.tables):
-                found |= table[self.block(part, b)]
-            i, j = np.nonzero(found)
+            i, j = self.candidates(part)
             close = np.bitwise_count(part[i] ^ self.fps[j]) <= self.radius
             left.append(i[close] + at)
             right.append(j[close])
@@ -305,17 +328,16 @@ class LeakIndex:
 LEAKS = "array<struct<item_id:bigint,similarity:double,first_word:int,n_words:int>>"
 
 
-def leaks_of(
-    text: Column,
+def _lookups(
     benchmark: DataFrame,
+    similarity: float,
+    short_items: bool,
     item_col: str = "item_id",
     item_text_col: str = "text",
-    similarity: float = SIMILARITY,
     block_chars: int = BLOCK_CHARS,
-    short_items: bool = False,
-) -> Column:
-    """The benchmark items in a text, as an array (empty: clean). The
-    benchmark is read here, block by block."""
+) -> Iterator[Callable[[Column], Column]]:
+    """For each block of the benchmark, which is read here, a function from a
+    text to the block's items in it."""
     items = benchmark.select(
         F.col(f"`{item_col}`").cast("long").alias("item_id"),
         F.col(f"`{item_text_col}`").cast("string").alias("text"),
@@ -324,27 +346,48 @@ def leaks_of(
     n_blocks = max(1, math.ceil(chars / block_chars))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))
     context = benchmark.sparkSession.sparkContext
-    found = []
     for b in range(n_blocks):
         rows = items.where(block == b).collect()  # about block_chars at most
         if n_blocks == 1 or rows:
-            found.append(_lookup(context.broadcast([tuple(r) for r in rows]), similarity, short_items)(text.cast("string")))
+            yield _lookup(context.broadcast([tuple(r) for r in rows]), similarity, short_items)
+
+
+def leaks_of(
+    text: Column,
+    benchmark: DataFrame,
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    similarity: float = SIMILARITY,
+    block_chars: int = BLOCK_CHARS,
+    short_items: bool = False,
+) -> Column:
+    """The benchmark items in a text, as an array (empty: clean). One
+    expression with all blocks, so a task goes through all of them: for
+    benchmarks of a few blocks. Item ids are cast to long."""
+    looks = _lookups(benchmark, similarity, short_items, item_col, item_text_col, block_chars)
+    found = [look(text.cast("string")) for look in looks]
     return found[0] if len(found) == 1 else F.concat(*found)
 
 
 _INDEX: dict[str, LeakIndex] = {}
 
 
-def _lookup(items, similarity: float, short_items: bool):
+def worker_index(token: str, items, similarity: float, short_items: bool) -> LeakIndex:
+    """The index of a block, built once a worker; the last one is kept. Called
+    by its name in tasks, so that it is the module's own and not a copy sent
+    along with each."""
+    if token not in _INDEX:
+        _INDEX.clear()
+        _INDEX[token] = LeakIndex(items.value, similarity, short_items)
+    return _INDEX[token]
+
+
+def _lookup(items, similarity: float, short_items: bool) -> Callable[[Column], Column]:
     token = uuid.uuid4().hex
 
     @F.pandas_udf(LEAKS)
     def look(texts: pd.Series) -> pd.Series:
-        if token not in _INDEX:  # built once a worker; a few are kept
-            if len(_INDEX) >= 4:
-                _INDEX.clear()
-            _INDEX[token] = LeakIndex(items.value, similarity, short_items)
-        index = _INDEX[token]
+        index = worker_index(token, items, similarity, short_items)
         names = ("item_id", "similarity", "first_word", "n_words")
         return pd.Series([[dict(zip(names, x)) for x in index.leaks(t)] for t in texts])
 
@@ -360,7 +403,7 @@ def find_leaks(
     text_col: str = "text",
     similarity: float = SIMILARITY,
     short_items: bool = False,
-    **benchmark_cols: str,
+    **benchmark_options,
 ) -> DataFrame:
     """One row per document row and benchmark item in it: ``id_col, item_id,
     similarity, first_word, n_words`` of the most similar window.
@@ -369,15 +412,17 @@ def find_leaks(
     for only with ``short_items``, as these words in a row (similarity 1); other
     items are not found in texts of fewer than five words. Repeated rows are
     each reported; repeated items once for each item id and text. Extra columns
-    are not read. An empty table on either side gives an empty result.
+    are not read. Document ids may be of any type, item ids are cast to long. An
+    empty table on either side gives an empty result. ``benchmark_options``:
+    ``item_col``, ``item_text_col``, ``block_chars``; each block of the benchmark
+    is looked for in a scan of its own.
     """
-    found = leaks_of(F.col("text"), benchmark, similarity=similarity, short_items=short_items, **benchmark_cols)
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return (
-        rows.select("id", found.alias("leaks"))
-        .select("id", F.explode("leaks").alias("leak"))
-        .select(F.col("id").alias(id_col), "leak.*")
-    )
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    found = [
+        rows.select("id", look(F.col("text")).alias("leaks")).select("id", F.explode("leaks").alias("leak"))
+        for look in _lookups(benchmark, similarity, short_items, **benchmark_options)
+    ] or [rows.where("false").select("id", F.lit(None).cast(LEAKS).alias("x")).select("id", F.explode("x").alias("leak"))]
+    return reduce(DataFrame.unionAll, found).select(F.col("id").alias(id_col), "leak.*")
 
 
 def decontaminate(
@@ -386,10 +431,17 @@ def decontaminate(
     text_col: str = "text",
     similarity: float = SIMILARITY,
     short_items: bool = False,
-    **benchmark_cols: str,
+    **benchmark_options,
 ) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item (as ``find_leaks`` finds
-    them), columns unchanged."""
+    them, with its options), columns unchanged. With several blocks the rows
+    left are written between the passes."""
     leaks = free_name(docs, "leaks")
-    found = leaks_of(F.col(f"`{text_col}`"), benchmark, similarity=similarity, short_items=short_items, **benchmark_cols)
-    return docs.withColumn(leaks, found).where(F.size(leaks) == 0).drop(leaks)
+    out, passes = docs, 0
+    for look in _lookups(benchmark, similarity, short_items, **benchmark_options):
+        if passes:
+            out = written(out, "clean")
+        found = look(F.col(f"`{text_col}`").cast("string"))
+        out = out.withColumn(leaks, found).where(F.size(leaks) == 0).drop(leaks)
+        passes += 1
+    return out

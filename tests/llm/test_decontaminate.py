@@ -187,3 +187,56 @@ def test_short_items_are_found(spark, tmp_path):
     ]
     kept = corpus_pipeline.benchmark_free(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
     assert sorted(r.doc_id for r in kept.collect()) == [3, 5, 6, 7, 8]
+
+
+def test_lists_select():
+    rng = np.random.default_rng(11)
+    items, windows = (rng.integers(0, 2**64, n, dtype=np.uint64) for n in (2000, 300))
+    i, j = decontaminate.MultiIndex(items).candidates(windows)
+    # 2,517 of 65,536 block values in each of four blocks
+    assert 0.13 < len(i) / (2000 * 300) < 0.17
+    # and hold all whose nearest block is near enough, whatever the rest
+    least = np.min([np.bitwise_count(decontaminate.MultiIndex.block(items, b)[None, :] ^ decontaminate.MultiIndex.block(windows, b)[:, None]) for b in range(4)], axis=0)
+    assert list(zip(i.tolist(), j.tolist())) == [tuple(x) for x in np.argwhere(least <= 4).tolist()]
+    assert all(len(x) == 0 for x in decontaminate.MultiIndex(items[:0]).near(windows))
+    assert all(len(x) == 0 for x in decontaminate.MultiIndex(items).near(windows[:0]))
+
+
+def test_radius_loses_little():
+    """Of pairs at similarity 0.8 to 0.82 nearly all are in the radius."""
+    rng = np.random.default_rng(12)
+    far = 0
+    for _ in range(3000):
+        size = int(rng.integers(20, 300))
+        common = -int(-0.8 * 2 * size // 1.8)
+        both, own, other = (rng.integers(0, 2**64, n, dtype=np.uint64) for n in (common, size - common, size - common))
+        a, b = (decontaminate.sign_windows(np.concatenate([both, x]), np.zeros(1, np.int64), size) for x in (own, other))
+        far += int(np.bitwise_count(a ^ b)[0]) > decontaminate.RADIUS
+    assert far <= 15, far
+
+
+def test_index_is_built_once_a_worker(spark):
+    built = spark.sparkContext.accumulator(0)
+    items = [(i, f"alpha{i} beta{i} gamma{i} delta{i} epsilon{i} zeta{i}") for i in range(20)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(i, "x " + items[i % 20][1]) for i in range(200)], "doc_id long, text string").repartition(40)
+
+    class Told:
+        def __init__(self, value):
+            self.inner = value
+
+        @property
+        def value(self):  # read when an index is built only
+            built.add(1)
+            return self.inner
+
+    look = decontaminate._lookup(Told(items), 0.8, False)
+    assert docs.select(F.size(look("text")).alias("n")).where("n = 1").count() == 200
+    assert 1 <= built.value <= 16
+    # one block and several give the same rows, and a block a pass
+    read = lambda df: sorted(map(tuple, df.collect()))
+    whole = read(decontaminate.find_leaks(docs, bench))
+    assert len(whole) == 200 and read(decontaminate.find_leaks(docs, bench, block_chars=300)) == whole
+    some = bench.where("item_id < 15")
+    kept = read(decontaminate.decontaminate(docs, some))
+    assert len(kept) == 50 and read(decontaminate.decontaminate(docs, some, block_chars=200)) == kept
