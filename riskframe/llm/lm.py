@@ -25,7 +25,7 @@ proportion to the batches. The buckets at the end fill a segment each, written
 as a table: the model. Scoring probes it by slices of at most ``SLICE_BYTES``:
 the grams that each batch asks for are written by slice, a pass broadcasts one
 slice and reads their levels, so every gram is probed once, in one pass. There
-is a row for each batch and slice (one slice for some 30 batches).
+is a row for each batch and slice (one slice for some 16 batches).
 """
 
 from __future__ import annotations
@@ -57,7 +57,7 @@ BUCKETS_PER_BATCH, MIN_BUCKETS = 4, 256
 #: Most bits of a radix step.
 RADIX_BITS = 8
 #: Most bytes of the filter broadcast at once (through the driver, too).
-SLICE_BYTES = 64 << 20
+SLICE_BYTES = 32 << 20
 #: Parts of a slice's questions.
 PROBE_TASKS = 32
 #: Grams worked on at once.
