@@ -2,16 +2,18 @@
 
 Each rule is indexed under one token only, the one fewest URLs of the table
 have; the tokens of a URL fetch the rules indexed under them, and only those
-run their regular expression. The index is a literal map of at most
-``MAX_RULES`` rules inside the expression, so URLs are judged where they are:
-no shuffle, and repeated rows or hot hosts make no difference. More rules are
-a table of the same index, joined to the tokens of the distinct URLs.
+run their regular expression. The index is a literal array of hash buckets for
+at most ``MAX_RULES`` rules inside the expression: a token opens its own bucket
+only, however many rules there are. URLs are judged where they are: no shuffle,
+and repeated rows or hot hosts make no difference. More rules are a table of
+the same index, joined to the tokens of the distinct URLs.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -74,13 +76,29 @@ def _tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.array_remove(F.split(F.concat_ws("/", host, path), "[./]"), ""))
 
 
+def _buckets(entries: list[tuple[str, dict]], typed: str) -> tuple[Column, int]:
+    """A literal array of hash buckets: each entry under the CRC-32 of its
+    token, with some two buckets for each token."""
+    size = 1 << max(1, len({t for t, _ in entries})).bit_length()
+    table: list[list[dict]] = [[] for _ in range(size)]
+    for token, entry in entries:
+        table[zlib.crc32(token.encode("utf-8")) % size].append({"token": token, **entry})
+    return F.from_json(F.lit(json.dumps(table)), f"array<array<struct<token:string{typed}>>>"), size
+
+
+def _bucket(table: Column, size: int, token: Column) -> Column:
+    """The entries under ``token``, from its bucket alone."""
+    entries = F.get(table, (F.crc32(F.encode(token, "UTF-8")) % size).cast("int"))
+    return F.filter(entries, lambda e: e["token"] == token)
+
+
 def token_counts(parts: DataFrame, tokens: list[str]) -> dict[str, int]:
     """How many rows of ``parts(host, path)`` have each of the given tokens.
     One pre-aggregated pass; one row per token at most comes back."""
     if not tokens:
         return {}
-    wanted = F.from_json(F.lit(json.dumps({t: 1 for t in tokens})), "map<string,int>")
-    found = F.filter(_tokens(F.col("host"), F.col("path")), lambda t: F.map_contains_key(wanted, t))
+    table, size = _buckets([(t, {}) for t in tokens], "")
+    found = F.filter(_tokens(F.col("host"), F.col("path")), lambda t: F.size(_bucket(table, size, t)) > 0)
     rows = parts.select(F.explode(found).alias("token")).groupBy("token").count().collect()
     return {r["token"]: r["count"] for r in rows}
 
@@ -100,6 +118,7 @@ def judge_urls(
     else ``default``. A null URL, or one without ``://``, has an empty host
     and path and fits none. Repeated rows are judged alike; an empty table or
     an empty list of rules is fine. More than ``MAX_RULES`` rules are joined.
+    Rules without a literal token (``*/ok``) run on every URL, by nature.
     """
     host, path, rule, verdict = (free_name(pages, c) for c in ("host", "path", "rule", "verdict"))
     url = F.col(f"`{url_col}`")
@@ -123,20 +142,31 @@ def _looked_up(pages: DataFrame, url: Column, h: Column, p: Column, order: list[
     """The first rule in ``order`` that fits, from a literal index."""
     parts = pages.select(host_of(url).alias("host"), path_of(url).alias("path"))
     seen = token_counts(parts, sorted({t for r in order for t in r.tokens()}))
-    index: dict[str, list[dict]] = {}
-    for rank, r in enumerate(order):
-        rarest = min(r.tokens(), key=lambda t: (seen.get(t, 0), t), default="")
-        entry = {"rule": r.pattern, "action": r.action, "regex": r.regex(), "rank": rank, "own": int(not r.fallback)}
-        index.setdefault(rarest, []).append(entry)
-    table = F.from_json(F.lit(json.dumps(index)), f"map<string,array<struct<{_typed()}>>>")
-    # rules without a literal token are indexed under the empty one
-    keys = F.concat(_tokens(h, p), F.array(F.lit("")))
-    fetched = F.flatten(F.filter(F.transform(keys, lambda t: F.element_at(table, t)), lambda x: x.isNotNull()))
+    keyed = [(min(r.tokens(), key=lambda t: (seen.get(t, 0), t), default=""), rank, r) for rank, r in enumerate(order)]
+    found = [_first_fit(h, p, [(rank, r) for token, rank, r in keyed if not token])]
+    entries = [(token, _entry(rank, r)) for token, rank, r in keyed if token]
+    if entries:
+        table, size = _buckets(entries, f",{_typed()}")
+        fetched = F.flatten(F.transform(_tokens(h, p), lambda t: _bucket(table, size, t)))
+        found.append(_least(h, p, fetched))
+    return F.array_min(F.array(*found))
+
+
+def _entry(rank: int, r: UrlRule) -> dict:
+    return {"rule": r.pattern, "action": r.action, "regex": r.regex(), "rank": rank, "own": int(not r.fallback)}
+
+
+def _least(h: Column, p: Column, rules: Column) -> Column:
+    """Of an array of rules, the first that fits; null if none does."""
     whole = F.concat(F.lit("."), h, p)
-    fits = F.filter(fetched, lambda r: (h != "") & F.regexp_like(whole, r["regex"]))
-    return F.array_min(
-        F.transform(fits, lambda r: F.struct(r["rank"], r["rule"], r["action"], r["own"]))
-    )
+    fits = F.filter(rules, lambda r: (h != "") & F.regexp_like(whole, r["regex"]))
+    return F.array_min(F.transform(fits, lambda r: F.struct(r["rank"], r["rule"], r["action"], r["own"])))
+
+
+def _first_fit(h: Column, p: Column, rules: list[tuple[int, UrlRule]]) -> Column:
+    """The first of the rules without a literal token that fits."""
+    listed = json.dumps([_entry(rank, r) for rank, r in rules])
+    return _least(h, p, F.from_json(F.lit(listed), f"array<struct<{_typed()}>>"))
 
 
 def _joined(split: DataFrame, h: Column, p: Column, order: list[UrlRule], chosen: str) -> DataFrame:
@@ -146,11 +176,10 @@ def _joined(split: DataFrame, h: Column, p: Column, order: list[UrlRule], chosen
     rows = [(r.pattern, r.action, r.regex(), i, int(not r.fallback)) for i, r in enumerate(order)]
     table = spark.createDataFrame(rows, _RULE)
     listed = spark.createDataFrame(
-        [(i, t) for i, r in enumerate(order) for t in sorted(set(r.tokens())) or [""]], "rank int, token string"
+        [(i, t) for i, r in enumerate(order) for t in sorted(set(r.tokens()))], "rank int, token string"
     )
     parts = split.select(h.alias("h"), p.alias("p")).where("h <> ''").distinct()
-    # rules without a literal token are indexed under the empty one
-    tokens = parts.select("h", "p", F.explode(F.concat(_tokens(F.col("h"), F.col("p")), F.array(F.lit("")))).alias("token"))
+    tokens = parts.select("h", "p", F.explode(_tokens(F.col("h"), F.col("p"))).alias("token"))
     seen = tokens.groupBy("token").agg(F.count("*").alias("n"))
     rarest = listed.join(seen, "token", "left").groupBy("rank").agg(
         F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))["token"].alias("token")
@@ -162,7 +191,10 @@ def _joined(split: DataFrame, h: Column, p: Column, order: list[UrlRule], chosen
     best = fits.groupBy(F.col("h").alias(key), F.col("p").alias(rest)).agg(
         F.min(F.struct("rank", "rule", "action", "own")).alias(chosen)
     )
-    return split.join(best, (h == F.col(key)) & (p == F.col(rest)), "left").drop(key, rest)
+    met = split.join(best, (h == F.col(key)) & (p == F.col(rest)), "left").drop(key, rest)
+    # no token, no join: such rules would all share one key that every URL has
+    free = _first_fit(h, p, [(i, r) for i, r in enumerate(order) if not r.tokens()])
+    return met.withColumn(chosen, F.array_min(F.array(F.col(f"`{chosen}`"), free)))
 
 
 def _typed() -> str:

@@ -1,5 +1,7 @@
 """URL filters against SQL and brute force."""
 
+import time
+
 from oracle_check import compare
 
 from riskframe.llm import queries, urls
@@ -74,3 +76,24 @@ def test_more_rules_than_the_literal_index_holds(spark, monkeypatch):
     monkeypatch.setattr(urls, "MAX_RULES", 5)
     assert read(urls.judge_urls(pages, rules)) == want
     assert urls.judge_urls(pages.where("false"), rules).count() == 0
+
+
+def test_lookup_time_does_not_grow_with_the_rules(spark):
+    pages = spark.range(40_000).selectExpr("concat('http://h', id, '.site', id % 977, '.org/a/b', id % 31, '/c') as url")
+    pages = pages.repartition(4).persist()
+
+    def seconds(n):
+        rules = [urls.UrlRule("block", f"h{7 * i}.site{i % 977}.org/a/") for i in range(n)]
+        best = []
+        for _ in range(3):
+            out = urls.judge_urls(pages, rules).select("verdict")
+            at = time.monotonic()
+            out.write.format("noop").mode("overwrite").save()
+            best.append(time.monotonic() - at)
+        return min(best)
+
+    seconds(10)  # warm
+    few, many = seconds(100), seconds(20_000)
+    pages.unpersist()
+    # constant planning and folding of the literal index aside
+    assert many < 2 * few + 1.0, (few, many)
