@@ -36,6 +36,8 @@ SEED = 42
 SMALL_BUCKET = 8192
 #: Fingerprints compared at once with the others of their bucket.
 BLOCK = 256
+#: Parts in which the equal copies of one row are aggregated first.
+SALTS = 16
 
 
 def fingerprint(text: str | None, shingle_words: int = 4) -> int:
@@ -275,6 +277,17 @@ def simhash_groups(
         ).select("id", "fp"),
         "fingerprints",
     )
+    return rows.join(_named(rows, max_bits), "fp").select(
+        F.col("id").alias(id_col),
+        "fp",
+        hex16(F.col("fp")).alias("fingerprint"),
+        "root_fp",
+        "component_id",
+    )
+
+
+def _named(rows: DataFrame, max_bits: int) -> DataFrame:
+    """``(fp, root_fp, component_id)`` for each fingerprint of ``rows(id, fp)``."""
     fps = written(rows.groupBy("fp").agg(F.min("id").alias("low")), "distinct")
     roots = connected_components(simhash_links(fps.select("fp"), max_bits))
     roots = roots.select(F.col("node").alias("fp"), "root")
@@ -283,14 +296,19 @@ def simhash_groups(
     )
     # one row per group, written: the join below can then split a hot group
     least = written(rooted.groupBy("root_fp").agg(F.min("low").alias("component_id")), "groups")
-    named = rooted.join(least, "root_fp").select("fp", "root_fp", "component_id")
-    return rows.join(named, "fp").select(
-        F.col("id").alias(id_col),
-        "fp",
-        hex16(F.col("fp")).alias("fingerprint"),
-        "root_fp",
-        "component_id",
-    )
+    return rooted.join(least, "root_fp").select("fp", "root_fp", "component_id")
+
+
+def row_hashes(df: DataFrame) -> list[Column]:
+    """Two 64-bit hashes of a whole row, 128 bits together: equal for rows
+    that are equal in every column, nulls told apart from all values."""
+    parts: list[Column] = []
+    for field in df.schema.fields:
+        c = F.col(f"`{field.name}`")
+        if any(t in field.dataType.simpleString() for t in ("map<", "variant")):
+            c = F.to_json(F.struct(c))  # these have no hash of their own
+        parts += [c.isNull(), c]
+    return [F.xxhash64(*parts), F.xxhash64(F.lit("second"), *parts)]
 
 
 def simhash_dedup(
@@ -301,15 +319,33 @@ def simhash_dedup(
     max_bits: int = 4,
 ) -> DataFrame:
     """``docs`` with one row left of each group of near-duplicates: the one
-    with the smallest id (null ids last), then the smallest fingerprint. Of
-    repeated rows one stays. All columns are kept as they are."""
-    groups = simhash_groups(docs, id_col, text_col, shingle_words, max_bits)
-    first = groups.groupBy("root_fp").agg(
-        F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "fp")).alias("k")
+    with the smallest id (null ids last), then the smallest fingerprint, then
+    the smallest 128-bit hash of the whole row. So rows that share an id and a
+    text but differ in other columns have a defined survivor, and reruns agree;
+    of rows equal in every column one stays. All columns are kept as they are.
+
+    Texts are signed once. What stays is told by row hashes, so a text moves
+    at most once, where the kept hashes are too many to be broadcast. Only
+    kept rows that have equal copies are aggregated, salted before they meet.
+    """
+    one, two = free_name(docs, "row_hash_a"), free_name(docs, "row_hash_b")
+    h1, h2 = row_hashes(docs)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), h1.alias("h1"), h2.alias("h2"))
+    rows = written(with_fingerprint(rows, "text", "fp", shingle_words).select("id", "fp", "h1", "h2"), "fingerprints")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "fp", "h1", "h2")
+    first = rows.join(_named(rows, max_bits), "fp").groupBy("root_fp").agg(F.min(order).alias("k"))
+    copies = rows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
+    keep = written(
+        first.select("k.h1", "k.h2").join(copies, ["h1", "h2"], "left").select(
+            F.col("h1").alias(one), F.col("h2").alias(two), F.col("n").isNotNull().alias("copied")
+        ),
+        "kept",
     )
-    key = free_name(docs, "simhash_key")
-    keep = first.select(F.struct("k.id", "k.fp").alias(key))
-    fp = free_name(docs, "simhash_fp")
-    signed = with_fingerprint(docs, text_col, fp, shingle_words)
-    signed = signed.withColumn(key, F.struct(F.col(id_col).alias("id"), F.col(fp).alias("fp")))
-    return signed.join(keep, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
+    hashed = docs.withColumns({one: h1, two: h2})
+    single = hashed.join(keep.where("not copied"), [one, two], "left_semi")
+    salt = free_name(hashed, "salt")
+    salted = keep.where("copied").select(one, two, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt))
+    some = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    met = hashed.withColumn(salt, some).join(salted, [one, two, salt], "left_semi")
+    copied = met.dropDuplicates([one, two, salt]).dropDuplicates([one, two]).drop(salt)
+    return single.union(copied).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -157,6 +157,34 @@ def test_edge_rows(spark):
     assert simhash.simhash_dedup(empty).count() == 0
 
 
+def test_dedup_of_clashing_and_equal_rows_reruns_alike(spark):
+    text = "one text that many rows have and that is long enough"
+    schema = "doc_id long, text string, row_hash_a string, tags map<string,int>, source string"
+    rows = [(1, text, "x", {"k": i % 7}, f"s{i % 5}") for i in range(350)]
+    rows += [(1, text, None, None, "x"), (1, text, "x", None, None)]
+    rows += [(2, "another text of its own, in two equal rows", "x", None, "s")] * 2 + [(None, None, None, None, None)] * 3
+    want = None
+    for parts in (1, 3, 16):
+        docs = spark.createDataFrame(rows, schema).repartition(parts)
+        kept = simhash.simhash_dedup(docs)
+        assert kept.schema == docs.schema
+        got = sorted(map(str, kept.collect()))
+        assert len(got) == 3 and len([r for r in got if "one text" in r]) == 1
+        assert want in (None, got)
+        want = got
+
+
+def test_dedup_signs_each_text_once(spark, monkeypatch):
+    calls = []
+    real = simhash.with_fingerprint
+    monkeypatch.setattr(simhash, "with_fingerprint", lambda *a: calls.append(1) or real(*a))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = simhash.simhash_dedup(docs)
+    assert calls == [1]
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "InPandas" not in plan
+
+
 @pytest.mark.parametrize("n", [1, 3, 4, 5, 70_000])
 def test_fingerprint_of_long_and_short_texts(n):
     text = " ".join(f"Word{i % 977}" for i in range(n))
