@@ -6,9 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.llm import warc
+from riskframe.llm.common import written
 
 #: Fixed value: smaller payloads are always written whole.
 LEAST_BYTES = 100
+#: Repeated digests (some 50 bytes each) that are broadcast; more are left to
+#: Spark's join.
+BROADCAST_DIGESTS = 1_000_000
 
 
 def page_records(
@@ -29,7 +33,9 @@ def page_records(
     null url leaves its header out; extra columns are not read.
 
     Only digests that occur twice meet the pages again, and the smallest id
-    is pre-aggregated, so a page copied many times is no hot group.
+    is pre-aggregated, so a page copied many times is no hot group. These
+    digests are written and counted; up to ``BROADCAST_DIGESTS`` of them are
+    broadcast, so no payload is shuffled. Beyond that the join shuffles it once.
     """
     rows = pages.select(
         F.col(f"`{id_col}`").alias("id"),
@@ -44,6 +50,9 @@ def page_records(
         .where("n > 1 and first_id is not null")
         .select(F.col("digest").alias("d"), "first_id")
     )
+    first = written(first, "repeats")
+    if first.count() <= BROADCAST_DIGESTS:
+        first = F.broadcast(first)
     met = rows.join(first, F.col("digest") == F.col("d"), "left")
     revisit = F.col("first_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("first_id"))
     return met.select(
@@ -68,9 +77,18 @@ def page_of(name: Column) -> Column:
     return F.when(digits != "", digits.cast("long"))
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme it has for Hadoop: without one of its own, the
+    default file system's, so that all machines mean the same folder."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.makeQualified(hadoop).toString()
+
+
 def write_archives(records: DataFrame, path: str, **options: str) -> None:
-    records.sparkSession.dataSource.register(warc.WarcSource)
-    records.write.format("warc").options(**options).mode("append").save(path)
+    spark = records.sparkSession
+    spark.dataSource.register(warc.WarcSource)
+    records.write.format("warc").options(**options).mode("append").save(qualified(spark, path))
 
 
 def read_archives(spark: SparkSession, path: str, **options: str) -> DataFrame:
@@ -78,4 +96,4 @@ def read_archives(spark: SparkSession, path: str, **options: str) -> DataFrame:
     ``spark.sql.python.filterPushdown.enabled`` is true, which is set here."""
     spark.dataSource.register(warc.WarcSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    return spark.read.format("warc").options(**options).load(path)
+    return spark.read.format("warc").options(**options).load(qualified(spark, path))

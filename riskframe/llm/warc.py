@@ -1,26 +1,37 @@
 """WARC archives as a Python data source.
 
 ``df.write.format("warc")`` writes one record per row; files roll at
-``max_file_bytes`` and each record is a gzip member of its own. A task writes
-under a name no other attempt has; only files of committed tasks enter the
-manifest, which the commit writes last, so a lost executor or a repeated task
-leaves nothing a reader sees.
-
-``spark.read.format("warc")`` plans a partition for each run of members of
-about ``split_bytes``, from the offsets in the manifest (archives without one:
-a partition a file). Filters on record type and on header columns are pushed
-down: the header is parsed first, and an unwanted record's block is passed
-over without being decoded. Option ``payload=false`` leaves out all payloads.
-
-Paths are local ones, ``file:`` or any scheme Arrow's file systems know.
+``max_file_bytes`` and each record is a gzip member of its own, whose header
+tells its packed and plain length (extra field ``sl``). Beside each file lie
+its split marks, the offsets of members about ``split_bytes`` apart. A task
+writes under a name no other attempt has; only files of committed tasks enter a
+manifest, one for each commit, put in place by a rename. So a lost executor or
+a repeated task leaves nothing a reader sees, and appends that run side by side
+keep each other's files.
+
+``spark.read.format("warc")`` plans a partition for every ``split_bytes`` of a
+file; the task finds its members by the marks (archives without a manifest: a
+partition a file). Filters on record type and on header columns are pushed
+down: a few hundred bytes of a member are unpacked until its header ends, and
+what is left of an unwanted record is passed over by seeking to the next
+member. Archives of other writers lack the lengths; their unwanted blocks have
+to be unpacked to find their end, and are dropped piece by piece. Option
+``payload=false`` leaves out all payloads.
+
+Paths are local ones, ``file:`` or any scheme Arrow's file systems know
+(``s3a:`` is read as ``s3:``). A path without a scheme is each machine's own;
+``archive.write_archives`` and ``read_archives`` qualify it by the cluster's
+default file system first, as Spark's own sources do.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import struct
 import uuid
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,7 +51,8 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-MANIFEST = "_manifest.json"
+MANIFEST = "_manifest-"
+MARKS = ".marks"
 #: Columns read from headers, and the headers they come from.
 HEADERS = {
     "record_id": "WARC-Record-ID",
@@ -58,7 +70,12 @@ _CONTROL = re.compile(r"[\x00-\x20\x7f]")
 
 def _system(path: str) -> tuple[pafs.FileSystem, str]:
     path = re.sub(r"^file:/+", "/", path)
-    return (pafs.LocalFileSystem(), path) if path.startswith("/") else pafs.FileSystem.from_uri(path)
+    if path.startswith("/"):
+        return pafs.LocalFileSystem(), path
+    try:
+        return pafs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", path))
+    except Exception as e:
+        raise ValueError(f"no file system for {path}: use file:, s3a:, hdfs:, gs: or abfss:") from e
 
 
 def _value(text: str) -> str:
@@ -88,45 +105,72 @@ def encode_record(row) -> bytes:
     return "\r\n".join(head).encode("utf-8") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def pack_member(record: bytes, level: int = 1) -> bytes:
+    """A gzip member with both its lengths in the extra field ``sl`` (two
+    little-endian 32-bit numbers); without it where they do not fit."""
+    pack = zlib.compressobj(level, zlib.DEFLATED, -15)
+    body = pack.compress(record) + pack.flush()
+    tail = struct.pack("<II", zlib.crc32(record), len(record) & 0xFFFFFFFF)
+    whole = 10 + 2 + 12 + len(body) + len(tail)
+    if max(whole, len(record)) >= 1 << 32:
+        return b"\x1f\x8b\x08\x00\0\0\0\0\x00\xff" + body + tail
+    extra = b"sl" + struct.pack("<HII", 8, whole, len(record))
+    return b"\x1f\x8b\x08\x04\0\0\0\0\x00\xff" + struct.pack("<H", len(extra)) + extra + body + tail
+
+
+def _put(system: pafs.FileSystem, path: str, value) -> None:
+    """JSON under a name of its own first, then renamed: never seen half."""
+    aside = f"{path}.{uuid.uuid4().hex}.tmp"
+    with system.open_output_stream(aside, compression=None) as out:
+        out.write(json.dumps(value).encode())
+    system.move(aside, path)
+
+
+def _get(system: pafs.FileSystem, path: str):
+    with system.open_input_stream(path, compression=None) as f:
+        return json.loads(f.read())
+
+
 @dataclass
 class _Written(WriterCommitMessage):
-    files: list[tuple[str, list[int]]]
+    files: list[tuple[str, int]]
 
 
 class WarcWriter(DataSourceWriter):
     def __init__(self, options: dict[str, str], overwrite: bool):
         self.path = options["path"].rstrip("/")
         self.max_bytes = int(options.get("max_file_bytes", 256 << 20))
-        self.split = int(options.get("split_bytes", 8 << 20))
+        self.split = int(options.get("split_bytes", SPLIT_BYTES))
         self.level = int(options.get("level", 1))
         self.overwrite = overwrite
 
     def write(self, rows: Iterator) -> _Written:
         system, root = _system(self.path)
         system.create_dir(root, recursive=True)
-        files: list[tuple[str, list[int]]] = []
-        out = None
-        size = mark = 0
+        files: list[tuple[str, int]] = []
+        out, name, size, marks = None, "", 0, [0]
+
+        def closed() -> None:
+            out.close()
+            _put(system, f"{root}/{name}{MARKS}", marks)
+            files.append((name, size))
+
         try:
             for row in rows:
                 if out is None or size >= self.max_bytes:
                     if out is not None:
-                        files[-1][1].append(size)
-                        out.close()
-                    name = f"part-{uuid.uuid4().hex}.warc.gz"
-                    out, size, mark = system.open_output_stream(f"{root}/{name}", compression=None), 0, 0
-                    files.append((name, [0]))
-                pack = zlib.compressobj(self.level, zlib.DEFLATED, 31)
-                member = pack.compress(encode_record(row)) + pack.flush()
-                if size - mark >= self.split:
-                    files[-1][1].append(size)
-                    mark = size
+                        closed()
+                    name, size, marks = f"part-{uuid.uuid4().hex}.warc.gz", 0, [0]
+                    out = system.open_output_stream(f"{root}/{name}", compression=None)
+                if size - marks[-1] >= self.split:
+                    marks.append(size)
+                member = pack_member(encode_record(row), self.level)
                 out.write(member)
                 size += len(member)
             if out is not None:
-                files[-1][1].append(size)
+                closed()
         finally:
-            if out is not None:
+            if out is not None and not out.closed:
                 out.close()
         return _Written(files)
 
@@ -134,78 +178,117 @@ class WarcWriter(DataSourceWriter):
         system, root = _system(self.path)
         system.create_dir(root, recursive=True)
         files = [f for m in messages if m is not None for f in m.files]
-        if not self.overwrite and system.get_file_info(f"{root}/{MANIFEST}").type == pafs.FileType.File:
-            files = _manifest(system, root) + files
-        with system.open_output_stream(f"{root}/{MANIFEST}", compression=None) as out:
-            out.write(json.dumps(files).encode())
+        older = _manifests(system, root) if self.overwrite else []
+        _put(system, f"{root}/{MANIFEST}{uuid.uuid4().hex}.json", {"replaces": older, "files": files})
 
     def abort(self, messages: list[_Written | None]) -> None:
         system, root = _system(self.path)
         for m in messages:
             for name, _ in m.files if m is not None else ():
-                if system.get_file_info(f"{root}/{name}").type == pafs.FileType.File:
-                    system.delete_file(f"{root}/{name}")
+                for path in (f"{root}/{name}", f"{root}/{name}{MARKS}"):
+                    if system.get_file_info(path).type == pafs.FileType.File:
+                        system.delete_file(path)
+
 
+def _manifests(system: pafs.FileSystem, root: str) -> list[str]:
+    found = system.get_file_info(pafs.FileSelector(root))
+    return sorted(x.base_name for x in found if re.fullmatch(MANIFEST + r"[0-9a-f]+\.json", x.base_name))
 
-def _manifest(system: pafs.FileSystem, root: str) -> list[tuple[str, list[int]]]:
-    with system.open_input_stream(f"{root}/{MANIFEST}", compression=None) as f:
-        return [tuple(x) for x in json.loads(f.read())]
+
+def _committed(system: pafs.FileSystem, root: str) -> list[tuple[str, int]] | None:
+    """Names and sizes of the committed files, without those of commits that
+    a later one replaced; None where nothing was committed."""
+    names = _manifests(system, root)
+    if not names:
+        return None
+    read = {n: _get(system, f"{root}/{n}") for n in names}
+    gone = {n for m in read.values() for n in m["replaces"]}
+    return [tuple(f) for n in names if n not in gone for f in read[n]["files"]]
 
 
 @dataclass
 class Span(InputPartition):
-    """Members of a file from one byte to another (``end`` -1: to its end)."""
+    """The members of a file that start from one byte up to another (``end``
+    -1: the whole file, which may lack marks)."""
 
     file: str
     start: int
     end: int
 
 
-#: Bytes read at once.
-CHUNK = 1 << 20
+#: Bytes read at once, and bytes of a packed member unpacked first to see its
+#: header.
+CHUNK = 1 << 18
+PEEK = 512
+#: Bytes of a partition, as far as the marks allow.
+SPLIT_BYTES = 8 << 20
 
 
 class _Members:
-    """The plain bytes of a span's gzip members (or of an archive that is not
-    packed), read as far as asked for."""
-
-    def __init__(self, stream, length: int):
-        self.stream, self.left, self.ready = stream, length, b""
-        first = self._raw()
-        self.packed = first[:2] == b"\x1f\x8b"
-        self.unpack = zlib.decompressobj(31) if self.packed else None
-        self.pending = first if self.packed else b""
-        self.ready = b"" if self.packed else first
-
-    def _raw(self) -> bytes:
-        data = self.stream.read(CHUNK if self.left < 0 else min(CHUNK, self.left))
-        if self.left >= 0:
-            self.left -= len(data)
-        return data
-
-    def _more(self) -> bool:
+    """The plain bytes of a run of gzip members (or of an archive that is not
+    packed), read as far as asked for. ``unpacked`` counts them."""
+
+    def __init__(self, file, start: int, end: int):
+        self.file, self.at = file, start
+        self.end = end if end >= 0 else file.size()
+        file.seek(start)
+        self.ready = self.raw = b""
+        self.unpack = None
+        self.member: tuple[int, int] | None = None  # its end in the file, bytes it has left to give
+        self.unpacked = 0
+        self._fill(2)
+        self.packed = self.raw[:2] == b"\x1f\x8b"
+
+    def _fill(self, n: int) -> bool:
+        """At least ``n`` raw bytes at hand, if there are as many."""
+        while len(self.raw) < n and self.at < self.end:
+            data = self.file.read(min(CHUNK, self.end - self.at))
+            if not data:
+                self.at = self.end
+                break
+            self.at += len(data)
+            self.raw += data
+        return len(self.raw) >= n
+
+    def _open(self) -> bool:
+        """The next member, with its lengths if it tells them."""
+        if not self._fill(1):
+            return False
+        self.unpack, self.member = zlib.decompressobj(31), None
+        begin = self.at - len(self.raw)
+        if self._fill(24) and self.raw[3] & 4 and self.raw[12:16] == b"sl\x08\0":
+            packed, plain = struct.unpack_from("<II", self.raw, 16)
+            self.member = (begin + packed, plain)
+        return True
+
+    def _more(self, most: int) -> bool:
         if not self.packed:
-            data = self._raw()
-            self.ready += data
-            return bool(data)
+            if not self._fill(1):
+                return False
+            self.ready, self.raw = self.ready + self.raw, b""
+            return True
         while True:
-            if not self.pending and not (self.unpack.unconsumed_tail or b""):
-                self.pending = self._raw()
-                if not self.pending:
-                    return False
-            if self.unpack.eof:
-                self.unpack = zlib.decompressobj(31)
-            data = self.unpack.decompress(self.pending, CHUNK)
-            self.pending = self.unpack.unused_data if self.unpack.eof else self.unpack.unconsumed_tail
+            if (self.unpack is None or self.unpack.eof) and not self._open():
+                return False
+            if not self._fill(1):
+                return False
+            data = self.unpack.decompress(self.raw, most)
+            self.raw = self.unpack.unused_data if self.unpack.eof else self.unpack.unconsumed_tail
             if data:
+                self.unpacked += len(data)
+                if self.member:
+                    self.member = (self.member[0], self.member[1] - len(data))
                 self.ready += data
                 return True
 
-    def until(self, mark: bytes) -> bytes | None:
-        """All up to and with ``mark``; None at the end."""
-        while (at := self.ready.find(mark)) < 0:
-            if not self._more():
+    def until(self, mark: bytes, limit: int | None = None) -> bytes | None:
+        """All up to and with ``mark``; None at the end, or where the next
+        ``limit`` bytes do not hold it (then nothing is taken)."""
+        step = PEEK
+        while (at := self.ready.find(mark)) < 0 or (limit is not None and at + len(mark) > limit):
+            if limit is not None and len(self.ready) >= limit or not self._more(step):
                 return None
+            step *= 2
         out, self.ready = self.ready[: at + len(mark)], self.ready[at + len(mark) :]
         return out
 
@@ -215,7 +298,7 @@ class _Members:
             parts.append(self.ready)
             have += len(self.ready)
             self.ready = b""
-            if not self._more():
+            if not self._more(CHUNK):
                 break
         parts.append(self.ready[: n - have])
         self.ready = self.ready[n - have :]
@@ -225,10 +308,28 @@ class _Members:
         while n > len(self.ready):
             n -= len(self.ready)
             self.ready = b""
-            if not self._more():
+            if not self.packed:
+                ahead = self.at - len(self.raw) + n
+                self._jump(min(ahead, self.end))
+                return
+            if self.member and n >= self.member[1] and not self.unpack.eof:
+                end, left = self.member
+                n -= left
+                self._jump(end)
+                self.unpack = self.member = None
+            elif not self._more(CHUNK):
                 return
         self.ready = self.ready[n:]
 
+    def _jump(self, to: int) -> None:
+        """Raw bytes go on at a place of the file."""
+        have = to - (self.at - len(self.raw))
+        if have <= len(self.raw):
+            self.raw = self.raw[have:]
+        else:
+            self.raw, self.at = b"", to
+            self.file.seek(to)
+
 
 def _fits(test, row: dict) -> bool:
     """A pushed filter over header columns; null rows fail, as in SQL."""
@@ -257,6 +358,7 @@ class WarcReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path = options["path"].rstrip("/")
         self.payload = options.get("payload", "true").lower() != "false"
+        self.split = int(options.get("split_bytes", SPLIT_BYTES))
         self.tests: list = []
 
     def pushFilters(self, filters):  # noqa: N802 - the interface's name
@@ -274,11 +376,12 @@ class WarcReader(DataSourceReader):
         info = system.get_file_info(root)
         if info.type == pafs.FileType.File:
             return [Span(root, 0, -1)]
-        if system.get_file_info(f"{root}/{MANIFEST}").type == pafs.FileType.File:
+        files = _committed(system, root)
+        if files is not None:
             return [
-                Span(f"{root}/{name}", a, b)
-                for name, marks in _manifest(system, root)
-                for a, b in zip(marks, marks[1:])
+                Span(f"{root}/{name}", a, min(a + self.split, size))
+                for name, size in files
+                for a in range(0, size, self.split)
             ]
         found = system.get_file_info(pafs.FileSelector(root, recursive=True))
         return [Span(x.path, 0, -1) for x in found if re.search(r"\.warc(\.gz)?$", x.path)]
@@ -287,9 +390,15 @@ class WarcReader(DataSourceReader):
         if span is None:
             return
         system, _ = _system(self.path)
+        start, end = span.start, span.end
+        if end >= 0:
+            marks = _get(system, f"{span.file}{MARKS}")
+            first, last = bisect_left(marks, start), bisect_left(marks, end)
+            if first == last:
+                return
+            start, end = marks[first], marks[last] if last < len(marks) else -1
         with system.open_input_file(span.file) as f:
-            f.seek(span.start)
-            members = _Members(f, span.end - span.start if span.end >= 0 else -1)
+            members = _Members(f, start, end)
             while (head := members.until(b"\r\n\r\n")) is not None:
                 lines = head.decode("utf-8", "replace").strip().split("\r\n")
                 fields = {}
@@ -313,7 +422,7 @@ class WarcReader(DataSourceReader):
                 return length, members.take(length)
             members.skip(length)
             return length, None
-        http = members.until(b"\r\n\r\n") or b""
+        http = members.until(b"\r\n\r\n", length) or b""
         left = length - len(http)
         told = re.search(rb"(?im)^content-length:\s*(\d+)", http)
         revisit = fields.get("warc-type") == "revisit"

@@ -86,3 +86,94 @@ def test_pushed_filters_follow_null_rules():
     assert not warc._fits(EqualTo(("refers_to",), "x"), row)
     assert not warc._fits(Not(EqualTo(("refers_to",), "x")), row)
     assert warc._fits(IsNull(("refers_to",)), row) and not warc._fits(Not(IsNull(("refers_to",))), row)
+
+
+def _reader(path, *tests, **options):
+    reader = warc.WarcReader({"path": str(path), **options})
+    reader.tests = list(tests)
+    return reader
+
+
+def test_unwanted_payloads_are_not_unpacked(spark, tmp_path, monkeypatch):
+    from pyspark.sql.datasource import EqualTo
+
+    pages = spark.range(2_000).selectExpr(
+        "id as page_id", "concat('http://h/', id) as url",
+        "if(id % 10 = 0, repeat('the same page ', 1500), concat(repeat(concat('page ', id, ' '), 1700), id)) as html",
+    )
+    archive.write_archives(archive.page_records(pages.repartition(2)), str(tmp_path / "a"), split_bytes="200000")
+    seen = []
+    real = warc._Members.__init__
+    monkeypatch.setattr(warc._Members, "__init__", lambda self, *a: (real(self, *a), seen.append(self))[0])
+    whole = _reader(tmp_path / "a", split_bytes="100000")
+    spans = whole.partitions()
+    assert len(spans) > 4
+    rows = [r for s in spans for r in whole.read(s)]
+    unpacked = sum(m.unpacked for m in seen)
+    assert len(rows) == 2_000 and unpacked > 25_000_000
+    seen.clear()
+    some = _reader(tmp_path / "a", EqualTo(("record_type",), "revisit"))
+    assert sorted(r for s in spans for r in some.read(s)) == sorted(r for r in rows if r[1] == "revisit")
+    assert len({r[0] for r in rows if r[1] == "revisit"}) == 199
+    assert sum(m.unpacked for m in seen) < 0.05 * unpacked
+    # other split sizes than the writer's read every record once
+    for size in ("1000", "700000", "100000000"):
+        other = _reader(tmp_path / "a", split_bytes=size)
+        assert sorted(r for s in other.partitions() for r in other.read(s)) == sorted(rows)
+
+
+def test_members_of_any_kind(tmp_path):
+    from pyspark.sql.datasource import EqualTo
+
+    def record(kind, block, type_="application/http; msgtype=response"):
+        return f"WARC/1.1\r\nWARC-Type: {kind}\r\nContent-Type: {type_}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\n\r\n"
+    long = bytes(range(256)) * 4_000
+    parts = [record("response", http + long), record("request", http + long), record("response", b"no head at all" * 400), record("request", b""),
+             record("response", http + b"last")]
+    payloads = [long, b"no head at all" * 400, b"last"]
+    packed = warc.pack_member(parts[0] + parts[1]) + gzip.compress(parts[2] + parts[3]) + warc.pack_member(parts[4])
+    cut = len(parts[0]) + 100  # a record that starts in one member and ends in the next
+    plain = b"".join(parts)
+    split = warc.pack_member(plain[:cut]) + warc.pack_member(plain[cut:])
+    assert gzip.decompress(packed) == plain == gzip.decompress(split)
+    for i, data in enumerate((packed, split, plain, gzip.compress(plain))):
+        file = tmp_path / f"{i}.warc.gz"
+        file.write_bytes(data)
+        reader = _reader(file, EqualTo(("record_type",), "response"))
+        assert [r[-1] for r in reader.read(reader.partitions()[0])] == payloads
+        reader = _reader(file, EqualTo(("record_type",), "request"))
+        assert [r[-1] for r in reader.read(reader.partitions()[0])] == [long, b""]
+
+
+def test_commits_side_by_side_and_overwriting(spark, tmp_path):
+    path = str(tmp_path / "a")
+    one, two = ({"path": path}, {"path": path})
+    rows = [dict.fromkeys([*warc.HEADERS, "payload_bytes", "payload"]) | {"record_type": "response", "target_uri": u} for u in "ab"]
+    first, second = warc.WarcWriter(one, False), warc.WarcWriter(two, False)
+    told = [w.write(iter([r])) for w, r in zip((first, second), rows)]
+    second.commit([told[1], None])
+    assert archive.read_archives(spark, path).count() == 1
+    first.commit([told[0]])
+    assert sorted(r.target_uri for r in archive.read_archives(spark, path).collect()) == ["a", "b"]
+    pages = spark.createDataFrame([(1, "c", "")], "page_id long, url string, html string")
+    archive.page_records(pages).write.format("warc").mode("overwrite").save(path)
+    assert [r.target_uri for r in archive.read_archives(spark, path).collect()] == ["c"]
+    lost = warc.WarcWriter(one, False)
+    lost.abort([lost.write(iter(rows))])
+    assert archive.read_archives(spark, path).count() == 1 and not list((tmp_path / "a").glob("*.tmp"))
+
+
+def test_paths(spark, tmp_path):
+    assert archive.qualified(spark, str(tmp_path)) == f"file:{tmp_path}"
+    with pytest.raises(ValueError, match="no file system"):
+        warc._system("dbfs:/x/y")
+
+
+def test_repeats_beyond_the_broadcast(spark, monkeypatch):
+    pages = spark.createDataFrame(ROWS, "page_id long, url string, html string, payload string")
+    read = lambda: sorted(map(str, archive.page_records(pages).collect()))
+    want = read()
+    monkeypatch.setattr(archive, "BROADCAST_DIGESTS", 0)
+    assert read() == want
