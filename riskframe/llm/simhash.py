@@ -38,6 +38,8 @@ SMALL_BUCKET = 8192
 BLOCK = 256
 #: Parts in which the equal copies of one row are aggregated first.
 SALTS = 16
+#: Kept row hashes (16 bytes and some 40 of overhead each) that are broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def fingerprint(text: str | None, shingle_words: int = 4) -> int:
@@ -324,9 +326,11 @@ def simhash_dedup(
     text but differ in other columns have a defined survivor, and reruns agree;
     of rows equal in every column one stays. All columns are kept as they are.
 
-    Texts are signed once. What stays is told by row hashes, so a text moves
-    at most once, where the kept hashes are too many to be broadcast. Only
-    kept rows that have equal copies are aggregated, salted before they meet.
+    Texts are signed once. What stays is told by row hashes: up to
+    ``BROADCAST_ROWS`` of them are broadcast and no text moves; beyond that the
+    join shuffles the texts once. Only kept rows that have equal copies are
+    aggregated; where these are too many to be broadcast too, their rows move
+    once more, salted before they meet.
     """
     one, two = free_name(docs, "row_hash_a"), free_name(docs, "row_hash_b")
     h1, h2 = row_hashes(docs)
@@ -342,10 +346,19 @@ def simhash_dedup(
         "kept",
     )
     hashed = docs.withColumns({one: h1, two: h2})
-    single = hashed.join(keep.where("not copied"), [one, two], "left_semi")
-    salt = free_name(hashed, "salt")
-    salted = keep.where("copied").select(one, two, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt))
-    some = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
-    met = hashed.withColumn(salt, some).join(salted, [one, two, salt], "left_semi")
-    copied = met.dropDuplicates([one, two, salt]).dropDuplicates([one, two]).drop(salt)
-    return single.union(copied).select(*[F.col(f"`{c}`") for c in docs.columns])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    n = {r["copied"]: r["count"] for r in keep.groupBy("copied").count().collect()}
+    plain, repeated = keep.where("not copied"), keep.where("copied")
+    if n.get(False, 0) <= BROADCAST_ROWS:
+        plain = F.broadcast(plain)
+    out = hashed.join(plain, [one, two], "left_semi").select(*columns)
+    if not n.get(True):
+        return out
+    if n[True] <= BROADCAST_ROWS:
+        met = hashed.join(F.broadcast(repeated), [one, two], "left_semi")
+    else:
+        salt = free_name(hashed, "salt")
+        salted = repeated.select(one, two, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt))
+        some = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+        met = hashed.withColumn(salt, some).join(salted, [one, two, salt], "left_semi").dropDuplicates([one, two, salt])
+    return out.union(met.dropDuplicates([one, two]).select(*columns))
