@@ -3,7 +3,7 @@
 Each profile is one aggregate pass over the input (partial aggregation on
 the map side, a tiny final merge) whose single wide result row is turned
 into tidy rows with ``inline(array(struct...))`` — no per-column jobs and
-nothing data-sized on the driver. Exact quartiles add a few such passes
+nothing data-sized on the driver. Exact quartiles add one scan, two at most
 (``exact_quantiles``), the same way for every size of table. Missing cells
 (null, or NaN in a floating-point column) are left out everywhere.
 """
@@ -12,18 +12,21 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskframe.functions.columns import is_missing, numeric_columns
+from riskframe.functions.frames import written
 
 QUANTILES = (0.25, 0.5, 0.75)
 # ``percentile_approx`` is off by at most 1 / ACCURACY of the rows.
 ACCURACY = 10_000
-# Values of a bracket that one task may sort; a larger one is narrowed again.
+# Distinct values that one task may sort; more are split at so many quantiles.
 BRACKET_ROWS = 10_000
+SPLITS = 64
 
 
 def _tidy(one_row: DataFrame, structs: list[Column]) -> DataFrame:
@@ -70,78 +73,126 @@ def _present(df: DataFrame, name: str) -> Column:
     return F.when(~is_missing(df, name), F.col(name).cast("double"))
 
 
-class _Target:
-    """The order statistics of ranks ``first`` and ``last`` (equal or
-    neighbours) of one column, known to lie in [low, high] with ``below``
-    values under and ``inside`` values in that bracket."""
-
-    def __init__(self, col: int, first: int, last: int, n: int, low: float, high: float):
-        self.col, self.first, self.last = col, first, last
-        self.low, self.high, self.below, self.inside = low, high, 0, n
-        self.stuck = False
-
-    @property
-    def open(self) -> bool:
-        return self.low != self.high and self.inside > BRACKET_ROWS and not self.stuck
-
-    def shares(self) -> tuple[float, float]:
-        """Where in the bracket to probe for a narrower one."""
-        margin = 2.0 / ACCURACY
-        return (
-            max(0.0, (self.first - self.below) / self.inside - margin),
-            min(1.0, (self.last - self.below + 1) / self.inside + margin),
-        )
-
-    def within(self, x: Column) -> Column:
-        return x.between(F.lit(self.low), F.lit(self.high))
-
-
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = QUANTILES) -> DataFrame:
     """Exact quantiles (linear interpolation between order statistics, as
     pandas and DuckDB ``quantile_cont``): ``(column_name, q_index, p,
     value)``, null for a column without values.
 
-    Every wanted rank is bracketed: ``percentile_approx`` at shares a little
-    below and above it proposes two values of the column, and a counting scan
-    proves how many values lie under and between them (a proposal that misses
-    is widened). A round leaves about 4 / ACCURACY of the bracket; rounds go
-    on until a bracket has at most ``BRACKET_ROWS`` values, or only one
-    distinct one, or stops shrinking, which a value held by many rows at its
-    edge can cause. Then the distinct values of all brackets are counted, and
-    running sums over each find the order statistics. All scans are aggregates with one
-    small result row; only bracketed values are ever shuffled, as counts.
-    """
-    return _exact_quantiles(df, list(cols), list(probs), _extent(df, list(cols)))
+    The input is scanned two times, three at most, whatever its rows:
 
+    1. one aggregate sketches all columns (``percentile_approx``, off by at
+       most 1 / ACCURACY of the rows) and takes values a little below and above
+       each wanted rank as its bracket;
+    2. one group-by counts the values in the brackets, value by value, and the
+       rows between brackets as one group each. Running sums of these counts
+       prove which bracket holds each rank. The counts are written;
+    3. only if a rank lies between brackets, the values there are counted too.
 
-def _extent(df: DataFrame, cols: list[str]) -> list[tuple[int, float | None, float | None]]:
+    All else reads the written counts: parts with more than ``BRACKET_ROWS``
+    values are split at their own quantiles until the part with the rank is
+    small. Groups are pre-aggregated, so a value that a third of the rows have
+    is one row a task. Values that are missing (null, NaN) are left out.
+    """
+    cols = list(cols)
     aggs = []
     for name in cols:
         x = _present(df, name)
-        aggs += [F.count(x), F.min(x), F.max(x)]
-    row = df.agg(*aggs).first()
-    return [(row[3 * i], row[3 * i + 1], row[3 * i + 2]) for i in range(len(cols))]
+        aggs += [F.count(x), F.min(x), F.max(x), _sketch(x, probs)]
+    row = df.agg(*aggs).first() if cols else []
+    return _exact_quantiles(df, cols, list(probs), [tuple(row[4 * i : 4 * i + 4]) for i in range(len(cols))])
+
+
+def _sketch(x: Column, probs: Sequence[float]) -> Column:
+    margin = 2.0 / ACCURACY
+    shares = [F.lit(s) for p in probs for s in (max(0.0, p - margin), min(1.0, p + margin))]
+    return F.percentile_approx(x, F.array(*shares), ACCURACY)
+
+
+def _merged(pairs: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Brackets in order, those that meet as one."""
+    out: list[tuple[float, float]] = []
+    for low, high in sorted(pairs):
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(high, out[-1][1]))
+        else:
+            out.append((low, high))
+    return out
+
+
+def _segment(x: Column, brackets: list[tuple[float, float]]) -> Column:
+    """2j + 1 for a value in bracket j, 2j for one between it and the last."""
+    out = F
+    for j, (low, high) in enumerate(brackets):
+        out = out.when(x < F.lit(low), 2 * j).when(x <= F.lit(high), 2 * j + 1)
+    return out.when(x.isNotNull(), 2 * len(brackets))
 
 
-def _exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], extent) -> DataFrame:
+def _counted(
+    df: DataFrame, xs: list[Column], brackets: dict[int, list[tuple[float, float]]], only: dict[int, set[int]] | None = None
+) -> DataFrame:
+    """``(c, seg, value, w)``: how many rows have each value of a bracket; a
+    null value stands for all between two brackets. With ``only``, the values
+    of these segments instead."""
+    rows = []
+    for i in brackets if only is None else only:
+        seg = _segment(xs[i], brackets[i])
+        wanted = seg % 2 == 1 if only is None else seg.isin(*only[i])
+        rows.append(
+            F.struct(
+                F.lit(i).alias("c"),
+                (seg if only is None else F.when(wanted, seg)).alias("seg"),
+                F.when(wanted, xs[i]).alias("value"),
+            )
+        )
+    long = df.select(F.inline(F.array(*rows))).where("seg is not null")
+    return written(long.groupBy("c", "seg", "value").agg(F.count(F.lit(1)).alias("w")), "quantiles")
+
+
+def _sizes(counted: DataFrame) -> dict[tuple[int, int], tuple[int, int]]:
+    """Rows and distinct values of each segment (a few of each column)."""
+    told = counted.groupBy("c", "seg").agg(F.sum("w").alias("n"), F.count("value").alias("k"))
+    return {(r["c"], r["seg"]): (r["n"], r["k"]) for r in told.collect()}
+
+
+def _exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], told) -> DataFrame:
+    """``told``: count, minimum, maximum and sketch of each column."""
     xs = [_present(df, c) for c in cols]
-    targets: dict[tuple[int, int], _Target] = {}
-    for i, (n, low, high) in enumerate(extent):
-        if n:
-            for q, p in enumerate(probs):
-                h = (n - 1) * p
-                targets[i, q] = _Target(i, math.floor(h), math.ceil(h), n, low, high)
-    while active := [t for t in targets.values() if t.open]:
-        _narrow(df, xs, active)
-    picked = _pick(df, xs, list(targets.values()))
+    found: dict[tuple[int, int], float] = {}
+    wanted: dict[int, list[int]] = {}
+    brackets: dict[int, list[tuple[float, float]]] = {}
+    for i, (n, low, high, proposed) in enumerate(told):
+        ranks = sorted({r for p in probs for r in (math.floor((n - 1) * p), math.ceil((n - 1) * p))}) if n else []
+        if low == high:
+            found.update({(i, r): low for r in ranks})
+        elif ranks:
+            wanted[i] = ranks
+            brackets[i] = [(low, high)] if n <= BRACKET_ROWS else _merged(list(zip(proposed[::2], proposed[1::2])))
+    if wanted:
+        counted = _counted(df, xs, brackets)
+        sizes = _sizes(counted)
+        at = {(i, r): _place(sizes, i, r) for i, ranks in wanted.items() for r in ranks}
+        only: dict[int, set[int]] = {}
+        for (i, _), (seg, _) in at.items():
+            if seg % 2 == 0:
+                only.setdefault(i, set()).add(seg)
+        table = counted.where("value is not null")
+        if only:
+            more = _counted(df, xs, brackets, only)
+            sizes.update(_sizes(more))
+            table = table.union(more)
+        parts: dict[tuple[int, int], _Part] = {}
+        for (i, r), (seg, local) in at.items():
+            parts.setdefault((i, seg), _Part(i, seg, None, None, sizes[i, seg][1], {})).ranks[r] = local
+        found.update(_at_ranks(table, list(parts.values())))
     rows = []
     for i, name in enumerate(cols):
+        n = told[i][0]
         for q, p in enumerate(probs):
             value = None
-            if (i, q) in targets:
-                t = targets[i, q]
-                low, high = picked[id(t)]
-                part = (extent[i][0] - 1) * p - t.first
+            if n:
+                h = (n - 1) * p
+                low, high = found[i, math.floor(h)], found[i, math.ceil(h)]
+                part = h - math.floor(h)
                 value = low if low == high or not part else low + (high - low) * part
             rows.append((name, q, float(p), value))
     return df.sparkSession.createDataFrame(
@@ -149,73 +200,84 @@ def _exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], extent)
     )
 
 
-def _narrow(df: DataFrame, xs: list[Column], active: list[_Target]) -> None:
-    """One round: propose narrower brackets, count, keep what is proven.
-    Targets that still share a bracket share its approximation."""
-    groups: dict[tuple[int, float, float], list[_Target]] = {}
-    for t in active:
-        groups.setdefault((t.col, t.low, t.high), []).append(t)
-    row = df.agg(
-        *[
-            F.percentile_approx(
-                F.when(ts[0].within(xs[ts[0].col]), xs[ts[0].col]),
-                F.array(*[F.lit(s) for t in ts for s in t.shares()]),
-                ACCURACY,
-            )
-            for ts in groups.values()
-        ]
-    ).first()
-    found = {id(t): values[2 * k : 2 * k + 2] for ts, values in zip(groups.values(), row) for k, t in enumerate(ts)}
-    proposed = [found[id(t)] for t in active]
-    counts = df.agg(
-        *[
-            F.count_if(test)
-            for t, (low, high) in zip(active, proposed)
-            for test in (xs[t.col] < low, xs[t.col] <= high)
-        ]
-    ).first()
-    for k, (t, (low, high)) in enumerate(zip(active, proposed)):
-        under, upto = counts[2 * k], counts[2 * k + 1]
-        before = t.inside
-        end = t.below + t.inside
-        if under <= t.first:
-            t.low, t.below = low, under
-        if upto > t.last:
-            t.high, end = high, upto
-        t.inside = end - t.below
-        t.stuck = t.inside * 2 > before
-
-
-def _pick(df: DataFrame, xs: list[Column], targets: list[_Target]) -> dict[int, tuple[float, float]]:
-    """Both order statistics of each target, from its bracket's values."""
-    out = {id(t): (t.low, t.high) for t in targets if t.low == t.high}
-    # targets that share a bracket share its values
-    groups: dict[tuple[int, float, float], list[_Target]] = {}
-    for t in targets:
-        if t.low != t.high:
-            groups.setdefault((t.col, t.low, t.high), []).append(t)
-    if groups:
-        brackets = list(groups.values())
-        inside = [F.when(ts[0].within(xs[ts[0].col]), xs[ts[0].col]) for ts in brackets]
-        long = df.select(
-            F.inline(F.array(*[F.struct(F.lit(g).alias("g"), x.alias("value")) for g, x in enumerate(inside)]))
-        ).where(F.col("value").isNotNull())
-        counted = long.groupBy("g", "value").agg(F.count(F.lit(1)).alias("w"))
-        run = Window.partitionBy("g").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        ranked = counted.withColumn("upto", F.sum("w").over(run))
-        # the wanted ranks of each bracket, as many places for all
-        most = max(len(ts) for ts in brackets)
-        wanted = [[r - t.below for t in ts for r in (t.first, t.last)] for ts in brackets]
-        ranks = F.array(*[F.array(*[F.lit(r) for r in w + [-1] * (2 * most - len(w))]) for w in wanted])[F.col("g")]
-
-        def at(k: int) -> Column:
-            holds = (F.col("upto") - F.col("w") <= ranks[k]) & (ranks[k] < F.col("upto"))
-            return F.max(F.when(holds, F.col("value")))
-
-        found = ranked.groupBy("g").agg(*[at(k).alias(f"v{k}") for k in range(2 * most)])
-        for r in found.collect():  # one row per bracket
-            for k, t in enumerate(brackets[r["g"]]):
-                out[id(t)] = (r[f"v{2 * k}"], r[f"v{2 * k + 1}"])
+def _place(sizes: dict[tuple[int, int], tuple[int, int]], i: int, rank: int) -> tuple[int, int]:
+    """The segment with a column's value of this rank, and its rank there."""
+    for c, seg in sorted(sizes):
+        if c == i:
+            if rank < sizes[c, seg][0]:
+                return seg, rank
+            rank -= sizes[c, seg][0]
+    raise RuntimeError("the input changed between two scans")
+
+
+@dataclass
+class _Part:
+    """A segment's values over ``low`` up to ``high`` (None: no bound), the
+    number of distinct ones, and the ranks wanted: rank in the column to rank
+    here."""
+
+    c: int
+    seg: int
+    low: float | None
+    high: float | None
+    size: int
+    ranks: dict[int, int]
+
+    def holds(self) -> Column:
+        test = (F.col("c") == self.c) & (F.col("seg") == self.seg)
+        if self.low is not None:
+            test &= F.col("value") > F.lit(self.low)
+        return test if self.high is None else test & (F.col("value") <= F.lit(self.high))
+
+
+def _labelled(table: DataFrame, parts: list[_Part]) -> DataFrame:
+    g = F
+    for k, p in enumerate(parts):
+        g = g.when(p.holds(), k)
+    return table.select(g.alias("g"), "value", "w").where("g is not null")
+
+
+def _at_ranks(table: DataFrame, parts: list[_Part]) -> dict[tuple[int, int], float]:
+    """``{(column, rank): value}`` from counted values."""
+    while large := [p for p in parts if p.size > BRACKET_ROWS]:
+        parts = [p for p in parts if p.size <= BRACKET_ROWS] + _split(table, large)
+    # the wanted ranks of each part, as many places for all
+    most = max(len(p.ranks) for p in parts)
+    here = [[*p.ranks.values()] + [-1] * (most - len(p.ranks)) for p in parts]
+    ranks = F.array(*[F.array(*[F.lit(r).cast("long") for r in row]) for row in here])[F.col("g")]
+    run = Window.partitionBy("g").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = _labelled(table, parts).withColumn("upto", F.sum("w").over(run))
+
+    def at(k: int) -> Column:
+        hit = (F.col("upto") - F.col("w") <= ranks[k]) & (ranks[k] < F.col("upto"))
+        return F.max(F.when(hit, F.col("value")))
+
+    out = {}
+    for row in ranked.groupBy("g").agg(*[at(k).alias(f"v{k}") for k in range(most)]).collect():  # one row per part
+        for k, rank in enumerate(parts[row["g"]].ranks):
+            out[parts[row["g"]].c, rank] = row[f"v{k}"]
+    return out
+
+
+def _split(table: DataFrame, parts: list[_Part]) -> list[_Part]:
+    """Each part cut at ``SPLITS`` quantiles of its distinct values; what
+    comes back are the pieces that hold a wanted rank."""
+    rows = _labelled(table, parts)
+    shares = F.array(*[F.lit(k / SPLITS) for k in range(1, SPLITS)])
+    cuts = {r["g"]: r["cuts"] for r in rows.groupBy("g").agg(F.percentile_approx("value", shares, 10_000).alias("cuts")).collect()}
+    listed = F.array(*[F.array(*[F.lit(v) for v in cuts[g]]) for g in range(len(parts))])[F.col("g")]
+    piece = F.size(F.filter(listed, lambda v: v < F.col("value")))
+    told = rows.groupBy("g", piece.alias("b")).agg(F.sum("w").alias("n"), F.count("value").alias("k")).collect()
+    out = []
+    for g, part in enumerate(parts):
+        below = 0
+        for r in sorted((r for r in told if r["g"] == g), key=lambda r: r["b"]):
+            ranks = {rank: local - below for rank, local in part.ranks.items() if 0 <= local - below < r["n"]}
+            if ranks:
+                low = cuts[g][r["b"] - 1] if r["b"] else part.low
+                high = cuts[g][r["b"]] if r["b"] < len(cuts[g]) else part.high
+                out.append(_Part(part.c, part.seg, low, high, r["k"], ranks))
+            below += r["n"]
     return out
 
 
@@ -246,8 +308,7 @@ def _numeric_stats(
             F.min(x).alias(f"min{i}"),
             F.max(x).alias(f"max{i}"),
         ]
-        if method == "approx":
-            aggs.append(F.percentile_approx(x, qs, accuracy).alias(f"q{i}"))
+        aggs.append((F.percentile_approx(x, qs, accuracy) if method == "approx" else _sketch(x, QUANTILES)).alias(f"q{i}"))
     wide = df.agg(*aggs)
     if method == "approx":
         return _tidy(
@@ -264,8 +325,8 @@ def _numeric_stats(
             ],
         )
     row = wide.first()
-    extent = [(row[f"n{i}"], row[f"min{i}"], row[f"max{i}"]) for i in range(len(cols))]
-    q = {(r["column_name"], r["q_index"]): r["value"] for r in _exact_quantiles(df, cols, list(QUANTILES), extent).collect()}
+    told = [(row[f"n{i}"], row[f"min{i}"], row[f"max{i}"], row[f"q{i}"]) for i in range(len(cols))]
+    q = {(r["column_name"], r["q_index"]): r["value"] for r in _exact_quantiles(df, cols, list(QUANTILES), told).collect()}
     rows = [
         (name, row[f"n{i}"], row[f"mean{i}"], row[f"std{i}"], row[f"min{i}"], q[name, 0], q[name, 1], q[name, 2], row[f"max{i}"])
         for i, name in enumerate(cols)

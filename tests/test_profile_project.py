@@ -129,6 +129,25 @@ def test_exact_quartiles_in_few_and_many_rounds(spark, monkeypatch):
         profile.describe_numeric(df, method="percentile")
 
 
+def test_three_scans_at_most(spark, monkeypatch):
+    """Every scan of the input goes through ``agg`` or ``_counted``."""
+    df = spark.range(40_000).select((F.col("id") * 7919 % 40_009 / 7).alias("x"), (F.col("id") % 3).alias("y"))
+    want = [(r.p25, r.p50, r.p75) for r in profile.describe_numeric(df).collect()]
+    scans = []
+    real = profile._counted
+    monkeypatch.setattr(profile, "_counted", lambda *a: scans.append(len(a)) or real(*a))
+    for limit in (10_000, 500, 1):
+        monkeypatch.setattr(profile, "BRACKET_ROWS", limit)
+        scans.clear()
+        assert [(r.p25, r.p50, r.p75) for r in profile.describe_numeric(df).collect()] == want
+        assert scans == [3]
+    # a sketch that misses: the values between the brackets are counted too
+    monkeypatch.setattr(profile, "_sketch", lambda x, probs: F.array(*[F.min(x) + k for k in range(2 * len(probs))]))
+    scans.clear()
+    assert [(r.p25, r.p50, r.p75) for r in profile.describe_numeric(df).collect()] == want
+    assert scans == [3, 4]
+
+
 def test_more_than_a_million_distinct_values(spark):
     df = spark.range(1_300_001).select((F.col("id") * 7919 % 1_300_001).alias("x"))
     r = profile.describe_numeric(df).first()
