@@ -3,7 +3,7 @@
 Each profile is one aggregate pass over the input (partial aggregation on
 the map side, a tiny final merge) whose single wide result row is turned
 into tidy rows with ``inline(array(struct...))`` — no per-column jobs and
-nothing data-sized on the driver. Exact quartiles add one scan, two at most
+nothing data-sized on the driver. Exact quartiles add two scans at most
 (``exact_quantiles``), the same way for every size of table. Missing cells
 (null, or NaN in a floating-point column) are left out everywhere.
 """
@@ -78,15 +78,16 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] =
     pandas and DuckDB ``quantile_cont``): ``(column_name, q_index, p,
     value)``, null for a column without values.
 
-    The input is scanned two times, three at most, whatever its rows:
+    The input is scanned three times at most, whatever its rows:
 
     1. one aggregate sketches all columns (``percentile_approx``, off by at
        most 1 / ACCURACY of the rows) and takes values a little below and above
        each wanted rank as its bracket;
-    2. one group-by counts the values in the brackets, value by value, and the
-       rows between brackets as one group each. Running sums of these counts
-       prove which bracket holds each rank. The counts are written;
-    3. only if a rank lies between brackets, the values there are counted too.
+    2. one aggregate counts the rows in and between the brackets, which proves
+       where each rank lies, be it between two brackets. A rank in a bracket of
+       one value is found;
+    3. one group-by counts the values of the other segments that hold a rank,
+       value by value. These counts are written.
 
     All else reads the written counts: parts with more than ``BRACKET_ROWS``
     values are split at their own quantiles until the part with the rank is
@@ -127,33 +128,33 @@ def _segment(x: Column, brackets: list[tuple[float, float]]) -> Column:
     return out.when(x.isNotNull(), 2 * len(brackets))
 
 
+def _rows_by_segment(df: DataFrame, xs: list[Column], brackets: dict[int, list[tuple[float, float]]], told) -> dict[tuple[int, int], int]:
+    """``{(column, segment): rows}``."""
+    bounds = [(i, test) for i, pairs in brackets.items() for low, high in pairs for test in (xs[i] < F.lit(low), xs[i] <= F.lit(high))]
+    row = df.agg(*[F.count_if(test) for _, test in bounds]).first()
+    out: dict[tuple[int, int], int] = {}
+    for i in brackets:
+        upto = [n for (c, _), n in zip(bounds, row) if c == i] + [told[i][0]]
+        out.update({(i, seg): n - before for seg, (before, n) in enumerate(zip([0, *upto], upto))})
+    return out
+
+
 def _counted(
-    df: DataFrame, xs: list[Column], brackets: dict[int, list[tuple[float, float]]], only: dict[int, set[int]] | None = None
+    df: DataFrame, xs: list[Column], brackets: dict[int, list[tuple[float, float]]], only: dict[int, set[int]]
 ) -> DataFrame:
-    """``(c, seg, value, w)``: how many rows have each value of a bracket; a
-    null value stands for all between two brackets. With ``only``, the values
-    of these segments instead."""
-    rows = []
-    for i in brackets if only is None else only:
+    """``(c, seg, value, w)``: how many rows have each value of the segments
+    in ``only``."""
+    rows, some = [], F.lit(False)
+    for i, segments in only.items():
         seg = _segment(xs[i], brackets[i])
-        wanted = seg % 2 == 1 if only is None else seg.isin(*only[i])
-        rows.append(
-            F.struct(
-                F.lit(i).alias("c"),
-                (seg if only is None else F.when(wanted, seg)).alias("seg"),
-                F.when(wanted, xs[i]).alias("value"),
-            )
-        )
-    long = df.select(F.inline(F.array(*rows))).where("seg is not null")
+        seg = F.when(seg.isin(*segments), seg)
+        some |= seg.isNotNull()
+        rows.append(F.struct(F.lit(i).alias("c"), seg.alias("seg"), xs[i].alias("value")))
+    # most rows have no such value: they go before the others become long
+    long = df.where(some).select(F.inline(F.array(*rows))).where("seg is not null")
     return written(long.groupBy("c", "seg", "value").agg(F.count(F.lit(1)).alias("w")), "quantiles")
 
 
-def _sizes(counted: DataFrame) -> dict[tuple[int, int], tuple[int, int]]:
-    """Rows and distinct values of each segment (a few of each column)."""
-    told = counted.groupBy("c", "seg").agg(F.sum("w").alias("n"), F.count("value").alias("k"))
-    return {(r["c"], r["seg"]): (r["n"], r["k"]) for r in told.collect()}
-
-
 def _exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], told) -> DataFrame:
     """``told``: count, minimum, maximum and sketch of each column."""
     xs = [_present(df, c) for c in cols]
@@ -168,22 +169,23 @@ def _exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], told) -
             wanted[i] = ranks
             brackets[i] = [(low, high)] if n <= BRACKET_ROWS else _merged(list(zip(proposed[::2], proposed[1::2])))
     if wanted:
-        counted = _counted(df, xs, brackets)
-        sizes = _sizes(counted)
-        at = {(i, r): _place(sizes, i, r) for i, ranks in wanted.items() for r in ranks}
+        sizes = _rows_by_segment(df, xs, brackets, told)
+        parts: dict[tuple[int, int], _Part] = {}
         only: dict[int, set[int]] = {}
-        for (i, _), (seg, _) in at.items():
-            if seg % 2 == 0:
+        for i, ranks in wanted.items():
+            for r in ranks:
+                seg, local = _place(sizes, i, r)
+                low, high = brackets[i][seg // 2] if seg % 2 else (None, None)
+                if low is not None and low == high:
+                    found[i, r] = low
+                    continue
                 only.setdefault(i, set()).add(seg)
-        table = counted.where("value is not null")
+                parts.setdefault((i, seg), _Part(i, seg, None, None, 0, {})).ranks[r] = local
         if only:
-            more = _counted(df, xs, brackets, only)
-            sizes.update(_sizes(more))
-            table = table.union(more)
-        parts: dict[tuple[int, int], _Part] = {}
-        for (i, r), (seg, local) in at.items():
-            parts.setdefault((i, seg), _Part(i, seg, None, None, sizes[i, seg][1], {})).ranks[r] = local
-        found.update(_at_ranks(table, list(parts.values())))
+            table = _counted(df, xs, brackets, only)
+            for row in table.groupBy("c", "seg").count().collect():  # a few of each column
+                parts[row["c"], row["seg"]].size = row["count"]
+            found.update(_at_ranks(table, list(parts.values())))
     rows = []
     for i, name in enumerate(cols):
         n = told[i][0]
@@ -200,13 +202,13 @@ def _exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], told) -
     )
 
 
-def _place(sizes: dict[tuple[int, int], tuple[int, int]], i: int, rank: int) -> tuple[int, int]:
+def _place(sizes: dict[tuple[int, int], int], i: int, rank: int) -> tuple[int, int]:
     """The segment with a column's value of this rank, and its rank there."""
     for c, seg in sorted(sizes):
         if c == i:
-            if rank < sizes[c, seg][0]:
+            if rank < sizes[c, seg]:
                 return seg, rank
-            rank -= sizes[c, seg][0]
+            rank -= sizes[c, seg]
     raise RuntimeError("the input changed between two scans")
 
 

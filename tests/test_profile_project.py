@@ -130,22 +130,26 @@ def test_exact_quartiles_in_few_and_many_rounds(spark, monkeypatch):
 
 
 def test_three_scans_at_most(spark, monkeypatch):
-    """Every scan of the input goes through ``agg`` or ``_counted``."""
+    """The first aggregate, ``_rows_by_segment`` and ``_counted`` scan the input."""
     df = spark.range(40_000).select((F.col("id") * 7919 % 40_009 / 7).alias("x"), (F.col("id") % 3).alias("y"))
     want = [(r.p25, r.p50, r.p75) for r in profile.describe_numeric(df).collect()]
     scans = []
-    real = profile._counted
-    monkeypatch.setattr(profile, "_counted", lambda *a: scans.append(len(a)) or real(*a))
+    for name in ("_rows_by_segment", "_counted"):
+        real = getattr(profile, name)
+        monkeypatch.setattr(profile, name, lambda *a, real=real, name=name: scans.append(name) or real(*a))
     for limit in (10_000, 500, 1):
         monkeypatch.setattr(profile, "BRACKET_ROWS", limit)
         scans.clear()
         assert [(r.p25, r.p50, r.p75) for r in profile.describe_numeric(df).collect()] == want
-        assert scans == [3]
+        assert scans == ["_rows_by_segment", "_counted"]
+    scans.clear()
+    profile.describe_numeric(df.select("y")).collect()  # brackets of one value
+    assert scans == ["_rows_by_segment"]
     # a sketch that misses: the values between the brackets are counted too
     monkeypatch.setattr(profile, "_sketch", lambda x, probs: F.array(*[F.min(x) + k for k in range(2 * len(probs))]))
     scans.clear()
     assert [(r.p25, r.p50, r.p75) for r in profile.describe_numeric(df).collect()] == want
-    assert scans == [3, 4]
+    assert scans == ["_rows_by_segment", "_counted"]
 
 
 def test_more_than_a_million_distinct_values(spark):
