@@ -229,18 +229,18 @@ def fit_forest(
     min_leaf: int = 1,
 ):
     """(pipeline model, fit seconds) of the random-forest presets.
-    ``max_depth`` (default: the preset's, 5 or 30) and ``min_leaf`` bound the
-    trees. With the notebook's depth and ``min_leaf=1`` they grow with the
+    ``max_depth`` (default: the preset's, 5 or unlimited) and ``min_leaf`` bound
+    the trees. With the notebook's depth and ``min_leaf=1`` they grow with the
     rows; ``n_nodes`` tells how large a fitted model is."""
     if preset == "spark":
-        learner, mode = forest_spark(seed=seed), "ordinal"
+        learner, mode = forest_spark(seed=seed).setMinInstancesPerNode(min_leaf), "ordinal"
+        if max_depth is not None:
+            learner = learner.setMaxDepth(max_depth)
     elif preset == "notebook":
-        learner, mode = forest_notebook(seed=seed), "onehot"
+        learner, mode = forest_unlimited(seed=seed, max_depth=max_depth, min_leaf=min_leaf), "onehot"
     else:
         raise ValueError(f"preset must be one of {PRESETS}")
-    if max_depth is not None:
-        learner = learner.setMaxDepth(max_depth)
-    return _fit(train, categorical, numeric, learner.setMinInstancesPerNode(min_leaf), mode, label)
+    return _fit(train, categorical, numeric, learner, mode, label)
 
 
 def n_nodes(model) -> int:
