@@ -459,7 +459,7 @@ def q_cross_validate(spark, d):
     prep = features.preprocess_pipeline(CATEGORICAL, NUMERIC, mode="onehot")
     # small training frames use few partitions: run fits side by side
     fitted = evaluate.cross_validate(
-        folded, models.with_model(prep, models.forest_notebook()), "label", "fold", k=5, parallelism=4
+        folded, models.with_model(prep, models.forest_unlimited()), "label", "fold", k=5, parallelism=4
     )
     known = evaluate.fold_scores(_label_folds(spark, d))
     none = F.lit(None).cast("double")
