@@ -215,7 +215,8 @@ def simhash_links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
     masks = covering_masks(list(range(BITS)), max_bits)
     keyed = fps.select("fp", _spread(masks, F.col("fp")).alias("k")).select("k.t", "k.key", "fp")
     sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = written(keyed.join(sizes, ["t", "key"]), "buckets")
+    # Spark sizes a frame as before its explode and would broadcast all of it
+    shared = written(keyed.join(sizes.hint("merge"), ["t", "key"]), "buckets")
     out = (
         shared.where(F.col("n") <= SMALL_BUCKET)
         .groupBy("t", "key")

@@ -118,6 +118,24 @@ def test_hot_bucket_goes_through_the_second_covering(spark, monkeypatch):
     assert _roots(fps, links) == brute_components(fps, 4)
 
 
+def test_buckets_are_not_broadcast(spark, monkeypatch):
+    """Spark sizes exploded frames as before the explode: small tables by its
+    count, far too many rows for a driver."""
+    plans = {}
+    real = simhash.written
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return real(df, name)
+
+    monkeypatch.setattr(simhash, "written", seen)
+    rng = random.Random(5)
+    fps = [rng.getrandbits(64) for _ in range(400)]
+    fps += [f ^ 3 for f in fps[:100]]
+    simhash.simhash_links(spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long")).count()
+    assert "SortMergeJoin" in plans["buckets"] and "Broadcast" not in plans["buckets"]
+
+
 def test_components_of_a_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(None, 3), (7, 7), (200, 200)]
     df = spark.createDataFrame(links, "a long, b long")
