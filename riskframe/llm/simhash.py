@@ -361,5 +361,6 @@ def simhash_dedup(
         salt = free_name(hashed, "salt")
         salted = repeated.select(one, two, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt))
         some = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
-        met = hashed.withColumn(salt, some).join(salted, [one, two, salt], "left_semi").dropDuplicates([one, two, salt])
+        # exploded, so sized too low by Spark: not to be broadcast
+        met = hashed.withColumn(salt, some).join(salted.hint("merge"), [one, two, salt], "left_semi").dropDuplicates([one, two, salt])
     return out.union(met.dropDuplicates([one, two]).select(*columns))

@@ -118,7 +118,7 @@ def test_hot_bucket_goes_through_the_second_covering(spark, monkeypatch):
     assert _roots(fps, links) == brute_components(fps, 4)
 
 
-def test_buckets_are_not_broadcast(spark, monkeypatch):
+def test_buckets_and_salted_copies_are_not_broadcast(spark, monkeypatch):
     """Spark sizes exploded frames as before the explode: small tables by its
     count, far too many rows for a driver."""
     plans = {}
@@ -134,6 +134,12 @@ def test_buckets_are_not_broadcast(spark, monkeypatch):
     fps += [f ^ 3 for f in fps[:100]]
     simhash.simhash_links(spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long")).count()
     assert "SortMergeJoin" in plans["buckets"] and "Broadcast" not in plans["buckets"]
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", 0)
+    docs = spark.createDataFrame([(i % 50, f"text number {i % 50} of {i % 50 + 7} in two equal rows") for i in range(100)], "doc_id long, text string")
+    kept = simhash.simhash_dedup(docs)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "salt" in plan and "SortMergeJoin" in plan
+    assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "salt" in line]
 
 
 def test_components_of_a_path_and_a_star(spark):
