@@ -363,18 +363,15 @@ def cross_validate(
         t0 = time.perf_counter()
         model = estimator.fit(train)
         secs = time.perf_counter() - t0
-        scored = []
-        for side, part in (("test", df.where(F.col(fold_col) == i)), ("train", train)):
-            scored.append(
-                model.transform(part).select(
-                    F.lit(i).alias("fold_id"), F.lit(side).alias("side"), F.col(label), "prediction"
-                )
-            )
+        # both sides in one pass: a forest is read once
+        side = F.when(F.col(fold_col) == i, "test").otherwise("train").alias("side")
+        scored = model.transform(df.where(F.col(fold_col).isNotNull()))
+        scored = scored.select(F.lit(i).alias("fold_id"), side, F.col(label), "prediction")
         return secs, scored
 
     spark = df.sparkSession
     results = _side_by_side(spark, one, range(k), parallelism)
-    frames = [f for _, fs in results for f in fs]
+    frames = [f for _, f in results]
     union = frames[0]
     for f in frames[1:]:
         union = union.unionByName(f)
